@@ -46,6 +46,9 @@ def folder_paths(lib: Library) -> DataFrame:
     Roots are folders without a parent or whose parent is gone.
     """
     spark = lib["folder"].sparkSession
+    # The tree is as large as the folder table and no deeper than it: lift the default caps.
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    spark.conf.set("spark.sql.cteRecursionLevelLimit", "-1")
     lib["folder"].select("id", "parent_id", "kind", "name", "sort_order").createOrReplaceTempView("folder_rows")
     # Siblings sort by sort_order, name, id: each step appends one comparable text key.
     step = "concat(lpad(cast({0}.sort_order + 1000000000 as string), 10, '0'), '/', {0}.name, '/', lpad(cast({0}.id as string), 19, '0'))"

@@ -158,6 +158,33 @@ TABLES: dict[str, str] = {
         select item_id, folder_id, vendor_id is null missing_vendor, txn_date is null missing_date, total_minor is null missing_total,
           category_id is null missing_category, tax_category_id is null missing_tax_category from v_summable
         where vendor_id is null or txn_date is null or total_minor is null or category_id is null or tax_category_id is null""",
+    "page_rollup": """
+        select item_id, count(*) filter (where ocr_status = 'failed') ocr_failed, count(*) filter (where ocr_status in ('pending','queued','running')) ocr_pending,
+          count(*) filter (where ocr_status = 'done') ocr_done, count(*) n_pages, min(ocr_conf) ocr_min_conf from page group by 1""",
+    "thumbs": """
+        select item_id, thumb from (select item_id, coalesce(thumb_relpath, file_relpath) thumb, row_number() over (partition by item_id order by seq, page_id) rn from v_item_pages) where rn = 1""",
+    "flagged": """
+        select *, case when known = 0 then 'none' when ocr_failed > 0 then 'failed' when ocr_pending > 0 then 'pending' else 'done' end ocr_status,
+          manual as needs_manual_entry, manual or missing_data as needs_review
+        from (
+          select i.id as item_id, i.folder_id, i.type, i.split_role, i.superseded_at, i.reviewed_at, i.trashed_at, i.created_at, i.modified_at,
+            r.item_id is not null has_receipt, r.txn_date, r.vendor_id, r.total_minor, r.currency, r.payment_type_id, r.tax_total_minor, r.category_id,
+            r.tax_category_id, r.project_id, r.external_ref, r.description, r.extraction_json,
+            p.ocr_failed, p.ocr_pending, p.ocr_done, p.n_pages, p.ocr_min_conf, coalesce(p.ocr_failed + p.ocr_pending + p.ocr_done, 0) known,
+            m.item_id is not null in_missing_view, m.missing_vendor, m.missing_date, m.missing_total, m.missing_category, m.missing_tax_category,
+            coalesce(m.missing_vendor or m.missing_date or m.missing_total, false) missing_data,
+            coalesce(p.ocr_failed > 0, false) or coalesce(p.ocr_min_conf < 0.3, false) or (i.type = 'receipt' and p.item_id is not null and r.total_minor is null) manual,
+            concat_ws(',', case when json_valid(extraction_json) and cast(json_extract(extraction_json, '$.total.confidence') as double) < 0.5 then 'total' end,
+              case when json_valid(extraction_json) and cast(json_extract(extraction_json, '$.vendor.confidence') as double) < 0.5 then 'vendor' end) low_confidence_fields
+          from item i left join receipt_data r on r.item_id = i.id left join page_rollup p on p.item_id = i.id left join v_missing m on m.item_id = i.id)""",
+    "grid": """
+        select f.*, v.name vendor_name, c.name category_name, p.name payment_type_name, t.thumb thumb_relpath, t.item_id is not null has_images,
+          case when type <> 'receipt' then '' when in_missing_view then concat_ws(',', case when missing_vendor then 'vendor' end, case when missing_date then 'txnDate' end, case when missing_total then 'total' end)
+            when has_receipt then concat_ws(',', case when v.name is null then 'vendor' end, case when txn_date is null then 'txnDate' end, case when total_minor is null then 'total' end, case when c.name is null then 'category' end)
+            else '' end missing_fields
+        from flagged f left join vendor v on v.id = f.vendor_id left join category c on c.id = f.category_id left join payment_type p on p.id = f.payment_type_id
+        left join thumbs t on t.item_id = f.item_id""",
+    "subtree_2": "select id as folder_id from folder where id = 2 or parent_id = 2",
 }
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -59,6 +61,7 @@ ALLOWED_VALUES: dict[tuple[str, str], list] = {
 Library = dict[str, DataFrame]
 
 
+@cache
 def schema_of(table: str) -> StructType:
     return StructType.fromDDL(TABLES[table])
 
@@ -68,16 +71,8 @@ def empty(spark: SparkSession, table: str) -> DataFrame:
 
 
 def shaped(df: DataFrame, table: str) -> DataFrame:
-    """Columns of a table in order and type; absent ones are null."""
-    from pyspark.sql import functions as F
-
-    have = set(df.columns)
-    return df.select(
-        *[
-            (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in schema_of(table).fields
-        ]
-    )
+    """Columns of a table in order and type; absent ones are null, others are dropped."""
+    return df.to(schema_of(table))
 
 
 def with_tables(lib: Library, **changed: DataFrame) -> Library:

@@ -237,6 +237,9 @@ def library(spark: SparkSession, sf_dir: str) -> Library:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _libraries:
         base = base_library(spark, sf_dir)
+        # These three are read many times below; receipts join the largest source tables.
+        for table in ("item", "receipt_data", "receipt_tax_line"):
+            base[table] = stored(base[table], f"base-{table}")
         lib, _ = split_receipts(base, split_parts(spark, sf_dir), SPLIT_AT)
         # Some first children are in the trash, so their groups show drift.
         item = lib["item"]
