@@ -31,6 +31,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def _load() -> None:
     from tillbook.catalog import (  # noqa: F401
         listing,
+        ledger,
+        edits,
+        upkeep,
         views,
     )
 

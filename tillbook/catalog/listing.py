@@ -138,14 +138,14 @@ def inbox_list(spark, sf):
 
 
 @query("inbox_counts", """
-    select count(*) live_count, count(*) filter (where reviewed_at is null and superseded_at is null) unreviewed_count
+    select count(*) live_count, count(*) filter (where reviewed_at is null) unreviewed_count
     from item where trashed_at is null and folder_id = 900""")
 def inbox_counts(spark, sf):
     return listing.inbox_counts(star.library(spark, sf))
 
 
 @query("next_unreviewed", """
-    select id item_id, type, folder_id, created_at from item where trashed_at is null and superseded_at is null and reviewed_at is null order by created_at, id limit 1""")
+    select id item_id, type, folder_id, created_at from item where trashed_at is null and superseded_at is null and reviewed_at is null and folder_id = 900 order by created_at, id limit 1""")
 def next_unreviewed(spark, sf):
     return listing.next_unreviewed(star.library(spark, sf))
 

@@ -373,13 +373,14 @@ def inbox_counts(lib: Library) -> DataFrame:
     rows = lib["item"].filter("trashed_at IS NULL").join(inbox_folders(lib), "folder_id", "left_semi")
     return rows.agg(
         F.count("*").alias("live_count"),
-        count_where(F.col("reviewed_at").isNull() & F.col("superseded_at").isNull()).alias("unreviewed_count"),
+        count_where(F.col("reviewed_at").isNull()).alias("unreviewed_count"),
     )
 
 
 def next_unreviewed(lib: Library) -> DataFrame:
-    """The oldest item nobody has reviewed."""
+    """The oldest inbox item nobody has reviewed."""
     rows = filtered(lib, lib["item"].withColumnRenamed("id", "item_id"), ListRequest(smart_filter="unreviewed"))
+    rows = rows.join(inbox_folders(lib), "folder_id", "left_semi")
     return rows.orderBy("created_at", "item_id").limit(1).select("item_id", "type", "folder_id", "created_at")
 
 

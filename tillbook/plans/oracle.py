@@ -67,7 +67,7 @@ TABLES: dict[str, str] = {
         from orders left join customer on o_custkey = c_custkey left join nation on c_nationkey = n_nationkey
         left join order_vendor on l_orderkey = o_orderkey
         left join extraction x on x.item_id = o_orderkey left join order_tax t on t.item_id = o_orderkey""",
-    "part": f"""
+    "split_part": f"""
         select l_orderkey item_id, {PRICE} w, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity,
           row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) ord,
           count(*) over (partition by l_orderkey) n, sum({PRICE}) over (partition by l_orderkey) ws
@@ -76,7 +76,7 @@ TABLES: dict[str, str] = {
     "origin": """
         select item_id, row_number() over (order by item_id) as group_id, any_value(total_minor) total_minor,
           any_value(coalesce(tax_total_minor, tax)) origin_tax, any_value(tax) line_sum, any_value(currency) currency
-        from part join base_receipt using (item_id) left join order_tax using (item_id) where n >= 2 group by item_id""",
+        from split_part join base_receipt using (item_id) left join order_tax using (item_id) where n >= 2 group by item_id""",
     "part_share": """
         select *, (select max(id) from base_item) + row_number() over (order by item_id, ord) as child_id,
           total_base + case when row_number() over (partition by item_id order by total_rem desc, ord) <= total_minor - sum(total_base) over (partition by item_id) then 1 else 0 end as total_share,
@@ -84,7 +84,7 @@ TABLES: dict[str, str] = {
         from (select p.item_id, p.ord, p.w, p.ws, group_id, total_minor, origin_tax, line_sum, currency,
                 (cast(total_minor as hugeint) * w) // ws total_base, (cast(total_minor as hugeint) * w) % ws total_rem,
                 (cast(origin_tax as hugeint) * w) // ws tax_base, (cast(origin_tax as hugeint) * w) % ws tax_rem
-              from part p join origin using (item_id))""",
+              from split_part p join origin using (item_id))""",
     "line_share": """
         select line_id, label, rate_bp, tax_category_id, child_id,
           base + case when row_number() over (partition by line_id order by rem desc, ord) <= amount_minor - sum(base) over (partition by line_id) then 1 else 0 end as amount
