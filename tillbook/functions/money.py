@@ -132,32 +132,36 @@ def parse_money_ocr(raw: Column, labelled: bool = False) -> Column:
 
 def find_money(text: Column, labelled: bool = False) -> Column:
     """best amount in free text; by confidence, then size, then position."""
+    tokens = F.regexp_extract_all(text, F.lit(MONEY_TOKEN), F.lit(0))
+    without_label = F.regexp_replace(text, r"^[A-Za-z\s\u00a0#:.*]+", "")
 
-    def scored(token: Column, at: Column) -> Column:
+    def read(candidate: Column, at: Column) -> Column:
         return let(
-            parse_money_ocr(token, labelled),
-            lambda m: F.when(
-                m.isNotNull(),
-                F.struct(
-                    m["confidence"].alias("confidence"),
-                    F.abs(m["minor"]).alias("size"),
-                    (-at).alias("earlier"),
-                    m["minor"].alias("minor"),
-                ),
+            parse_money_ocr(candidate, labelled),
+            lambda m: F.struct(
+                m["confidence"].alias("confidence"),
+                F.abs(m["minor"]).alias("size"),
+                (-at).alias("earlier"),
+                m["minor"].alias("minor"),
             ),
         )
 
-    best = F.array_max(F.transform(F.regexp_extract_all(text, F.lit(MONEY_TOKEN), F.lit(0)), scored))
-    whole = parse_money_ocr(F.regexp_replace(text, r"^[A-Za-z\s #:.*]+", ""), labelled)
+    def choose(readings: Column) -> Column:
+        amount = lambda r: F.struct(r["minor"].alias("minor"), r["confidence"].alias("confidence"))
+        found = F.filter(F.slice(readings, F.lit(1), F.size(readings) - 1), lambda r: r["minor"].isNotNull())
+        whole = F.element_at(readings, -1)
 
-    def choose(pair: Column) -> Column:
-        b, w = pair["best"], pair["whole"]
-        token = F.struct(b["minor"].alias("minor"), b["confidence"].alias("confidence"))
-        # The whole text may override the tokens only with a sign they missed, or if it agrees.
-        takes_over = (w["confidence"] >= b["confidence"]) & ((w["minor"] < 0) | (w["minor"] == b["minor"]))
-        return F.when(b.isNull(), w).when(F.coalesce(takes_over, F.lit(False)), w).otherwise(token)
+        def decide(best: Column) -> Column:
+            # The whole text may override the tokens only with a sign they missed, or if it agrees.
+            takes_over = (whole["confidence"] >= best["confidence"]) & (
+                best["minor"].isNull() | (whole["minor"] < 0) | (whole["minor"] == best["minor"])
+            )
+            use_whole = best["minor"].isNull() | F.coalesce(takes_over, F.lit(False))
+            return F.when(use_whole & whole["minor"].isNotNull(), amount(whole)).when(best["minor"].isNotNull(), amount(best))
 
-    return let(F.struct(best.alias("best"), whole.alias("whole")), choose).cast(MONEY)
+        return let(F.array_max(found), decide)
+
+    return let(F.transform(F.concat(tokens, F.array(without_label)), read), choose).cast(MONEY)
 
 
 def whole_units(size: Column) -> Column:
