@@ -34,6 +34,8 @@ def _load() -> None:
         ledger,
         edits,
         upkeep,
+        extraction,
+        searching,
         views,
     )
 

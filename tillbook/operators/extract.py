@@ -31,6 +31,8 @@ TOTAL_LABELS = [
     (r"^\s*total\b|\btotal\s*[:$]|\btotal\s+\d", 0.92),
     (r"\btotal\b", 0.7),
 ]
+# Some word of every label above: most lines hold none and skip the list.
+TOTAL_WORD = "total|due|zahlen|betrag|summe|gesamt|totaal|importo|montant|betalen"
 NOT_A_TOTAL = (
     r"^\s*(?:tax|gst|hst|pst|vat|sales\s*tax)\b|^\s*(?:cash|change|tip|gratuity)\b"
     r"|^\s*(?:visa|mc|mastercard|amex|debit)\b"
@@ -65,6 +67,11 @@ PAYMENTS = [
     (r"debit", "DEBIT"),
     (r"credit\s*card", "CREDIT CARD"),
 ]
+# Some word of every method: most lines hold none and skip the list.
+PAYMENT_WORD = (
+    r"(?i)express|amex|master|mc|visa|discover|interac|girocard|karte|maestro|ideal|bacs|payments?|pay|debit|card"
+    r"|net|account|cash|check|cheque"
+)
 NET_DAYS = rf"(?i){START}net\s*\d{{1,3}}{END}"
 NET_TERMS = rf"(?i){START}terms?\s*:\s*net{END}"
 ON_ACCOUNT = rf"(?i){START}(?:on\s*account|charge\s*account){END}"
@@ -112,7 +119,7 @@ def total_score(folded: Column) -> Column:
     chain = F.when(folded.rlike(SUBTOTAL) | folded.rlike(PRE_TAX), 0.0).when(~has_total & folded.rlike(NOT_A_TOTAL), 0.0)
     for pattern, score in TOTAL_LABELS:
         chain = chain.when(folded.rlike(pattern), score)
-    return chain.otherwise(0.0)
+    return F.when(folded.rlike(TOTAL_WORD), chain.otherwise(0.0)).otherwise(0.0)
 
 
 def line_facts(line: Column, following: Column) -> Column:
@@ -225,11 +232,17 @@ def tax_entries() -> Column:
         ),
     )
 
-    def distinct(all_entries: Column) -> Column:
-        keys = F.transform(all_entries, lambda e: F.concat_ws("|", e["label"], e["minor"]))
-        return F.filter(all_entries, lambda e, i: F.array_position(keys, F.concat_ws("|", e["label"], e["minor"])) == i + 1)
-
-    return let(entries, distinct)
+    # One sort brings equal pairs together; the first of each survives, in reading order again.
+    keyed = F.transform(
+        entries, lambda e, i: F.struct(e["label"].alias("label"), e["minor"].alias("minor"), i.alias("i"), e.alias("e"))
+    )
+    fresh = lambda s: F.filter(
+        s, lambda k, i: (i == 0) | (k["label"] != F.get(s, i - 1)["label"]) | (k["minor"] != F.get(s, i - 1)["minor"])
+    )
+    firsts = let(F.array_sort(keyed), fresh)
+    return F.transform(
+        F.array_sort(F.transform(firsts, lambda k: F.struct(k["i"].alias("i"), k["e"].alias("e")))), lambda k: k["e"]
+    )
 
 
 def sum_of(items: Column, value) -> Column:
@@ -295,13 +308,14 @@ def payment_of_line(text: Column) -> Column:
         hit = text.rlike(rf"(?i){START}(?:{pattern}){END}")
         chain = F.when(hit, F.lit(name)) if chain is None else chain.when(hit, F.lit(name))
     terms = F.upper(squeezed(F.regexp_extract(text, NET_DAYS, 0)))
-    return (
+    chain = (
         chain.when(text.rlike(NET_DAYS), terms)
         .when(text.rlike(NET_TERMS), "NET TERMS")
         .when(text.rlike(ON_ACCOUNT), "ON ACCOUNT")
         .when(text.rlike(CASH), "CASH")
         .when(text.rlike(CHECK), "CHECK")
     )
+    return F.when(text.rlike(PAYMENT_WORD), chain)
 
 
 def payment_field() -> Column:

@@ -35,6 +35,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def read_spread(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """For compute-heavy maps: a table of fewer files than cores is dealt out once; others are not shuffled."""
+    df = read(spark, sf_dir, table)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def pick(values: list[str], index) -> F.Column:
     """Zero-based choice from a short fixed list."""
     return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
