@@ -36,6 +36,8 @@ def _load() -> None:
         upkeep,
         extraction,
         searching,
+        transfer,
+        values,
         views,
     )
 

@@ -587,20 +587,42 @@ def run_pipeline(lib: Library, now: int, date_order: str = "MDY") -> tuple[Libra
 # --- scoring -------------------------------------------------------------------------
 
 
-def scorecard(extracted: DataFrame, truth: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """Hit, miss and wrong per field.  Nothing to find and nothing found is a hit."""
+def _agrees(name: str, want: Column, have: Column) -> Column:
+    """Vendors agree by their first six letters, payments by containment, the rest exactly."""
+    letters = lambda c: F.regexp_replace(F.lower(c), "[^a-z]", "")
+    if name == "vendor":
+        return letters(have).contains(F.substring(letters(want), 1, 6))
+    if name == "paymentType":
+        return F.upper(have).contains(F.upper(want))
+    return want == have
+
+
+def verdicts(extracted: DataFrame, truth: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Hit, miss or wrong for every record and field.  Nothing to find and nothing found is a hit."""
     got = extracted.select(key, *[F.col(f).cast("string").alias(f"g_{f}") for f in fields])
     pairs = truth.select(key, *[F.col(f).cast("string").alias(f) for f in fields]).join(got, key, "left")
-    long = pairs.select(
-        key,
-        F.explode(
-            F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("want"), F.col(f"g_{f}").alias("got")) for f in fields])
-        ).alias("p"),
-    ).select(key, "p.*")
-    want, have = F.col("want"), F.col("got")
-    verdict = (
-        F.when(want.eqNullSafe(have), "hit").when(have.isNull(), "miss").otherwise("wrong")
-    )
-    return long.withColumn("verdict", verdict).groupBy("field").agg(
+
+    def verdict(f: str) -> Column:
+        want, have = F.col(f), F.col(f"g_{f}")
+        return (
+            F.when(want.isNull(), F.when(have.isNull(), "hit").otherwise("wrong"))
+            .when(have.isNull(), "miss")
+            .when(_agrees(f, want, have), "hit")
+            .otherwise("wrong")
+        )
+
+    return pairs.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), verdict(f).alias("verdict")) for f in fields])).alias("p")).select(
+        key, "p.*")
+
+
+def scorecard(extracted: DataFrame, truth: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Counts per field."""
+    return verdicts(extracted, truth, key, fields).groupBy("field").agg(
         *[F.count_if(F.col("verdict") == v).alias(v) for v in ("hit", "miss", "wrong")]
     )
+
+
+def fully_correct(extracted: DataFrame, truth: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Records with every field right."""
+    per_record = verdicts(extracted, truth, key, fields).groupBy(key).agg(F.min(F.col("verdict") == "hit").alias("right"))
+    return per_record.agg(F.count_if("right").alias("fully_correct"), F.count("*").alias("records"))
