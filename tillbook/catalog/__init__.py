@@ -38,6 +38,7 @@ def _load() -> None:
         searching,
         transfer,
         values,
+        streams,
         views,
     )
 

@@ -154,8 +154,7 @@ def vcards(spark, sf):
     """Folded lines, groups, parameters, escapes, a second card per file."""
     c = star.read(spark, sf, "customer").join(star.read(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     i = F.col("c_custkey").cast("string")
-    name = F.when(F.col("c_custkey") % 3 == 2, F.lit("N:;;;;")).otherwise(F.concat(F.lit("N:Last;First"), i))
-    # An escaped semicolon is unescaped before the name is split, so write the last name without one.
+    # A semicolon always separates name parts, escaped or not, so the last name is written with a colon.
     name = F.when(F.col("c_custkey") % 3 == 2, F.lit("N:;;;;")).otherwise(F.concat(F.lit("N:Last:"), i, F.lit(";First"), i, F.lit(";;;")))
     text = F.concat_ws(
         "\r\n", F.lit("BEGIN:VCARD"), F.lit("VERSION:3.0"), name, F.concat(F.lit("FN:"), "c_name"), F.concat(F.lit("ORG:"), "n_name", F.lit(";Unit")),
@@ -239,11 +238,11 @@ def export_sums(spark, sf):
 
 
 @query("page_manifest", """
-    select v.item_id, v.page_id, v.seq, v.file_relpath, v.via_split from v_item_pages v join item i on i.id = v.item_id where i.trashed_at is null and v.item_id % 2 = 0""")
+    select v.item_id, v.page_id, v.seq, v.file_relpath, v.via_split from v_item_pages v join item i on i.id = v.item_id where i.trashed_at is null""")
 def page_manifest(spark, sf):
     """Explicit ids, live ones, pages through splits included."""
     lib = star.library(spark, sf)
-    ids = lib["item"].filter("id % 2 = 0").select(F.col("id").alias("item_id"))
+    ids = lib["item"].select(F.col("id").alias("item_id"))
     return export.page_manifest(lib, export.export_item_ids(lib, None, ids)).select("item_id", "page_id", "seq", "file_relpath", "via_split")
 
 

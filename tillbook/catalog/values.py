@@ -34,8 +34,8 @@ def money_typed(spark, sf):
 
 
 @query("money_from_ocr", f"""
-    select o_orderkey, case o_orderkey % 7 when 0 then {CENTS} when 1 then {CENTS} when 2 then -{CENTS} when 3 then {CENTS} when 4 then {CENTS} // 100 * 100 when 5 then {CENTS} // 100 when 6 then {CENTS} end "minor",
-      case o_orderkey % 7 when 4 then 0.6 when 5 then 0.5 when 3 then case when {CENTS} >= 100000 then 0.95 else 0.85 end else 0.95 end confidence from orders where {CENTS} // 100 >= 100""")
+    select o_orderkey, case o_orderkey % 7 when 0 then {CENTS} when 1 then {CENTS} when 2 then -{CENTS} when 3 then {CENTS} when 4 then {CENTS} // 100 * 100 when 5 then case when {CENTS} // 100 >= 100 then {CENTS} // 100 else {CENTS} // 100 * 100 end when 6 then {CENTS} end "minor",
+      case o_orderkey % 7 when 4 then 0.6 when 5 then case when {CENTS} // 100 >= 100 then 0.5 else 0.45 end when 3 then case when {CENTS} >= 100000 then 0.95 else 0.85 end else 0.95 end confidence from orders""")
 def money_from_ocr(spark, sf):
     """US and European separators, trailing minus, misread dollar sign, bare integers."""
     k, t, c = F.col("k"), _plain(), F.col("cents")
@@ -44,19 +44,19 @@ def money_from_ocr(spark, sf):
     european = F.translate(grouped, ",.", ".,")
     text = (F.when(k % 7 == 0, F.concat(F.lit("USD "), grouped)).when(k % 7 == 1, F.concat(F.lit("S"), t)).when(k % 7 == 2, F.concat(t, F.lit("-")))
             .when(k % 7 == 3, european).when(k % 7 == 4, whole.cast("string")).when(k % 7 == 5, whole.cast("string")).otherwise(F.concat(F.lit("£"), t)))
-    orders = _orders(spark, sf).filter(whole >= 100)
+    orders = _orders(spark, sf)
     r = F.when(k % 7 == 4, money.parse_money_ocr(text, labelled=True)).otherwise(money.parse_money_ocr(text))
     return orders.select("o_orderkey", r["minor"].alias("minor"), r["confidence"].alias("confidence"))
 
 
 @query("money_in_text", f"""
-    select o_orderkey, case when o_orderkey % 3 = 1 then -{CENTS} else {CENTS} end "minor" from orders where {CENTS} >= 1000""")
+    select o_orderkey, case when o_orderkey % 3 = 1 then -{CENTS} else {CENTS} end "minor" from orders""")
 def money_in_text(spark, sf):
     """the surest amount among counts and quantities."""
     k, t = F.col("k"), _plain()
     text = F.when(k % 3 == 0, F.concat(F.lit("3 x item no 17 at "), t)).when(k % 3 == 1, F.concat(F.lit("Refund: -"), t)).otherwise(
         F.concat(t, F.lit(" for 2 of 5")))
-    return _orders(spark, sf).filter("cents >= 1000").select("o_orderkey", money.find_money(text)["minor"].alias("minor"))
+    return _orders(spark, sf).select("o_orderkey", money.find_money(text)["minor"].alias("minor"))
 
 
 @query("dates_parsed", """
@@ -124,13 +124,13 @@ def vendor_in_text(spark, sf):
 @query("vendor_plausibility", r"""
     with d as (select doc_id, regexp_replace(split_part(text, chr(10), 1), '^[\s]+|[\s]+$', '', 'g') line from documents),
     t as (select *, list_filter(regexp_split_to_array(line, '[\s]+'), lambda x: x <> '') toks, length(regexp_replace(line, '[^\p{L}]', '', 'g')) letters, length(regexp_replace(line, '[^\p{L}\p{N}]', '', 'g')) alnum from d)
-    select doc_id, length(line) between 2 and 60 and letters >= 3 and alnum / length(line) >= 0.6 and len(toks) <= 8
+    select doc_id, length(line) between 2 and 60 and letters >= 3 and coalesce(alnum / nullif(length(line), 0) >= 0.6, false) and len(toks) <= 8
       and not (len(toks) >= 4 and len(list_filter(toks, lambda x: length(regexp_replace(x, '[^\p{L}\p{N}]', '', 'g')) <= 1)) / len(toks) > 0.35)
-      and not (len(toks) = 1 and length(line) > 24) plausible from t where line <> ''""")
+      and not (len(toks) = 1 and length(line) > 24) plausible from t""")
 def vendor_plausibility(spark, sf):
     """F12 on the first line of every document."""
     line = money.trimmed(F.substring_index("text", "\n", 1))
-    return star.read(spark, sf, "documents").filter(line != "").select("doc_id", names.looks_like_vendor(line).alias("plausible"))
+    return star.read(spark, sf, "documents").select("doc_id", names.looks_like_vendor(line).alias("plausible"))
 
 
 @query("tax_labels", "select l_orderkey, l_partkey, l_suppkey, l_linenumber, ['TAX','TAX','GST','GST','QST','QST','VAT','VAT','HST'][cast(round(l_tax * 100) as int) + 1] label from lineitem")

@@ -114,12 +114,33 @@ def upsert_sources(lib: Library, rows: DataFrame) -> DataFrame:
 def combined_hashes(pages: DataFrame) -> DataFrame:
     """batch_id, seq, sha256 → combined key and page count per batch.
 
-    The key is a hash of the page hashes in order, one short text per scanned document: the
-    concatenation is the definition and cannot be taken apart.
+    The key is defined as the hash of the page hashes in order, so a batch has to be read in
+    sequence; it is streamed through the digest in sorted order and never held as a list.
     """
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "sha256"))), lambda p: p["sha256"])
-    return pages.groupBy("batch_id").agg(
-        F.sha2(F.array_join(ordered, ""), 256).alias("combined_sha256"), F.count("*").alias("n_pages"))
+
+    def digest(frames):
+        import hashlib
+
+        import pandas as pd
+
+        current, state, count = None, None, 0
+        for frame in frames:
+            done = []
+            for batch, sha in zip(frame["batch_id"], frame["sha256"]):
+                if state is None or batch != current:
+                    if state is not None:
+                        done.append((current, state.hexdigest(), count))
+                    current, state, count = batch, hashlib.sha256(), 0
+                state.update(sha.encode())
+                count += 1
+            if done:
+                yield pd.DataFrame(done, columns=["batch_id", "combined_sha256", "n_pages"])
+        if state is not None:
+            yield pd.DataFrame([(current, state.hexdigest(), count)], columns=["batch_id", "combined_sha256", "n_pages"])
+
+    key = dict(pages.dtypes)["batch_id"]
+    ordered = pages.select("batch_id", "seq", "sha256").repartition("batch_id").sortWithinPartitions("batch_id", "seq")
+    return ordered.mapInPandas(digest, f"batch_id {key}, combined_sha256 string, n_pages bigint")
 
 
 def paged_documents(pages: DataFrame, split_pages: bool) -> DataFrame:
