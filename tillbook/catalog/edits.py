@@ -56,7 +56,7 @@ def patched_receipts(spark, sf):
     sure = F.map_filter(json_fields(F.col("extraction_json")), lambda k, v: v["pinned"] & (v["confidence"] == 1.0))
     return lib["receipt_data"].select(
         "item_id", "txn_date", "total_minor", "category_id",
-        F.array_join(F.array_sort(F.map_keys(sure)), ",").alias("pinned"))
+        F.array_join(F.sort_array(F.map_keys(sure)), ",").alias("pinned"))
 
 
 @query("patch_created_values", PATCH_SQL + """
@@ -261,7 +261,7 @@ def custom_field_maps(spark, sf):
     lib, _ = _fields(spark, sf)
     ids = lib["custom_field_value"].select("item_id")
     entries = F.transform(F.map_entries("fields"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    return edits.custom_fields(lib, ids).select("item_id", F.array_join(F.array_sort(entries), ",").alias("fields"))
+    return edits.custom_fields(lib, ids).select("item_id", F.array_join(F.sort_array(entries), ",").alias("fields"))
 
 
 def _merges(spark, sf):

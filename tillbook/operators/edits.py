@@ -499,7 +499,7 @@ def custom_fields(lib: Library, item_ids: DataFrame) -> DataFrame:
     defs = lib["custom_field_def"].select(F.col("id").alias("def_id"), "key")
     rows = lib["custom_field_value"].join(item_ids.select("item_id").distinct(), "item_id", "left_semi").join(defs, "def_id")
     # One value per (item, definition): the list is bounded by the number of definitions.
-    return rows.groupBy("item_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("fields"))
+    return rows.groupBy("item_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("fields"))
 
 
 def set_custom_fields(lib: Library, commands: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -239,9 +239,9 @@ def tax_entries() -> Column:
     fresh = lambda s: F.filter(
         s, lambda k, i: (i == 0) | (k["label"] != F.get(s, i - 1)["label"]) | (k["minor"] != F.get(s, i - 1)["minor"])
     )
-    firsts = let(F.array_sort(keyed), fresh)
+    firsts = let(F.sort_array(keyed), fresh)
     return F.transform(
-        F.array_sort(F.transform(firsts, lambda k: F.struct(k["i"].alias("i"), k["e"].alias("e")))), lambda k: k["e"]
+        F.sort_array(F.transform(firsts, lambda k: F.struct(k["i"].alias("i"), k["e"].alias("e")))), lambda k: k["e"]
     )
 
 

@@ -122,7 +122,7 @@ def low_confidence_fields(extraction: Column) -> Column:
         json_fields(extraction),
         lambda name, p: ~name.isin(*UNFLAGGED_FIELDS) & (p["confidence"] < LOW_FIELD_CONFIDENCE),
     )
-    return F.array_sort(F.map_keys(weak))
+    return F.sort_array(F.map_keys(weak))
 
 
 def flagged_items(lib: Library) -> DataFrame:

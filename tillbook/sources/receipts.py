@@ -25,10 +25,10 @@ def receipt_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     per_rate = small.groupBy("l_orderkey", "rate").agg(F.sum("tax").alias("tax"), F.sum("net").alias("net"), F.min("supp").alias("supp"))
     taxes = per_rate.groupBy("l_orderkey").agg(
-        F.array_sort(F.collect_list(F.struct("rate", "tax"))).alias("taxes"),
+        F.sort_array(F.collect_list(F.struct("rate", "tax"))).alias("taxes"),
         F.sum("net").alias("net"), F.sum("tax").alias("tax"), F.min("supp").alias("supp"))
     flags = small.groupBy("l_orderkey", "flag").agg(F.sum("net").alias("net")).groupBy("l_orderkey").agg(
-        F.array_sort(F.collect_list(F.struct("flag", "net"))).alias("items"))
+        F.sort_array(F.collect_list(F.struct("flag", "net"))).alias("items"))
     order = read(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("page_id"), F.col("o_orderdate").cast("date").alias("txn_date"),
         (F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("pay"))
