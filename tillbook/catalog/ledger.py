@@ -65,7 +65,7 @@ def split_refusals(spark, sf):
     parts = line.select(
         key.alias("item_id"), F.struct(*ORD.split(", ")).alias("ord"),
         F.when(by_amount, "$1.50").alias("amount_text"), F.when(by_weight, F.lit(1.0)).alias("weight"))
-    return splits.split_receipts(star.library(spark, sf), parts, star.NOW)[1]
+    return splits.split_refusals(star.library(spark, sf), parts)
 
 
 @query("split_assertions", """

@@ -99,14 +99,14 @@ def index_audit(spark, sf):
 def bm25_pages(spark, sf):
     """A word and a prefix, both must occur."""
     terms = s.query_tokens(s.clean_query("the th*"))
-    return _rounded(s.bm25_rows(star.library(spark, sf)["page"], "id", ["ocr_text"], terms).drop("tokens"))
+    return _rounded(s.bm25_rows(star.library(spark, sf)["page"], "id", ["ocr_text"], terms).drop("text"))
 
 
 @query("bm25_phrase", f"with {bm25_cte('ps', 'page', 'id', ['ocr_text'], [(['of', 'the'], False)])} select key id, round(score, 6) score from ps")
 def bm25_phrase(spark, sf):
     """A term of two tokens is a phrase."""
     terms = s.query_tokens(s.clean_query("of-the"))
-    return _rounded(s.bm25_rows(star.library(spark, sf)["page"], "id", ["ocr_text"], terms).drop("tokens"))
+    return _rounded(s.bm25_rows(star.library(spark, sf)["page"], "id", ["ocr_text"], terms).drop("text"))
 
 
 @query("search_both_sides", fused_sql([(["en"], False)], "select item_id, i.type, i.folder_id, score, in_fields, in_text from hits join item i on i.id = item_id where i.trashed_at is null"))
@@ -160,4 +160,4 @@ def search_totals(spark, sf):
 def search_snippets(spark, sf):
     """T8"""
     rows = s.bm25_rows(star.library(spark, sf)["page"], "id", ["ocr_text"], [(["the"], False)])
-    return rows.select("id", s.snippet(F.col("tokens"), ["the"], False).alias("snippet"))
+    return rows.select("id", s.snippet(F.col("text"), ["the"], False).alias("snippet"))

@@ -48,6 +48,8 @@ TAX = (
     rf"(?:{END}|\s*\d+(?:\.\d+)?\s*%(?=[A-Za-z0-9_]))"
 )
 AMOUNT_ALONE = r"^[\s $€£S(]*[\d.,]+-?[\s )]*$"
+# Three numbers, or a month: texts without either hold no date and are not scanned.
+DATE_HINT = r"\d[-/.\s\u00a0]+\d{1,2}[-/.\s\u00a0]+\d|(?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
 DATE_LABEL = r"(?i)(?:date|datum|fecha|dated)\s*[:#]?\s*(.+)$"
 NOT_A_VENDOR = r"^\d+[-/.]\d+|^[\d\s .()-]+$|(?i:^(tel|phone|fax|www\.|http))"
 DOCUMENT_WORD = r"(?i)receipt|invoice|order\s*#"
@@ -199,8 +201,7 @@ def date_field(order: Column | str) -> Column:
     )
     in_lines = F.flatten(
         F.transform(
-            # A line without a digit holds no date.
-            F.filter(F.slice("facts", F.lit(1), upper), lambda f: f["text"].rlike(r"\d")),
+            F.filter(F.slice("facts", F.lit(1), upper), lambda f: f["text"].rlike(DATE_HINT)),
             lambda f: F.array(
                 place(F.regexp_extract(f["text"], DATE_LABEL, 1), True, 0.7, 0.3, f),
                 place(f["text"], False, 0.65, 0.25, f),

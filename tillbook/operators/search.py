@@ -90,8 +90,9 @@ def query_tokens(terms: list[tuple[str, bool]]) -> list[tuple[list[str], bool]]:
 
 
 def folded_text(text: Column) -> Column:
-    """Lower case without diacritics."""
-    return F.regexp_replace(F.translate(F.lower(text), MARKED, PLAIN), r"\p{M}+", "")
+    """Lower case without diacritics; plain ASCII needs only the former."""
+    low = F.lower(text)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(low, MARKED, PLAIN), r"\p{M}+", "")).otherwise(low)
 
 
 def tokens_of(text: Column) -> Column:
@@ -118,40 +119,37 @@ def term_stats(index: DataFrame, key: str) -> DataFrame:
 # --- matching ------------------------------------------------------------------------
 
 
-def occurrences(tokens: Column, words: list[str], prefix: bool) -> Column:
-    """How often a term occurs in a token array: single word, phrase, the last word as prefix."""
+def term_pattern(words: list[str], prefix: bool) -> str:
+    """Pattern of a term in folded text: whole words, a phrase across separators, the last word open if a prefix.
 
-    def same(token: Column, word: str, last: bool) -> Column:
-        return token.startswith(word) if prefix and last else token == word
+    Only the first word is consumed, so overlapping phrases all count.
+    """
+    letter = r"[\p{L}\p{N}]"
+    end = "" if prefix else f"(?!{letter})"
+    gap = r"[^\p{L}\p{N}]+"
+    if len(words) == 1:
+        return f"(?<!{letter}){words[0]}{end}"
+    rest = gap.join(words[1:])
+    return f"(?<!{letter}){words[0]}(?={gap}{rest}{end})"
 
-    def at(token: Column, i: Column) -> Column:
-        hit = same(token, words[0], len(words) == 1)
-        for k, word in enumerate(words[1:], 1):
-            hit = hit & F.coalesce(same(F.get(tokens, i + k), word, k == len(words) - 1), F.lit(False))
-        return hit
 
-    return F.size(F.filter(tokens, at))
+WORD = r"[\p{L}\p{N}]+"
 
 
 def bm25_rows(docs: DataFrame, key: str, columns: list[str], terms: list[tuple[list[str], bool]]) -> DataFrame:
-    """(key, score, tokens of the first column) of the rows that hold every term; lower is better.
+    """(key, score, folded text of the first column) of the rows that hold every term; lower is better.
 
-    One scan turns each document into its length and term counts.  Corpus size, mean length
+    One scan turns each document into its length and term counts, by pattern, without cutting
+    it into tokens.  Corpus size, mean length
     and document frequencies are one aggregate row, read back as scalars: no token is ever
     shuffled.  Statistics cover all rows given, matching or not.
     """
-    tokenised = docs.select(key, *[tokens_of(F.col(c)).alias(f"_t{i}") for i, c in enumerate(columns)])
     sides = [f"_t{i}" for i in range(len(columns))]
-    length = sum((F.size(s) for s in sides[1:]), F.size(sides[0]))
-
-    def in_side(side: str, words: list[str], prefix: bool) -> Column:
-        return let(F.col(side), lambda tokens: occurrences(tokens, words, prefix))
-
-    counts = [
-        sum((in_side(s, words, prefix) for s in sides[1:]), in_side(sides[0], words, prefix)) for words, prefix in terms
-    ]
-    counted = tokenised.select(
-        key, F.col(sides[0]).alias("tokens"), length.alias("len"), *[c.alias(f"f{i}") for i, c in enumerate(counts)]
+    texts = docs.select(key, *[F.coalesce(folded_text(F.col(c)), F.lit("")).alias(s) for c, s in zip(columns, sides)])
+    total = lambda pattern: sum((F.regexp_count(s, F.lit(pattern)) for s in sides[1:]), F.regexp_count(sides[0], F.lit(pattern)))
+    counted = texts.select(
+        key, F.col(sides[0]).alias("text"), total(WORD).alias("len"),
+        *[total(term_pattern(words, prefix)).alias(f"f{i}") for i, (words, prefix) in enumerate(terms)],
     )
     stats = counted.agg(
         F.count("*").cast("double").alias("n"),
@@ -171,11 +169,11 @@ def bm25_rows(docs: DataFrame, key: str, columns: list[str], terms: list[tuple[l
         idf = F.when(raw > 0, raw).otherwise(MIN_IDF)
         norm = F.lit(BM25_K1) * (F.lit(1 - BM25_B) + F.lit(BM25_B) * F.col("len") / avg)
         score = score - idf * (f * (BM25_K1 + 1)) / (f + norm)
-    return matching.select(key, score.alias("score"), "tokens")
+    return matching.select(key, score.alias("score"), "text")
 
 
-def snippet(tokens: Column, words: list[str], prefix: bool) -> Column:
-    """About ten tokens around the first occurrence of the first term."""
+def snippet(text: Column, words: list[str], prefix: bool) -> Column:
+    """About ten tokens around the first occurrence of the first term; ``text`` is folded."""
 
     def cut(t: Column) -> Column:
         hit = lambda x: x.startswith(words[0]) if prefix and len(words) == 1 else x == words[0]
@@ -188,7 +186,7 @@ def snippet(tokens: Column, words: list[str], prefix: bool) -> Column:
             F.when(start + SNIPPET_TOKENS <= F.size(t), "…").otherwise(""),
         )
 
-    return let(tokens, cut)
+    return let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), cut)
 
 
 def normalised(side: DataFrame, score: str, out: str) -> DataFrame:
@@ -209,7 +207,7 @@ def page_side(lib: Library, terms: list[tuple[list[str], bool]], include_trashed
     """Items by their best page: item_id, score, snippet."""
     owner = lib["page"].select("id", "item_id")
     hits = bm25_rows(lib["page"].select("id", "ocr_text"), "id", ["ocr_text"], terms)
-    hits = hits.select("id", "score", snippet(F.col("tokens"), *terms[0]).alias("snippet")).join(owner, "id")
+    hits = hits.select("id", "score", snippet(F.col("text"), *terms[0]).alias("snippet")).join(owner, "id")
     if not include_trashed:
         hits = hits.join(live_items(lib), "item_id", "left_semi")
     best = F.min_by(F.struct("score", "snippet"), F.struct("score", "id"))

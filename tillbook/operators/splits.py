@@ -21,11 +21,8 @@ def first_reason(*checks: tuple[Column, str | Column]) -> Column:
     return F.coalesce(*[F.when(bad, F.lit(why) if isinstance(why, str) else why) for bad, why in checks])
 
 
-def split_receipts(lib: Library, parts: DataFrame, now: int) -> tuple[Library, DataFrame]:
-    """M5 for many receipts at once: (new library, rejected(item_id, reason)).
-
-    A receipt is split whole or rejected whole; the reconciliation view decides last.
-    """
+def judged_splits(lib: Library, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """M5, preconditions: (parts with parsed amounts, one row per receipt with its reason or null)."""
     have = set(parts.columns)
     parts = parts.select(
         *[
@@ -92,10 +89,23 @@ def split_receipts(lib: Library, parts: DataFrame, now: int) -> tuple[Library, D
         (by_amount & F.col("_origin_tax").isNotNull() & (F.col("sum_abs") == 0), "weights must sum to more than zero"),
         (F.col("_merged").isNotNull(), "separate this combined item before splitting it"),
     )
-    judged = checkpointed(state.withColumn("reason", reason))
-    rejected = judged.filter("reason IS NOT NULL").select("item_id", "reason")
+    return parts, state.withColumns({"reason": reason, "by_amount": by_amount})
+
+
+def split_refusals(lib: Library, parts: DataFrame) -> DataFrame:
+    """Receipts that cannot be split as asked: (item_id, reason)."""
+    return judged_splits(lib, parts)[1].filter("reason IS NOT NULL").select("item_id", "reason")
 
-    accepted = judged.filter("reason IS NULL").withColumn("by_amount", by_amount)
+
+def split_receipts(lib: Library, parts: DataFrame, now: int) -> tuple[Library, DataFrame]:
+    """M5 for many receipts at once: (new library, rejected(item_id, reason)).
+
+    A receipt is split whole or rejected whole.
+    """
+    parts, judged = judged_splits(lib, parts)
+    judged = checkpointed(judged)
+    rejected = judged.filter("reason IS NOT NULL").select("item_id", "reason")
+    accepted = judged.filter("reason IS NULL")
     groups = number_rows(
         accepted.select(
             "item_id", "folder_id", "by_amount", "_origin_tax", "_line_sum", "_lines",
