@@ -8,7 +8,7 @@ journaled as further members without a page.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tillbook.operators.splits import first_reason
 from tillbook.plans.scale import next_id, number_rows, rank_rows
@@ -19,7 +19,7 @@ SIDE_TABLES = ["receipt_data", "document_data", "contact_data"]
 LIST_TABLES = ["receipt_tax_line", "custom_field_value"]
 
 
-def _as_json(df: DataFrame, key: str) -> DataFrame:
+def _as_json(df: DataFrame, key: str) -> Column:
     return F.to_json(F.struct(*[c for c in df.columns if c != key]))
 
 
@@ -103,7 +103,7 @@ def combine_items(lib: Library, commands: DataFrame, now: int) -> tuple[Library,
     )
     for table in LIST_TABLES:
         rows = lib[table].join(paged.select("item_id", "merge_group_id", "ord"), "item_id")
-        body = F.to_json(F.struct(*[c for c in TABLES_COLUMNS[table] if c != "item_id"]))
+        body = F.to_json(F.struct(*[c for c in schema_of(table).names if c != "item_id"]))
         journal = journal.unionByName(
             rows.select(
                 "merge_group_id", F.lit(None).cast("bigint").alias("page_id"), F.col("item_id").alias("pre_merge_item_id"),
@@ -137,9 +137,6 @@ def combine_items(lib: Library, commands: DataFrame, now: int) -> tuple[Library,
     )
 
 
-TABLES_COLUMNS = {t: [f.name for f in schema_of(t).fields] for t in TABLES}
-
-
 def separate_items(lib: Library, ids: DataFrame, now: int) -> tuple[Library, DataFrame]:
     """M8: undo a combine from its journal.  ``ids``: item_id of combine results."""
     group = lib["merge_group"].select(F.col("id").alias("merge_group_id"), F.col("result_item_id").alias("item_id"))
