@@ -341,7 +341,7 @@ def reference_field() -> Column:
     )
     in_line = let(first_where(hits, lambda h: h["ref"] != ""), lambda h: found(h["ref"], 0.7 + h["conf"] * 0.2, h["bbox"]))
     whole = F.nullif(F.regexp_extract("ocr_text", REFERENCE, 1), F.lit(""))
-    return F.coalesce(in_line, found(whole, F.lit(0.55), F.get("facts", F.lit(0))["bbox"]))
+    return F.coalesce(in_line, let(whole, lambda w: found(w, F.lit(0.55), F.get("facts", F.lit(0))["bbox"])))
 
 
 def description_field() -> Column:
@@ -473,8 +473,15 @@ def parse_receipts(pages: DataFrame, vendors: DataFrame | None = None, date_orde
         "externalRef": reference_field(),
         "description": description_field(),
     }
+    # Fields become columns first: each is used twice below and must not be worked out twice.
+    facts = facts.withColumns({f"_{name}_field": c for name, c in columns.items()})
     entries = F.array_compact(
-        F.array(*[F.when(c.isNotNull(), F.struct(F.lit(name).alias("key"), c.alias("value"))) for name, c in columns.items()])
+        F.array(
+            *[
+                F.when(F.col(f"_{name}_field").isNotNull(), F.struct(F.lit(name).alias("key"), F.col(f"_{name}_field").alias("value")))
+                for name in columns
+            ]
+        )
     )
     keep = [c for c in pages.columns if c not in ("ocr_words",)]
     return facts.select(*keep, F.map_from_entries(entries).alias("fields"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillbook.functions.money import minor_to_text
-from tillbook.sources.star import TAX_LABELS, minor, pick, read, vendor_name
+from tillbook.sources.star import TAX_LABELS, dealt_out, minor, pick, read, vendor_name
 
 
 def receipt_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ def receipt_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat_ws(
         "\n", "vendor", date, F.concat(F.lit("Invoice # INV-"), key.cast("string")), item_lines,
         F.concat(F.lit("SUBTOTAL "), amount(F.col("subtotal_minor"))), tax_lines, total, method)
-    return f.select(key, text.alias("ocr_text"))
+    return dealt_out(f.select(key, text.alias("ocr_text")), read(spark, sf_dir, "lineitem"))
 
 
 def receipt_truth(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,11 +35,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def dealt_out(df: DataFrame, source: DataFrame) -> DataFrame:
+    """For compute-heavy maps over a source of fewer files than cores: one shuffle to use them all.
+
+    A source of many files already gives every core work and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(source.inputFiles()) < cores else df
+
+
 def read_spread(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """For compute-heavy maps: a table of fewer files than cores is dealt out once; others are not shuffled."""
     df = read(spark, sf_dir, table)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return dealt_out(df, df)
 
 
 def pick(values: list[str], index) -> F.Column:
@@ -63,7 +70,18 @@ def vendor_name(key) -> F.Column:
     return F.concat(letters(key), F.lit(" Trading"), pick(NAME_TAILS, key % 4))
 
 
+_bases: dict[tuple[str, str], Library] = {}
+
+
 def base_library(spark: SparkSession, sf_dir: str) -> Library:
+    """The lazy mapping; planned once per application and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _bases:
+        _bases[key] = mapped_tables(spark, sf_dir)
+    return dict(_bases[key])
+
+
+def mapped_tables(spark: SparkSession, sf_dir: str) -> Library:
     t = {name: read(spark, sf_dir, name) for name in (
         "region", "nation", "customer", "supplier", "orders", "lineitem", "events", "documents", "conversations"
     )}
