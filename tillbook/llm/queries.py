@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillbook.llm import jaccard, mixing, packing, quality, surrogates
+from tillbook.llm import jaccard, mixing, packing, quality, spotsigs, surrogates
 from tillbook.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,8 @@ def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_ngram_jaccard_join")
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_sets(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+@query("op10_spotsigs_fingerprints")
+def op10_spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edit_check(table(spark, sf_dir, "documents"))
