@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillbook.llm import jaccard, mixing, packing, quality, spotsigs, surrogates
+from tillbook.llm import hamming, jaccard, licenses, mixing, packing, quality, spotsigs, surrogates
 from tillbook.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,53 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_spotsigs_fingerprints")
 def op10_spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edit_check(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op1_exact_topk_hamming",
+    """
+    with coded as (
+        select vec_id, list_transform(embedding, lambda x: x > 0) as bits from embeddings where embedding is not null
+    ), pairs as (
+        select q.vec_id as query_id, r.vec_id as neighbour_id,
+            len(list_filter(list_zip(q.bits, r.bits), lambda p: p[1] <> p[2]))::int as distance
+        from coded q join coded r on true where q.vec_id % 100 = 0
+    )
+    select query_id, row_number() over (partition by query_id order by distance, neighbour_id)::int as rank,
+        neighbour_id, distance
+    from pairs qualify rank <= 10
+    """,
+)
+def op1_exact_topk_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), hamming.sign_code(F.col("embedding")).alias("code")
+    )
+    return hamming.top_k(coded, coded.filter("id % 100 = 0"))
+
+
+def _licenses_sql() -> str:
+    values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.TEMPLATES.items())
+    words = r"string_split(trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ')"
+    pairs = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
+    return f"""
+    with templates as (
+        select license, {pairs.format("w")} as template from (
+            select license, {words.format("t")} as w from (values {values}) v(license, t))
+    ), units as (
+        select distinct doc_id, unit from (
+            select doc_id, unnest(list_concat(string_split(text, chr(10)),
+                string_split_regex(text, '\\n[\\s]*\\n'), [text])) as unit from documents)
+    ), cut as (
+        select doc_id, {pairs.format("w")} as pairs from (
+            select doc_id, {words.format("unit")} as w from units) where len(w) > 1
+    ), scored as (
+        select doc_id, license, 2.0::double * len(list_intersect(pairs, template)) / (len(pairs) + len(template)) as dice
+        from cut join templates on len(pairs) * 3 >= len(template) * 2 and len(pairs) * 2 <= len(template) * 3
+    )
+    select doc_id, license, max(dice)::double as dice, count(*) as units from scored where dice >= 0.8 group by doc_id, license
+    """
+
+
+@query("op8_license_scan", _licenses_sql())
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, sf_dir, "documents"))
