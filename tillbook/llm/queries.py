@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillbook.llm import hamming, jaccard, licenses, mixing, packing, quality, spotsigs, surrogates
+from tillbook.llm import (
+    hamming,
+    jaccard,
+    licenses,
+    mixing,
+    packing,
+    quality,
+    spotsigs,
+    surrogates,
+    training_order,
+)
 from tillbook.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +153,8 @@ def _licenses_sql() -> str:
 @query("op8_license_scan", _licenses_sql())
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.find_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op3_training_order")
+def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.materialise(table(spark, sf_dir, "documents"), key=20_240_229).drop("ids")
