@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tillbook.session import stored
+
 # Word separators of every word-based operator: space, and tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 # Bytes of text that numpy works on at a time inside a task; a longer text is a block of its own.
@@ -142,3 +144,17 @@ def per_batch(fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> Calla
             yield from fn(batch)
 
     return run
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``stored``, with what the job shuffled removed as soon as it has ended."""
+    spark = df.sparkSession
+    kept = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return stored(df, name)
+    finally:
+        spark.conf.set(_CLEANUP, kept)

@@ -14,6 +14,7 @@ from tillbook.llm import (
     packing,
     quality,
     spotsigs,
+    suffixes,
     surrogates,
     training_order,
 )
@@ -158,3 +159,8 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_training_order")
 def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.materialise(table(spark, sf_dir, "documents"), key=20_240_229).drop("ids")
+
+
+@query("op7_repeated_passages")
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
