@@ -122,7 +122,10 @@ def shingles(words: np.ndarray, per_row: np.ndarray, n: int) -> tuple[np.ndarray
 def distinct_per_row(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes of each row in ascending order, and how many."""
     row = np.repeat(np.arange(len(counts)), counts)
-    order = np.lexsort((hashes, row))
+    order = np.argsort(hashes)
+    # Few rows fit a type that a stable sort takes by radix.
+    kind = np.uint16 if len(counts) < 1 << 16 else np.int64
+    order = order[np.argsort(row[order].astype(kind), kind="stable")]
     hashes, row = hashes[order], row[order]
     keep = np.ones(len(hashes), bool)
     keep[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tillbook.session import stored
+from tillbook.llm.common import settled
 
 
 def _to_smallest(links: DataFrame) -> DataFrame:
@@ -20,7 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
     rounds end when the links stay the same, after about the square of the logarithm of the nodes at most. A hub with
     very many links is a join key like any other: minima combine before the shuffle, and skewed joins are split.
     """
-    links = stored(
+    links = settled(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "links"
     )
     seen = None
@@ -37,7 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
             .filter("u <> v")
             .distinct()
         )
-        links = stored(small, "links")
+        links = settled(small, "links")
         row = links.agg(
             F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
         ).first()

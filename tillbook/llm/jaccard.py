@@ -7,7 +7,8 @@ give one common signature more than can be missing: a rare shingle is a signatur
 combinations of k. Combinations stay within ranges of the hash that get narrower as sets grow, so a prefix of length
 p has a number of them in proportion to p.
 
-Sets that share a signature are candidates. They are first verified against one of each bucket; then whatever pairs of
+Sets that share a signature are candidates, unless their sizes or the parities of their hashed shingles already bound
+the similarity from above too low. They are first verified against one of each bucket; then whatever pairs of
 a bucket are not connected yet are verified, which loses no link and spares all pairs within groups of near copies.
 """
 
@@ -19,9 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tillbook.llm.common import distinct_per_row, hashed_words, lists, mix, shingles, text_blocks
+from tillbook.llm.common import BLOCK_BYTES, distinct_per_row, hashed_words, lists, mix, settled, shingles, text_blocks
 from tillbook.llm.graph import components
-from tillbook.session import stored
 
 # log2 of the buckets that shingles are counted in: the counts are at most 8 MB however large the corpus is. In a larger
 # corpus a bucket holds more shingles, and "frequent" starts at a higher count: that costs time, never links.
@@ -30,7 +30,9 @@ COUNT_BITS = 19
 DEVIATIONS, FLOOR = 8.0, 24
 # From this many times that bound on, combinations have three shingles instead of two.
 VERY = 16
-# log2 of the bits that tell which sets take part in a verification (1 MB).
+# Bits of a set's parity sketch. Two sets differ in at least as many shingles as their sketches do in bits.
+SKETCH_BITS = 2048
+# log2 of the bits that tell which texts take part in a verification (1 MB).
 MARK_BITS = 23
 
 
@@ -55,8 +57,19 @@ def _unsure(n: np.ndarray, percent: int) -> np.ndarray:
 def sets_of(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of each row, ascending, and how many."""
     words, starts, _ = hashed_words(data, offsets)
-    per_row = np.bincount(np.searchsorted(offsets, starts, "right") - 1, minlength=len(offsets) - 1)
-    return distinct_per_row(*shingles(words, per_row, n))
+    return distinct_per_row(*shingles(words, words_per_row(starts, offsets), n))
+
+
+def words_per_row(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    return np.bincount(np.searchsorted(offsets, starts, "right") - 1, minlength=len(offsets) - 1)
+
+
+def sketches(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Parity of the shingles in each of SKETCH_BITS places, a row of 64-bit numbers for each set."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    place = (mix(tokens ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    odd = np.bincount(row * SKETCH_BITS + place, minlength=len(counts) * SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(len(counts), SKETCH_BITS), axis=1).view(np.int64)
 
 
 def set_keys(tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,13 +84,14 @@ def set_keys(tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def bucket_counts(docs: DataFrame, text: str, n: int) -> np.ndarray:
-    """How many shingles of all documents fall in each of 2**COUNT_BITS buckets."""
+    """How many shingles of all documents, repeated ones too, fall in each of 2**COUNT_BITS buckets."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << COUNT_BITS, np.int64)
         for batch in batches:
             for _, _, data, offsets in text_blocks(batch.column(0)):
-                tokens, _ = sets_of(data, offsets, n)
+                words, starts, _ = hashed_words(data, offsets)
+                tokens, _ = shingles(words, words_per_row(starts, offsets), n)
                 total += np.bincount((tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(total))
         bucket = np.flatnonzero(total)
         for at in range(0, len(bucket), 1 << 16):
@@ -177,32 +191,37 @@ def signatures(tokens: np.ndarray, counts: np.ndarray, of_class: np.ndarray, per
 
 
 def signed_sets(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> DataFrame:
-    """(doc_id, k1, k2, size, signs) of every document."""
+    """(doc_id, text_key, k1, k2, size, sketch, signs) of every document."""
     of_class = docs.sparkSession.sparkContext.broadcast(classes(bucket_counts(docs, text, n)))
     schema = T.StructType(
         [
             T.StructField("doc_id", docs.schema[doc_id].dataType),
-            *[T.StructField(k, T.LongType()) for k in ("k1", "k2", "size")],
+            *[T.StructField(k, T.LongType()) for k in ("text_key", "k1", "k2", "size")],
+            T.StructField("sketch", T.ArrayType(T.LongType())),
             T.StructField("signs", T.ArrayType(T.LongType())),
         ]
     )
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, end, data, offsets in text_blocks(batch.column(1)):
+            for at, end, data, offsets in text_blocks(batch.column(1), BLOCK_BYTES):
                 tokens, counts = sets_of(data, offsets, n)
                 k1, k2 = set_keys(tokens, counts)
                 signs, rows = signatures(tokens, counts, of_class.value, percent)
                 signs, per_row = distinct_per_row_of(signs, rows, end - at)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(at, end - at), pa.array(k1), pa.array(k2), pa.array(counts.astype(np.int64)),
+                        batch.column(0).slice(at, end - at), batch.column(2).slice(at, end - at), pa.array(k1), pa.array(k2),
+                        pa.array(counts.astype(np.int64)),
+                        lists(pa.array(sketches(tokens, counts).ravel()), np.full(end - at, SKETCH_BITS // 64)),
                         lists(pa.array(signs.view(np.int64)), per_row),
                     ],
                     names=schema.names,
                 )
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(sign, schema)
+    return docs.select(
+        F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_key")
+    ).mapInArrow(sign, schema)
 
 
 def distinct_per_row_of(values: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -211,10 +230,10 @@ def distinct_per_row_of(values: np.ndarray, rows: np.ndarray, n: int) -> tuple[n
 
 
 def _marks(keys: DataFrame) -> np.ndarray:
-    """Bits of the keys ``k1`` that take part; 2**MARK_BITS bits whatever their number."""
-    place = F.col("k1").bitwiseAND(F.lit((1 << MARK_BITS) - 1))
+    """Bits of the keys ``text_key`` that take part; 2**MARK_BITS bits whatever their number."""
+    place = F.col("text_key").bitwiseAND(F.lit((1 << MARK_BITS) - 1))
     words = (
-        keys.select(F.shiftright(place, 5).alias("word"), F.expr(f"shiftleft(1L, cast(k1 & 31 as int))").alias("bit"))
+        keys.select(F.shiftright(place, 5).alias("word"), F.expr("shiftleft(1L, cast(text_key & 31 as int))").alias("bit"))
         .groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     )
     marks = np.zeros(1 << (MARK_BITS - 5), np.uint32)
@@ -223,22 +242,23 @@ def _marks(keys: DataFrame) -> np.ndarray:
 
 
 def verified(docs: DataFrame, text: str, n: int, percent: int, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b, a1, a2, b1, b2) that link, as (a, b); the sets are made again from the texts that take part."""
-    keys = pairs.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")).unionByName(
-        pairs.select(F.col("b1").alias("k1"), F.col("b2").alias("k2"))
-    )
+    """The pairs that link, as (a, b); the sets are made again from the texts that take part.
+
+    ``pairs`` name nodes a, b, their sets a1, a2, b1, b2, and a text of each, a_text, b_text.
+    """
+    keys = pairs.select(F.explode(F.array("a_text", "b_text")).alias("text_key"))
     marks = docs.sparkSession.sparkContext.broadcast(_marks(keys))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[tuple[int, int]] = set()  # a task gives each set once, however many copies it reads
         for batch in batches:
-            for _, _, data, offsets in text_blocks(batch.column(0)):
+            bit = batch.column(1).to_numpy() & ((1 << MARK_BITS) - 1)
+            hit = (marks.value[bit >> 5] >> (bit & 31).astype(np.uint32)) & np.uint32(1)
+            for _, _, data, offsets in text_blocks(batch.column(0).take(pa.array(np.flatnonzero(hit)))):
                 tokens, counts = sets_of(data, offsets, n)
                 k1, k2 = set_keys(tokens, counts)
-                bit = k1 & ((1 << MARK_BITS) - 1)
-                hit = (marks.value[bit >> 5] >> (bit & 31).astype(np.uint32)) & np.uint32(1)
                 rows = []
-                for i in np.flatnonzero((hit == 1) & (counts > 0)).tolist():
+                for i in np.flatnonzero(counts > 0).tolist():
                     name = (int(k1[i]), int(k2[i]))
                     if name not in given:
                         given.add(name)
@@ -251,7 +271,7 @@ def verified(docs: DataFrame, text: str, n: int, percent: int, pairs: DataFrame)
                         names=["k1", "k2", "tokens"],
                     )
 
-    found = docs.select(text).mapInArrow(sets, "k1 long, k2 long, tokens array<long>")
+    found = docs.select(text, F.xxhash64(text)).mapInArrow(sets, "k1 long, k2 long, tokens array<long>")
     left = found.toDF("a1", "a2", "a_tokens")
     right = found.toDF("b1", "b2", "b_tokens")
     both = F.size(F.array_intersect("a_tokens", "b_tokens"))
@@ -273,30 +293,39 @@ def near_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: in
     components of their own. Sets link when 100 * common >= percent * union. ``component_id`` is the smallest doc_id
     that links reach; rows with equal sets are linked, rows with a null id take part without naming the component.
     """
-    held = stored(signed_sets(docs, doc_id, text, n, percent), "signed")
-    nodes = stored(
+    held = settled(signed_sets(docs, doc_id, text, n, percent), "signed")
+    nodes = settled(
         held.filter("size > 0").groupBy("k1", "k2").agg(
-            F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.first("signs").alias("signs")
+            F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("size", "text_key", "sketch", "signs")]
         ).withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
     signed = nodes.select(F.explode("signs").alias("sign"), "node")
     shared = signed.groupBy("sign").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot <> last")
-    members = stored(signed.join(shared.drop("last"), "sign"), "members")
-    names = nodes.select("node", "k1", "k2", "size")
+    members = settled(signed.join(shared.drop("last"), "sign"), "members")
+    names = nodes.select("node", "k1", "k2", "size", "text_key", "sketch")
 
     def candidates(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) of nodes near enough in size, with the names of their sets."""
-        a = names.toDF("a", "a1", "a2", "a_size")
-        b = names.toDF("b", "b1", "b2", "b_size")
+        """Pairs (a, b) of nodes that may link by their sizes and sketches, with the names of their sets."""
+        a = names.toDF("a", "a1", "a2", "a_size", "a_text", "a_sketch")
+        b = names.toDF("b", "b1", "b2", "b_size", "b_text", "b_sketch")
+        total = F.col("a_size") + F.col("b_size")
         near = (F.col("a_size") * 100 >= F.col("b_size") * percent) & (F.col("b_size") * 100 >= F.col("a_size") * percent)
-        return pairs.distinct().join(a, "a").join(b, "b").filter(near).drop("a_size", "b_size")
-
-    first = stored(candidates(members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))), "pairs")
-    linked = stored(verified(docs, text, n, percent, first), "linked")
+        differing = F.aggregate(
+            F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
+        )
+        # Sets that link have (total + differing) * percent <= 100 * (total - differing) for the shingles that differ.
+        possible = differing * (100 + percent) <= total * (100 - percent)
+        return (
+            pairs.distinct().join(a, "a").join(b, "b").filter(near).filter(possible)
+            .drop("a_size", "b_size", "a_sketch", "b_sketch")
+        )
+
+    first = settled(candidates(members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))), "pairs")
+    linked = settled(verified(docs, text, n, percent, first), "linked")
     roots = components(linked)
 
-    rooted = stored(
+    rooted = settled(
         members.join(roots, "node", "left").select("sign", "node", F.coalesce("root", "node").alias("root")), "rooted"
     )
     apart = rooted.groupBy("sign").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
@@ -307,9 +336,9 @@ def near_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: in
         .filter("a_root <> b_root and a < b")
         .select("a", "b")
     )
-    second = stored(candidates(pairs).join(first.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    second = settled(candidates(pairs).join(first.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     if not second.isEmpty():
-        more = stored(verified(docs, text, n, percent, second), "linked")
+        more = settled(verified(docs, text, n, percent, second), "linked")
         if not more.isEmpty():
             linked = linked.unionByName(more)
             roots = components(linked)
