@@ -32,6 +32,8 @@ DEVIATIONS, FLOOR = 8.0, 24
 VERY = 16
 # Bits of a set's parity sketch. Two sets differ in at least as many shingles as their sketches do in bits.
 SKETCH_BITS = 2048
+# Parts that a set plays in a pair, with the bit that says so.
+ROLES = {"both": 3, "smaller": 1, "larger": 2}
 # log2 of the bits that tell which texts take part in a verification (1 MB).
 MARK_BITS = 23
 
@@ -45,6 +47,26 @@ def level(n: np.ndarray) -> np.ndarray:
     return np.frexp(np.maximum(n, 1).astype(np.float64))[1] - 1
 
 
+def _edges(most: int = 1 << 40) -> np.ndarray:
+    edges = [1]
+    while edges[-1] < most:
+        edges.append(edges[-1] + max(1, edges[-1] // 20))
+    return np.array(edges)
+
+
+# First sizes of the bands of sizes; a band spans 5 %.
+_EDGES = _edges()
+
+
+def band(n: np.ndarray) -> np.ndarray:
+    return np.searchsorted(_EDGES, np.maximum(n, 1), "right") - 1
+
+
+def least_common(n: np.ndarray, partner: np.ndarray, percent: int) -> np.ndarray:
+    """Fewest common shingles of linked sets of ``n`` and ``partner``."""
+    return -(-(n + partner) * percent // (100 + percent))
+
+
 def _range_bits(at_level: np.ndarray) -> np.ndarray:
     return np.maximum(at_level - 2, 0)
 
@@ -113,15 +135,22 @@ def classes(counts: np.ndarray) -> np.ndarray:
     return (1 + (counts > bound) + (counts > VERY * bound)).astype(np.uint8)
 
 
-def _combined(tokens: np.ndarray, run: np.ndarray, picked: list[np.ndarray], salt: np.ndarray) -> np.ndarray:
+def _combined(tokens: np.ndarray, picked: list[np.ndarray], salt: np.ndarray) -> np.ndarray:
     out = salt[picked[0]]
     for at in picked:
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + tokens[at])
     return out
 
 
-def signatures(tokens: np.ndarray, counts: np.ndarray, of_class: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of the sets of a block, and the row of each; a row may repeat one."""
+def signatures(
+    tokens: np.ndarray, counts: np.ndarray, of_class: np.ndarray, percent: int
+) -> tuple[dict[str, tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Signatures of the sets of a block, with the row of each (a row may repeat one), and how many rare shingles rows have.
+
+    ``both``: single shingles; ``smaller``: combinations of a set as the smaller one of a pair, which may miss few
+    shingles, in the band of its own size; ``larger``: those of a set as the larger one, in every band where a smaller
+    partner may be. A pair that links shares one of ``both`` or one of ``smaller`` and ``larger``.
+    """
     sizes = counts.astype(np.int64)
     row = np.repeat(np.arange(len(sizes)), sizes)
     cls = of_class[(tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
@@ -153,52 +182,65 @@ def signatures(tokens: np.ndarray, counts: np.ndarray, of_class: np.ndarray, per
     take = ~alone[row] & ~unsure[row] & (cls == 1) & (rank < wanted[row])
     out.append(tokens[take])
     rows.append(row[take])
+    found = {"both": (out, rows)}
 
-    mixed = ~alone & ~unsure & (rare < wanted)
-    for up in (0, 1):  # at the level of the set, and at the next one if larger partners are there
-        at_level = level(largest) if up else level(sizes)
-        some = mixed & (at_level > level(sizes)) if up else mixed
+    def combine(some: np.ndarray, at_band: np.ndarray, cover: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Combinations of the prefixes that reach ``cover``, for the sets ``some``, tagged with a band of sizes."""
+        out, rows = [], []
         take = some[row] & (cls > 1)
         if not take.any():
-            continue
+            return out, rows
         t, c, r = tokens[take], cls[take], row[take]
-        bits = _range_bits(at_level)[r].astype(np.uint64)
+        bits = _range_bits(level(_EDGES[at_band]))[r].astype(np.uint64)
         span = np.where(bits > 0, t >> (np.uint64(64) - np.maximum(bits, np.uint64(1))), np.uint64(0))
         new = np.ones(len(t), bool)
         new[1:] = (r[1:] != r[:-1]) | (c[1:] != c[:-1]) | (span[1:] != span[:-1])
         run = np.cumsum(new) - 1
-        start = np.flatnonzero(new)
-        place = np.arange(len(t)) - start[run]
+        place = np.arange(len(t)) - np.flatnonzero(new)[run]
         gain = (place >= c - 1).astype(np.int64)
         total = np.cumsum(gain)
         held = np.bincount(r, minlength=len(sizes))
         base = np.concatenate([[0], total])[(np.cumsum(held) - held)[r]]
-        within = rare[r] + total - gain - base < wanted[r]
+        within = rare[r] + total - gain - base < cover[r]
         t, c, r, run = t[within], c[within], r[within], run[within]
-        salt = mix(at_level[r].astype(np.uint64) * np.uint64(8) + c.astype(np.uint64))
+        salt = mix(at_band[r].astype(np.uint64) * np.uint64(8) + c.astype(np.uint64))
         n = len(t)
         width = int(np.bincount(run).max()) if n else 0
         for d in range(1, width):
             i = np.flatnonzero((run[: n - d] == run[d:]) & (c[: n - d] == 2))
-            out.append(_combined(t, run, [i, i + d], salt))
+            out.append(_combined(t, [i, i + d], salt))
             rows.append(r[i])
             for e in range(d + 1, width):
                 i = np.flatnonzero((run[: n - e] == run[e:]) & (c[: n - e] == 3))
                 if len(i):
-                    out.append(_combined(t, run, [i, i + d, i + e], salt))
+                    out.append(_combined(t, [i, i + d, i + e], salt))
                     rows.append(r[i])
-    return np.concatenate(out), np.concatenate(rows)
+        return out, rows
+
+    own = band(sizes)
+    usable = ~alone & ~unsure
+    cover = sizes - least_common(sizes, sizes, percent) + 1
+    found["smaller"] = combine(usable & (rare < cover), own, cover)
+    larger: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+    for down in range(int((own - band(smallest)).max()) + 1 if len(sizes) else 0):
+        at_band = np.maximum(own - down, 0)
+        cover = sizes - least_common(sizes, np.maximum(_EDGES[at_band], smallest), percent) + 1
+        made = combine(usable & (own - down >= band(smallest)) & (rare < cover), at_band, cover)
+        larger[0].extend(made[0])
+        larger[1].extend(made[1])
+    found["larger"] = larger
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return {k: (np.concatenate([none[0], *o]), np.concatenate([none[1], *r])) for k, (o, r) in found.items()}, rare
 
 
 def signed_sets(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> DataFrame:
-    """(doc_id, text_key, k1, k2, size, sketch, signs) of every document."""
+    """(doc_id, text_key, k1, k2, size, rare, sketch, both, smaller, larger) of every document."""
     of_class = docs.sparkSession.sparkContext.broadcast(classes(bucket_counts(docs, text, n)))
     schema = T.StructType(
         [
             T.StructField("doc_id", docs.schema[doc_id].dataType),
-            *[T.StructField(k, T.LongType()) for k in ("text_key", "k1", "k2", "size")],
-            T.StructField("sketch", T.ArrayType(T.LongType())),
-            T.StructField("signs", T.ArrayType(T.LongType())),
+            *[T.StructField(k, T.LongType()) for k in ("text_key", "k1", "k2", "size", "rare")],
+            *[T.StructField(k, T.ArrayType(T.LongType())) for k in ("sketch", *ROLES)],
         ]
     )
 
@@ -207,14 +249,14 @@ def signed_sets(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -
             for at, end, data, offsets in text_blocks(batch.column(1), BLOCK_BYTES):
                 tokens, counts = sets_of(data, offsets, n)
                 k1, k2 = set_keys(tokens, counts)
-                signs, rows = signatures(tokens, counts, of_class.value, percent)
-                signs, per_row = distinct_per_row_of(signs, rows, end - at)
+                signs, rare = signatures(tokens, counts, of_class.value, percent)
+                made = [distinct_per_row_of(*signs[role], end - at) for role in ROLES]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, end - at), batch.column(2).slice(at, end - at), pa.array(k1), pa.array(k2),
-                        pa.array(counts.astype(np.int64)),
+                        pa.array(counts.astype(np.int64)), pa.array(rare.astype(np.int64)),
                         lists(pa.array(sketches(tokens, counts).ravel()), np.full(end - at, SKETCH_BITS // 64)),
-                        lists(pa.array(signs.view(np.int64)), per_row),
+                        *[lists(pa.array(x.view(np.int64)), per_row) for x, per_row in made],
                     ],
                     names=schema.names,
                 )
@@ -296,13 +338,21 @@ def near_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: in
     held = settled(signed_sets(docs, doc_id, text, n, percent), "signed")
     nodes = settled(
         held.filter("size > 0").groupBy("k1", "k2").agg(
-            F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("size", "text_key", "sketch", "signs")]
+            F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("size", "rare", "text_key", "sketch", *ROLES)]
         ).withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
-    signed = nodes.select(F.explode("signs").alias("sign"), "node")
-    shared = signed.groupBy("sign").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot <> last")
-    members = settled(signed.join(shared.drop("last"), "sign"), "members")
+    parts = [
+        nodes.select(F.explode(role).alias("sign"), "node", "rare", F.lit(bit).alias("role")) for role, bit in ROLES.items()
+    ]
+    signed = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    # The set with the fewest rare shingles is the likeliest centre of its bucket.
+    smaller = F.col("role").bitwiseAND(1) == 1
+    shared = signed.groupBy("sign").agg(
+        F.min("node").alias("low"), F.max("node").alias("high"),
+        F.min_by(F.when(smaller, F.col("node")), F.when(smaller, F.col("rare"))).alias("pivot"),
+    ).filter("low <> high and pivot is not null")
+    members = settled(signed.drop("rare").join(shared.select("sign", "pivot"), "sign"), "members")
     names = nodes.select("node", "k1", "k2", "size", "text_key", "sketch")
 
     def candidates(pairs: DataFrame) -> DataFrame:
@@ -321,20 +371,22 @@ def near_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: in
             .drop("a_size", "b_size", "a_sketch", "b_sketch")
         )
 
-    first = settled(candidates(members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))), "pairs")
+    first = settled(candidates(members.filter("node <> pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))), "pairs")
     linked = settled(verified(docs, text, n, percent, first), "linked")
     roots = components(linked)
 
     rooted = settled(
-        members.join(roots, "node", "left").select("sign", "node", F.coalesce("root", "node").alias("root")), "rooted"
+        members.join(roots, "node", "left").select("sign", "node", "role", F.coalesce("root", "node").alias("root")), "rooted"
     )
     apart = rooted.groupBy("sign").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
     open_members = rooted.join(apart.select("sign"), "sign")
+    side = lambda name, bit: open_members.filter(F.col("role").bitwiseAND(bit) == bit).select(
+        "sign", F.col("node").alias(name), F.col("root").alias(f"{name}_root")
+    )
     pairs = (
-        open_members.select("sign", F.col("node").alias("a"), F.col("root").alias("a_root"))
-        .join(open_members.select("sign", F.col("node").alias("b"), F.col("root").alias("b_root")), "sign")
-        .filter("a_root <> b_root and a < b")
-        .select("a", "b")
+        side("x", 1).join(side("y", 2), "sign")
+        .filter("x_root <> y_root")
+        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     )
     second = settled(candidates(pairs).join(first.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     if not second.isEmpty():
