@@ -352,7 +352,9 @@ def near_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: in
         F.min("node").alias("low"), F.max("node").alias("high"),
         F.min_by(F.when(smaller, F.col("node")), F.when(smaller, F.col("rare"))).alias("pivot"),
     ).filter("low <> high and pivot is not null")
-    members = settled(signed.drop("rare").join(shared.select("sign", "pivot"), "sign"), "members")
+    # Written first: a join of two shuffled tables is one whose hot keys Spark can split.
+    shared = settled(shared.select("sign", "pivot"), "shared")
+    members = settled(signed.drop("rare").join(shared, "sign"), "members")
     names = nodes.select("node", "k1", "k2", "size", "text_key", "sketch")
 
     def candidates(pairs: DataFrame) -> DataFrame:
@@ -379,7 +381,7 @@ def near_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: in
         members.join(roots, "node", "left").select("sign", "node", "role", F.coalesce("root", "node").alias("root")), "rooted"
     )
     apart = rooted.groupBy("sign").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    open_members = rooted.join(apart.select("sign"), "sign")
+    open_members = settled(rooted.join(settled(apart.select("sign"), "apart"), "sign"), "open")
     side = lambda name, bit: open_members.filter(F.col("role").bitwiseAND(bit) == bit).select(
         "sign", F.col("node").alias(name), F.col("root").alias(f"{name}_root")
     )

@@ -194,7 +194,8 @@ def repeated_passages(
         body.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("doc_id").alias("one")), "texts"
     )
     places = settled(_suffix_places(body, least, gram).distinct(), "suffixes")
-    several = places.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    # Written first: a join of two shuffled tables is one whose hot keys Spark can split.
+    several = settled(places.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "repeated")
     listed = (
         places.join(several, "gram").groupBy("k1", "k2").agg(F.array_sort(F.collect_list("at")).alias("places"))
         .join(copies.drop("n"), ["k1", "k2"])
