@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -149,15 +150,27 @@ def per_batch(fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> Calla
     return run
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# What jobs run with here: shuffled files go as soon as a job has ended, and tasks get texts in small batches.
+SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+}
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """``stored``, with what the job shuffled removed as soon as it has ended."""
-    spark = df.sparkSession
-    kept = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
+@contextmanager
+def lean(spark: SparkSession) -> Iterator[None]:
+    """SETTINGS for the jobs that run inside, and the session's own ones again afterwards."""
+    kept = {k: spark.conf.get(k) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
     try:
-        return stored(df, name)
+        yield
     finally:
-        spark.conf.set(_CLEANUP, kept)
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``stored`` under lean settings."""
+    with lean(df.sparkSession):
+        return stored(df, name)

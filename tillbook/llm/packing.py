@@ -15,8 +15,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from tillbook.llm.common import settled
 from tillbook.llm.tokens import END, token_arrays
-from tillbook.session import stored
 
 CAPACITY = 1024
 # Pieces that one task searches together.
@@ -191,7 +191,7 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Da
         if not n:
             break
         groups = -(-n // group)
-        found = stored(
+        found = settled(
             todo.groupBy(F.pmod(F.xxhash64(dealt_by, F.lit(turn)), F.lit(groups)).alias("dealt")).applyInPandas(search, schema),
             "packed",
         )
@@ -214,7 +214,7 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Da
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, **how) -> DataFrame:
     """The pieces of ``docs`` with sequence_id and offset. Rows repeated in ``docs`` are packed as often as they occur."""
-    pieces = stored(
+    pieces = settled(
         document_pieces(docs, capacity, **how).withColumn("item", F.monotonically_increasing_id()), "pieces"
     )
     places = pack(pieces.select("item", "length"), capacity, group)

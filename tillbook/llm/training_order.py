@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from tillbook.llm.common import mix
+from tillbook.llm.common import lean, mix
 from tillbook.llm.tokens import END, token_arrays
 from tillbook.session import shared_dir
 
@@ -32,7 +32,6 @@ SLOTS_PER_SHARD = 4096
 # Shards are made in so many turns, which bounds the shuffled tokens on disk to this part of all of them.
 TURNS = 4
 _STAGES = 6
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @dataclass(frozen=True)
@@ -109,7 +108,8 @@ def _tokenised(docs: DataFrame, doc_id: str, text: str, vocabulary: str | None,
             )
 
     made = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
-    made.write.option("compression", "zstd").parquet(path)
+    with lean(docs.sparkSession):
+        made.write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(schema).parquet(path)
 
 
@@ -195,15 +195,11 @@ def write_shards(
     per_turn = max(1, -(-shards // turns))
     layout = Layout(path, key, length, sequences, total, slots_per_shard, per_turn)
     stream = rows.join(F.broadcast(offsets), "part").withColumn("start", F.col("offset") + F.col("ahead"))
-    kept = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")  # a turn's shuffled tokens go when it has ended
-    try:
+    with lean(spark):  # a turn's shuffled tokens go when it has ended
         for turn, first in enumerate(range(0, shards, per_turn)):
             dealt = _fragments(stream, layout, first, first + per_turn).repartitionById(per_turn, F.col("shard") - first)
             records = _records(dealt.sortWithinPartitions("slot", "at"), layout)
             records.select(F.col("value").cast("string")).write.text(f"{path}/shards/turn={turn}")
-    finally:
-        spark.conf.set(_CLEANUP, kept)
     spark.createDataFrame([(json.dumps(asdict(layout)),)], "value string").coalesce(1).write.text(f"{path}/layout.json")
     return layout
 
