@@ -9,10 +9,10 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from tillbook.session import build_session
 
-    session = build_session("tests", "local[8]", 8)
+    session = build_session("tests", "local[8]", 8, shared=f"file://{tmp_path_factory.mktemp('shared')}")
     session.sparkContext.setLogLevel("ERROR")
     return session
 

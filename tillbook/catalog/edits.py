@@ -181,12 +181,17 @@ def rotated_pages(spark, sf):
 
 @query("cited_page_guard", """
     select distinct p.id page_id, 'this page is the cited image for split children' reason
-    from page p join split_group g on g.origin_item_id = p.item_id join item c on c.split_group_id = g.id and c.split_role = 'child'
-    where p.seq = 1 and (g.origin_page_id = p.id or g.origin_page_id is null)""")
+    from (select *, count(*) over (partition by item_id) pages from page) p
+      join (select *, case when id % 3 = 0 then (select min(x.id) from page x where x.item_id = origin_item_id) else origin_page_id end cited from split_group) g
+        on g.origin_item_id = p.item_id join item c on c.split_group_id = g.id and c.split_role = 'child'
+    where g.cited = p.id or (g.cited is null and p.pages = 1)""")
 def cited_page_guard(spark, sf):
-    """First pages only, all asked to go; the cited ones stay."""
+    """All pages asked to go; the cited ones stay, those that every third group pins among them."""
     lib = star.library(spark, sf)
-    lib = with_tables(lib, page=lib["page"].filter("seq = 1"))
+    first = lib["page"].groupBy(F.col("item_id").alias("origin_item_id")).agg(F.min("id").alias("first"))
+    pinned = lib["split_group"].join(first, "origin_item_id", "left").withColumn(
+        "origin_page_id", F.when(F.col("id") % 3 == 0, F.col("first")).otherwise(F.col("origin_page_id")))
+    lib = with_tables(lib, split_group=shaped(pinned, "split_group"))
     return edits.delete_pages(lib, lib["page"].select(F.col("id").alias("page_id")))[1]
 
 

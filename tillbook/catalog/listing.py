@@ -132,9 +132,10 @@ def missing_key_data_in_folder(spark, sf):
     return missing_key_data(star.library(spark, sf)).filter("folder_id = 900").orderBy("item_id")
 
 
-@query("inbox_list", f"select {GRID} from grid where trashed_at is null and superseded_at is null and folder_id = 900 order by created_at, item_id limit 300")
+@query("inbox_list", f"select {GRID} from grid where trashed_at is null and superseded_at is null and folder_id = 900")
 def inbox_list(spark, sf):
-    return listing.inbox_list(star.library(spark, sf), limit=300)
+    """The whole inbox."""
+    return listing.inbox_list(star.library(spark, sf))
 
 
 @query("inbox_counts", """

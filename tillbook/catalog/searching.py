@@ -153,10 +153,42 @@ def search_totals(spark, sf):
     return s.search_totals(star.library(spark, sf), SearchQuery(vendor_id=5, tax_category_id=1))
 
 
-@query("search_snippets", f"""
-    with t as (select id, item_id, {TOKENS.format('ocr_text')} l from page), h as (select *, list_position(l, 'the') hit_at from t where list_contains(l, 'the')),
-    w as (select *, greatest(1, least(hit_at - 4, len(l) - 9)) st from h)
-    select id, case when st > 1 then '…' else '' end || array_to_string(l[st:st + 9], ' ') || case when st + 10 <= len(l) then '…' else '' end snippet from w""")
+@query("accented_words", "with t as (select doc_id, lang, " + TOKENS.format('text') + """ l from documents)
+    select 'für' word, doc_id from t where list_contains(l, 'fur') union all select 'réeaux', doc_id from t where list_contains(l, 'reeaux')
+    union all select 'ÇIÓN', doc_id from t where list_contains(l, 'cion') union all select 'the', doc_id from t where list_contains(l, 'the')""")
+def accented_words(spark, sf):
+    """A word of each language, with its marks, finds the texts that hold it."""
+    return _found(_documents(spark, sf), "text", ["für", "réeaux", "ÇIÓN", "the"])
+
+
+@query("other_scripts", """
+    select 'Йогурт' word, doc_id from documents where lang = 'de' union all select '한국', doc_id from documents where lang = 'fr'
+    union all select 'ガム', doc_id from documents where lang = 'es'""")
+def other_scripts(spark, sf):
+    """Words in scripts whose letters decompose, too, but are no Latin letters with marks."""
+    lang = F.col("lang")
+    word = F.when(lang == "de", "ЙОГУРТ").when(lang == "fr", "한국").when(lang == "es", "ガム").otherwise("")
+    docs = star.read_spread(spark, sf, "documents").select("doc_id", F.concat(F.lit("x "), word, F.lit(". "), "text").alias("text"))
+    return _found(docs, "text", ["Йогурт", "한국", "ガム"])
+
+
+def _found(docs, column: str, words: list[str]):
+    parts = [
+        s.bm25_rows(docs, "doc_id", [column], s.query_tokens(s.clean_query(w))).select(F.lit(w).alias("word"), "doc_id") for w in words
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query("search_snippets", r"""
+    with t as (select id, regexp_extract_all(ocr_text, '[\p{L}\p{N}][\p{L}\p{N}\p{M}]*') l, string_split_regex(ocr_text, '[\p{L}\p{N}][\p{L}\p{N}\p{M}]*') g from page),
+    h as (select *, list_position(list_transform(l, lambda x: strip_accents(lower(x))), 'the') hit_at from t),
+    w as (select *, greatest(1, least(hit_at - 4, len(l) - 9)) st from h where hit_at > 0)
+    select id, case when st > 1 then '…' else '' end
+      || array_to_string(list_transform(range(st, least(st + 9, len(l)) + 1), lambda i: l[i] || case when i < least(st + 9, len(l)) then g[i + 1] else '' end), '')
+      || case when st + 10 <= len(l) then '…' else '' end snippet from w""")
 def search_snippets(spark, sf):
     """T8"""
     rows = s.bm25_rows(star.library(spark, sf)["page"], "id", ["ocr_text"], [(["the"], False)])

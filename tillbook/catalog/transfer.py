@@ -167,6 +167,27 @@ def vcards(spark, sf):
         F.array_join("addresses", ",").alias("addresses"), "notes")
 
 
+def _sql_list(values) -> str:
+    return "[" + ", ".join("null" if v is None else "'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+@query("seeded_lists", f"""
+    select s_suppkey, {_sql_list(v for v, _ in f.SEED_VENDORS)}[s_suppkey % 87 + 1] vendor, {_sql_list(c for _, c in f.SEED_VENDORS)}[s_suppkey % 87 + 1] category,
+      {_sql_list(n for n, _ in f.SEED_TAX_CATEGORIES)}[s_suppkey % 27 + 1] tax_category, {_sql_list(r for _, r in f.SEED_TAX_CATEGORIES)}[s_suppkey % 27 + 1] form_ref,
+      {_sql_list(f.SEED_PAYMENT_TYPES)}[s_suppkey % 15 + 1] payment_type from supplier""")
+def seeded_lists(spark, sf):
+    """Every supplier given the seeds of its number; ids follow the order of the lists."""
+    base = star.library(spark, sf)
+    lib = f.apply_seed({**base, **{t: empty(spark, t) for t in ("vendor", "category", "tax_category", "payment_type")}}, star.NOW)
+    category = lib["category"].select(F.col("id").alias("default_category_id"), F.col("name").alias("category"))
+    vendor = lib["vendor"].join(category, "default_category_id", "left").select(F.col("id").alias("v"), F.col("name").alias("vendor"), "category")
+    tax = lib["tax_category"].select(F.col("id").alias("t"), F.col("name").alias("tax_category"), "form_ref")
+    payment = lib["payment_type"].select(F.col("id").alias("p"), F.col("name").alias("payment_type"))
+    k = F.col("s_suppkey")
+    s = star.read(spark, sf, "supplier").select("s_suppkey", (k % 87 + 1).alias("v"), (k % 27 + 1).alias("t"), (k % 15 + 1).alias("p"))
+    return s.join(vendor, "v").join(tax, "t").join(payment, "p").drop("v", "t", "p")
+
+
 @query("seeded_default_categories", """
     select s_suppkey, ['Materials','Fuel','Medical','Travel'][s_suppkey % 4 + 1] category from supplier""")
 def seeded_default_categories(spark, sf):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tillbook.catalog import query
 from tillbook.operators import audit, maintain
-from tillbook.schemas import with_tables
+from tillbook.schemas import shaped, with_tables
 from tillbook.sources import star
 
 CUTOFF = "1997-01-01"
@@ -121,7 +121,17 @@ def _damaged(spark, sf):
     page = lib["page"].withColumns({
         "rotation": F.when(i % 44 == 6, 45).otherwise(F.col("rotation")),
         "ocr_conf": F.when(i % 66 == 8, 1.5).otherwise(F.col("ocr_conf"))})
-    return with_tables(lib, item=item, receipt_data=receipt, page=page)
+    event = star.read(spark, sf, "events")
+    k = F.col("event_id")
+    job = event.select(
+        k.cast("string").alias("id"), F.when(k % 53 == 1, "dream").otherwise("import").alias("kind"),
+        F.when(k % 59 == 2, F.lit(None)).otherwise("done").alias("status"))
+    field = event.filter(k % 10 == 0).select(
+        k.alias("id"), F.when(k % 30 == 0, "planet").otherwise("all").alias("scope"), F.when(k % 70 == 0, "blob").otherwise("text").alias("datatype"))
+    backup = event.filter(k % 10 == 1).select(k.alias("id"), F.when(k % 3 == 0, "hourly").otherwise("manual").alias("kind"))
+    return with_tables(
+        lib, item=item, receipt_data=receipt, page=page, job=shaped(job, "job"), custom_field_def=shaped(field, "custom_field_def"),
+        backup_log=shaped(backup, "backup_log"))
 
 
 DAMAGED = """
@@ -137,7 +147,12 @@ DAMAGED = """
     union all select 'item.type allowed', cast(id as varchar), '' from di where ty = 'memo'
     union all select 'currency code', cast(item_id as varchar), '' from dr where currency = 'eur'
     union all select 'page.rotation allowed', cast(id as varchar), '' from dp where rotation = 45
-    union all select 'confidence range', cast(id as varchar), '' from dp where conf > 1""")
+    union all select 'confidence range', cast(id as varchar), '' from dp where conf > 1
+    union all select 'job.kind allowed', cast(event_id as varchar), '' from events where event_id % 53 = 1
+    union all select 'job.status allowed', cast(event_id as varchar), '' from events where event_id % 59 = 2
+    union all select 'custom_field_def.scope allowed', cast(event_id as varchar), '' from events where event_id % 10 = 0 and event_id % 30 = 0
+    union all select 'custom_field_def.datatype allowed', cast(event_id as varchar), '' from events where event_id % 10 = 0 and event_id % 70 = 0
+    union all select 'backup_log.kind allowed', cast(event_id as varchar), '' from events where event_id % 10 = 1 and event_id % 3 = 0""")
 def row_checks(spark, sf):
     """Q1"""
     return audit.row_checks(_damaged(spark, sf))
@@ -170,6 +185,7 @@ def purge_guard(spark, sf):
     union all select 'contact_data.item_id -> item', cast(item_id as varchar), cast(item_id as varchar) from contact_data where item_id not in (select id from keep)
     union all select 'page.item_id -> item', cast(id as varchar), cast(item_id as varchar) from page where item_id not in (select id from keep)
     union all select 'split_group.origin_item_id -> item', cast(id as varchar), cast(origin_item_id as varchar) from split_group where origin_item_id not in (select id from keep)
+    union all select 'item_search_src.id -> item', cast(id as varchar), cast(id as varchar) from item_search_src where id not in (select id from keep)
     union all select 'item_source_file.item_id -> item', cast(item_id as varchar), cast(item_id as varchar) from item_source_file where item_id not in (select id from keep)""")
 def foreign_key_audit(spark, sf):
     """Q5: every tenth item removed leaves orphans in the other tables."""
@@ -177,6 +193,47 @@ def foreign_key_audit(spark, sf):
     return audit.foreign_key_violations(with_tables(lib, item=lib["item"].filter("id % 10 <> 0")))
 
 
+@query("combine_key_audit", """
+    select 'merge_group_member.merge_group_id -> merge_group' as "check", cast(event_id as varchar) as key, cast(event_id // 10 as varchar) detail from events where event_id % 10 = 3 and event_id // 10 % 4 = 0
+    union all select 'merge_group_member.page_id -> page', cast(event_id as varchar), cast(-event_id as varchar) from events where event_id % 10 = 3 and event_id % 7 = 0
+    union all select 'custom_field_value.item_id -> item', cast(-event_id as varchar), cast(-event_id as varchar) from events where event_id % 10 = 5
+    union all select 'split_group.origin_page_id -> page', cast(id as varchar), '-1' from split_group where id % 5 = 0""")
+def combine_key_audit(spark, sf):
+    """Q5: journal rows without their combine or page, field values without their item, groups that cite a missing page."""
+    lib = star.library(spark, sf)
+    k = F.col("event_id")
+    event = star.read(spark, sf, "events").filter(k % 10 == 3)
+    number = F.call_function("div", k, F.lit(10))
+    first = F.lit(lib["page"].agg(F.min("id")).first()[0])
+    member = event.select(
+        k.alias("id"), number.alias("merge_group_id"), F.when(k % 7 == 0, -k).otherwise(first).alias("page_id"))
+    item = F.lit(lib["item"].agg(F.min("id")).first()[0])
+    group = event.filter(number % 4 != 0).select(number.alias("id"), item.alias("result_item_id"))
+    field = star.read(spark, sf, "events").filter(k % 10 == 5)
+    value = field.select((-k).alias("item_id"), k.alias("def_id"))
+    groups = lib["split_group"].withColumn("origin_page_id", F.when(F.col("id") % 5 == 0, F.lit(-1).cast("bigint")))
+    broken = with_tables(
+        lib, merge_group=shaped(group, "merge_group"), merge_group_member=shaped(member, "merge_group_member"), split_group=groups,
+        custom_field_value=shaped(value, "custom_field_value"), custom_field_def=shaped(field.select(k.alias("id")), "custom_field_def"))
+    return audit.foreign_key_violations(broken)
+
+
+@query("purged_combines", """
+    with gone as (select id from item where trashed_at is not null and not (split_role = 'origin' and exists (
+        select 1 from item c where c.split_group_id = item.split_group_id and c.split_role = 'child' and c.trashed_at is null)))
+    select 'group' kind, p.id from page p where id % 6 = 1 and item_id not in (select id from gone)
+    union all select 'member', p.id from page p where id % 6 = 1 and item_id not in (select id from gone)""")
+def purged_combines(spark, sf):
+    """Combines of purged items go, with the journal rows of their pages."""
+    lib = star.library(spark, sf)
+    sixth = lib["page"].filter("id % 6 = 1")
+    group = sixth.select("id", F.col("item_id").alias("result_item_id"))
+    member = sixth.select("id", F.col("id").alias("merge_group_id"), F.col("id").alias("page_id"))
+    rest = maintain.empty_trash(with_tables(lib, merge_group=shaped(group, "merge_group"), merge_group_member=shaped(member, "merge_group_member")))[0]
+    return rest["merge_group"].select(F.lit("group").alias("kind"), "id").unionByName(
+        rest["merge_group_member"].select(F.lit("member").alias("kind"), "id"))
+
+
 @query("trash_folder_audit", DAMAGED + """ select 'item in trash folder' as "check", cast(id as varchar) as key, '901' detail from di where folder_id = 901""")
 def trash_folder_audit(spark, sf):
     """Q7"""

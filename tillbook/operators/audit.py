@@ -27,8 +27,13 @@ FOREIGN_KEYS = [
     ("contact_data", "item_id", "item"),
     ("page", "item_id", "item"),
     ("split_group", "origin_item_id", "item"),
+    ("split_group", "origin_page_id", "page"),
     ("merge_group", "result_item_id", "item"),
+    ("merge_group_member", "merge_group_id", "merge_group"),
+    ("merge_group_member", "page_id", "page"),
+    ("custom_field_value", "item_id", "item"),
     ("custom_field_value", "def_id", "custom_field_def"),
+    ("item_search_src", "id", "item"),
     ("item_source_file", "item_id", "item"),
 ]
 
@@ -66,15 +71,12 @@ def row_checks(lib: Library) -> DataFrame:
         "receipt_data": ("item_id", {"currency code": ~c("currency").rlike("^[A-Z]{3}$") | c("currency").isNull()}),
         "receipt_tax_line": ("id", {"rate not negative": c("rate_bp") < 0}),
         "page": ("id", {"confidence range": ~c("ocr_conf").between(0, 1)}),
-        "folder": ("id", {}),
-        "rule": ("id", {}),
     }
     for (table, column), allowed in ALLOWED_VALUES.items():
-        if table in checks:
-            bad = ~c(column).isin(*allowed)
-            if (table, column) != ("item", "split_role"):
-                bad = bad | c(column).isNull()
-            checks[table][1][f"{table}.{column} allowed"] = bad
+        bad = ~c(column).isin(*allowed)
+        if (table, column) != ("item", "split_role"):
+            bad = bad | c(column).isNull()
+        checks.setdefault(table, ("id", {}))[1][f"{table}.{column} allowed"] = bad
     return _union([_broken_rows(lib[t], key, tests) for t, (key, tests) in checks.items()])
 
 
@@ -123,6 +125,11 @@ def foreign_key_violations(lib: Library) -> DataFrame:
     return _union(parts)
 
 
+INTEGRITY_CHECKS = (
+    "foreign keys", "split totals reconcile", "split tax reconciles", "split currencies consistent", "media paths are relative",
+)
+
+
 def integrity_report(lib: Library) -> DataFrame:
     """Q5: (name, ok, detail), one row per check."""
 
@@ -141,11 +148,11 @@ def integrity_report(lib: Library) -> DataFrame:
     absolute = F.col("file_relpath").rlike(r"^/|^.:")
     return _union(
         [
-            line(foreign_key_violations(lib), "foreign keys", F.count("*"), "clean", " violation(s)"),
-            line(recon, "split totals reconcile", F.max("drift"), "no drift", " split group(s) drift"),
-            line(recon, "split tax reconciles", F.max("tax"), "no drift", " group(s) tax drift"),
-            line(recon, "split currencies consistent", F.max("mix"), "consistent", " group(s) mismatched"),
-            line(lib["page"], "media paths are relative", count_where(absolute), "all relative", " absolute path(s)"),
+            line(foreign_key_violations(lib), INTEGRITY_CHECKS[0], F.count("*"), "clean", " violation(s)"),
+            line(recon, INTEGRITY_CHECKS[1], F.max("drift"), "no drift", " split group(s) drift"),
+            line(recon, INTEGRITY_CHECKS[2], F.max("tax"), "no drift", " group(s) tax drift"),
+            line(recon, INTEGRITY_CHECKS[3], F.max("mix"), "consistent", " group(s) mismatched"),
+            line(lib["page"], INTEGRITY_CHECKS[4], count_where(absolute), "all relative", " absolute path(s)"),
         ]
     )
 

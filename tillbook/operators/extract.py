@@ -14,7 +14,6 @@ from tillbook.functions.let import let
 from tillbook.functions.money import find_money, trimmed
 from tillbook.functions.names import END, START, looks_like_vendor, ocr_normalize, squeezed, tax_label
 from tillbook.operators.lines import BOX, with_lines
-from tillbook.plans.scale import broadcast_if_small
 from tillbook.schemas import Library
 
 # --- fixed values: labels, patterns and confidences that decide the result ------------
@@ -387,7 +386,6 @@ def known_vendor_matches(pages: DataFrame, vendors: DataFrame) -> DataFrame:
         .withColumn("gram", F.substring("needle", 1, GRAM))
         .withColumn("glen", F.length("gram"))
     )
-    needles = broadcast_if_small(needles)
     # At most GRAM different lengths: this is all that reaches the driver.
     lengths = sorted(r[0] for r in needles.select("glen").distinct().collect())
     if not lengths:

@@ -32,7 +32,7 @@ class ListRequest:
     type: str | None = None
     include_superseded: bool = False
     sort: list[tuple[str, str]] = field(default_factory=list)
-    limit: int = LIST_LIMIT
+    limit: int | None = LIST_LIMIT
     offset: int = 0
     now: int = 0
 
@@ -181,8 +181,7 @@ def filtered(lib: Library, rows: DataFrame, req: ListRequest) -> DataFrame:
 
 
 def inbox_folders(lib: Library) -> DataFrame:
-    # At most one folder has this kind (Q11), so the broadcast side is one row.
-    return F.broadcast(lib["folder"].filter("kind = 'inbox'").select(F.col("id").alias("folder_id")))
+    return lib["folder"].filter("kind = 'inbox'").select(F.col("id").alias("folder_id"))
 
 
 def filtered_summable(lib: Library, rows: DataFrame, req: ListRequest) -> DataFrame:
@@ -278,7 +277,11 @@ def list_order(sort: list[tuple[str, str]]) -> list[Column]:
 def list_items(lib: Library, req: ListRequest) -> DataFrame:
     """The rows of a list request, in order, one page."""
     rows = grid_rows(lib, filtered(lib, flagged_items(lib), req))
-    page = rows.orderBy(*list_order(req.sort)).offset(req.offset).limit(req.limit)
+    page = rows.orderBy(*list_order(req.sort))
+    if req.offset:
+        page = page.offset(req.offset)
+    if req.limit is not None:
+        page = page.limit(req.limit)
     return page.drop("_currency")
 
 
@@ -363,8 +366,8 @@ def flag_severity(rows: DataFrame) -> DataFrame:
 # --- inbox and lookups ---------------------------------------------------------------
 
 
-def inbox_list(lib: Library, limit: int = LIST_LIMIT, offset: int = 0) -> DataFrame:
-    """The inbox, oldest first."""
+def inbox_list(lib: Library, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """The inbox, oldest first; all of it unless a page is asked for."""
     return list_items(lib, ListRequest(smart_filter="inbox", sort=[("createdAt", "asc")], limit=limit, offset=offset))
 
 

@@ -144,7 +144,10 @@ def load_tables(spark: SparkSession, path: str, tables: list[str] | None = None)
 def file_facts(spark: SparkSession, path: str) -> DataFrame:
     """Path below the root, size and hash of every data file."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    relative = F.regexp_replace(F.col("path"), rf"^.*?{path.rstrip('/')}/", "")
+    # What stands before the folder's name differs by file system; the name itself is no pattern.
+    folder = path.rstrip("/").split(":", 1)[-1].lstrip("/") + "/"
+    relative = F.expr("substring(path, instr(path, folder) + length(folder))")
+    files = files.withColumn("folder", F.lit(folder))
     return files.select(relative.alias("relpath"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes")).filter(
         ~F.element_at(F.split("relpath", "/"), -1).rlike(r"^[._]"))
 
@@ -163,15 +166,20 @@ def snapshot(lib: Library, path: str) -> DataFrame:
 
 
 def verify_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """Manifest against the files that are there, then row counts, then the integrity report."""
-    from tillbook.operators.audit import integrity_report
+    """Manifest against the files that are there, then row counts, then the integrity report.
+
+    All checks are listed always; those of tables whose files are missing or changed were not run, and are not ok.
+    """
+    from tillbook.operators.audit import INTEGRITY_CHECKS, integrity_report
 
     listed = spark.read.parquet(f"{path}/manifest").select("relpath", F.col("sha256").alias("want"))
     actual = file_facts(spark, f"{path}/tables").select("relpath", F.col("sha256").alias("have"))
     files = checkpointed(compare_manifest(listed, actual))
     if not files.filter("NOT ok").isEmpty():
-        # Tables with missing or changed files are not worth counting.
-        return files
+        names = [f"rows of {t}" for t in ("item", "folder", "page")] + list(INTEGRITY_CHECKS)
+        return files.unionByName(
+            spark.createDataFrame([(n, False, "not run: damaged files") for n in names], "name string, ok boolean, detail string")
+        )
     lib = load_tables(spark, f"{path}/tables")
     stated = spark.read.parquet(f"{path}/counts")
     found = None

@@ -77,9 +77,11 @@ def clean_query(text: str) -> list[tuple[str, bool]]:
 
 def query_tokens(terms: list[tuple[str, bool]]) -> list[tuple[list[str], bool]]:
     """Each term as its tokens; a term of several tokens is a phrase."""
+    fold = str.maketrans(MARKED, PLAIN)
     out = []
     for term, prefix in terms:
-        folded = "".join(c for c in unicodedata.normalize("NFD", term.lower()) if not unicodedata.combining(c))
+        # The same fold as ``folded_text``: what is indexed and what is asked for must agree in every script.
+        folded = "".join(c for c in term.lower().translate(fold) if not unicodedata.category(c).startswith("M"))
         tokens = [t for t in re.split(r"[\W_]+", folded) if t]
         if tokens:
             out.append((tokens, prefix))
@@ -134,10 +136,12 @@ def term_pattern(words: list[str], prefix: bool) -> str:
 
 
 WORD = r"[\p{L}\p{N}]+"
+# A word of text as it is: marks that folding drops stand after their letters.
+TOKEN = r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*"
 
 
 def bm25_rows(docs: DataFrame, key: str, columns: list[str], terms: list[tuple[list[str], bool]]) -> DataFrame:
-    """(key, score, folded text of the first column) of the rows that hold every term; lower is better.
+    """(key, score, text of the first column as it is) of the rows that hold every term; lower is better.
 
     One scan turns each document into its length and term counts, by pattern, without cutting
     it into tokens.  Corpus size, mean length
@@ -145,10 +149,10 @@ def bm25_rows(docs: DataFrame, key: str, columns: list[str], terms: list[tuple[l
     shuffled.  Statistics cover all rows given, matching or not.
     """
     sides = [f"_t{i}" for i in range(len(columns))]
-    texts = docs.select(key, *[F.coalesce(folded_text(F.col(c)), F.lit("")).alias(s) for c, s in zip(columns, sides)])
+    texts = docs.select(key, F.col(columns[0]).alias("text"), *[F.coalesce(folded_text(F.col(c)), F.lit("")).alias(s) for c, s in zip(columns, sides)])
     total = lambda pattern: sum((F.regexp_count(s, F.lit(pattern)) for s in sides[1:]), F.regexp_count(sides[0], F.lit(pattern)))
     counted = texts.select(
-        key, F.col(sides[0]).alias("text"), total(WORD).alias("len"),
+        key, "text", total(WORD).alias("len"),
         *[total(term_pattern(words, prefix)).alias(f"f{i}") for i, (words, prefix) in enumerate(terms)],
     )
     stats = counted.agg(
@@ -173,20 +177,29 @@ def bm25_rows(docs: DataFrame, key: str, columns: list[str], terms: list[tuple[l
 
 
 def snippet(text: Column, words: list[str], prefix: bool) -> Column:
-    """About ten tokens around the first occurrence of the first term; ``text`` is folded."""
+    """About ten tokens around the first occurrence of the first term, as the text itself has them."""
+    gaps = F.split(text, TOKEN)
 
     def cut(t: Column) -> Column:
         hit = lambda x: x.startswith(words[0]) if prefix and len(words) == 1 else x == words[0]
-        at = F.array_position(F.transform(t, lambda x: F.when(hit(x), F.lit("y")).otherwise("n")), "y").cast("int")
+        at = F.array_position(F.transform(t, lambda x: F.when(hit(folded_text(x)), F.lit("y")).otherwise("n")), "y").cast("int")
         start = F.greatest(F.lit(1), F.least(at - 4, F.size(t) - SNIPPET_TOKENS + 1))
-        window = F.array_join(F.slice(t, start, F.lit(SNIPPET_TOKENS)), " ")
+        last = F.least(start + SNIPPET_TOKENS - 1, F.size(t))
+        # Token i stands between gaps i and i + 1.
+        window = F.array_join(
+            F.transform(
+                F.sequence(start, last),
+                lambda i: F.concat(F.element_at(t, i), F.when(i < last, F.element_at(gaps, i + 1)).otherwise("")),
+            ),
+            "",
+        )
         return F.concat(
             F.when(start > 1, "…").otherwise(""),
             window,
             F.when(start + SNIPPET_TOKENS <= F.size(t), "…").otherwise(""),
         )
 
-    return let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), cut)
+    return let(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), cut)
 
 
 def normalised(side: DataFrame, score: str, out: str) -> DataFrame:

@@ -288,13 +288,22 @@ def dissolve_splits(lib: Library, group_ids: DataFrame, now: int) -> tuple[Libra
 
 
 def drop_items(lib: Library, ids: DataFrame) -> Library:
-    """Delete items and every row that belongs to them.  ``ids`` has a column ``item_id``."""
+    """Delete items and every row that belongs to them, combines included.  ``ids`` has a column ``item_id``."""
     from tillbook.schemas import ITEM_CHILDREN
 
     changed = {"item": lib["item"].join(ids.withColumnRenamed("item_id", "id"), "id", "left_anti")}
     for table, key in ITEM_CHILDREN.items():
         if table in lib:
             changed[table] = lib[table].join(ids.withColumnRenamed("item_id", key), key, "left_anti")
+    if "merge_group" in lib:
+        result = ids.withColumnRenamed("item_id", "result_item_id")
+        changed["merge_group"] = lib["merge_group"].join(result, "result_item_id", "left_anti")
+        # A journal row goes with its combine, and with its page.
+        combines = lib["merge_group"].join(result, "result_item_id", "left_semi").select(F.col("id").alias("merge_group_id"))
+        pages = lib["page"].join(ids, "item_id", "left_semi").select(F.col("id").alias("page_id"))
+        changed["merge_group_member"] = (
+            lib["merge_group_member"].join(combines, "merge_group_id", "left_anti").join(pages, "page_id", "left_anti")
+        )
     return with_tables(lib, **changed)
 
 

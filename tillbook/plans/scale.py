@@ -10,8 +10,6 @@ from tillbook.session import checkpointed
 
 # A window group up to this many rows is sorted by one task; larger groups are range-partitioned.
 ROWS_PER_TASK = 2_000_000
-# A side is broadcast only when a count has shown that it has at most this many rows.
-BROADCAST_ROWS = 100_000
 
 _POSITION_BITS = 33
 
@@ -102,13 +100,6 @@ def shift_rows(
     return ranked.join(previous, [*keys, "_rank"], "left").drop("_rank")
 
 
-def broadcast_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """Broadcast hint only after a bounded count has proven the size."""
-    limit = BROADCAST_ROWS if limit is None else limit
-    small = df.limit(limit + 1).count() <= limit
-    return F.broadcast(df) if small else df
-
-
 def next_id(df: DataFrame, column: str = "id") -> int:
     """Largest id in use (0 for an empty table); one number reaches the driver."""
     return df.agg(F.max(column)).first()[0] or 0

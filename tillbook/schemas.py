@@ -55,7 +55,9 @@ ALLOWED_VALUES: dict[tuple[str, str], list] = {
     ("rule", "source"): ["seed", "user", "learned"],
     ("job", "kind"): ["import", "ocr", "export", "backup", "restore", "archive"],
     ("job", "status"): ["queued", "running", "done", "failed", "cancelled", "partial"],
+    ("custom_field_def", "scope"): ["receipt", "document", "contact", "folder", "all"],
     ("custom_field_def", "datatype"): ["text", "number", "money", "date", "bool", "list"],
+    ("backup_log", "kind"): ["manual", "scheduled"],
 }
 
 Library = dict[str, DataFrame]

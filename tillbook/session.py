@@ -1,14 +1,22 @@
-"""Spark session and the shared folder that cut-off points are written to."""
+"""Spark session and the shared folder that cut-off points are written to.
+
+The folder is the session's ``spark.checkpoint.dir``. Where none is set, a local master gets a scratch folder of its
+own, which is removed at the end, and any other master is refused.
+"""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "tillbook", master: str | None = None, partitions: int | None = None) -> SparkSession:
+def build_session(
+    app: str = "tillbook", master: str | None = None, partitions: int | None = None, shared: str | None = None
+) -> SparkSession:
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
@@ -19,6 +27,8 @@ def build_session(app: str = "tillbook", master: str | None = None, partitions:
     )
     if master:
         builder = builder.master(master)
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     return builder.getOrCreate()
@@ -35,7 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         if sc.applicationId not in _local_dirs:
-            _local_dirs[sc.applicationId] = tempfile.mkdtemp(prefix="tillbook-")
+            _local_dirs[sc.applicationId] = scratch = tempfile.mkdtemp(prefix="tillbook-")
+            atexit.register(shutil.rmtree, scratch, ignore_errors=True)
         folder = _local_dirs[sc.applicationId]
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)

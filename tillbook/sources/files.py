@@ -150,7 +150,7 @@ def contacts_of(cards: DataFrame) -> DataFrame:
 
 # --- seed lists ----------------------------------------------------------------------
 
-# The starter lists of a new library.
+# Fixed values that must match: the starter lists of a new library, in the order in which they are numbered.
 SEED_CATEGORIES = [
     "Office Supplies", "Materials", "Fuel", "Travel", "Meals & Entertainment", "Software & Subscriptions",
     "Professional Services", "Utilities", "Insurance", "Equipment", "Shipping & Postage", "Advertising & Marketing",
@@ -158,49 +158,130 @@ SEED_CATEGORIES = [
     "Training & Education", "Telecommunications", "Medical", "Charitable Contributions", "Personal (Non-deductible)",
     "Uncategorized",
 ]
-SEED_TAX_CATEGORIES = {
-    "Cost of Goods Sold": "L4", "Advertising": "L8", "Car and Truck Expenses": "L9", "Commissions and Fees": "L10",
-    "Contract Labor": "L11", "Depletion": "L12", "Depreciation": "L13", "Employee Benefit Programs": "L14",
-    "Insurance (other than health)": "L15", "Interest — Mortgage": "L16a", "Interest — Other": "L16b",
-    "Legal and Professional Services": "L17", "Office Expense": "L18", "Pension and Profit-Sharing": "L19",
-    "Rent — Vehicles / Machinery": "L20a", "Rent — Other Business Property": "L20b", "Repairs and Maintenance": "L21",
-    "Supplies": "L22", "Taxes and Licenses": "L23", "Travel": "L24a", "Meals": "L24b", "Utilities": "L25", "Wages": "L26",
-    "Other Expenses": "L27a", "Non-deductible": None, "Capital Expenditure": None, "Sales Tax Paid": None,
-}
-TAX_FORM = "Schedule C "
+# (name, form reference)
+SEED_TAX_CATEGORIES = [
+    ("Cost of Goods Sold", "Schedule C L4"),
+    ("Advertising", "Schedule C L8"),
+    ("Car and Truck Expenses", "Schedule C L9"),
+    ("Commissions and Fees", "Schedule C L10"),
+    ("Contract Labor", "Schedule C L11"),
+    ("Depletion", "Schedule C L12"),
+    ("Depreciation", "Schedule C L13"),
+    ("Employee Benefit Programs", "Schedule C L14"),
+    ("Insurance (other than health)", "Schedule C L15"),
+    ("Interest — Mortgage", "Schedule C L16a"),
+    ("Interest — Other", "Schedule C L16b"),
+    ("Legal and Professional Services", "Schedule C L17"),
+    ("Office Expense", "Schedule C L18"),
+    ("Pension and Profit-Sharing", "Schedule C L19"),
+    ("Rent — Vehicles / Machinery", "Schedule C L20a"),
+    ("Rent — Other Business Property", "Schedule C L20b"),
+    ("Repairs and Maintenance", "Schedule C L21"),
+    ("Supplies", "Schedule C L22"),
+    ("Taxes and Licenses", "Schedule C L23"),
+    ("Travel", "Schedule C L24a"),
+    ("Meals", "Schedule C L24b"),
+    ("Utilities", "Schedule C L25"),
+    ("Wages", "Schedule C L26"),
+    ("Other Expenses", "Schedule C L27a"),
+    ("Non-deductible", None),
+    ("Capital Expenditure", None),
+    ("Sales Tax Paid", None),
+]
 SEED_PAYMENT_TYPES = [
     "Cash", "Check", "Visa", "Mastercard", "American Express", "Discover", "Debit Card", "ACH / Bank Transfer", "PayPal",
     "Venmo", "Apple Pay", "Google Pay", "Wire Transfer", "Store Credit", "Other",
 ]
-SEED_VENDORS = {
-    "Office Supplies": ["Staples", "Office Depot", "OfficeMax", "Amazon"],
-    "Software & Subscriptions": [
-        "Amazon Web Services", "Microsoft", "Adobe", "Google", "Apple", "Dropbox", "Slack", "Zoom", "GitHub", "Notion",
-        "Intuit", "QuickBooks",
-    ],
-    "Materials": [
-        "Walmart", "Target", "Costco", "Sam's Club", "Home Depot", "Lowe's", "Ace Hardware", "Menards", "Grainger",
-        "Fastenal",
-    ],
-    "Equipment": ["Harbor Freight", "Best Buy", "Apple Store"],
-    "Fuel": [
-        "Shell", "Exxon", "ExxonMobil", "Chevron", "BP", "Mobil", "Sunoco", "Valero", "Marathon", "Wawa", "Sheetz",
-        "QuikTrip", "RaceTrac",
-    ],
-    "Shipping & Postage": ["UPS", "FedEx", "USPS", "DHL"],
-    "Telecommunications": ["Verizon", "AT&T", "T-Mobile", "Comcast", "Spectrum"],
-    "Travel": [
-        "Uber", "Lyft", "Delta Air Lines", "United Airlines", "American Airlines", "Southwest Airlines", "Hilton",
-        "Marriott", "Airbnb", "Enterprise Rent-A-Car", "Hertz",
-    ],
-    "Meals & Entertainment": ["Starbucks", "McDonald's", "Chipotle", "Panera Bread", "Dunkin'", "Subway"],
-    "Utilities": ["PG&E", "Con Edison", "Duke Energy"],
-    "Bank Fees": ["Chase", "Bank of America", "Wells Fargo", "Stripe", "PayPal"],
-    "Vehicle Expenses": ["AutoZone", "O'Reilly Auto Parts", "Jiffy Lube"],
-    "Medical": ["CVS", "Walgreens"],
-    "Advertising & Marketing": ["LinkedIn", "Facebook Ads", "Google Ads"],
-    "Professional Services": ["Indeed", "Fiverr", "Upwork"],
-}
+# (name, default category)
+SEED_VENDORS = [
+    ("Staples", "Office Supplies"),
+    ("Office Depot", "Office Supplies"),
+    ("OfficeMax", "Office Supplies"),
+    ("Amazon", "Office Supplies"),
+    ("Amazon Web Services", "Software & Subscriptions"),
+    ("Walmart", "Materials"),
+    ("Target", "Materials"),
+    ("Costco", "Materials"),
+    ("Sam's Club", "Materials"),
+    ("Home Depot", "Materials"),
+    ("Lowe's", "Materials"),
+    ("Ace Hardware", "Materials"),
+    ("Menards", "Materials"),
+    ("Harbor Freight", "Equipment"),
+    ("Grainger", "Materials"),
+    ("Fastenal", "Materials"),
+    ("Shell", "Fuel"),
+    ("Exxon", "Fuel"),
+    ("ExxonMobil", "Fuel"),
+    ("Chevron", "Fuel"),
+    ("BP", "Fuel"),
+    ("Mobil", "Fuel"),
+    ("Sunoco", "Fuel"),
+    ("Valero", "Fuel"),
+    ("Marathon", "Fuel"),
+    ("Wawa", "Fuel"),
+    ("Sheetz", "Fuel"),
+    ("QuikTrip", "Fuel"),
+    ("RaceTrac", "Fuel"),
+    ("UPS", "Shipping & Postage"),
+    ("FedEx", "Shipping & Postage"),
+    ("USPS", "Shipping & Postage"),
+    ("DHL", "Shipping & Postage"),
+    ("Verizon", "Telecommunications"),
+    ("AT&T", "Telecommunications"),
+    ("T-Mobile", "Telecommunications"),
+    ("Comcast", "Telecommunications"),
+    ("Spectrum", "Telecommunications"),
+    ("Microsoft", "Software & Subscriptions"),
+    ("Adobe", "Software & Subscriptions"),
+    ("Google", "Software & Subscriptions"),
+    ("Apple", "Software & Subscriptions"),
+    ("Dropbox", "Software & Subscriptions"),
+    ("Slack", "Software & Subscriptions"),
+    ("Zoom", "Software & Subscriptions"),
+    ("GitHub", "Software & Subscriptions"),
+    ("Notion", "Software & Subscriptions"),
+    ("Intuit", "Software & Subscriptions"),
+    ("QuickBooks", "Software & Subscriptions"),
+    ("Uber", "Travel"),
+    ("Lyft", "Travel"),
+    ("Delta Air Lines", "Travel"),
+    ("United Airlines", "Travel"),
+    ("American Airlines", "Travel"),
+    ("Southwest Airlines", "Travel"),
+    ("Hilton", "Travel"),
+    ("Marriott", "Travel"),
+    ("Airbnb", "Travel"),
+    ("Enterprise Rent-A-Car", "Travel"),
+    ("Hertz", "Travel"),
+    ("Starbucks", "Meals & Entertainment"),
+    ("McDonald's", "Meals & Entertainment"),
+    ("Chipotle", "Meals & Entertainment"),
+    ("Panera Bread", "Meals & Entertainment"),
+    ("Dunkin'", "Meals & Entertainment"),
+    ("Subway", "Meals & Entertainment"),
+    ("PG&E", "Utilities"),
+    ("Con Edison", "Utilities"),
+    ("Duke Energy", "Utilities"),
+    ("Chase", "Bank Fees"),
+    ("Bank of America", "Bank Fees"),
+    ("Wells Fargo", "Bank Fees"),
+    ("Stripe", "Bank Fees"),
+    ("PayPal", "Bank Fees"),
+    ("AutoZone", "Vehicle Expenses"),
+    ("O'Reilly Auto Parts", "Vehicle Expenses"),
+    ("Jiffy Lube", "Vehicle Expenses"),
+    ("Best Buy", "Equipment"),
+    ("Apple Store", "Equipment"),
+    ("CVS", "Medical"),
+    ("Walgreens", "Medical"),
+    ("LinkedIn", "Advertising & Marketing"),
+    ("Facebook Ads", "Advertising & Marketing"),
+    ("Google Ads", "Advertising & Marketing"),
+    ("Indeed", "Professional Services"),
+    ("Fiverr", "Professional Services"),
+    ("Upwork", "Professional Services"),
+]
 
 
 def _seeded(lib: Library, table: str, rows: list[tuple], columns: str, now: int) -> DataFrame:
@@ -217,11 +298,10 @@ def apply_seed(lib: Library, now: int) -> Library:
     if not (lib["vendor"].isEmpty() and lib["category"].isEmpty()):
         return lib
     category = _seeded(lib, "category", [(n,) for n in SEED_CATEGORIES], "name string", now)
-    tax = _seeded(
-        lib, "tax_category", [(n, ref and TAX_FORM + ref) for n, ref in SEED_TAX_CATEGORIES.items()], "name string, form_ref string", now)
+    tax = _seeded(lib, "tax_category", SEED_TAX_CATEGORIES, "name string, form_ref string", now)
     payment = _seeded(lib, "payment_type", [(n,) for n in SEED_PAYMENT_TYPES], "name string", now)
     spark = category.sparkSession
-    pairs = [(i, v, c) for i, (c, v) in enumerate((c, v) for c, vs in SEED_VENDORS.items() for v in vs)]
+    pairs = [(i, name, category_name) for i, (name, category_name) in enumerate(SEED_VENDORS)]
     vendors = spark.createDataFrame(pairs, "ord int, name string, category string").join(
         category.select(F.col("name").alias("category"), F.col("id").alias("default_category_id")), "category", "left")
     vendors = number_rows(vendors, ["ord"], out="id", start=next_id(lib["vendor"])).withColumns(

@@ -71,7 +71,7 @@ def receipt_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat_ws(
         "\n", "vendor", date, F.concat(F.lit("Invoice # INV-"), key.cast("string")), item_lines,
         F.concat(F.lit("SUBTOTAL "), amount(F.col("subtotal_minor"))), tax_lines, total, method)
-    return dealt_out(f.select(key, text.alias("ocr_text")), read(spark, sf_dir, "lineitem"))
+    return dealt_out(f.select(key, text.alias("ocr_text")))
 
 
 def receipt_truth(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,18 +35,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def dealt_out(df: DataFrame, source: DataFrame) -> DataFrame:
-    """For compute-heavy maps over a source of fewer files than cores: one shuffle to use them all.
-
-    A source of many files already gives every core work and is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(source.inputFiles()) < cores else df
+def dealt_out(df: DataFrame) -> DataFrame:
+    """One shuffle before a compute-heavy map, so that its work is spread however the source is cut into files."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def read_spread(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    df = read(spark, sf_dir, table)
-    return dealt_out(df, df)
+    return dealt_out(read(spark, sf_dir, table))
 
 
 def pick(values: list[str], index) -> F.Column:
