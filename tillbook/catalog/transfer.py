@@ -62,7 +62,7 @@ IMPORT = f"""
 @query("import_created", IMPORT + " select path, item_id, sha256 from fresh")
 def import_created(spark, sf):
     """New content only, one item per content."""
-    return _import(spark, sf)[1]
+    return _import(spark, sf)[1].select("path", "item_id", "sha256")
 
 
 @query("import_duplicates", IMPORT + """
@@ -89,6 +89,63 @@ def import_pages(spark, sf):
     return lib["page"].join(created.select("item_id"), "item_id", "left_semi").select("item_id", "seq", "file_relpath")
 
 
+def _import_whole(spark, sf, split_pages: bool):
+    """All documents as files: card files with no, one or two cards, PDFs of one to four pages, one page in 41 unreadable."""
+    k = F.col("doc_id")
+    docs = _files(spark, sf)
+    card = lambda i: F.concat(F.lit("BEGIN:VCARD\nFN:Ann "), F.chr(F.lit(65 + i)), k.cast("string"), F.lit("\nEMAIL:a"), k.cast("string"), F.lit("@example.com\nEND:VCARD\n"))
+    texts = docs.filter("doc_id % 7 = 3").select(
+        "path", F.when(k % 3 == 0, "nothing\n").when(k % 3 == 1, card(0)).otherwise(F.concat(card(0), card(1))).alias("text"))
+    cards = f.contacts_of(f.parse_vcards(texts))
+    pages = docs.filter("doc_id % 7 = 2").select("path", "sha256", k, F.explode(F.sequence(F.lit(1), (k % 4 + 1).cast("int"))).alias("page_no"))
+    pages = pages.select("path", "page_no", F.sha2(F.concat("sha256", F.col("page_no").cast("string")), 256).alias("sha256"), (k % 41 == 0).alias("failed"))
+    return ingest.import_batch(
+        star.library(spark, sf), docs, star.NOW, skip_duplicates=False, cards=cards, pages=pages, split_pages=split_pages)
+
+
+WHOLE = f"""
+    with fl as (select doc_id, {PATH_SQL} path, sha256(text) sha256, case when doc_id % 29 = 0 then '(none)' else lower(['jpg','JPEG','pdf','vcf','png','docx','txt'][doc_id % 7 + 1]) end ext from documents),
+    good as (select * from fl where ext not in ('(none)', 'docx', 'txt') and doc_id % 23 <> 0 and not (ext = 'vcf' and doc_id % 3 = 0) and not (ext = 'pdf' and doc_id % 41 = 0)),
+    card as (select *, unnest(range(doc_id % 3)) as card_no from good where ext = 'vcf'),
+    leaf as (select *, unnest(range(1, doc_id % 4 + 2)) as page_no from good where ext = 'pdf')"""
+
+
+@query("imported_contacts", WHOLE + """
+    select path, 'Ann' first_name, chr((65 + card_no)::int) || doc_id last_name, '["a' || doc_id || '@example.com"]' emails_json, split_part(path, '/', -1) original_name from card""")
+def imported_contacts(spark, sf):
+    """One contact for each card, with its side row and its source."""
+    lib, created, _, _ = _import_whole(spark, sf, False)
+    contact = lib["contact_data"].select("item_id", "first_name", "last_name", "emails_json")
+    source = lib["item_source_file"].select("item_id", "original_name")
+    return created.select("path", "item_id").join(contact, "item_id").join(source, "item_id").drop("item_id")
+
+
+@query("imported_pages", WHOLE + """
+    select path, 0 part, page_no seq, sha256(sha256 || page_no) content_hash from leaf
+    union all select path, 0, 1, sha256 from good where ext not in ('pdf', 'vcf')""")
+def imported_pages(spark, sf):
+    """Multi-page files as items of pages 1..n."""
+    lib, created, _, _ = _import_whole(spark, sf, False)
+    return lib["page"].select("item_id", "seq", "content_hash").join(created.select("path", "part", "item_id"), "item_id").drop("item_id")
+
+
+@query("imported_single_pages", WHOLE + """
+    select path, page_no part, 1 seq, sha256(sha256 || page_no) content_hash from leaf
+    union all select path, 0, 1, sha256 from good where ext not in ('pdf', 'vcf')""")
+def imported_single_pages(spark, sf):
+    """An item for every page."""
+    lib, created, _, _ = _import_whole(spark, sf, True)
+    return lib["page"].select("item_id", "seq", "content_hash").join(created.select("path", "part", "item_id"), "item_id").drop("item_id")
+
+
+@query("import_faults", WHOLE + """
+    select path, case when ext in ('(none)', 'docx', 'txt') then 'unsupported file type: .' || ext when doc_id % 23 = 0 then 'corrupt or unreadable image'
+      when ext = 'vcf' then 'no vCard entries found' else 'a page could not be read' end reason from fl where doc_id not in (select doc_id from good)""")
+def import_faults(spark, sf):
+    """Unsupported, unreadable, without cards, with an unreadable page."""
+    return _import_whole(spark, sf, False)[3]
+
+
 @query("stored_blobs", f"""
     select sha256, 'images/' || substr(sha256, 1, 2) || '/' || substr(sha256, 3, 2) || '/' || sha256 || '.' || case when e = 'jpeg' then 'jpg' else e end relpath
     from (select sha256(text) sha256, min(case when doc_id % 29 = 0 then '' else lower(['jpg','JPEG','pdf','vcf','png','docx','txt'][doc_id % 7 + 1]) end) e from documents group by 1)""")

@@ -44,13 +44,25 @@ def known_sources(lib: Library) -> DataFrame:
 
 
 def import_batch(
-    lib: Library, files: DataFrame, now: int, folder_id: int | None = None, skip_duplicates: bool = True
+    lib: Library,
+    files: DataFrame,
+    now: int,
+    folder_id: int | None = None,
+    skip_duplicates: bool = True,
+    cards: DataFrame | None = None,
+    pages: DataFrame | None = None,
+    split_pages: bool = False,
 ) -> tuple[Library, DataFrame, DataFrame, DataFrame]:
-    """Files (path, sha256, and failed: reason or null) into items, pages and source rows.
+    """Files (path, sha256, and failed: reason or null) into items, pages, contacts and source rows.
 
-    Returns (library, created(path, item_id, sha256), duplicates(path, existing_item_id),
-    rejected(path, reason)).  Duplicates are found by the hash of the original bytes, in the
-    library and earlier in the batch (by path).
+    ``cards``: contact rows of card files (path, card_no, and columns of contact_data); a card file without any is
+    rejected.  ``pages``: pages of multi-page files (path, page_no, sha256, failed); a file with a failed page is
+    rejected whole, and ``split_pages`` makes an item of each page.  Without them a card file is one bare contact and
+    every other file one page.
+
+    Returns (library, created(path, part, item_id, sha256), duplicates(path, existing_item_id), rejected(path, reason)).
+    ``part`` is the number of the card or page that became the item, else 0.  Duplicates are found by the hash of the
+    original bytes, in the library and earlier in the batch (by path); a file of several items is found by its first.
     """
     kind = kind_of(F.col("path"))
     ext = extension(F.col("path"))
@@ -59,6 +71,14 @@ def import_batch(
     reason = F.when(kind.isNull(), F.concat(F.lit("unsupported file type: ."), F.when(ext == "", "(none)").otherwise(ext))).otherwise(
         F.col("failed"))
     judged = files.select("path", "sha256", kind.alias("kind"), reason.alias("reason"))
+    if cards is not None:
+        judged = judged.join(cards.select("path", F.lit(True).alias("_cards")).distinct(), "path", "left").withColumn(
+            "reason", F.coalesce("reason", F.when((F.col("kind") == "card") & F.col("_cards").isNull(), "no vCard entries found"))
+        ).drop("_cards")
+    if pages is not None:
+        broken = pages.filter("failed").select("path", F.lit(True).alias("_broken")).distinct()
+        judged = judged.join(broken, "path", "left").withColumn(
+            "reason", F.coalesce("reason", F.when(F.col("_broken"), "a page could not be read"))).drop("_broken")
     rejected = judged.filter("reason IS NOT NULL").select("path", "reason")
     good = judged.filter("reason IS NULL")
     if skip_duplicates:
@@ -68,9 +88,15 @@ def import_batch(
         new = heads.filter("existing_item_id IS NULL").select("f.path", "f.kind", "sha256")
     else:
         new = good.select("path", "kind", "sha256")
-    created = checkpointed(number_rows(new, ["path"], out="item_id", start=next_id(lib["item"])))
+    new = new.withColumn("part", F.lit(0))
+    for parts, number in ((cards, "card_no"), (pages if split_pages else None, "page_no")):
+        if parts is not None:
+            numbers = parts.select("path", F.col(number).cast("int").alias("_part"))
+            new = new.join(numbers, "path", "left").withColumn("part", F.coalesce("_part", "part")).drop("_part")
+    created = checkpointed(number_rows(new, ["path", "part"], out="item_id", start=next_id(lib["item"])))
     if skip_duplicates:
-        owners = created.select("sha256", F.col("item_id").alias("owner"), F.col("path").alias("_first")).unionByName(
+        own = created.groupBy("sha256").agg(F.min("item_id").alias("owner"), F.min("path").alias("_first"))
+        owners = own.unionByName(
             heads.filter("existing_item_id IS NOT NULL").select("sha256", F.col("existing_item_id").alias("owner")), allowMissingColumns=True)
         duplicates = good.join(owners, "sha256").filter("_first IS NULL OR path <> _first").select(
             "path", F.col("owner").alias("existing_item_id"))
@@ -84,11 +110,19 @@ def import_batch(
         F.when(F.col("kind") == "card", "contact").otherwise("receipt").alias("type"),
         F.lit(now).alias("created_at"), F.lit(now).alias("modified_at"))
     scans = created.filter("kind <> 'card'")
+    contacts = created.filter("kind = 'card'").select("path", F.col("part").alias("card_no"), "item_id")
+    if cards is not None:
+        contacts = contacts.join(cards, ["path", "card_no"], "left")
     path = stored_path(F.col("sha256"), extension(F.col("path")))
-    pages = number_rows(
-        scans.select("item_id", F.lit(1).alias("seq"), path.alias("file_relpath"), F.col("sha256").alias("content_hash")),
-        ["item_id"], out="id", start=next_id(lib["page"])
-    ).withColumns({"rotation": F.lit(0), "ocr_status": F.lit("pending"), "ocr_generation": F.lit(0), "created_at": F.lit(now)})
+    leaves = scans.select("item_id", F.lit(1).cast("bigint").alias("seq"), path.alias("file_relpath"), F.col("sha256").alias("content_hash"))
+    if pages is not None:
+        numbered = paged_documents(pages, split_pages).select(
+            "path", F.when(F.lit(split_pages), F.col("item_no")).otherwise(F.lit(0)).cast("int").alias("part"), "seq",
+            stored_path(F.col("sha256"), F.lit("png")).alias("file_relpath"), F.col("sha256").alias("content_hash"))
+        paged = scans.select("path", "part", "item_id").join(numbered, ["path", "part"]).drop("path", "part")
+        leaves = leaves.join(paged.select("item_id"), "item_id", "left_anti").unionByName(paged)
+    added = number_rows(leaves, ["item_id", "seq"], out="id", start=next_id(lib["page"])).withColumns(
+        {"rotation": F.lit(0), "ocr_status": F.lit("pending"), "ocr_generation": F.lit(0), "created_at": F.lit(now)})
     receipts = scans.select("item_id", F.lit("USD").alias("currency"))
     sources = created.select(
         "item_id", F.col("sha256").alias("source_sha256"), path.alias("source_relpath"), base_name(F.col("path")).alias("original_name"),
@@ -96,11 +130,12 @@ def import_batch(
     lib = with_tables(
         lib,
         item=lib["item"].unionByName(shaped(items, "item")),
-        page=lib["page"].unionByName(shaped(pages, "page")),
+        page=lib["page"].unionByName(shaped(added, "page")),
         receipt_data=lib["receipt_data"].unionByName(shaped(receipts, "receipt_data")),
+        contact_data=lib["contact_data"].unionByName(shaped(contacts, "contact_data")),
         item_source_file=upsert_sources(lib, sources),
     )
-    return lib, created.select("path", "item_id", "sha256"), duplicates, rejected
+    return lib, created.select("path", "part", "item_id", "sha256"), duplicates, rejected
 
 
 def upsert_sources(lib: Library, rows: DataFrame) -> DataFrame:
