@@ -2,11 +2,15 @@
 
 Units of a text (its lines, its paragraphs, and the whole of it) are normalised to lower-case words. A template is a
 candidate for a unit only when their numbers of bigrams allow the bound: each template is listed under every size it
-can match, so candidates come from an equi-join on the size.
+can match, so candidates come from an equi-join on the size. Texts and units without any telling word of a template
+cannot share enough bigrams with one and are passed over first.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -59,6 +63,36 @@ def bigrams(words: Column) -> Column:
     return F.array_distinct(F.slice(pairs, F.lit(1), F.size(words) - 1))
 
 
+def telling_words(templates: Mapping[str, str], similarity: float) -> list[str]:
+    """Words of which every unit that matches some template has one.
+
+    A match has at least s / (2 - s) of a template's bigrams. Words are taken, those in most bigrams still needed first,
+    until so many bigrams of each template hold one of them that the others are too few for a match. A word of more than
+    four letters is looked for inside others, too.
+    """
+
+    def told(pair: tuple[str, str], word: str) -> bool:
+        return word in pair or len(word) > 4 and any(word in other for other in pair)
+
+    pairs = []
+    for text in templates.values():
+        words = re.sub(r"[^\w]+|_+", " ", text.lower()).split()
+        own = set(zip(words, words[1:]))
+        pairs.append((own, len(own) - math.ceil(len(own) * similarity / (2 - similarity) - 1e-9) + 1))
+    chosen: list[str] = []
+    while True:
+        short = [(own, need) for own, need in pairs if sum(any(told(pair, w) for w in chosen) for pair in own) < min(need, len(own))]
+        if not short:
+            return chosen
+        gain = Counter()
+        for own, _ in short:
+            for pair in own:
+                if not any(told(pair, w) for w in chosen):
+                    gain.update(set(pair))
+        # Among words that help as much, longer ones are rarer in other texts.
+        chosen.append(max(gain, key=lambda w: (len(w) > 4, gain[w], len(w), w)))
+
+
 def template_sizes(spark, templates: Mapping[str, str], similarity: float) -> DataFrame:
     """(size, license, template): each template once for every size at which the bound is possible.
 
@@ -84,7 +118,22 @@ def find_licenses(
     sizes = template_sizes(docs.sparkSession, templates, similarity)
     lines = F.split(F.col(text), "\n")
     units = F.array_distinct(F.concat(lines, F.split(F.col(text), r"\n[\s]*\n"), F.array(F.col(text))))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.explode(units).alias("unit"))
+    words_told = telling_words(templates, similarity)
+
+    def telling(column: Column) -> Column:
+        found = F.lit(False)
+        for word in words_told:
+            holds = F.contains(F.lower(column), F.lit(word))
+            if len(word) <= 4:
+                holds = holds & F.lower(column).rlike(r"(?<![\p{L}\p{N}])" + word + r"(?![\p{L}\p{N}])")
+            found = found | holds
+        return found
+
+    rows = (
+        docs.filter(telling(F.col(text)))
+        .select(F.col(doc_id).alias("doc_id"), F.explode(units).alias("unit"))
+        .filter(telling(F.col("unit")))
+    )
     words = rows.select("doc_id", F.split(normal(F.col("unit")), " ").alias("words")).filter(F.size("words") > 1)
     found = words.select("doc_id", bigrams(F.col("words")).alias("pairs")).withColumn("size", F.size("pairs"))
     shared = F.size(F.array_intersect("pairs", "template"))
