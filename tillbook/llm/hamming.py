@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tillbook.session import stored
+from tillbook.llm.common import settled
 
 WIDTH, SEGMENT, K = 64, 16, 10
 
@@ -49,19 +49,20 @@ def top_k(
     count = -(-width // segment)
     by_id = Window.partitionBy("code").orderBy("id")
     plain = rows.select(F.col(row_id).alias("id"), F.col(code).alias("code")).dropna()
-    codes = stored(
+    codes = settled(
         plain.withColumn("n", F.row_number().over(by_id)).filter(F.col("n") <= k)
         .groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")),
         "codes",
     )
     asked = queries.select(F.col(row_id).alias("query_id"), F.col(code).alias("query")).dropna()
-    open_queries = stored(asked.select("query").distinct(), "queries")
+    open_queries = settled(asked.select("query").distinct(), "queries")
     index = codes.select("code", "ids", F.posexplode(F.array(*_segments(F.col("code"), width, segment))).alias("j", "value"))
-    index = stored(index, "index")
-    best = None
+    index = settled(index, "index")
+    best, tasks = None, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for s in range(segment + 1):
         masks = F.filter(F.sequence(F.lit(0), F.lit((1 << segment) - 1)), lambda m: F.bit_count(m) == s)
-        probes = open_queries.select(
+        # Each query becomes as many probes as there are masks: its size now says nothing about theirs.
+        probes = open_queries.repartition(tasks, "query").select(
             "query", F.posexplode(F.array(*_segments(F.col("query"), width, segment))).alias("j", "own")
         ).select("query", "j", F.explode(F.transform(masks, lambda m: F.col("own").bitwiseXOR(m))).alias("value"))
         # A pair counts where its nearest segment is met first: no earlier segment is as near, no later one nearer.
@@ -69,12 +70,12 @@ def top_k(
         first = F.lit(True)
         for i, d in enumerate(apart):
             first = first & F.when(F.col("j") > i, d > s).when(F.col("j") < i, d >= s).otherwise(F.lit(True))
-        met = probes.join(index, ["j", "value"]).filter(first).select(
+        met = probes.join(index.hint("merge"), ["j", "value"]).filter(first).select(
             "query", "code", "ids", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).alias("distance")
         )
         every = met if best is None else best.unionByName(met)
         nearest = Window.partitionBy("query").orderBy("distance", F.col("ids")[0])
-        best = stored(
+        best = settled(
             every.withColumn("n", F.row_number().over(nearest)).filter(F.col("n") <= k).drop("n"), "best"
         )
         covered = count * (s + 1) - 1
@@ -82,7 +83,7 @@ def top_k(
             done = best.groupBy("query").agg(
                 F.sum(F.when(F.col("distance") <= covered, F.size("ids")).otherwise(0)).alias("sure")
             ).filter(F.col("sure") >= k)
-            open_queries = stored(open_queries.join(done, "query", "left_anti"), "queries")
+            open_queries = settled(open_queries.join(done, "query", "left_anti"), "queries")
             if open_queries.isEmpty():
                 break
     ranked = (
