@@ -45,28 +45,28 @@ def list_total_subtree(spark, sf):
 def filter_recent(spark, sf):
     lib = star.library(spark, sf)
     req = ListRequest(smart_filter="recent", now=1_600_000_000_000 + listing.RECENT_MS)
-    return listing.filtered(lib, listing.flagged_items(lib), req).select("item_id")
+    return listing.listed_items(lib, req).select("item_id")
 
 
 @query("filter_trash_with_superseded", "select item_id from flagged where trashed_at is not null")
 def filter_trash_with_superseded(spark, sf):
     lib = star.library(spark, sf)
     req = ListRequest(smart_filter="trash", include_superseded=True)
-    return listing.filtered(lib, listing.flagged_items(lib), req).select("item_id")
+    return listing.listed_items(lib, req).select("item_id")
 
 
 @query("filter_needs_review", "select item_id from flagged where trashed_at is null and superseded_at is null and needs_review and type = 'receipt'")
 def filter_needs_review(spark, sf):
     lib = star.library(spark, sf)
     req = ListRequest(smart_filter="needsReview", type="receipt")
-    return listing.filtered(lib, listing.flagged_items(lib), req).select("item_id")
+    return listing.listed_items(lib, req).select("item_id")
 
 
 @query("filter_unreviewed_inbox", "select item_id from flagged where trashed_at is null and superseded_at is null and reviewed_at is null and folder_id = 900")
 def filter_unreviewed_inbox(spark, sf):
     lib = star.library(spark, sf)
     req = ListRequest(smart_filter="unreviewed", folder_id=900)
-    return listing.filtered(lib, listing.flagged_items(lib), req).select("item_id")
+    return listing.listed_items(lib, req).select("item_id")
 
 
 @query("summable_filter_totals", """

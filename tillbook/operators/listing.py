@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tillbook.functions.checks import json_fields
 from tillbook.operators.canonical import (
+    MISSING_FLAGS,
     count_where,
     item_pages,
-    missing_key_data,
     summable_receipts,
 )
 from tillbook.operators.lists import ascii_fold
@@ -46,9 +46,7 @@ def folder_paths(lib: Library) -> DataFrame:
     Roots are folders without a parent or whose parent is gone.
     """
     spark = lib["folder"].sparkSession
-    # The tree is as large as the folder table and no deeper than it: lift the default caps.
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", "-1")
+    _lift_recursion_caps(spark)
     lib["folder"].select("id", "parent_id", "kind", "name", "sort_order").createOrReplaceTempView("folder_rows")
     # Siblings sort by sort_order, name, id: each step appends one comparable text key.
     step = "concat(lpad(cast({0}.sort_order + 1000000000 as string), 10, '0'), '/', {0}.name, '/', lpad(cast({0}.id as string), 19, '0'))"
@@ -71,10 +69,24 @@ def folder_tree(lib: Library) -> DataFrame:
 
 
 def subtree_ids(lib: Library, folder_id: int) -> DataFrame:
-    """A folder and everything below it."""
-    return folder_paths(lib).filter(F.array_contains("path_ids", F.lit(folder_id).cast("bigint"))).select(
-        F.col("id").alias("folder_id")
-    )
+    """A folder and everything below it; the recursion starts at the folder and cuts cycles."""
+    spark = lib["folder"].sparkSession
+    _lift_recursion_caps(spark)
+    lib["folder"].select("id", "parent_id").createOrReplaceTempView("folder_links")
+    return spark.sql(f"""
+        WITH RECURSIVE below(id, path_ids) AS (
+          SELECT id, array(id) FROM folder_links WHERE id = {int(folder_id)}
+          UNION ALL
+          SELECT f.id, array_append(b.path_ids, f.id) FROM folder_links f JOIN below b ON f.parent_id = b.id
+          WHERE NOT array_contains(b.path_ids, f.id)
+        )
+        SELECT id AS folder_id FROM below""")
+
+
+def _lift_recursion_caps(spark) -> None:
+    # A tree is as large as the folder table and no deeper than it.
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    spark.conf.set("spark.sql.cteRecursionLevelLimit", "-1")
 
 
 def reparent_allowed(lib: Library, moves: DataFrame) -> DataFrame:
@@ -109,10 +121,26 @@ def page_rollup(lib: Library) -> DataFrame:
 
 
 def first_thumbs(lib: Library) -> DataFrame:
-    """Thumbnail (or file) of the first page, split children included."""
-    return item_pages(lib).groupBy("item_id").agg(
-        F.min_by(F.coalesce("thumb_relpath", "file_relpath"), F.struct("seq", "page_id")).alias("thumb_relpath"),
-        F.lit(True).alias("has_images"),
+    """Thumbnail (or file) of the first page, split children included.
+
+    A child cites the first page of its origin, or the pinned one: one row per child, never its origin's pages.
+    """
+    page = lib["page"].select(
+        "item_id", F.coalesce("thumb_relpath", "file_relpath").alias("thumb"), F.struct("seq", F.col("id").alias("page_id")).alias("at")
+    )
+    item = lib["item"].select(F.col("id").alias("item_id"), "split_group_id", "split_role")
+    first = page.groupBy("item_id").agg(F.min_by("thumb", "at").alias("thumb"), F.min("at").alias("at"))
+    group = lib["split_group"].select(F.col("id").alias("split_group_id"), F.col("origin_item_id"), "origin_page_id")
+    child = item.filter("split_role = 'child'").select("item_id", "split_group_id").join(group, "split_group_id")
+    origin = first.withColumnRenamed("item_id", "origin_item_id")
+    pinned = page.withColumnRenamed("item_id", "origin_item_id").withColumn("origin_page_id", F.col("at.page_id"))
+    cited = child.filter("origin_page_id IS NULL").join(origin, "origin_item_id").select("item_id", "thumb", "at").unionByName(
+        child.filter("origin_page_id IS NOT NULL").join(pinned, ["origin_item_id", "origin_page_id"]).select("item_id", "thumb", "at"))
+    return (
+        first.join(item.select("item_id"), "item_id", "left_semi")
+        .unionByName(cited)
+        .groupBy("item_id")
+        .agg(F.min_by("thumb", "at").alias("thumb_relpath"), F.lit(True).alias("has_images"))
     )
 
 
@@ -128,14 +156,19 @@ def low_confidence_fields(extraction: Column) -> Column:
 def flagged_items(lib: Library) -> DataFrame:
     """One row per item with everything the list, its filters and its counters need."""
     receipt = lib["receipt_data"].withColumn("has_receipt", F.lit(True))
-    missing = missing_key_data(lib).drop("folder_id").withColumn("in_missing_view", F.lit(True))
     rows = (
         lib["item"]
         .withColumnRenamed("id", "item_id")
         .join(receipt, "item_id", "left")
         .join(page_rollup(lib), "item_id", "left")
-        .join(missing, "item_id", "left")
     )
+    # The flags of the view of missing data, from the columns at hand: null outside the view.
+    summable = F.col("has_receipt") & (F.col("type") == "receipt") & F.col("trashed_at").isNull() & F.col("superseded_at").isNull()
+    empty_field = F.lit(False)
+    for source in MISSING_FLAGS.values():
+        empty_field = empty_field | F.col(source).isNull()
+    rows = rows.withColumn("in_missing_view", F.when(summable & empty_field, F.lit(True)))
+    rows = rows.withColumns({flag: F.when(F.col("in_missing_view"), F.col(source).isNull()) for flag, source in MISSING_FLAGS.items()})
     pages = F.coalesce("n_pages", F.lit(0)) > 0
     receipt_without_total = (F.col("type") == "receipt") & pages & F.col("total_minor").isNull()
     unreadable = F.coalesce(F.col("ocr_min_conf") < UNUSABLE_PAGE_CONFIDENCE, F.lit(False))
@@ -161,8 +194,14 @@ def flagged_items(lib: Library) -> DataFrame:
     )
 
 
+def listed_items(lib: Library, req: ListRequest) -> DataFrame:
+    """The items a list request asks for, with item columns at least; only "needs review" looks beyond them."""
+    rows = flagged_items(lib) if req.smart_filter == "needsReview" else lib["item"].withColumnRenamed("id", "item_id")
+    return filtered(lib, rows, req)
+
+
 def filtered(lib: Library, rows: DataFrame, req: ListRequest) -> DataFrame:
-    """The item filter of a list request over flagged items."""
+    """The item filter of a list request over items, flagged ones where it asks for flags."""
     trash = req.smart_filter == "trash"
     rows = rows.filter(F.col("trashed_at").isNotNull() if trash else F.col("trashed_at").isNull())
     if not req.include_superseded:
@@ -287,7 +326,7 @@ def list_items(lib: Library, req: ListRequest) -> DataFrame:
 
 def list_total(lib: Library, req: ListRequest) -> DataFrame:
     """Rows the filter matches without the page limit."""
-    return filtered(lib, flagged_items(lib), req).agg(F.count("*").alias("total"))
+    return listed_items(lib, req).agg(F.count("*").alias("total"))
 
 
 # --- totals --------------------------------------------------------------------------
