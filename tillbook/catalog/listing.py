@@ -168,9 +168,10 @@ def list_values_vendor(spark, sf):
 
 @query("folder_tree", """
     with recursive tree as (
-      select id, parent_id, kind, name, 0 depth, name path from folder where parent_id is null
-      union all select f.id, f.parent_id, f.kind, f.name, depth + 1, path || ' / ' || f.name from folder f join tree t on f.parent_id = t.id)
-    select * from tree""")
+      select id, parent_id, kind, name, 0 depth, name path, [lpad((sort_order + 1000000000)::varchar, 10, '0') || '/' || name || '/' || lpad(id::varchar, 19, '0')] pos from folder where parent_id is null
+      union all select f.id, f.parent_id, f.kind, f.name, depth + 1, path || ' / ' || f.name,
+        list_append(pos, lpad((f.sort_order + 1000000000)::varchar, 10, '0') || '/' || f.name || '/' || lpad(f.id::varchar, 19, '0')) from folder f join tree t on f.parent_id = t.id)
+    select id, parent_id, kind, name, depth, path, row_number() over (order by pos) ordinal from tree""")
 def folder_tree(spark, sf):
     return listing.folder_tree(star.library(spark, sf))
 

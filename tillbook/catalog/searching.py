@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tillbook.catalog import query
 from tillbook.operators import search as s
 from tillbook.operators.search import SearchQuery
+from tillbook.session import shared_dir
 from tillbook.sources import star
 
 TOKENS = r"list_filter(regexp_split_to_array(strip_accents(lower(coalesce({0}, ''))), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
@@ -109,12 +112,42 @@ def bm25_phrase(spark, sf):
     return _rounded(s.bm25_rows(star.library(spark, sf)["page"], "id", ["ocr_text"], terms).drop("text"))
 
 
+def _index(spark, docs, key: str, columns: list[str]) -> str:
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    s.write_index(docs, key, columns, path)
+    return path
+
+
+@query("bm25_indexed_pages", f"with {bm25_cte('ps', 'page', 'id', ['ocr_text'], [(['the'], False), (['th'], True)])} select key id, round(score, 6) score from ps")
+def bm25_indexed_pages(spark, sf):
+    """T2-T4 from stored postings: a word and a prefix."""
+    page = star.library(spark, sf)["page"]
+    terms = s.query_tokens(s.clean_query("the th*"))
+    return _rounded(s.bm25_indexed(page, "id", ["ocr_text"], terms, _index(spark, page, "id", ["ocr_text"])).drop("text"))
+
+
+@query("bm25_indexed_phrase", f"with {bm25_cte('ps', 'item_search_src', 'id', s.FIELD_COLUMNS, [(['trading', 'store'], False), (['7'], False)])} select key id, round(score, 6) score from ps")
+def bm25_indexed_phrase(spark, sf):
+    """T3 from stored postings: a phrase and a word over several columns."""
+    rows = star.library(spark, sf)["item_search_src"]
+    terms = s.query_tokens(s.clean_query("trading-store 7"))
+    return _rounded(s.bm25_indexed(rows, "id", s.FIELD_COLUMNS, terms, _index(spark, rows, "id", s.FIELD_COLUMNS)).drop("text"))
+
+
 @query("search_both_sides", fused_sql([(["en"], False)], "select item_id, i.type, i.folder_id, score, in_fields, in_text from hits join item i on i.id = item_id where i.trashed_at is null"))
 def search_both_sides(spark, sf):
     """Every hit of a word that is a language tag and a word of the texts."""
     return _rounded(s.matches(star.library(spark, sf), SearchQuery(q="en"))).drop("snippet")
 
 
+@query("search_indexed", fused_sql([(["en"], False)], "select item_id, i.type, i.folder_id, score, in_fields, in_text from hits join item i on i.id = item_id where i.trashed_at is null"))
+def search_indexed(spark, sf):
+    """T6 from stored postings of both sides."""
+    lib = star.library(spark, sf)
+    index = s.index_library(lib, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    return _rounded(s.matches(lib, SearchQuery(q="en"), index)).drop("snippet")
+
+
 @query("search_top", fused_sql([(["trading"], False), (["store"], False)], """
     select item_id, i.type, i.folder_id, score, in_fields, in_text from hits join item i on i.id = item_id
     join receipt_data r using (item_id) where i.trashed_at is null and reviewed_at is not null and total_minor >= 10000000 and txn_date <= date '1999-12-31' order by score desc, item_id limit 40 offset 5"""))

@@ -14,6 +14,7 @@ from tillbook.operators.canonical import (
     summable_receipts,
 )
 from tillbook.operators.lists import ascii_fold
+from tillbook.plans.scale import number_rows
 from tillbook.schemas import Library
 
 # Thresholds and defaults.
@@ -65,7 +66,8 @@ def folder_paths(lib: Library) -> DataFrame:
 
 def folder_tree(lib: Library) -> DataFrame:
     """Depth-first order, siblings by sort order, name, id."""
-    return folder_paths(lib).orderBy("position").select("id", "parent_id", "kind", "name", "depth", "path")
+    ordered = folder_paths(lib).select("id", "parent_id", "kind", "name", "depth", "path", "position")
+    return number_rows(ordered, ["position"], out="ordinal").drop("position").orderBy("ordinal")
 
 
 def subtree_ids(lib: Library, folder_id: int) -> DataFrame:

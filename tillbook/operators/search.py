@@ -164,16 +164,78 @@ def bm25_rows(docs: DataFrame, key: str, columns: list[str], terms: list[tuple[l
     matching = counted
     for i in range(len(terms)):
         matching = matching.filter(F.col(f"f{i}") > 0)
-    matching = matching.withColumn("_s", stat)
+    return matching.withColumn("_s", stat).select(key, _score(len(terms)).alias("score"), "text")
+
+
+def _score(terms: int) -> Column:
+    """Lower is better; from ``len``, the counts f0.. and the statistics ``_s`` (n, avg_len, df0..)."""
     n, avg = F.col("_s.n"), F.col("_s.avg_len")
     score = F.lit(0.0)
-    for i in range(len(terms)):
+    for i in range(terms):
         df, f = F.col(f"_s.df{i}"), F.col(f"f{i}").cast("double")
         raw = F.log((n - df + 0.5) / (df + 0.5))
         idf = F.when(raw > 0, raw).otherwise(MIN_IDF)
         norm = F.lit(BM25_K1) * (F.lit(1 - BM25_B) + F.lit(BM25_B) * F.col("len") / avg)
         score = score - idf * (f * (BM25_K1 + 1)) / (f + norm)
-    return matching.select(key, score.alias("score"), "text")
+    return score
+
+
+# --- stored postings -------------------------------------------------------------------
+
+
+def write_index(docs: DataFrame, key: str, columns: list[str], path: str) -> None:
+    """Postings sorted by term, so that a request reads the row groups of its terms only, and the lengths.
+
+    postings: term, key, tf, len (words of the row in all columns); totals: rows and words, one row.
+    """
+    size = sum((F.size(tokens_of(F.col(c))) for c in columns[1:]), F.size(tokens_of(F.col(columns[0]))))
+    counted = inverted_index(docs, key, columns).groupBy(key, "term").agg(F.sum("tf").alias("tf"))
+    lengths = docs.select(key, size.cast("bigint").alias("len"))
+    postings = counted.join(lengths, key).select("term", F.col(key).alias("key"), "tf", "len")
+    postings.repartitionByRange("term", "key").sortWithinPartitions("term", "key").write.mode("errorifexists").parquet(f"{path}/postings")
+    lengths.agg(F.count("*").alias("n"), F.sum("len").alias("words")).write.mode("errorifexists").parquet(f"{path}/totals")
+
+
+def bm25_indexed(
+    docs: DataFrame, key: str, columns: list[str], terms: list[tuple[list[str], bool]], path: str
+) -> DataFrame:
+    """T3/T4 from a stored index: the same (key, score, text) as ``bm25_rows``.
+
+    Only postings of the words asked for are read, and ``docs`` only for rows that hold every word: phrases are counted
+    in their text, and the text is for snippets.
+    """
+    spark = docs.sparkSession
+    postings = spark.read.parquet(f"{path}/postings")
+    word = F.col("term")
+
+    def rows_of(words: list[str], prefix: bool) -> DataFrame:
+        """Rows that hold every word of a term, with the counts of a single word."""
+        found = None
+        for k, w in enumerate(words):
+            open_end = prefix and k == len(words) - 1
+            one = postings.filter(word.startswith(w) if open_end else word == w).groupBy("key", "len").agg(F.sum("tf").alias("tf"))
+            found = one if found is None else found.join(one.select("key"), "key", "left_semi")
+        return found
+
+    counted = []
+    for i, (words, prefix) in enumerate(terms):
+        rows = rows_of(words, prefix)
+        if len(words) > 1:
+            pattern = F.lit(term_pattern(words, prefix))
+            texts = docs.select(F.col(key).alias("key"), *[F.coalesce(folded_text(F.col(c)), F.lit("")).alias(f"_t{j}") for j, c in enumerate(columns)])
+            times = sum((F.regexp_count(f"_t{j}", pattern) for j in range(1, len(columns))), F.regexp_count("_t0", pattern))
+            rows = rows.join(texts, "key").select("key", "len", times.cast("bigint").alias("tf")).filter("tf > 0")
+        counted.append(rows.withColumnRenamed("tf", f"f{i}"))
+    totals = spark.read.parquet(f"{path}/totals").select(F.col("n").cast("double").alias("n"), (F.col("words") / F.col("n")).alias("avg_len"))
+    stats = totals
+    for i, rows in enumerate(counted):
+        stats = stats.withColumn(f"df{i}", rows.agg(F.count("*").cast("double").alias("df")).scalar())
+    stat = stats.select(F.struct("*").alias("s")).scalar()
+    matching = counted[0]
+    for rows in counted[1:]:
+        matching = matching.join(rows.drop("len"), "key")
+    scored = matching.withColumn("_s", stat).select(F.col("key").alias(key), _score(len(terms)).alias("score"))
+    return scored.join(docs.select(key, F.col(columns[0]).alias("text")), key)
 
 
 def snippet(text: Column, words: list[str], prefix: bool) -> Column:
@@ -210,16 +272,27 @@ def normalised(side: DataFrame, score: str, out: str) -> DataFrame:
     return rows.withColumn(out, F.when(hi == lo, 1.0).otherwise((hi - F.col(score)) / (hi - lo))).drop("_m")
 
 
-def item_side(lib: Library, terms: list[tuple[list[str], bool]], include_trashed: bool) -> DataFrame:
+def index_library(lib: Library, path: str) -> dict[str, str]:
+    """Stored postings of both sides, for ``matches``."""
+    write_index(lib["item_search_src"], "id", FIELD_COLUMNS, f"{path}/fields")
+    write_index(lib["page"].select("id", "ocr_text"), "id", ["ocr_text"], f"{path}/pages")
+    return {"fields": f"{path}/fields", "pages": f"{path}/pages"}
+
+
+def _ranked(docs: DataFrame, columns: list[str], terms: list[tuple[list[str], bool]], index: str | None) -> DataFrame:
+    return bm25_indexed(docs, "id", columns, terms, index) if index else bm25_rows(docs, "id", columns, terms)
+
+
+def item_side(lib: Library, terms: list[tuple[list[str], bool]], include_trashed: bool, index: str | None = None) -> DataFrame:
     """Items whose fields match: item_id, score."""
-    hits = bm25_rows(lib["item_search_src"], "id", FIELD_COLUMNS, terms).select(F.col("id").alias("item_id"), "score")
+    hits = _ranked(lib["item_search_src"], FIELD_COLUMNS, terms, index).select(F.col("id").alias("item_id"), "score")
     return hits if include_trashed else hits.join(live_items(lib), "item_id", "left_semi")
 
 
-def page_side(lib: Library, terms: list[tuple[list[str], bool]], include_trashed: bool) -> DataFrame:
+def page_side(lib: Library, terms: list[tuple[list[str], bool]], include_trashed: bool, index: str | None = None) -> DataFrame:
     """Items by their best page: item_id, score, snippet."""
     owner = lib["page"].select("id", "item_id")
-    hits = bm25_rows(lib["page"].select("id", "ocr_text"), "id", ["ocr_text"], terms)
+    hits = _ranked(lib["page"].select("id", "ocr_text"), ["ocr_text"], terms, index)
     hits = hits.select("id", "score", snippet(F.col("text"), *terms[0]).alias("snippet")).join(owner, "id")
     if not include_trashed:
         hits = hits.join(live_items(lib), "item_id", "left_semi")
@@ -232,10 +305,13 @@ def live_items(lib: Library) -> DataFrame:
     return lib["item"].filter("trashed_at IS NULL").select(F.col("id").alias("item_id"))
 
 
-def fused(lib: Library, terms: list[tuple[list[str], bool]], include_trashed: bool) -> DataFrame:
+def fused(
+    lib: Library, terms: list[tuple[list[str], bool]], include_trashed: bool, index: dict[str, str] | None = None
+) -> DataFrame:
     """Both sides in one ranking; a field match outranks any page match."""
-    fields = normalised(item_side(lib, terms, include_trashed), "score", "field_norm").drop("score")
-    pages = normalised(page_side(lib, terms, include_trashed), "score", "page_norm").drop("score")
+    index = index or {}
+    fields = normalised(item_side(lib, terms, include_trashed, index.get("fields")), "score", "field_norm").drop("score")
+    pages = normalised(page_side(lib, terms, include_trashed, index.get("pages")), "score", "page_norm").drop("score")
     both = fields.join(pages, "item_id", "full")
     in_fields = F.col("field_norm").isNotNull()
     score = (
@@ -288,8 +364,8 @@ def structured_filter(lib: Library, query: SearchQuery) -> DataFrame:
     return rows.select("item_id", "type", "folder_id")
 
 
-def matches(lib: Library, query: SearchQuery) -> DataFrame:
-    """All hits of a query before paging."""
+def matches(lib: Library, query: SearchQuery, index: dict[str, str] | None = None) -> DataFrame:
+    """All hits of a query before paging; from the postings of ``index_library`` where they are given, else by a scan."""
     terms = query_tokens(clean_query(query.q))
     allowed = structured_filter(lib, query)
     if not clean_query(query.q):
@@ -301,13 +377,13 @@ def matches(lib: Library, query: SearchQuery) -> DataFrame:
         return allowed.filter(F.lit(False)).select(
             "item_id", "type", "folder_id", F.lit(0.0).alias("score"), F.lit(False).alias("in_fields"),
             F.lit(False).alias("in_text"), F.lit(None).cast("string").alias("snippet"))
-    return fused(lib, terms, query.include_trashed).join(allowed, "item_id").select(
+    return fused(lib, terms, query.include_trashed, index).join(allowed, "item_id").select(
         "item_id", "type", "folder_id", "score", "in_fields", "in_text", "snippet")
 
 
-def search(lib: Library, query: SearchQuery) -> DataFrame:
+def search(lib: Library, query: SearchQuery, index: dict[str, str] | None = None) -> DataFrame:
     """One page of hits, best first."""
-    return matches(lib, query).orderBy(F.col("score").desc(), "item_id").offset(query.offset).limit(query.limit)
+    return matches(lib, query, index).orderBy(F.col("score").desc(), "item_id").offset(query.offset).limit(query.limit)
 
 
 def search_totals(lib: Library, query: SearchQuery) -> DataFrame:
