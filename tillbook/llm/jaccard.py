@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tillbook.llm.common import BLOCK_BYTES, distinct_per_row, hashed_words, lists, mix, settled, shingles, text_blocks
 from tillbook.llm.graph import components
@@ -30,7 +30,8 @@ COUNT_BITS = 19
 DEVIATIONS, FLOOR = 8.0, 24
 # From this many times that bound on, combinations have three shingles instead of two.
 VERY = 16
-# Bits of a set's parity sketch. Two sets differ in at least as many shingles as their sketches do in bits.
+# Bits of a set's parity sketch at least; larger sets have a power of two that is no less than their size. Two sets
+# differ in at least as many shingles as their sketches do in bits.
 SKETCH_BITS = 2048
 # Parts that a set plays in a pair, with the bit that says so.
 ROLES = {"both": 3, "smaller": 1, "larger": 2}
@@ -86,12 +87,29 @@ def words_per_row(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.bincount(np.searchsorted(offsets, starts, "right") - 1, minlength=len(offsets) - 1)
 
 
-def sketches(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Parity of the shingles in each of SKETCH_BITS places, a row of 64-bit numbers for each set."""
+def sketches(tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity of the shingles in each place of a set's sketch, as 64-bit numbers, and how many of them each set has.
+
+    Half of a sketch upon the other, by exclusive or, is the sketch of half as many bits.
+    """
+    bits = np.maximum(SKETCH_BITS, 1 << (level(np.maximum(counts, 2) - 1) + 1))
+    ends = np.cumsum(bits)
     row = np.repeat(np.arange(len(counts)), counts)
-    place = (mix(tokens ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    odd = np.bincount(row * SKETCH_BITS + place, minlength=len(counts) * SKETCH_BITS) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(len(counts), SKETCH_BITS), axis=1).view(np.int64)
+    place = mix(tokens ^ np.uint64(0x2545F4914F6CDD1D)) % bits[row].astype(np.uint64)
+    odd = np.bincount((ends - bits)[row] + place.astype(np.int64), minlength=int(bits.sum())) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64), bits // 64
+
+
+def _differing(a: str, b: str) -> Column:
+    """Bits in which two sketches differ, the longer one folded; sets near enough in size are one fold apart at most."""
+
+    def fold(x: Column, to: Column) -> Column:
+        folded = F.transform(F.sequence(F.lit(1), to), lambda i: F.element_at(x, i).bitwiseXOR(F.element_at(x, i + to)))
+        return F.when(F.size(x) > to, folded).otherwise(x)
+
+    to = F.least(F.size(a), F.size(b))
+    bits = F.zip_with(fold(F.col(a), to), fold(F.col(b), to), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(bits, F.lit(0), lambda s, x: s + x)
 
 
 def set_keys(tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -250,12 +268,13 @@ def signed_sets(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -
                 tokens, counts = sets_of(data, offsets, n)
                 k1, k2 = set_keys(tokens, counts)
                 signs, rare = signatures(tokens, counts, of_class.value, percent)
+                sketch, sketch_sizes = sketches(tokens, counts)
                 made = [distinct_per_row_of(*signs[role], end - at) for role in ROLES]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, end - at), batch.column(2).slice(at, end - at), pa.array(k1), pa.array(k2),
                         pa.array(counts.astype(np.int64)), pa.array(rare.astype(np.int64)),
-                        lists(pa.array(sketches(tokens, counts).ravel()), np.full(end - at, SKETCH_BITS // 64)),
+                        lists(pa.array(sketch), sketch_sizes),
                         *[lists(pa.array(x.view(np.int64)), per_row) for x, per_row in made],
                     ],
                     names=schema.names,
@@ -343,7 +362,8 @@ def near_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: in
         "nodes",
     )
     parts = [
-        nodes.select(F.explode(role).alias("sign"), "node", "rare", F.lit(bit).alias("role")) for role, bit in ROLES.items()
+        nodes.select(F.explode(role).alias("sign"), "node", "rare", F.col("size").cast("int"), F.lit(bit).alias("role"))
+        for role, bit in ROLES.items()
     ]
     signed = parts[0].unionByName(parts[1]).unionByName(parts[2])
     # The set with the fewest rare shingles is the likeliest centre of its bucket.
@@ -355,39 +375,40 @@ def near_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: in
     # Written first: a join of two shuffled tables is one whose hot keys Spark can split.
     shared = settled(shared.select("sign", "pivot"), "shared")
     members = settled(signed.drop("rare").join(shared, "sign"), "members")
-    names = nodes.select("node", "k1", "k2", "size", "text_key", "sketch")
+    sizes = nodes.select("node", F.col("size").cast("int"))
+    names = nodes.select("node", "k1", "k2", "text_key", "sketch")
+
+    def near(a: str, b: str) -> Column:
+        return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
     def candidates(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) of nodes that may link by their sizes and sketches, with the names of their sets."""
-        a = names.toDF("a", "a1", "a2", "a_size", "a_text", "a_sketch")
-        b = names.toDF("b", "b1", "b2", "b_size", "b_text", "b_sketch")
-        total = F.col("a_size") + F.col("b_size")
-        near = (F.col("a_size") * 100 >= F.col("b_size") * percent) & (F.col("b_size") * 100 >= F.col("a_size") * percent)
-        differing = F.aggregate(
-            F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
-        )
+        a = names.toDF("a", "a1", "a2", "a_text", "a_sketch")
+        b = names.toDF("b", "b1", "b2", "b_text", "b_sketch")
         # Sets that link have (total + differing) * percent <= 100 * (total - differing) for the shingles that differ.
-        possible = differing * (100 + percent) <= total * (100 - percent)
-        return (
-            pairs.distinct().join(a, "a").join(b, "b").filter(near).filter(possible)
-            .drop("a_size", "b_size", "a_sketch", "b_sketch")
+        possible = _differing("a_sketch", "b_sketch") * (100 + percent) <= F.col("total") * (100 - percent)
+        sized = (
+            pairs.distinct().join(sizes.toDF("a", "a_size"), "a").join(sizes.toDF("b", "b_size"), "b")
+            .filter(near("a_size", "b_size")).select("a", "b", (F.col("a_size") + F.col("b_size")).alias("total"))
         )
+        return sized.join(a, "a").join(b, "b").filter(possible).drop("total", "a_sketch", "b_sketch")
 
     first = settled(candidates(members.filter("node <> pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))), "pairs")
     linked = settled(verified(docs, text, n, percent, first), "linked")
     roots = components(linked)
 
     rooted = settled(
-        members.join(roots, "node", "left").select("sign", "node", "role", F.coalesce("root", "node").alias("root")), "rooted"
+        members.join(roots, "node", "left").select("sign", "node", "role", "size", F.coalesce("root", "node").alias("root")), "rooted"
     )
     apart = rooted.groupBy("sign").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
     open_members = settled(rooted.join(settled(apart.select("sign"), "apart"), "sign"), "open")
     side = lambda name, bit: open_members.filter(F.col("role").bitwiseAND(bit) == bit).select(
-        "sign", F.col("node").alias(name), F.col("root").alias(f"{name}_root")
+        "sign", F.col("node").alias(name), F.col("root").alias(f"{name}_root"), F.col("size").alias(f"{name}_size")
     )
     pairs = (
         side("x", 1).join(side("y", 2), "sign")
-        .filter("x_root <> y_root")
+        .filter(F.col("x_root") != F.col("y_root"))
+        .filter(near("x_size", "y_size"))
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     )
     second = settled(candidates(pairs).join(first.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
