@@ -3,7 +3,8 @@
 A code of ``width`` bits is cut into segments of ``segment`` bits, each an index of its own. In round s every segment
 of a query is looked up under all values at Hamming distance exactly s. A code at distance d has a segment at distance
 d / segments or less, so after round s all codes up to distance segments * (s + 1) - 1 have been met and verified. A
-query ends when its kth neighbour lies within that; the last round meets every code.
+query ends when its kth neighbour lies within that; the last round meets every code. What lies beyond the kth neighbour
+of the rounds before is left out as it is met.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ def top_k(
         "codes",
     )
     asked = queries.select(F.col(row_id).alias("query_id"), F.col(code).alias("query")).dropna()
-    open_queries = settled(asked.select("query").distinct(), "queries")
+    open_queries = settled(asked.select("query").distinct().withColumn("bound", F.lit(width)), "queries")
     index = codes.select("code", "ids", F.posexplode(F.array(*_segments(F.col("code"), width, segment))).alias("j", "value"))
     index = settled(index, "index")
     best, tasks = None, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -63,15 +64,19 @@ def top_k(
         masks = F.filter(F.sequence(F.lit(0), F.lit((1 << segment) - 1)), lambda m: F.bit_count(m) == s)
         # Each query becomes as many probes as there are masks: its size now says nothing about theirs.
         probes = open_queries.repartition(tasks, "query").select(
-            "query", F.posexplode(F.array(*_segments(F.col("query"), width, segment))).alias("j", "own")
-        ).select("query", "j", F.explode(F.transform(masks, lambda m: F.col("own").bitwiseXOR(m))).alias("value"))
+            "query", "bound", F.posexplode(F.array(*_segments(F.col("query"), width, segment))).alias("j", "own")
+        ).select("query", "bound", "j", F.explode(F.transform(masks, lambda m: F.col("own").bitwiseXOR(m))).alias("value"))
         # A pair counts where its nearest segment is met first: no earlier segment is as near, no later one nearer.
         apart = [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(_segments(F.col("query"), width, segment), _segments(F.col("code"), width, segment))]
         first = F.lit(True)
         for i, d in enumerate(apart):
             first = first & F.when(F.col("j") > i, d > s).when(F.col("j") < i, d >= s).otherwise(F.lit(True))
-        met = probes.join(index.hint("merge"), ["j", "value"]).filter(first).select(
-            "query", "code", "ids", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).alias("distance")
+        distance = F.bit_count(F.col("query").bitwiseXOR(F.col("code")))
+        met = (
+            probes.join(index.hint("merge"), ["j", "value"])
+            .filter(distance <= F.col("bound"))
+            .filter(first)
+            .select("query", "code", "ids", distance.alias("distance"))
         )
         every = met if best is None else best.unionByName(met)
         nearest = Window.partitionBy("query").orderBy("distance", F.col("ids")[0])
@@ -80,10 +85,16 @@ def top_k(
         )
         covered = count * (s + 1) - 1
         if s < segment:
-            done = best.groupBy("query").agg(
-                F.sum(F.when(F.col("distance") <= covered, F.size("ids")).otherwise(0)).alias("sure")
-            ).filter(F.col("sure") >= k)
-            open_queries = settled(open_queries.join(done, "query", "left_anti"), "queries")
+            known = best.groupBy("query").agg(
+                F.sum(F.when(F.col("distance") <= covered, F.size("ids")).otherwise(0)).alias("sure"),
+                F.when(F.count("*") >= k, F.max("distance")).alias("kth"),
+            )
+            open_queries = settled(
+                open_queries.join(known, "query", "left")
+                .filter(F.coalesce("sure", F.lit(0)) < k)
+                .select("query", F.coalesce("kth", "bound").alias("bound")),
+                "queries",
+            )
             if open_queries.isEmpty():
                 break
     ranked = (
