@@ -295,6 +295,25 @@ def test_fingerprints_of_repeated_and_null_ids_and_of_nothing(docs, nothing, spa
     assert alone.near_next == 1.0
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.5])
+def test_classes_of_fingerprints_are_those_of_all_pairs(docs, similarity):
+    got = sorted((tuple(r) for r in spotsigs.near_duplicates(docs, similarity).collect()), key=str)
+    held = docs.select("doc_id", spotsigs.signatures(F.col("text")).alias("signs")).collect()
+    sets = sorted({frozenset(r.signs) for r in held if r.signs}, key=sorted)
+    group = {s: s for s in sets}
+    for i, a in enumerate(sets):
+        for b in sets[i + 1 :]:
+            if len(a & b) >= similarity * len(a | b) - 1e-9 and group[a] != group[b]:
+                old, new = group[b], group[a]
+                group = {s: new if g == old else g for s, g in group.items()}
+    least = defaultdict(list)
+    for r in held:
+        if r.signs and r.doc_id is not None:
+            least[group[frozenset(r.signs)]].append(r.doc_id)
+    want = [(r.doc_id, min(least[group[frozenset(r.signs)]]) if r.signs else r.doc_id) for r in held]
+    assert got == sorted(want, key=str)
+
+
 def test_chains_follow_anchors(spark):
     df = spark.createDataFrame([("The Old, of the house!",), ("old the house garden",), ("!!!",), ("",), (None,)], "t string")
     signs = [r[0] for r in df.select(spotsigs.signatures(F.col("t"))).collect()]
