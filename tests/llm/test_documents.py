@@ -259,6 +259,13 @@ def test_surrogates_stay_distinct_where_they_collide(spark):
     assert surrogates.settle(surrogates.distinct_entities(df)).filter("attempt > 0").count() > 0
 
 
+def test_surrogates_of_a_full_range_grow_longer(spark):
+    """All thousand numbers of five digits that begin with +25: no surrogate of that length is free."""
+    df = spark.createDataFrame([(k, f"+25{k:03d}") for k in range(1000)], "doc_id long, text string")
+    old, new = zip(*[(r.doc_id, r.text) for r in surrogates.replace_entities(df).collect()])
+    assert len(set(new)) == 1000 and all(t.startswith("+25") and t[1:].isdigit() and len(t) > 6 for t in new)
+
+
 def test_surrogates_of_nothing(nothing):
     assert surrogates.replace_entities(nothing).columns == nothing.columns and surrogates.replace_entities(nothing).count() == 0
 

@@ -16,6 +16,8 @@ from tillbook.llm.common import unused
 from tillbook.session import stored
 
 KEY = "surrogates"
+# The attempt from which on surrogates of digits and letters grow longer.
+GROWS = 8
 
 _MALE = "Mr|Herr|Herrn|Monsieur|Señor|Sr|Don|г-н|господин"
 _FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Señorita|Sra|Doña|г-жа|госпожа"
@@ -200,7 +202,15 @@ def _name(kind: Column, h: Column, attempt: Column) -> Column:
 
 
 def surrogate(kind: Column, canon: Column, spelling: Column, attempt: Column, key: str = KEY) -> Column:
-    """What stands for an entity, in the format of ``spelling``; from attempt 8 on formats of few signs grow longer."""
+    """What stands for an entity, in the format of ``spelling``.
+
+    From attempt ``GROWS`` on, what is made of digits and letters gets one more digit at its end with each attempt, so
+    that no format runs out of values; addresses have 3.7 billion and more of them.
+    """
+    more = F.greatest(F.lit(0), F.least(F.lit(40), attempt - (GROWS - 1)))
+
+    def longer(made: Column, h: Column) -> Column:
+        return F.concat(made, F.substring(F.reverse(_digits(h)), F.lit(1), more))
 
     def email(h: Column) -> Column:
         domain = F.substring_index(F.lower(spelling), "@", -1)
@@ -220,11 +230,11 @@ def surrogate(kind: Column, canon: Column, spelling: Column, attempt: Column, ke
             (kind == "email", email(h)),
             (kind == "ip", F.concat_ws(".", *[o.cast("string") for o in octets])),
             (kind.isin("mac", "ipv6"), _hexadecimal(spelling, h)),
-            (kind == "secret", F.when(spelling.rlike("^[0-9A-Fa-f]+$"), _hexadecimal(spelling, h)).otherwise(
-                _same_format(spelling, h, F.lit(3)))),
-            (kind == "phone", _same_format(spelling, h, country)),
-            (kind == "iban", _same_format(spelling, h, F.lit(2))),
-            (kind.isin("card", "social"), _same_format(spelling, h, F.lit(0))),
+            (kind == "secret", longer(F.when(spelling.rlike("^[0-9A-Fa-f]+$"), _hexadecimal(spelling, h)).otherwise(
+                _same_format(spelling, h, F.lit(3))), h)),
+            (kind == "phone", longer(_same_format(spelling, h, country), h)),
+            (kind == "iban", longer(_same_format(spelling, h, F.lit(2)), h)),
+            (kind.isin("card", "social"), longer(_same_format(spelling, h, F.lit(0)), h)),
             otherwise=_name(kind, h, attempt),
         )
 
