@@ -266,6 +266,28 @@ def test_surrogates_of_a_full_range_grow_longer(spark):
     assert len(set(new)) == 1000 and all(t.startswith("+25") and t[1:].isdigit() and len(t) > 6 for t in new)
 
 
+def test_surrogates_of_whole_names_and_of_later_mentions(spark):
+    texts = [
+        "Dr Anna Maria Schmidt, Mr John F. Kennedy, Herr Dr. Ludwig van Beethoven, Mr J. R. R. Tolkien and Ms O'Brien.",
+        "Smith knew. Mr John Smith came; John Smith's dog and Smith left. Smithson stayed.",
+        "At 2001:db8::1, fe80::1ff:fe23:4567:890a and not std::abs, x[1::2] or ::1.",
+        "aa:bb:cc:dd:ee:ff",
+        "abcd:abcd:abcd:abcd:abcd:abcd:abcd:abcd",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = surrogates.replace_entities(df, count="entities").orderBy("doc_id").collect()
+    for name in "Anna Maria Schmidt John Kennedy Ludwig Beethoven Tolkien O'Brien Brien".split():
+        assert name not in out[0].text, (name, out[0].text)
+    assert " van " in out[0].text and out[0].entities == 5
+    first, second = out[1].text.split(" came; ")[0].split()[-2:]
+    assert out[1].text == f"{second} knew. Mr {first} {second} came; {first} {second}'s dog and {second} left. Smithson stayed."
+    assert out[1].entities == 5 and first != "John" and second != "Smith"
+    assert "2001:db8" not in out[2].text and "fe80" not in out[2].text
+    assert out[2].text.endswith(" and not std::abs, x[1::2] or ::1.") and "::" in out[2].text.split(",")[0]
+    for r, old in zip(out[3:], texts[3:]):
+        assert r.entities == 1 and r.text != old and len(r.text) == len(old)
+
+
 def test_surrogates_of_nothing(nothing):
     assert surrogates.replace_entities(nothing).columns == nothing.columns and surrogates.replace_entities(nothing).count() == 0
 

@@ -1,7 +1,8 @@
 """Personal data replaced by keyed surrogates of the same type, script, gender and format.
 
 All of it is Column expressions. One pattern finds the entities of a text; the text is split at them and joined again
-around their surrogates. A surrogate is a keyed hash of the entity's canonical form (so the same entity reads the same
+around their surrogates. A person is found by a title; the names of a text's titled persons are exchanged wherever else
+they stand in that text, as whole words in the same spelling. A person without a title in the whole text is not found. A surrogate is a keyed hash of the entity's canonical form (so the same entity reads the same
 everywhere, whatever its spelling), its type and an attempt number. The table of distinct entities is checked: where
 two entities of a type would get one surrogate, or a surrogate is itself an entity of the corpus, the later ones go on
 to their next attempt, until nothing collides.
@@ -22,7 +23,11 @@ GROWS = 8
 _MALE = "Mr|Herr|Herrn|Monsieur|Señor|Sr|Don|г-н|господин"
 _FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Señorita|Sra|Doña|г-жа|госпожа"
 _NEUTRAL = "Dr|Prof"
-_NAME = r"\p{Lu}\p{Ll}[\p{L}'’-]*"
+# Name words (O'Brien, Jean-Luc; without the ending of a possessive), initials, and what may stand between name words.
+_NAME = r"\p{Lu}(?:['’]\p{Lu})?\p{Ll}(?:\p{L}|['’-](?=\p{L})(?!s(?!\p{L})))*+"
+_INITIAL = r"\p{Lu}\.(?:[ -]?\p{Lu}\.)*|\p{Lu}(?=[ ]\p{Lu}\p{Ll})"
+_PARTICLE = "von|vom|van|zu|zum|zur|de|del|della|der|den|di|da|dal|do|dos|das|du|la|le|el|al|bin|ibn|ter|ten|af|av|y|e|фон"
+_BETWEEN = rf"(?:(?:{_INITIAL}|(?:{_PARTICLE})(?=[ ]))[ ])*+"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _END = r"(?![\p{L}\p{N}])"
 
@@ -34,7 +39,9 @@ KINDS: dict[str, str] = {
     + _END,
     "iban": r"[A-Z]{2}\d{2}(?:[ ]?(?=[A-Z]*\d)[A-Z0-9]{4}){3,7}(?:[ ]?[0-9]{1,3})?" + _END,
     "mac": r"(?<![:-])[0-9A-Fa-f]{2}(?<m>[:-])[0-9A-Fa-f]{2}(?:\k<m>[0-9A-Fa-f]{2}){4}(?![\p{L}\p{N}:-])",
-    "ipv6": r"(?<!:)(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:])",
+    # The compressed form needs a digit and a group of three signs: ::1 and 1::2 are loopbacks and slices, ab::cd a name.
+    "ipv6": r"(?<!:)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f:]*\d)(?=[0-9A-Fa-f:]*?[0-9A-Fa-f]{3})(?!(?:[0-9A-Fa-f:]*[0-9A-Fa-f])?::[0-9A-Fa-f:]*::)"
+    + r"(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![\p{L}\p{N}:]|\.\d)",
     "ip": rf"(?<!\.){_OCTET}(?:\.{_OCTET}){{3}}" + r"(?![\p{L}\p{N}]|\.\d)",
     "social": r"(?<!-)\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
     "phone": r"(?<!\+)(?:(?:\+1[ .-]?|1[ .-])?(?:\(\d{3}\)[ .-]?|\d{3}[.-])\d{3}[ .-]\d{4}(?![\p{L}\p{N}-])"
@@ -42,7 +49,7 @@ KINDS: dict[str, str] = {
     + r"|\+[2-9]\d{0,2}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,4}){2,5}(?![\p{L}\p{N}]|[.-]\d))",
     "card": r"(?<![.-])(?:\d{13,19}|\d{4}(?<c>[ -])\d{4}\k<c>\d{4}\k<c>\d{1,7}|3\d{3}(?<d>[ -])\d{6}\k<d>\d{5})"
     + r"(?![\p{L}\p{N}]|[.-]\d)",
-    "person": rf"(?:{_MALE}|{_FEMALE}|{_NEUTRAL})\.?[ ]{_NAME}(?:[ ]{_NAME})?",
+    "person": rf"(?:(?:{_MALE}|{_FEMALE}|{_NEUTRAL})\.?[ ])+{_BETWEEN}{_NAME}(?:[ ]{_BETWEEN}{_NAME})*",
 }
 # What may begin inside a word is ruled out once for all kinds; kinds that begin with a digit or sign are tried there only.
 _SIGNED = ("ip", "social", "phone", "card")
@@ -62,7 +69,7 @@ _HINTS = (
 ).split()
 _MALE_TITLE = rf"^(?:{_MALE})\.?[ ]"
 _FEMALE_TITLE = rf"^(?:{_FEMALE})\.?[ ]"
-_TITLE = rf"^(?:{_MALE}|{_FEMALE}|{_NEUTRAL})\.?[ ]"
+_TITLE = rf"^(?:(?:{_MALE}|{_FEMALE}|{_NEUTRAL})\.?[ ])+"
 
 # Sounds that surrogate names are made of, sixteen for each script.
 SYLLABLES = {
@@ -78,7 +85,7 @@ ENDINGS = {
 
 def entities_of(text: Column) -> Column:
     """The entities of a text in their order; null for a null text."""
-    hinted = text.rlike("[0-9@]")
+    hinted = text.rlike("[0-9@]|[A-Fa-f]{1,4}[:-][A-Fa-f]{1,4}[:-]")
     for hint in _HINTS:
         hinted = hinted | F.contains(text, F.lit(hint))
     return F.when(hinted, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).when(
@@ -96,8 +103,17 @@ def _script(token: Column) -> Column:
     return F.when(token.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
 
 
+def _is_name(token: Column) -> Column:
+    return token.rlike(f"^(?:{_NAME})$")
+
+
+def _name_words(value: Column) -> Column:
+    """The words after a person's titles: names, initials and particles."""
+    return F.split(F.regexp_replace(value, _TITLE, ""), " ")
+
+
 def parts_of(value: Column) -> Column:
-    """array<struct<kind, canon>>: what must keep apart and together. A person is a family name, or a given one and it."""
+    """array<struct<kind, canon>>: what must keep apart and together. A person is given names, or none, and a family name."""
     digits = F.regexp_replace(value, r"[^0-9]", "")
 
     def person(tokens: Column) -> Column:
@@ -108,7 +124,7 @@ def parts_of(value: Column) -> Column:
             tokens,
             lambda token, i: F.struct(
                 F.concat(
-                    F.when((i == 0) & (F.size(tokens) > 1), F.concat(F.lit("given-"), gender)).otherwise(F.lit("family-n")),
+                    F.when(i < F.size(tokens) - 1, F.concat(F.lit("given-"), gender)).otherwise(F.lit("family-n")),
                     F.lit("-"),
                     _script(token),
                 ).alias("kind"),
@@ -126,8 +142,11 @@ def parts_of(value: Column) -> Column:
         )
         return F.array(F.struct(kind.alias("kind"), canon.alias("canon")))
 
-    names = F.split(F.regexp_replace(value, _TITLE, ""), " ")
-    return let(kind_of(value), lambda kind: F.when(kind == "person", person(names)).otherwise(plain(kind)))
+    names = F.filter(_name_words(value), _is_name)
+    return let(
+        kind_of(value),
+        lambda kind: F.when(kind == "person", let(names, person)).otherwise(plain(kind)),
+    )
 
 
 def _hash(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
@@ -205,7 +224,7 @@ def surrogate(kind: Column, canon: Column, spelling: Column, attempt: Column, ke
     """What stands for an entity, in the format of ``spelling``.
 
     From attempt ``GROWS`` on, what is made of digits and letters gets one more digit at its end with each attempt, so
-    that no format runs out of values; addresses have 3.7 billion and more of them.
+    that no format runs out of values, and IPv6 addresses get all eight groups; other addresses have 3.7 billion values.
     """
     more = F.greatest(F.lit(0), F.least(F.lit(40), attempt - (GROWS - 1)))
 
@@ -229,6 +248,7 @@ def surrogate(kind: Column, canon: Column, spelling: Column, attempt: Column, ke
         return cases(
             (kind == "email", email(h)),
             (kind == "ip", F.concat_ws(".", *[o.cast("string") for o in octets])),
+            ((kind == "ipv6") & (attempt >= GROWS), F.concat_ws(":", *[F.substring(h, at, 4) for at in range(1, 33, 4)])),
             (kind.isin("mac", "ipv6"), _hexadecimal(spelling, h)),
             (kind == "secret", longer(F.when(spelling.rlike("^[0-9A-Fa-f]+$"), _hexadecimal(spelling, h)).otherwise(
                 _same_format(spelling, h, F.lit(3))), h)),
@@ -286,33 +306,72 @@ def settle(entities: DataFrame, key: str = KEY) -> DataFrame:
         )
 
 
+def _attempt(part: Column, later: Column) -> Column:
+    return F.coalesce(F.element_at(later, F.concat_ws("\u0001", part["kind"], part["canon"])), F.lit(0))
+
+
+def _names_of(value: Column, later: Column, key: str) -> Column:
+    """array<struct<name, made>>: the name words of an entity with their surrogates; empty if it is no person."""
+
+    def named(parts: Column) -> Column:
+        words = F.filter(_name_words(value), _is_name)
+        return F.zip_with(
+            words, parts,
+            lambda w, p: F.struct(w.alias("name"), surrogate(p["kind"], p["canon"], p["canon"], _attempt(p, later), key).alias("made")),
+        )
+
+    nothing = F.array().cast("array<struct<name:string,made:string>>")
+    return F.when(value.rlike(_TITLE), let(parts_of(value), named)).otherwise(nothing)
+
+
 def _replaced(value: Column, later: Column, key: str) -> Column:
     """An entity's surrogate in its own spelling; ``later`` maps kind and canonical form to attempts beyond the first."""
 
-    def attempt(part: Column) -> Column:
-        return F.coalesce(F.element_at(later, F.concat_ws("\u0001", part["kind"], part["canon"])), F.lit(0))
-
-    def person(parts: Column) -> Column:
-        names = F.transform(parts, lambda p: surrogate(p["kind"], p["canon"], p["canon"], attempt(p), key))
-        return F.concat(F.regexp_extract(value, _TITLE, 0), F.array_join(names, " "))
+    def person(named: Column) -> Column:
+        """Names by their surrogates, initials by other ones, particles as they are."""
+        made = F.transform(
+            _name_words(value),
+            lambda w: F.when(_is_name(w), F.element_at(
+                F.filter(named, lambda n: n["name"] == w), 1)["made"]
+            ).when(w.rlike(r"^\p{Lu}(?:\.|$)"), F.regexp_replace(
+                w, r"\p{Lu}", F.upper(F.substring(_letters(_hash(F.lit("initial"), w, F.lit(0), key)), 1, 1))
+            )).otherwise(w),
+        )
+        return F.concat(F.regexp_extract(value, _TITLE, 0), F.array_join(made, " "))
 
     def whole(parts: Column) -> Column:
-        part = parts[0]
-        return F.when(part["kind"].rlike("^(given|family)-"), person(parts)).otherwise(
-            surrogate(part["kind"], part["canon"], value, attempt(part), key)
-        )
+        return surrogate(parts[0]["kind"], parts[0]["canon"], value, _attempt(parts[0], later), key)
+
+    return F.when(value.rlike(_TITLE), let(_names_of(value, later, key), person)).otherwise(let(parts_of(value), whole))
 
-    return let(parts_of(value), whole)
+
+def _mentions(names: Column) -> Column:
+    """The pattern of a text's names as whole words, longer ones first."""
+    ordered = F.reverse(F.array_sort(F.array_distinct(F.transform(names, lambda n: n["name"]))))
+    return F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(ordered, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+
+
+def _renamed(piece: Column, names: Column, pattern: Column) -> Column:
+    """``piece`` with every mention of one of the ``names`` exchanged."""
+    made = F.transform(
+        F.regexp_extract_all(piece, pattern, F.lit(0)),
+        lambda m: F.element_at(F.filter(names, lambda n: n["name"] == m), 1)["made"],
+    )
+    gaps = F.split(piece, pattern, -1)
+    return F.array_join(F.zip_with(gaps, F.concat(made, F.array(F.lit(""))), lambda gap, m: F.concat(gap, m)), "")
 
 
 def replace_entities(docs: DataFrame, text: str = "text", key: str = KEY, count: str | None = None) -> DataFrame:
     """``docs`` with every entity of ``text`` exchanged; other columns stay, and ``count`` gets the number of entities.
 
+    Untitled mentions of the persons that a text names with their title are exchanged and counted, too.
     Null stays null (count 0); texts without entities, empty ones too, stay as they are. Equal texts stay equal.
     """
     attempts = settle(distinct_entities(docs, text), key).filter(F.col("attempt") > 0)
-    names = unused(docs, "found", "later", "text_key", "text_key2")
-    found, later, k1, k2 = (F.col(names[n]) for n in ("found", "later", "text_key", "text_key2"))
+    names = unused(docs, "found", "later", "text_key", "text_key2", "named", "mentions")
+    found, later, k1, k2, named, mentions = (
+        F.col(names[n]) for n in ("found", "later", "text_key", "text_key2", "named", "mentions")
+    )
     body = docs.withColumn(names["found"], entities_of(F.col(text)))
     nothing = F.lit(None).cast("map<string,int>")
     if attempts.isEmpty():
@@ -334,12 +393,21 @@ def replace_entities(docs: DataFrame, text: str = "text", key: str = KEY, count:
             )
         )
         body = body.join(own, [names["text_key"], names["text_key2"]], "left")
-    pieces = F.split(F.col(text), PATTERN, -1)
+    titled = F.filter(found, lambda v: v.rlike(_TITLE))
+    body = body.withColumn(
+        names["named"],
+        F.when(F.size(titled) > 0, F.array_distinct(F.flatten(F.transform(titled, lambda v: _names_of(v, later, key))))),
+    ).withColumn(names["mentions"], F.when(named.isNotNull(), _mentions(named)))
+    plain = F.split(F.col(text), PATTERN, -1)
+    pieces = F.when(mentions.isNull(), plain).otherwise(F.transform(plain, lambda piece: _renamed(piece, named, mentions)))
     made = F.concat(F.transform(found, lambda v: _replaced(v, later, key)), F.array(F.lit("")))
     new = F.when(
         F.size(found) > 0, F.array_join(F.zip_with(pieces, made, lambda piece, s: F.concat(piece, s)), "")
     ).otherwise(F.col(text))
     columns = [new.alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c != count]
     if count:
-        columns.append(F.greatest(F.lit(0), F.coalesce(F.size(found), F.lit(0))).alias(count))
+        untitled = F.when(mentions.isNotNull(), F.aggregate(
+            plain, F.lit(0), lambda n, piece: n + F.size(F.regexp_extract_all(piece, mentions, F.lit(0)))))
+        entities = F.coalesce(F.size(found), F.lit(0)) + F.coalesce(untitled, F.lit(0))
+        columns.append(F.greatest(F.lit(0), entities).alias(count))
     return body.select(*columns)
