@@ -353,6 +353,18 @@ def test_chains_follow_anchors(spark):
     assert signs[3] == [] and signs[4] == []
 
 
+def test_texts_without_anchors_count_as_a_whole(spark):
+    """Texts of no common word: all of it is in the fingerprint, and an edit of a quarter leaves most of it."""
+    w = vocabulary()
+    base = w[:2] + w[10:50]
+    texts = [w[:2] + w[60:100], base, base[:32] + w[200:210], w[:3], w[:2] + w[5:6], base[:32] + ["the", *w[200:204], "of", *w[204:208]]]
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "k int, t string")
+    signs = [set(r[0]) for r in df.orderBy("k").select(spotsigs.signatures(F.col("t"))).collect()]
+    like = lambda a, b: len(a & b) / len(a | b)
+    assert like(signs[0], signs[1]) < 0.1 and like(signs[1], signs[2]) > 0.5 and like(signs[1], signs[5]) > 0.5
+    assert signs[3] != signs[4] and len(signs[1]) >= 40
+
+
 def test_licenses_by_dice(spark, nothing):
     mit = licenses.TEMPLATES["MIT"]
     half = " ".join(mit.split()[: len(mit.split()) // 2])
