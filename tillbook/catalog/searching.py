@@ -178,6 +178,19 @@ def search_untracked_field(spark, sf):
     return s.structured_filter(star.library(spark, sf), SearchQuery(missing=["paymentType"])).select("item_id")
 
 
+@query("search_missing_fields", """
+    with f as (select 'category' as field, item_id from v_missing where missing_category union all select 'vendor', item_id from v_missing where missing_vendor)
+    select field, item_id from f join item i on i.id = item_id where i.trashed_at is null""")
+def search_missing_fields(spark, sf):
+    """One missing-filter per field, two tracked and one that nobody tracks, which adds nothing."""
+    lib = star.library(spark, sf)
+    found = [
+        s.structured_filter(lib, SearchQuery(missing=[name])).select(F.lit(name).alias("field"), "item_id")
+        for name in ("category", "paymentType", "vendor")
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query("search_totals", """
     select count(*) total, 0 + 50 < count(*) truncated from item i join receipt_data r on r.item_id = i.id
     where i.trashed_at is null and vendor_id = 5 and tax_category_id = 1""")
