@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillbook.llm import (
+    alignment,
     hamming,
     jaccard,
     licenses,
+    lloyd,
     mixing,
     packing,
     quality,
+    simhash,
     spotsigs,
     suffixes,
     surrogates,
@@ -164,3 +167,62 @@ def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_repeated_passages")
 def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op11_tokenizer_alignment")
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents"))
+
+
+@query("op12_simhash_near_dedup")
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_fingerprints(table(spark, sf_dir, "documents"), n=4, radius=4)
+
+
+def _codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Rounds of assignment and means, spelled out; every step is exact in whole numbers."""
+    near = """
+    {step}assigned as (
+        select row, position, x, entry, distance from (
+            select p.row, p.position, p.x, b.entry, list_sum(list_transform(list_zip(p.x, b.x),
+                lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as distance
+            from parts p join {step}book b on p.position = b.position)
+        qualify row_number() over (partition by row, position order by distance, entry) = 1
+    )"""
+    mean = """
+    {to}book as (
+        select b.position, b.entry, coalesce(m.x, b.x) as x from {step}book b left join (
+            select position, entry, list((total - ((total % n) + n) % n) // n order by k) as x from (
+                select position, entry, k, sum(x[k])::bigint as total, count(*)::bigint as n
+                from {step}assigned, range(1, (select max(len(x)) + 1 from parts)) r(k) group by position, entry, k)
+            group by position, entry) m on b.position = m.position and b.entry = m.entry
+    )"""
+    steps = [part.format(step=f"s{r}", to=f"s{r + 1}") for r in range(rounds) for part in (near, mean)]
+    last = f"s{rounds}"
+    return f"""
+    with kept as (
+        select row_number() over () as row, vec_id, label,
+            list_transform(embedding, lambda c: floor(256 * c::double)::bigint) as v
+        from embeddings where len(embedding) > 0
+            and len(list_filter(embedding, lambda c: c is not null and isfinite(c))) = len(embedding)
+    ), parts as (
+        select row, vec_id, position, v[position * (len(v) // {parts}) + 1:(position + 1) * (len(v) // {parts})] as x
+        from kept, range({parts}) p(position)
+    ), s0book as (
+        select position, row_number() over (partition by position order by vec_id) - 1 as entry, x
+        from parts qualify entry < {entries}
+    ), {", ".join(steps)}, {near.format(step=last)}, coded as (
+        select row, string_agg(lpad(format('{{:x}}', entry), 2, '0'), '' order by position) as code,
+            sum(distance)::bigint as error
+        from {last}assigned group by row
+    ), book as (
+        select sha256(string_agg(array_to_string(x, ','), ',' order by position, entry)) as codebooks_sha256 from {last}book
+    )
+    select k.vec_id, c.code, c.error, (sum(c.error) over (partition by k.label))::bigint as label_error, b.codebooks_sha256
+    from kept k join coded c on k.row = c.row cross join book b
+    """
+
+
+@query("op13_vector_codes", _codes_sql())
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.compressed(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
