@@ -59,14 +59,11 @@ def test_probing_finds_the_groups_of_common_ends():
                 ends = sorted({*ends, *(rnd.randrange(1, whole[-1] + 1) for _ in range(int(density * size * 0.3))), whole[-1]})
                 sides.append(ends)
             a, b = sides
-            starts, ends = alignment.align(a, b)
-            cuts = set()
-            for (i, j, n), (to_i, to_j) in zip(starts, ends):
-                if n:
-                    assert (to_i - i, to_j - j) == (n, n)
-                    cuts |= {(i + k + 1, j + k + 1) for k in range(n)}
-                else:
-                    cuts.add((to_i, to_j))
+            cuts, at = set(), (0, 0)
+            for i, j, to_i, to_j, single in alignment.align(a, b):
+                assert (i, j) == at
+                cuts |= {(i + k, j + k) for k in range(1, to_i - i + 1)} if single else {(to_i, to_j)}
+                at = to_i, to_j
             assert cuts == {(a.index(e) + 1, b.index(e) + 1) for e in set(a) & set(b)}
 
 
@@ -108,6 +105,20 @@ def plain_alignment(rows):
     return sorted(out, key=str)
 
 
+def test_ids_by_word_are_those_of_whole_texts():
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()
+    rnd = random.Random(9)
+    signs = [" ", " ", " ", "  ", "\n", "\t", "'s", "a", "b c", "É", "ß", "1", "23", ".", "-", "_", "\x1c", "\x85", "\xa0", "\u2003", "日", "🙂", "\u0301", "▁", "\x00", "'", "(", "ſ"]
+    texts += ["".join(rnd.choice(signs) for _ in range(rnd.randint(1, 40))) for _ in range(3000)]
+    sides = alignment.Sides(alignment.A_FILE, alignment.B_FILE)
+    assert sides.cut is not None
+    cut = [x[:2] for x in sides.encode(texts)]
+    sides.cut, sides._known = None, {}
+    assert cut == [x[:2] for x in sides.encode(texts)]
+
+
 TRICKY = [
     " ", "  leading", "trailing  ", "a▁b", "▁", "<|endoftext|> <s> </s>", "tab\tand\nline\r\n", "nul\x00byte", "日本語 🙂‍ ñandú",
     "é​﻿", "x" * 700, "<0x41>", "1234567 89,10.11", "ﬁ ½ Å",

@@ -13,9 +13,13 @@ hot, meets its counts in an equi-join.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,11 @@ HEAVY = 1 << 18
 BLOCK_BYTES = 1 << 18
 # Tokens of a first probe.
 PROBE = 4
+SPACE = "▁"
+# Spaces between signs of words, where a text may be cut.
+BETWEEN = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
+# Words that a worker knows the ids of, about, and the longest of them.
+KNOWN, LONGEST = 1 << 16, 64
 
 
 def byte_of_sign() -> dict[str, int]:
@@ -41,7 +50,7 @@ def byte_of_sign() -> dict[str, int]:
 
 
 class ByteLevel:
-    """A byte-level vocabulary file; the strings of its special tokens are plain text."""
+    """A byte-level vocabulary file; the strings of its special tokens are plain text. A text begins with a space."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
@@ -54,51 +63,109 @@ class ByteLevel:
         self.bytes = [b""] * (1 + max(entries.values()))
         for entry, i in entries.items():
             self.bytes[i] = bytes(of[c] for c in entry) if all(c in of for c in entry) else entry.encode()
+        form = json.loads(self._tokenizer.to_str())
+        first = form["pre_tokenizer"] or {}
+        # Its pattern starts a new word at every space between signs that are none.
+        plain = not form["normalizer"] and all(t["special"] for t in form["added_tokens"])
+        self.by_word = plain and first.get("type") == "ByteLevel" and first.get("use_regex", True)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        spaced = [" " + t for t in texts]
+        return [e.ids for e in self._tokenizer.encode_batch_fast(spaced, add_special_tokens=False)]
 
 
 class Pieces:
-    """A model file of pieces: U+2581 stands for a space, <0xHH> for a byte."""
+    """A model file of pieces: U+2581 stands for a space, <0xHH> for a byte. The model itself adds the first space."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         self._model = sentencepiece.SentencePieceProcessor(model_file=path)
+        pieces = list(map(self._model.id_to_piece, range(self._model.get_piece_size())))
         self.bytes = [
-            bytes([int(piece[3:5], 16)]) if self._model.is_byte(i) else piece.replace("▁", " ").encode()
-            for i, piece in enumerate(map(self._model.id_to_piece, range(self._model.get_piece_size())))
+            bytes([int(piece[3:5], 16)]) if self._model.is_byte(i) else piece.replace(SPACE, " ").encode()
+            for i, piece in enumerate(pieces)
         ]
+        # No piece goes on behind a space, so none is merged across the beginning of a word; signs stay what they are.
+        signs = "a  b ﬁ ½ Å "
+        self.by_word = not any(SPACE in p.lstrip(SPACE) for p in pieces) and self._model.normalize(signs) == (
+            SPACE + signs.replace(" ", SPACE)
+        )
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self._model.encode(texts, num_threads=1)
 
 
-@lru_cache(maxsize=4)
-def opened(name: str):
-    """The tokenizer of a public vocabulary file; opened once per Python worker."""
-    path = vocabulary_path(name)
-    return Pieces(path) if name.endswith(".model") else ByteLevel(path)
+class Sides:
+    """Both vocabularies of a task.
 
+    Where both begin anew at spaces between words, a text is encoded word by word, and the ids of a word once for many
+    of its occurrences; the ids are those of the whole text.
+    """
 
-def align(a: list[int], b: list[int]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
-    """Groups between two lists of token ends that end alike.
-
-    Returns stretches (i, j, n), n groups of one token each from a[i] and b[j] on, or n = 0 for one group of several
-    tokens that starts there, and the ends (i, j) behind each stretch.
+    def __init__(self, a_file: str, b_file: str):
+        make = lambda name: (Pieces if name.endswith(".model") else ByteLevel)(vocabulary_path(name))
+        self.a, self.b = make(a_file), make(b_file)
+        self.cut = BETWEEN if self.a.by_word and self.b.by_word else None
+        self._known: dict[str, tuple | None] = {}
+        # Decimal ids as the notation joins them.
+        self.a_noted = [f"{k}|" for k in range(len(self.a.bytes))]
+        self.b_noted = [str(k) for k in range(len(self.b.bytes))]
+
+    def _encoded(self, words: list[str]) -> Iterator[tuple | None]:
+        """(A ids, B ids, A sizes, B sizes) of each word, or None if one side does not give its bytes back."""
+        for word, a_ids, b_ids in zip(words, self.a.encode(words), self.b.encode(words)):
+            a_bytes, b_bytes = [self.a.bytes[k] for k in a_ids], [self.b.bytes[k] for k in b_ids]
+            same = b"".join(a_bytes) == b"".join(b_bytes) == b" " + word.encode()
+            yield (a_ids, b_ids, list(map(len, a_bytes)), list(map(len, b_bytes))) if same else None
+
+    def encode(self, texts: list[str | None]) -> Iterator[tuple[list[int], list[int], list[int], list[int]]]:
+        """(A ids, B ids, A ends, B ends) of each text; empty ones without tokens."""
+        parts = [(self.cut.split(t) if self.cut else [t]) if t else [] for t in texts]
+        if len(self._known) > KNOWN:
+            self._known.clear()
+        new = list({w for words in parts for w in words if w not in self._known})
+        for at in range(0, len(new), 4096):
+            self._known.update(zip(new[at : at + 4096], self._encoded(new[at : at + 4096])))
+        known = self._known
+        for words in parts:
+            a_ids, b_ids, a_sizes, b_sizes = [], [], [], []
+            for word in words:
+                found = known[word]
+                if found is None:
+                    a_ids, b_ids, a_sizes, b_sizes = [], [], [], []
+                    break
+                a_ids += found[0]
+                b_ids += found[1]
+                a_sizes += found[2]
+                b_sizes += found[3]
+            yield a_ids, b_ids, list(accumulate(a_sizes)), list(accumulate(b_sizes))
+        for word in new:
+            if len(word) > LONGEST:
+                del known[word]
+
+
+@lru_cache(maxsize=2)
+def opened(a_file: str, b_file: str) -> Sides:
+    """Opened once per Python worker."""
+    return Sides(a_file, b_file)
+
+
+def align(a: list[int], b: list[int]) -> list[tuple[int, int, int, int, bool]]:
+    """Groups between two lists of token ends whose last are equal, as (i, j, to_i, to_j, single).
+
+    The tokens are a[i:to_i] and b[j:to_j]: a stretch of groups with a single token of each, or one irregular group.
     """
-    starts, ends = [], []
-    i, shift, probe, last = 0, 0, PROBE, len(a)
+    found = []
+    i, shift, probe, last, b_last = 0, 0, PROBE, len(a), len(b)
     while i < last:
-        start = i
+        start, some = i, 0
         while i < last:  # jump as long as slices at this shift are equal
-            some = min(probe, last - i, len(b) - i - shift)
+            some = min(probe, last - i, b_last - i - shift)
             if a[i : i + some] != b[i + shift : i + shift + some]:
                 break
             i += some
             probe *= 2
-        else:
             some = 0
         while some > 1:  # the first difference, by halves
             half = some // 2
@@ -107,54 +174,48 @@ def align(a: list[int], b: list[int]) -> tuple[list[tuple[int, int, int]], list[
                 some -= half
             else:
                 some = half
-        n = i - start
-        if n:
-            starts.append((start, start + shift, n))
-            ends.append((i, i + shift))
+        if i > start:
+            found.append((start, start + shift, i, i + shift, True))
         if i < last:  # an irregular group up to the next common end
             p, q = i, i + shift
-            while a[p] != b[q]:
-                if a[p] < b[q]:
+            x, y = a[p], b[q]
+            while x != y:
+                if x < y:
                     p += 1
+                    x = a[p]
                 else:
                     q += 1
-            starts.append((i, i + shift, 0))
-            ends.append((p + 1, q + 1))
+                    y = b[q]
+            found.append((i, i + shift, p + 1, q + 1, False))
             i, shift, probe = p + 1, q - p, PROBE
-    return starts, ends
-
+    return found
 
-def overlaps(a: list[int], b: list[int], i: int, j: int, to_i: int, to_j: int) -> Iterator[tuple[int, int]]:
-    """Indexes of tokens whose byte ranges overlap, within a group from (i, j) to (to_i, to_j)."""
-    while i < to_i and j < to_j:
-        yield i, j
-        if a[i] <= b[j]:
-            i += 1
-        else:
-            j += 1
 
-
-def aligned(a_ids: list[int], b_ids: list[int], a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[int, str, np.ndarray, np.ndarray]:
-    """(groups, their notation, A ids and B ids of all links) of a text's tokens, which cover the same bytes."""
-    a, b = np.cumsum(a_sizes[a_ids]).tolist(), np.cumsum(b_sizes[b_ids]).tolist()
+def aligned(
+    a_ids: list[int], b_ids: list[int], a: list[int], b: list[int], a_noted: list[str], b_noted: list[str]
+) -> tuple[int, str, list[int], list[int]]:
+    """(groups, their notation, A ids and B ids of all links) of a text's tokens, whose ends are ``a`` and ``b``."""
     noted: list[str] = []
     left: list[int] = []
     right: list[int] = []
-    groups = 0
-    for (i, j, n), (to_i, to_j) in zip(*align(a, b)):
-        if n:
-            groups += n
-            x, y = a_ids[i:to_i], b_ids[j:to_j]
+    for i, j, to_i, to_j, single in align(a, b):
+        x, y = a_ids[i:to_i], b_ids[j:to_j]
+        if single:
             left += x
             right += y
-            noted += [f"{p}|{q}" for p, q in zip(x, y)]
-        else:
-            groups += 1
-            noted.append(f"{','.join(map(str, a_ids[i:to_i]))}|{','.join(map(str, b_ids[j:to_j]))}")
-            for p, q in overlaps(a, b, i, j, to_i, to_j):
-                left.append(a_ids[p])
-                right.append(b_ids[q])
-    return groups, ";".join(noted), np.array(left, np.int64), np.array(right, np.int64)
+            noted += map(add, map(a_noted.__getitem__, x), map(b_noted.__getitem__, y))
+            continue
+        noted.append(f"{','.join(map(str, x))}|{','.join(map(str, y))}")
+        while True:  # tokens whose bytes overlap, by the nearer end
+            left.append(a_ids[i])
+            right.append(b_ids[j])
+            if a[i] < b[j]:
+                i += 1
+            elif a[i] > b[j]:
+                j += 1
+            else:
+                break
+    return len(noted), ";".join(noted), left, right
 
 
 def _blocks(texts: list[str | None]) -> Iterator[list[str | None]]:
@@ -182,24 +243,16 @@ def alignments(docs: DataFrame, doc_id: str, text: str, a_file: str, b_file: str
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second = opened(a_file), opened(b_file)
-        a_sizes, b_sizes = (np.array([len(x) for x in side.bytes]) for side in (first, second))
+        sides = opened(a_file, b_file)
         for batch in batches:
             at = 0
             for texts in _blocks(batch.column(2).to_pylist()):
                 found = []
-                spaced = [" " + t if t else "" for t in texts]
-                for whole, a_ids, b_ids in zip(spaced, first.encode(spaced), second.encode([t or "" for t in texts])):
-                    covered = whole.encode()
-                    if not whole or any(
-                        b"".join(map(side.bytes.__getitem__, ids)) != covered for side, ids in ((first, a_ids), (second, b_ids))
-                    ):
-                        found.append((0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)))
-                        continue
-                    groups, noted, left, right = aligned(a_ids, b_ids, a_sizes, b_sizes)
-                    pairs, times = np.unique((left << 24) + right, return_counts=True)
-                    name = hashlib.sha256(noted.encode()).hexdigest()
-                    found.append((len(a_ids), len(b_ids), groups, len(left), name, pairs, times))
+                for a_ids, b_ids, a, b in sides.encode(texts):
+                    groups, noted, left, right = aligned(a_ids, b_ids, a, b, sides.a_noted, sides.b_noted)
+                    links = (np.array(left, np.int64) << 24) + np.array(right, np.int64)
+                    name = hashlib.sha256(noted.encode()).hexdigest() if a_ids else ""
+                    found.append((len(a_ids), len(b_ids), groups, len(links), name, *np.unique(links, return_counts=True)))
                 numbers = [pa.array([f[k] for f in found], pa.int64()) for k in range(4)]
                 sizes = np.array([len(f[5]) for f in found])
                 yield pa.RecordBatch.from_arrays(
