@@ -71,17 +71,14 @@ def plain_alignment(rows):
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every row, with the libraries alone."""
     import public_tokenizers
     import sentencepiece
-    from tokenizers import Tokenizer
 
-    a = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    a.encode_special_tokens = True
+    a = json_vocabulary()
     b = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-    sign = alignment.byte_of_sign()
     held = []
     for doc_id, text in rows:
         whole = " " + (text or "")
         a_ids, b_ids = a.encode(whole, add_special_tokens=False).ids, b.encode(text or "")
-        a_bytes = [bytes(sign[c] for c in a.id_to_token(i)) for i in a_ids]
+        a_bytes = [sign_bytes(a.id_to_token(i)) for i in a_ids]
         b_bytes = [bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in b_ids]
         if not text or not (b"".join(a_bytes) == b"".join(b_bytes) == whole.encode()):
             held.append((doc_id, [], [], [], []))
@@ -105,18 +102,33 @@ def plain_alignment(rows):
     return sorted(out, key=str)
 
 
-def test_ids_by_word_are_those_of_whole_texts():
+def json_vocabulary():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    made.encode_special_tokens = True
+    return made
+
+
+def sign_bytes(entry):
+    """Bytes of an entry of a byte-level vocabulary: printable signs are bytes, the rest goes from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return bytes(rest[ord(c) - 256] if ord(c) > 255 else ord(c) for c in entry)
+
+
+def test_ranks_give_the_ids_of_the_json_file():
     import pyarrow.parquet as pq
 
     texts = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()
     rnd = random.Random(9)
     signs = [" ", " ", " ", "  ", "\n", "\t", "'s", "a", "b c", "É", "ß", "1", "23", ".", "-", "_", "\x1c", "\x85", "\xa0", "\u2003", "日", "🙂", "\u0301", "▁", "\x00", "'", "(", "ſ"]
     texts += ["".join(rnd.choice(signs) for _ in range(rnd.randint(1, 40))) for _ in range(3000)]
-    sides = alignment.Sides(alignment.A_FILE, alignment.B_FILE)
-    assert sides.cut is not None
-    cut = [x[:2] for x in sides.encode(texts)]
-    sides.cut, sides._known = None, {}
-    assert cut == [x[:2] for x in sides.encode(texts)]
+    want = [e.ids for e in json_vocabulary().encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    ranks = alignment.opened(alignment.A_FILE, alignment.B_FILE).a
+    assert ranks.encode(texts) == want
+    assert all(b"".join(ranks.bytes[k] for k in ids) == (" " + t).encode() for ids, t in zip(want, texts))
 
 
 TRICKY = [
