@@ -288,6 +288,37 @@ def test_surrogates_of_whole_names_and_of_later_mentions(spark):
         assert r.entities == 1 and r.text != old and len(r.text) == len(old)
 
 
+def test_surrogates_of_very_long_runs(spark):
+    """A hundred thousand names, labels, titles, digits, initials and signs in a row end no task."""
+    n = 100_000
+    runs = [
+        "Mr " + "Smith " * n, "Mr " + " ".join(f"Name{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}" for k in range(n)), "x@" + "ab." * n + "com",
+        "a." * n + "b@c.org", "Mr " * n, "Dr Dr Prof " * (n // 3) + "Jones", "1" * n, "12 " * n, "+25 " + "123 " * n, "Mr " + "J. " * n + "Kennedy",
+        "ab:" * n, "::" * n, "DE89 " + "3704 " * n, "Mr von " + "van " * n + "Beethoven", "-" * n + "1-2-3", "O'" * n,
+    ]
+    df = spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string").repartition(8)
+    out = {r.doc_id: r.text for r in surrogates.replace_entities(df, count="entities").collect()}
+    assert len(out) == len(runs) and all(len(out[k]) > len(runs[k]) // 4 for k in out)
+    assert not out[0].startswith("Mr Smith") and "Kennedy" not in out[9][:10]
+    assert set(out[6]) <= set("0123456789ABCDEF") and out[15] == runs[15]
+
+
+def test_a_person_keeps_one_name_under_all_titles(spark):
+    texts = ["Mr John Smith met Dr John Smith. JOHN SMITH left with Mrs Anna Smith, and Dr Anna Smith.", "Dr John Lee", "Dr Γιάννης Παπαδόπουλος"]
+    out = [r.text for r in surrogates.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    w = out[0].replace(".", "").replace(",", "").split()
+    assert w[1:3] == w[5:7] and [x.lower() for x in w[7:9]] == [x.lower() for x in w[1:3]] and w[7].isupper()
+    assert w[12:14] == w[16:18] and w[13] == w[2] and w[12].endswith("a")
+    assert out[1].split()[1][:6] == w[1][:6]  # the same sounds, a neutral ending
+    assert all("\u0370" <= c <= "\u03ff" for c in out[2].split(" ", 1)[1].replace(" ", "")) and "Παπαδόπουλος" not in out[2]
+
+
+def test_licenses_count_units_once(spark):
+    line = next(iter(licenses.TEMPLATES.values()))
+    df = spark.createDataFrame([(1, line, 3), (1, line, 4), (2, line + "\n" + line + " x", 5), (3, "word " * 200_000, 6)], "doc_id long, text string, unit int")
+    assert {(r.doc_id, r.units) for r in licenses.find_licenses(df).collect() if r.dice == 1.0} == {(1, 1), (2, 3)}  # the whole text, too
+
+
 def test_surrogates_of_nothing(nothing):
     assert surrogates.replace_entities(nothing).columns == nothing.columns and surrogates.replace_entities(nothing).count() == 0
 

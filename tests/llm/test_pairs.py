@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.fixtures import awkward_docs, near_components, prose, vocabulary, words
 from tillbook.llm import graph, hamming, jaccard, suffixes
@@ -45,16 +46,38 @@ def test_frequent_shingles_sign_in_combinations(spark, monkeypatch):
     assert as_rows(jaccard.near_sets(df, n=4, percent=50)) == sorted(near_components(rows, 4, 50), key=str)
 
 
-def test_one_of_each_keeps_columns_and_the_smallest_id(docs):
+def kept_rows(rows, n=5, percent=80):
+    """(doc_id, text) that stay: of each component the smallest named id, of the texts under it any one; rows alike once."""
+    components = {}
+    texts = {(d, t): c for (d, _, c), (d, t) in zip(near_components(rows, n, percent), rows)}
+    sets = defaultdict(set)
+    for (d, t), c in texts.items():
+        if words(t):
+            sets[c].add((d, t))
+        else:
+            components[("alone", d, t)] = {(d, t)}
+    for c, members in sets.items():
+        smallest = {m for m in members if m[0] == c}
+        components[c] = smallest or members
+    return components
+
+
+def test_one_of_each_keeps_one_row_of_each_component(docs):
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns
-    want = Counter()
-    for (doc_id, _, component), row in zip(
-        near_components([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], 5, 80),
-        docs.select("doc_id").collect(),
-    ):
-        want[doc_id] += doc_id is None or doc_id == component
-    assert Counter(r.doc_id for r in kept.select("doc_id").collect()) == +want
+    # Rows without a named id make components of their own here, of one text each.
+    want = kept_rows([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+    got = [(r.doc_id, r.text) for r in kept.select("doc_id", "text").collect()]
+    assert len(got) == len(set(got)) == len(want)
+    assert all(sum(g in some for g in got) == 1 for some in want.values())
+
+
+def test_one_of_each_of_copies_under_one_id_and_none(spark):
+    base = " ".join(vocabulary()[:40])
+    rows = [(7, base), (7, base), (7, base + " end"), (3, base + " more"), (None, base), (None, base), (None, "other words"), (None, "other words"), (9, None), (9, None), (9, ""), (8, "")]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, text_key int").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in jaccard.one_of_each(df).collect()), key=str)
+    assert got == sorted([(3, base + " more"), (None, "other words"), (9, None), (9, ""), (8, "")], key=str)
 
 
 def test_near_sets_of_nothing(spark):
@@ -124,3 +147,5 @@ def test_sign_codes(spark):
     vectors = [([1.0] * 64,), ([-1.0] * 64,), ([0.0, 2.0, None, 1.0],), (None,), ([],)]
     df = spark.createDataFrame(vectors, "v array<double>")
     assert [r[0] for r in df.select(hamming.sign_code(df.v)).collect()] == [-1, 0, 10, None, 0]
+    with pytest.raises(Exception, match="more than 64 components"):
+        spark.createDataFrame([([1.0] * 65,)], "v array<double>").select(hamming.sign_code(F.col("v"))).collect()

@@ -13,6 +13,7 @@ hot, meets its counts in an equi-join.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from array import array
 from collections.abc import Iterator
@@ -219,11 +220,14 @@ def alignments(docs: DataFrame, doc_id: str, text: str, a_file: str, b_file: str
             at = 0
             for texts in _blocks(batch.column(2).to_pylist()):
                 found = []
+                # Nothing below makes cycles; the collector would walk all that is remembered again and again.
+                gc.disable()
                 for a_ids, b_ids, a, b in sides.encode(texts):
                     groups, noted, left, right = aligned(a_ids, b_ids, a, b, sides)
                     links = (np.frombuffer(array("q", left), np.int64) << 24) + np.frombuffer(array("q", right), np.int64)
                     name = hashlib.sha256(noted.encode()).hexdigest() if a_ids else ""
                     found.append((len(a_ids), len(b_ids), groups, len(links), name, *np.unique(links, return_counts=True)))
+                gc.enable()
                 numbers = [pa.array([f[k] for f in found], pa.int64()) for k in range(4)]
                 sizes = np.array([len(f[5]) for f in found])
                 yield pa.RecordBatch.from_arrays(
@@ -281,10 +285,10 @@ def _with_heavy(held: DataFrame, counts: DataFrame, heavy: int) -> tuple[DataFra
                 hit = known[place] == pairs
             else:
                 place, hit = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), bool)
-            sums = np.zeros(len(sizes), np.int64)
-            best = np.zeros(len(sizes), np.int64)
-            np.add.at(sums, row[hit], n_of[place[hit]] * times[hit])
-            np.add.at(best, row[hit], best_of[place[hit]] * times[hit])
+            held_n = np.where(hit, n_of[place], 0) * times if len(known) else place
+            held_best = np.where(hit & best_of[place], times, 0) if len(known) else place
+            ends = np.cumsum(sizes)
+            sums, best = (np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], ends])]) for x in (held_n, held_best))
             left = np.bincount(row[~hit], minlength=len(sizes))
             yield pa.RecordBatch.from_arrays(
                 [

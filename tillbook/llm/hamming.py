@@ -17,13 +17,17 @@ WIDTH, SEGMENT, K = 64, 16, 10
 
 
 def sign_code(vector: Column, width: int = WIDTH) -> Column:
-    """A 64-bit code: bit i is set where component i is above 0 (missing and null components: not set)."""
+    """A 64-bit code: bit i is set where component i is above 0 (missing and null components: not set).
+
+    A vector with more components than ``width`` is an error, as its code could not tell it from others.
+    """
     if not 0 < width <= 64:
         raise ValueError("a code has 1 to 64 bits")
     bits = F.transform(
         F.slice(vector, 1, width), lambda x, i: F.when(x > 0, _bit(i)).otherwise(F.lit(0).cast("long"))
     )
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    code = F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    return F.when(F.size(vector) > width, F.raise_error(F.lit(f"a vector has more than {width} components"))).otherwise(code)
 
 
 def _bit(i: Column) -> Column:

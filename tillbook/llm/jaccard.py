@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tillbook.llm.common import BLOCK_BYTES, distinct_per_row, hashed_words, lists, mix, settled, shingles, text_blocks
+from tillbook.llm.common import BLOCK_BYTES, distinct_per_row, hashed_words, lists, mix, settled, shingles, text_blocks, unused
 from tillbook.llm.graph import components
 
 # log2 of the buckets that shingles are counted in: the counts are at most 8 MB however large the corpus is. In a larger
@@ -346,14 +346,8 @@ def verified(docs: DataFrame, text: str, n: int, percent: int, pairs: DataFrame)
     )
 
 
-def near_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs``.
-
-    Words are runs of anything but space and tab..carriage return, with A-Z lower-cased. A set is the distinct n-word
-    shingles, or all words as one if there are fewer; null, empty and blank texts have none, link with nothing and are
-    components of their own. Sets link when 100 * common >= percent * union. ``component_id`` is the smallest doc_id
-    that links reach; rows with equal sets are linked, rows with a null id take part without naming the component.
-    """
+def rooted_rows(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> DataFrame:
+    """(doc_id, text_key, size, root, component_id) of every row; the last two are null for rows without shingles."""
     held = settled(signed_sets(docs, doc_id, text, n, percent), "signed")
     nodes = settled(
         held.filter("size > 0").groupBy("k1", "k2").agg(
@@ -418,14 +412,29 @@ def near_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: in
             linked = linked.unionByName(more)
             roots = components(linked)
 
-    grouped = nodes.select("node", "k1", "k2", "first_id").join(roots, "node", "left").withColumn(
-        "root", F.coalesce("root", "node")
+    grouped = settled(
+        nodes.select("node", "k1", "k2", "first_id").join(roots, "node", "left").select(
+            F.col("k1").alias("s1"), F.col("k2").alias("s2"), "first_id", F.coalesce("root", "node").alias("root")
+        ),
+        "grouped",
     )
-    smallest = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_set = grouped.join(smallest, "root").select(F.col("k1").alias("s1"), F.col("k2").alias("s2"), "component_id")
-    return held.select("doc_id", "k1", "k2", "size").join(
+    smallest = settled(grouped.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest")
+    by_set = grouped.join(smallest, "root").select("s1", "s2", "root", "component_id")
+    return held.select("doc_id", "text_key", "k1", "k2", "size").join(
         by_set, (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2")) & (F.col("size") > 0), "left"
-    ).select(
+    ).select("doc_id", "text_key", "size", "root", "component_id")
+
+
+def near_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs``.
+
+    Words are runs of anything but space and tab..carriage return, with A-Z lower-cased. A set is the distinct n-word
+    shingles, or all words as one if there are fewer; null, empty and blank texts have none, link with nothing and are
+    components of their own. Sets link when 100 * common >= percent * union. ``component_id`` is the smallest doc_id
+    that links reach; rows with equal sets are linked, rows with a null id take part without naming the component.
+    """
+    rows = rooted_rows(docs, doc_id, text, n, percent)
+    return rows.select(
         "doc_id",
         F.col("size").alias("n_shingles"),
         F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
@@ -433,11 +442,26 @@ def near_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: in
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component; of repeated rows of that id all stay.
+    """``docs`` with exactly one row of each component: that of the smallest id, and of the texts under it the one with the
+    smallest hash.
 
-    Rows with a null id stay, too: nothing names them.
+    A row with a null id stays where its component has no other. Rows without words are in no component; of those with
+    one id and one text one stays. So no two rows of the result have both the same id and the same text, whatever other
+    columns they have; which of several such rows stays is not defined.
     """
-    kept = near_sets(docs, doc_id, text, n, percent).filter("doc_id = component_id").select(
-        F.col("doc_id").alias("kept_id")
-    ).distinct()
-    return docs.join(kept, docs[doc_id] == kept["kept_id"], "left_semi").unionByName(docs.filter(F.col(doc_id).isNull()))
+    rows = rooted_rows(docs, doc_id, text, n, percent)
+    alike = rows.groupBy("doc_id", "text_key", "root").agg(F.count("*").alias("rows"))
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key", "rows")
+    kept = settled(
+        alike.filter("root is not null").groupBy("root").agg(F.min(first).alias("row")).select("row.doc_id", "row.text_key", "row.rows")
+        .unionByName(alike.filter("root is null").select("doc_id", "text_key", "rows"))
+        .select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_text"), "rows"),
+        "kept",
+    )
+    names = unused(docs, "text_key")
+    keyed = docs.withColumn(names["text_key"], F.xxhash64(text))
+    is_kept = keyed[doc_id].eqNullSafe(F.col("kept_id")) & (F.col(names["text_key"]) == F.col("kept_text"))
+    once = keyed.join(kept.filter("rows = 1"), is_kept, "left_semi")
+    # Rows alike combine before they are shuffled, however many there are.
+    repeated = keyed.join(kept.filter("rows > 1"), is_kept, "left_semi").dropDuplicates([doc_id, names["text_key"]])
+    return once.unionByName(repeated).drop(names["text_key"])

@@ -113,7 +113,9 @@ def find_licenses(
     """(doc_id, license, dice, units) for every template that some unit of a document matches at ``similarity`` or more.
 
     ``dice`` is that of the best unit and ``units`` how many different units match. Null, empty and blank texts, and
-    units of fewer than two words, match nothing. Rows of one id are read together, those without an id, too.
+    units of fewer than two words, match nothing. Rows of one id are read together, those without an id, too, so repeated
+    rows change nothing. Texts are read whole however long they are; other columns are not read. An empty table gives an
+    empty result.
     """
     sizes = template_sizes(docs.sparkSession, templates, similarity)
     lines = F.split(F.col(text), "\n")
@@ -134,8 +136,10 @@ def find_licenses(
         .select(F.col(doc_id).alias("doc_id"), F.explode(units).alias("unit"))
         .filter(telling(F.col("unit")))
     )
-    words = rows.select("doc_id", F.split(normal(F.col("unit")), " ").alias("words")).filter(F.size("words") > 1)
-    found = words.select("doc_id", bigrams(F.col("words")).alias("pairs")).withColumn("size", F.size("pairs"))
+    words = rows.select(
+        "doc_id", F.xxhash64("unit").alias("unit"), F.split(normal(F.col("unit")), " ").alias("words")
+    ).filter(F.size("words") > 1)
+    found = words.select("doc_id", "unit", bigrams(F.col("words")).alias("pairs")).withColumn("size", F.size("pairs"))
     shared = F.size(F.array_intersect("pairs", "template"))
     # The templates are a fixed list, in code or given by the caller: that bounds the broadcast.
     scored = found.join(F.broadcast(sizes), "size").withColumn(
@@ -144,5 +148,5 @@ def find_licenses(
     return (
         scored.filter(F.col("dice") >= similarity)
         .groupBy("doc_id", "license")
-        .agg(F.max("dice").alias("dice"), F.count("*").alias("units"))
+        .agg(F.max("dice").alias("dice"), F.count_distinct("unit").alias("units"))
     )

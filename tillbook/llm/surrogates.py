@@ -5,7 +5,11 @@ around their surrogates. A person is found by a title; the names of a text's tit
 they stand in that text, as whole words in the same spelling. A person without a title in the whole text is not found. A surrogate is a keyed hash of the entity's canonical form (so the same entity reads the same
 everywhere, whatever its spelling), its type and an attempt number. The table of distinct entities is checked: where
 two entities of a type would get one surrogate, or a surrogate is itself an entity of the corpus, the later ones go on
-to their next attempt, until nothing collides.
+to their next attempt, until nothing collides. A given name has one key whatever the title; only its ending follows the
+gender that the text's titles tell, once for all mentions in that text.
+
+Patterns repeat groups a bounded number of times or possessively, so no text is too long for them: up to 8 titles and 16
+name words make a person, a local part has up to 256 signs and a domain up to 127 labels.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ _FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Señorita|Sra|Doña|г-жа|
 _NEUTRAL = "Dr|Prof"
 # Name words (O'Brien, Jean-Luc; without the ending of a possessive), initials, and what may stand between name words.
 _NAME = r"\p{Lu}(?:['’]\p{Lu})?\p{Ll}(?:\p{L}|['’-](?=\p{L})(?!s(?!\p{L})))*+"
-_INITIAL = r"\p{Lu}\.(?:[ -]?\p{Lu}\.)*|\p{Lu}(?=[ ]\p{Lu}\p{Ll})"
+_INITIAL = r"\p{Lu}\.(?:[ -]?\p{Lu}\.)*+|\p{Lu}(?=[ ]\p{Lu}\p{Ll})"
 _PARTICLE = "von|vom|van|zu|zum|zur|de|del|della|der|den|di|da|dal|do|dos|das|du|la|le|el|al|bin|ibn|ter|ten|af|av|y|e|фон"
 _BETWEEN = rf"(?:(?:{_INITIAL}|(?:{_PARTICLE})(?=[ ]))[ ])*+"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
@@ -33,7 +37,7 @@ _END = r"(?![\p{L}\p{N}])"
 
 # Each kind with the pattern of its entities, in the order in which they are tried where a word begins.
 KINDS: dict[str, str] = {
-    "email": r"[\p{L}\p{N}._%+\-]++@(?:[\p{L}\p{N}\-]+\.)+\p{L}{2,}",
+    "email": r"[\p{L}\p{N}._%+\-]{1,256}+@(?:[\p{L}\p{N}\-]++\.){1,126}\p{L}{2,}",
     "secret": r"(?:(?=[A-Fa-f]*\d)[0-9a-f]{32,}|(?=[A-Fa-f]*\d)[0-9A-F]{32,}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}"
     + r"|sk-[0-9A-Za-z_\-]{20,}|xox[baprs]-[0-9A-Za-z\-]{10,}|eyJ[0-9A-Za-z_\-]{10,}\.[0-9A-Za-z_\-]{10,}\.[0-9A-Za-z_\-]{10,})"
     + _END,
@@ -49,7 +53,7 @@ KINDS: dict[str, str] = {
     + r"|\+[2-9]\d{0,2}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,4}){2,5}(?![\p{L}\p{N}]|[.-]\d))",
     "card": r"(?<![.-])(?:\d{13,19}|\d{4}(?<c>[ -])\d{4}\k<c>\d{4}\k<c>\d{1,7}|3\d{3}(?<d>[ -])\d{6}\k<d>\d{5})"
     + r"(?![\p{L}\p{N}]|[.-]\d)",
-    "person": rf"(?:(?:{_MALE}|{_FEMALE}|{_NEUTRAL})\.?[ ])+{_BETWEEN}{_NAME}(?:[ ]{_BETWEEN}{_NAME})*",
+    "person": rf"(?:(?:{_MALE}|{_FEMALE}|{_NEUTRAL})\.?[ ]){{1,8}}{_BETWEEN}{_NAME}(?:[ ]{_BETWEEN}{_NAME}){{0,15}}",
 }
 # What may begin inside a word is ruled out once for all kinds; kinds that begin with a digit or sign are tried there only.
 _SIGNED = ("ip", "social", "phone", "card")
@@ -69,17 +73,19 @@ _HINTS = (
 ).split()
 _MALE_TITLE = rf"^(?:{_MALE})\.?[ ]"
 _FEMALE_TITLE = rf"^(?:{_FEMALE})\.?[ ]"
-_TITLE = rf"^(?:(?:{_MALE}|{_FEMALE}|{_NEUTRAL})\.?[ ])+"
+_TITLE = rf"^(?:(?:{_MALE}|{_FEMALE}|{_NEUTRAL})\.?[ ]){{1,8}}"
 
 # Sounds that surrogate names are made of, sixteen for each script.
 SYLLABLES = {
     "latin": "ba de fi ga ho ju ka le mi no pa re sa to vi za".split(),
     "cyrillic": "ба ве ги да жо зу ка ле ми но па ре са то ви за".split(),
+    "greek": "βα γε δι ζο θα κα λε μι νο πα ρε σα το φι χα ξε".split(),
 }
 # Endings by gender: four of each, for given names; family names take the neutral ones.
 ENDINGS = {
     "latin": {"m": "n r s l".split(), "f": "a na ra la".split(), "n": "er en is ol".split()},
     "cyrillic": {"m": "н р с л".split(), "f": "а на ра ла".split(), "n": "ер ен ис ол".split()},
+    "greek": {"m": "ος ης ας ων".split(), "f": "α η ια να".split(), "n": "ερ εν ισ ολ".split()},
 }
 
 
@@ -100,7 +106,27 @@ def kind_of(value: Column) -> Column:
 
 
 def _script(token: Column) -> Column:
-    return F.when(token.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
+    return cases(
+        (token.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")), (token.rlike(r"\p{IsGreek}"), F.lit("greek")),
+        otherwise=F.lit("latin"),
+    )
+
+
+def _gender(value: Column) -> Column:
+    """What a person's first title says: m, f or n."""
+    return cases((value.rlike(_MALE_TITLE), F.lit("m")), (value.rlike(_FEMALE_TITLE), F.lit("f")), otherwise=F.lit("n"))
+
+
+def _given_names(value: Column) -> Column:
+    names = F.filter(_name_words(value), _is_name)
+    return let(names, lambda n: F.slice(n, F.lit(1), F.greatest(F.lit(0), F.size(n) - 1)))
+
+
+def _genders(titled: Column) -> Column:
+    """array<struct<name, gender>>: the given names of a text's titled persons whose title tells a gender, in their order."""
+    told = F.filter(titled, lambda v: _gender(v) != "n")
+    named = lambda v: F.transform(_given_names(v), lambda w: F.struct(w.alias("name"), _gender(v).alias("gender")))
+    return F.array_distinct(F.flatten(F.transform(told, named)))
 
 
 def _is_name(token: Column) -> Column:
@@ -117,16 +143,11 @@ def parts_of(value: Column) -> Column:
     digits = F.regexp_replace(value, r"[^0-9]", "")
 
     def person(tokens: Column) -> Column:
-        gender = cases(
-            (value.rlike(_MALE_TITLE), F.lit("m")), (value.rlike(_FEMALE_TITLE), F.lit("f")), otherwise=F.lit("n")
-        )
         return F.transform(
             tokens,
             lambda token, i: F.struct(
                 F.concat(
-                    F.when(i < F.size(tokens) - 1, F.concat(F.lit("given-"), gender)).otherwise(F.lit("family-n")),
-                    F.lit("-"),
-                    _script(token),
+                    F.when(i < F.size(tokens) - 1, F.lit("given-")).otherwise(F.lit("family-")), _script(token)
                 ).alias("kind"),
                 F.lower(token).alias("canon"),
             ),
@@ -205,23 +226,28 @@ def _number(h: Column, at: int, below: int) -> Column:
     return F.conv(F.substring(h, at, 6), 16, 10).cast("int") % below
 
 
-def _name(kind: Column, h: Column, attempt: Column) -> Column:
-    """A name of three syllables and one more for each attempt, with an ending of its gender."""
+def _name(kind: Column, h: Column, attempt: Column, gender: Column) -> Column:
+    """A name of three syllables and one more for each attempt, with an ending of its gender.
+
+    Names of other syllables are other names whatever their endings, which are one or two letters.
+    """
     options = []
     for script, sounds in SYLLABLES.items():
-        for gender, endings in ENDINGS[script].items():
+        for of_gender, endings in ENDINGS[script].items():
             syllables = F.array(*[F.lit(s) for s in sounds])
             said = F.transform(
                 F.sequence(F.lit(1), F.least(F.lit(60), attempt + 3)),
                 lambda i: F.element_at(syllables, F.conv(F.substring(h, i, F.lit(1)), 16, 10).cast("int") + 1),
             )
             ending = F.element_at(F.array(*[F.lit(e) for e in endings]), _number(h, 58, 4) + 1)
-            options.append((kind.endswith(f"-{gender}-{script}"), F.initcap(F.concat(F.array_join(said, ""), ending))))
+            options.append((kind.endswith(f"-{script}") & (gender == of_gender), F.initcap(F.concat(F.array_join(said, ""), ending))))
     return cases(*options)
 
 
-def surrogate(kind: Column, canon: Column, spelling: Column, attempt: Column, key: str = KEY) -> Column:
-    """What stands for an entity, in the format of ``spelling``.
+def surrogate(
+    kind: Column, canon: Column, spelling: Column, attempt: Column, key: str = KEY, gender: Column | None = None
+) -> Column:
+    """What stands for an entity, in the format of ``spelling``; names get the ending of ``gender`` (m, f, or n: neutral).
 
     From attempt ``GROWS`` on, what is made of digits and letters gets one more digit at its end with each attempt, so
     that no format runs out of values, and IPv6 addresses get all eight groups; other addresses have 3.7 billion values.
@@ -255,14 +281,14 @@ def surrogate(kind: Column, canon: Column, spelling: Column, attempt: Column, ke
             (kind == "phone", longer(_same_format(spelling, h, country), h)),
             (kind == "iban", longer(_same_format(spelling, h, F.lit(2)), h)),
             (kind.isin("card", "social"), longer(_same_format(spelling, h, F.lit(0)), h)),
-            otherwise=_name(kind, h, attempt),
+            otherwise=_name(kind, h, attempt, F.lit("n") if gender is None else gender),
         )
 
     return let(_hash(kind, canon, attempt, key), made)
 
 
-def _canonical_surrogate(key: str) -> Column:
-    return F.lower(surrogate(F.col("kind"), F.col("canon"), F.col("canon"), F.col("attempt"), key))
+def _canonical_surrogate(key: str, gender: str = "n") -> Column:
+    return F.lower(surrogate(F.col("kind"), F.col("canon"), F.col("canon"), F.col("attempt"), key, F.lit(gender)))
 
 
 def distinct_entities(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -279,22 +305,15 @@ def settle(entities: DataFrame, key: str = KEY) -> DataFrame:
     """
     held = stored(entities.withColumn("attempt", F.lit(0)), "entities")
     while True:
-        made = stored(held.withColumn("made", _canonical_surrogate(key)), "made")
-        first = made.groupBy("kind", "made").agg(F.min("canon").alias("first"), F.count("*").alias("n"))
-        taken = (
-            first.filter(F.col("n") > 1).select("kind", "made", "first")
-            .unionByName(
-                first.select("kind", "made").join(
-                    held.select("kind", F.lower("canon").alias("made")).distinct(), ["kind", "made"], "left_semi"
-                ).withColumn("first", F.lit(None).cast("string"))
-            )
-            .groupBy("kind", "made").agg(F.max("first").alias("first"), F.max(F.col("first").isNull()).alias("real"))
+        forms = F.when(F.col("kind").startswith("given-"), F.array(*[_canonical_surrogate(key, g) for g in "mfn"]))
+        made = stored(held.withColumns({"made": _canonical_surrogate(key), "forms": forms}), "made")
+        first = made.groupBy("kind", "made").agg(F.min("canon").alias("first"), F.count("*").alias("n")).filter("n > 1")
+        later = made.join(first, ["kind", "made"]).filter("canon <> first").select("kind", "canon")
+        real = made.select("kind", "canon", F.explode(F.coalesce("forms", F.array("made"))).alias("form")).join(
+            held.select("kind", F.lower("canon").alias("form")).distinct(), ["kind", "form"], "left_semi"
         )
         losers = stored(
-            made.join(taken, ["kind", "made"])
-            .filter(F.col("real") | (F.col("canon") != F.col("first")))
-            .select("kind", "canon", F.lit(1).alias("again")),
-            "colliding",
+            later.unionByName(real.select("kind", "canon")).distinct().withColumn("again", F.lit(1)), "colliding"
         )
         if losers.isEmpty():
             return held
@@ -310,22 +329,32 @@ def _attempt(part: Column, later: Column) -> Column:
     return F.coalesce(F.element_at(later, F.concat_ws("\u0001", part["kind"], part["canon"])), F.lit(0))
 
 
-def _names_of(value: Column, later: Column, key: str) -> Column:
-    """array<struct<name, made>>: the name words of an entity with their surrogates; empty if it is no person."""
+def _names_of(value: Column, genders: Column, later: Column, key: str) -> Column:
+    """array<struct<name, made>>: the name words of an entity with their surrogates, spelled so and in capitals alone;
+    empty if it is no person."""
 
     def named(parts: Column) -> Column:
         words = F.filter(_name_words(value), _is_name)
-        return F.zip_with(
-            words, parts,
-            lambda w, p: F.struct(w.alias("name"), surrogate(p["kind"], p["canon"], p["canon"], _attempt(p, later), key).alias("made")),
+
+        def one(w: Column, p: Column) -> Column:
+            told = F.coalesce(F.get(F.filter(genders, lambda g: g["name"] == w), F.lit(0))["gender"], F.lit("n"))
+            gender = F.when(p["kind"].startswith("given-"), told).otherwise(F.lit("n"))
+            return F.struct(w.alias("name"), surrogate(p["kind"], p["canon"], p["canon"], _attempt(p, later), key, gender).alias("made"))
+
+        return let(
+            F.zip_with(words, parts, one),
+            lambda plain: F.concat(
+                plain, F.transform(plain, lambda n: F.struct(F.upper(n["name"]).alias("name"), F.upper(n["made"]).alias("made")))
+            ),
         )
 
     nothing = F.array().cast("array<struct<name:string,made:string>>")
     return F.when(value.rlike(_TITLE), let(parts_of(value), named)).otherwise(nothing)
 
 
-def _replaced(value: Column, later: Column, key: str) -> Column:
-    """An entity's surrogate in its own spelling; ``later`` maps kind and canonical form to attempts beyond the first."""
+def _replaced(value: Column, names: Column, later: Column, key: str) -> Column:
+    """An entity's surrogate in its own spelling; ``names`` are those of its text's persons with their surrogates, and
+    ``later`` maps kind and canonical form to attempts beyond the first."""
 
     def person(named: Column) -> Column:
         """Names by their surrogates, initials by other ones, particles as they are."""
@@ -342,7 +371,7 @@ def _replaced(value: Column, later: Column, key: str) -> Column:
     def whole(parts: Column) -> Column:
         return surrogate(parts[0]["kind"], parts[0]["canon"], value, _attempt(parts[0], later), key)
 
-    return F.when(value.rlike(_TITLE), let(_names_of(value, later, key), person)).otherwise(let(parts_of(value), whole))
+    return F.when(value.rlike(_TITLE), person(names)).otherwise(let(parts_of(value), whole))
 
 
 def _mentions(names: Column) -> Column:
@@ -364,14 +393,14 @@ def _renamed(piece: Column, names: Column, pattern: Column) -> Column:
 def replace_entities(docs: DataFrame, text: str = "text", key: str = KEY, count: str | None = None) -> DataFrame:
     """``docs`` with every entity of ``text`` exchanged; other columns stay, and ``count`` gets the number of entities.
 
-    Untitled mentions of the persons that a text names with their title are exchanged and counted, too.
-    Null stays null (count 0); texts without entities, empty ones too, stay as they are. Equal texts stay equal.
+    Untitled mentions of the persons that a text names with their title are exchanged and counted, too, if they are
+    spelled alike or in capitals. Null stays null (count 0); texts without entities, empty ones too, stay as they are.
+    Equal texts stay equal, repeated rows stay as many. Texts of any length are read whole. Working columns get names
+    that clash with none of ``docs``. An empty table gives an empty one.
     """
     attempts = settle(distinct_entities(docs, text), key).filter(F.col("attempt") > 0)
-    names = unused(docs, "found", "later", "text_key", "text_key2", "named", "mentions")
-    found, later, k1, k2, named, mentions = (
-        F.col(names[n]) for n in ("found", "later", "text_key", "text_key2", "named", "mentions")
-    )
+    names = unused(docs, "found", "later", "text_key", "text_key2", "genders", "named", "mentions")
+    found, later, k1, k2, genders, named, mentions = (F.col(n) for n in names.values())
     body = docs.withColumn(names["found"], entities_of(F.col(text)))
     nothing = F.lit(None).cast("map<string,int>")
     if attempts.isEmpty():
@@ -393,14 +422,14 @@ def replace_entities(docs: DataFrame, text: str = "text", key: str = KEY, count:
             )
         )
         body = body.join(own, [names["text_key"], names["text_key2"]], "left")
-    titled = F.filter(found, lambda v: v.rlike(_TITLE))
-    body = body.withColumn(
+    titled = F.filter(F.array_distinct(found), lambda v: v.rlike(_TITLE))
+    body = body.withColumn(names["genders"], F.when(F.size(titled) > 0, _genders(titled))).withColumn(
         names["named"],
-        F.when(F.size(titled) > 0, F.array_distinct(F.flatten(F.transform(titled, lambda v: _names_of(v, later, key))))),
+        F.when(F.size(titled) > 0, F.array_distinct(F.flatten(F.transform(titled, lambda v: _names_of(v, genders, later, key))))),
     ).withColumn(names["mentions"], F.when(named.isNotNull(), _mentions(named)))
     plain = F.split(F.col(text), PATTERN, -1)
     pieces = F.when(mentions.isNull(), plain).otherwise(F.transform(plain, lambda piece: _renamed(piece, named, mentions)))
-    made = F.concat(F.transform(found, lambda v: _replaced(v, later, key)), F.array(F.lit("")))
+    made = F.concat(F.transform(found, lambda v: _replaced(v, named, later, key)), F.array(F.lit("")))
     new = F.when(
         F.size(found) > 0, F.array_join(F.zip_with(pieces, made, lambda piece, s: F.concat(piece, s)), "")
     ).otherwise(F.col(text))

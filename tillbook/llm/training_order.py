@@ -95,6 +95,8 @@ def _tokenised(docs: DataFrame, doc_id: str, text: str, vocabulary: str | None,
         for batch in batches:
             raw, starts, sizes = [], [], []
             for ids in token_arrays((t.as_py() for t in batch.column(1)), vocabulary, END):
+                if len(ids) and ids.max() > 0xFFFF:
+                    raise ValueError("records hold ids of 16 bits, and the vocabulary has larger ones")
                 raw.append(ids.astype("<u2").tobytes())
                 starts.append(ahead)
                 sizes.append(len(ids))
