@@ -157,14 +157,47 @@ def test_patch_keeps_all_or_nothing(spark):
 
 def test_stream_remembers_failures(spark, tmp_path):
     looks = [("a", t, 1, 1, False) for t in (1, 2, 3)] + [("a", 3, 0, 1, True)] + [("a", 4, 1, 1, False)] + [("a", t, 1, 2, False) for t in (5, 6, 7)]
-    looks += [("b", 1, 1, 1, False), ("b", 2, 1, 1, False), ("b", 4, 1, 1, False)]
+    looks += [("b", 1, 1, 1, False), ("b", 2, 1, 1, False), ("b", 4, 1, 1, False), ("clock", 20, 0, 0, False)]
     schema = "path string, tick long, size long, mtime_ms long, failed boolean"
-    spark.createDataFrame(looks, schema).write.parquet(str(tmp_path / "in"))
-    stream = watch.stability_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
-    stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
-    got = {(r["path"], r["tick"]): r["status"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert [got[("a", t)] for t in range(1, 8)] == ["pending", "pending", "eligible", "failed", "pending", "pending", "eligible"]
-    assert [got[("b", t)] for t in (1, 2, 4)] == ["pending"] * 3
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def run():
+        stream = watch.stability_stream(spark.readStream.schema(schema).parquet(source))
+        with watch.rocksdb(spark):
+            stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(out).awaitTermination()
+        return {(r["path"], r["tick"]): r["status"] for r in spark.read.parquet(out).collect()}
+
+    random.Random(5).shuffle(looks)
+    spark.createDataFrame(looks, schema).repartition(5).write.parquet(source)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    got = run()
+    assert [got[("a", t)] for t in range(1, 9)] == ["pending", "pending", "eligible", "failed", "pending", "pending", "eligible", "vanished"]
+    assert [got[("b", t)] for t in (1, 2, 3, 4, 5)] == ["pending", "pending", "vanished", "pending", "vanished"]
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+    # Paths that have gone leave no state; looks behind the watermark and of an old tick change nothing.
+    state = spark.read.format("statestore").option("path", str(tmp_path / "c")).option("stateVarName", "seen").load()
+    assert {r["key"]["path"] for r in state.collect()} <= {"clock"}
+    spark.createDataFrame([("a", 6, 9, 9, False), ("clock", 40, 0, 0, False)], schema).write.mode("append").parquet(source)
+    assert {k: v for k, v in run().items() if k[0] != "clock"} == {k: v for k, v in got.items() if k[0] != "clock"}
+
+
+def test_known_hashes_fold_their_runs(spark, tmp_path, monkeypatch):
+    """More batches than runs: folded or not, every batch finds what all before it have added."""
+    monkeypatch.setattr(watch, "RUNS", 2)
+    lib = {"item_source_file": spark.createDataFrame([(7, "aa00")], "item_id long, source_sha256 string"),
+           "item": spark.createDataFrame([(7,)], "id long"), "page": spark.createDataFrame([(3,)], "id long")}
+    known = watch.KnownHashes(spark, str(tmp_path / "k"))
+    known.seed(lib)
+    for number in range(5):
+        for _ in range(2):  # the second time as a replay
+            known.fold(number)
+            asked = spark.createDataFrame([("aa00",), ("aa01",), ("bb01",), (None,)], "sha256 string")
+            want = {"aa00": 7} | ({"aa01": 100} if number else {}) | ({"bb01": 101} if number > 1 else {})
+            assert {r["sha256"]: r["existing_item_id"] for r in known.among(asked, number).collect() if r["sha256"] in ("aa00", "aa01", "bb01")} == want
+            sha = ["aa01", "bb01", "aa02", "cc03", "aa04"][number]
+            known.add(spark.createDataFrame([(sha, 100 + number)], "sha256 string, item_id long"), spark.createDataFrame([(10 + number,)], "id long"), number)
+            assert known.numbers(number + 1) == (100 + number, 10 + number)
+    assert known.among(spark.createDataFrame([("dd",)], "sha256 string"), 4).count() == 0
 
 
 def test_grid_plan_reads_each_table_once_per_use(lib):

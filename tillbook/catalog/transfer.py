@@ -172,6 +172,64 @@ def combined_hashes(spark, sf):
     return ingest.combined_hashes(pages)
 
 
+def _grouped(spark, sf):
+    """Conversations as groups of page files, every fifth scanned twice; some hold an unreadable page, some a PDF, and a
+    seventh is in the library already."""
+    c = star.read(spark, sf, "conversations")
+    k, t = F.col("conv_id"), F.col("turn")
+    pages = c.select(
+        k.alias("batch_id"), (t * 10).alias("seq"),
+        F.concat(F.lit("scan/"), k.cast("string"), F.lit("-"), t.cast("string"), F.when((k % 17 == 3) & (t == 1), ".pdf").when(t % 3 == 2, ".JPEG").otherwise(".png")).alias("path"),
+        F.sha2("text", 256).alias("sha256"), F.when((k % 13 == 2) & (t % 2 == 1), "corrupt or unreadable image").alias("failed"))
+    again = pages.filter("batch_id % 5 = 0").withColumns({"batch_id": F.col("batch_id") + 1_000_000, "seq": F.col("seq") + 3})
+    lib = star.library(spark, sf)
+    own = ingest.combined_hashes(pages.filter("batch_id % 7 = 0")).select(
+        (F.col("batch_id") + 50_000_000_000_000).alias("item_id"), F.col("combined_sha256").alias("source_sha256"))
+    lib["item_source_file"] = lib["item_source_file"].unionByName(own, allowMissingColumns=True)
+    return ingest.import_page_groups(lib, pages.unionByName(again), star.NOW)
+
+
+GROUPS = """
+    with c as (select conv_id, turn, sha256(text) sha256, 'scan/' || conv_id || '-' || turn || case when conv_id % 17 = 3 and turn = 1 then '.pdf' when turn % 3 = 2 then '.JPEG' else '.png' end path,
+        case when conv_id % 17 = 3 and turn = 1 then 'only image pages can be combined, got .pdf' when conv_id % 13 = 2 and turn % 2 = 1 then 'corrupt or unreadable image' end reason from conversations),
+    p as (select conv_id batch_id, * from c union all select conv_id + 1000000, * from c where conv_id % 5 = 0),
+    bad as (select batch_id, min_by(reason, turn) filter (where reason is not null) reason from p group by 1 having count(reason) > 0),
+    keyed as (select batch_id, conv_id, sha256(string_agg(sha256, '' order by turn)) k, count(*) n, min_by(path, turn) head, min_by(sha256, turn) head_sha from p where batch_id not in (select batch_id from bad) group by 1, 2),
+    known as (select sha256(string_agg(sha256, '' order by turn)) k, min(50000000000000 + conv_id) existing from c where conv_id % 7 = 0 group by conv_id),
+    fresh as (select *, (select max(id) from item) + row_number() over (order by batch_id) item_id from (select * from keyed where k not in (select k from known) qualify row_number() over (partition by k order by batch_id) = 1))"""
+
+
+@query("grouped_items", GROUPS + """
+    select batch_id, item_id, k combined_sha256, n n_pages, 900 folder_id, 'receipt' type, 'USD' currency, split_part(head, '/', -1) original_name,
+      'images/' || substr(head_sha, 1, 2) || '/' || substr(head_sha, 3, 2) || '/' || head_sha || case when lower(head) like '%jpeg' then '.jpg' else '.png' end source_relpath from fresh""")
+def grouped_items(spark, sf):
+    """One item for each new group, with its side rows."""
+    lib, created, _, _ = _grouped(spark, sf)
+    item = lib["item"].select(F.col("id").alias("item_id"), "folder_id", "type")
+    source = lib["item_source_file"].select("item_id", "source_sha256", "source_relpath", "original_name")
+    joined = created.join(item, "item_id").join(lib["receipt_data"].select("item_id", "currency"), "item_id").join(source, "item_id")
+    return joined.filter("source_sha256 = combined_sha256").drop("source_sha256")
+
+
+@query("grouped_pages", GROUPS + """
+    select f.item_id, row_number() over (partition by f.item_id order by turn) seq, (select max(id) from page) + row_number() over (order by f.item_id, turn) id, sha256 content_hash,
+      'images/' || substr(sha256, 1, 2) || '/' || substr(sha256, 3, 2) || '/' || sha256 || case when lower(path) like '%jpeg' then '.jpg' else '.png' end file_relpath from fresh f join p using (batch_id)""")
+def grouped_pages(spark, sf):
+    """Pages 1..N of the new items, in one numbering."""
+    lib, created, _, _ = _grouped(spark, sf)
+    page = lib["page"].select("item_id", "seq", "id", "content_hash", "file_relpath")
+    return page.join(created.select("item_id"), "item_id", "left_semi")
+
+
+@query("grouped_leftovers", GROUPS + """
+    select g.batch_id, coalesce(w.existing, f.item_id) existing_item_id, null reason from keyed g left join (select k, min(existing) existing from known group by 1) w using (k) left join fresh f using (k) where f.batch_id is distinct from g.batch_id
+    union all select batch_id, null, reason from bad""")
+def grouped_leftovers(spark, sf):
+    """Groups that the library or an earlier group has, and groups with a page that cannot be taken."""
+    _, _, duplicates, rejected = _grouped(spark, sf)
+    return duplicates.unionByName(rejected, allowMissingColumns=True)
+
+
 def _paged(spark, sf):
     c = star.read(spark, sf, "conversations")
     return c.select(F.concat(F.lit("scan"), F.col("conv_id").cast("string"), F.lit(".pdf")).alias("path"), (F.col("turn") + 1).alias("page_no"),

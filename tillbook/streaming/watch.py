@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tillbook.functions.checks import is_inside
 from tillbook.operators.canonical import count_where
-from tillbook.operators.ingest import import_batch
-from tillbook.plans.scale import rank_rows, shift_rows
-from tillbook.schemas import TABLES, Library, with_tables
+from tillbook.operators.ingest import import_rows, inbox_of, known_sources
+from tillbook.plans.scale import next_id, rank_rows, shift_rows
+from tillbook.schemas import TABLES, Library
+from tillbook.session import checkpointed
 
 STABLE_OBSERVATIONS = 3
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -41,13 +43,27 @@ def stability(observations: DataFrame) -> DataFrame:
     )
 
 
-def stability_stream(observations: DataFrame) -> DataFrame:
-    """K1/K2 on a stream: a status per observation: pending, eligible or failed.
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """The state store that keyed state with timers needs, for the streams started inside."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    kept = spark.conf.get(name)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, kept)
 
-    Observations: path, tick, size, mtime_ms, failed (true = a report that the import of this
-    file failed, instead of a look at the folder).  A failed path is left alone until its
-    modification time changes.  State per path is a few numbers; ticks already seen are
-    ignored, so replays change nothing.
+
+def stability_stream(observations: DataFrame, late: int = 1) -> DataFrame:
+    """K1/K2/U5 on a stream: a status per observation: pending, eligible or failed, and vanished for a path that has gone.
+
+    Observations: path, tick, size, mtime_ms, failed (true = a report that the import of this file failed at that tick,
+    instead of a look at the folder).  A failed path is left alone until its modification time changes or it vanishes.
+    Ticks are event time, a second each: looks may come in any order, up to ``late`` ticks behind the latest of all paths,
+    and are taken in tick order by a timer once the watermark has passed them; one that comes later, or again, changes
+    nothing.  Waiting looks lie in the state store, keyed by tick, and one at a time is in memory, however many a path has.
+    A path that is not seen at the tick after its last look has vanished: its state is gone with that timer.
     """
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -55,50 +71,60 @@ def stability_stream(observations: DataFrame) -> DataFrame:
 
     class StabilityGate(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.looks = handle.getMapState("looks", "tick bigint", "size bigint, mtime bigint")
+            self.reports = handle.getMapState("reports", "tick bigint", "mtime bigint")
             self.seen = handle.getValueState("seen", "tick bigint, size bigint, mtime bigint, streak bigint")
             self.failed = handle.getValueState("failed", "mtime bigint")
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            # The looks of one path in one micro-batch, in tick order.
-            looks = sorted(
-                (int(t), bool(f), int(s), int(m))
-                for frame in rows
-                for t, f, s, m in zip(frame["tick"], frame["failed"], frame["size"], frame["mtime_ms"])
-            )
-            state = self.seen.get() if self.seen.exists() else None
-            failed = self.failed.get()[0] if self.failed.exists() else None
-            out = []
-            for tick, is_report, size, mtime in looks:
-                if is_report:
-                    failed, state = mtime, None
-                    continue
-                if state is not None and tick <= state[0]:
-                    continue
-                if failed is not None and failed == mtime:
-                    out.append((key[0], tick, "failed", 0))
-                    continue
-                failed = None
-                steady = state is not None and state[:3] == (tick - 1, size, mtime)
-                streak = state[3] + 1 if steady else 1
-                state = (tick, size, mtime, streak)
-                out.append((key[0], tick, "eligible" if streak >= required else "pending", streak))
-            if state is None:
+            for frame in rows:
+                for tick, is_report, size, mtime in zip(frame["tick"], frame["failed"], frame["size"], frame["mtime_ms"]):
+                    if is_report:
+                        self.reports.updateValue((int(tick),), (int(mtime),))
+                    else:
+                        self.looks.updateValue((int(tick),), (int(size), int(mtime)))
+                    # At its own tick a look is judged; at the next one it is known whether the path is still there.
+                    for due in (int(tick), int(tick) + 1):
+                        self.handle.registerTimer((due + 1) * 1000)
+            return iter(())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            tick = expiredTimerInfo.getExpiryTimeInMs() // 1000 - 1
+            status, streak = self._judged(tick)
+            if self.reports.containsKey((tick,)):
+                self.failed.update((self.reports.getValue((tick,))[0],))
+                self.reports.removeKey((tick,))
+            if status is None:
+                return iter(())
+            return iter([pd.DataFrame([(key[0], tick, status, streak)], columns=["path", "tick", "status", "streak"])])
+
+        def _judged(self, tick: int) -> tuple[str | None, int]:
+            last = self.seen.get() if self.seen.exists() else None
+            if not self.looks.containsKey((tick,)):
+                if last is None or last[0] >= tick:
+                    return None, 0
                 self.seen.clear()
-            else:
-                self.seen.update(state)
-            if failed is None:
                 self.failed.clear()
-            else:
-                self.failed.update((failed,))
-            if out:
-                yield pd.DataFrame(out, columns=["path", "tick", "status", "streak"])
+                return "vanished", 0
+            size, mtime = self.looks.getValue((tick,))
+            self.looks.removeKey((tick,))
+            if self.failed.exists() and self.failed.get()[0] == mtime:
+                self.seen.update((tick, size, mtime, 0))
+                return "failed", 0
+            self.failed.clear()
+            steady = last is not None and (last[0], last[1], last[2]) == (tick - 1, size, mtime)
+            streak = last[3] + 1 if steady else 1
+            self.seen.update((tick, size, mtime, streak))
+            return ("eligible" if streak >= required else "pending"), streak
 
         def close(self) -> None:
             pass
 
-    observations.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return observations.groupBy("path").transformWithStateInPandas(
-        statefulProcessor=StabilityGate(), outputStructType=OBSERVED, outputMode="append", timeMode="none"
+    # Time begins at 0, and what is not later than it counts as late.
+    timed = observations.withColumn("at", F.timestamp_seconds(F.col("tick") + 1)).withWatermark("at", f"{late} seconds")
+    return timed.groupBy("path").transformWithStateInPandas(
+        statefulProcessor=StabilityGate(), outputStructType=OBSERVED, outputMode="append", timeMode="EventTime"
     )
 
 
@@ -110,50 +136,108 @@ def vanished(state_paths: DataFrame, present: DataFrame) -> DataFrame:
 # --- K3/K4 ---------------------------------------------------------------------------
 
 
-def start_ingest(stream: DataFrame, lib: Library, path: str, now: int, trigger: dict | None = None) -> StreamingQuery:
-    """K3/K4: eligible files (path, sha256) become items, micro-batch by micro-batch.
+# Hash digits that a folder of known hashes stands for, and the batches after which single runs are folded into folders.
+PREFIX_DIGITS, RUNS = 2, 64
+KNOWN = "sha256 string, item_id bigint"
+# Where each table's rows of a batch go.
+WRITTEN = {"item": "items", "item_source_file": "sources", "page": "pages", "receipt_data": "receipts", "contact_data": "contacts"}
+
+
+def _prefix() -> Column:
+    return F.substring("sha256", 1, PREFIX_DIGITS).alias("prefix")
+
+
+class KnownHashes:
+    """The hashes that an ingest has seen, kept by prefix, and the numbers it goes on from.
 
-    Everything a batch yields is written under its own number, replacing what a failed attempt
-    left: a replay gives the same rows.  The archive list is written last, so a file is only
-    ever archived once its item, or its duplicate, is in the library.
+    ``base=N`` holds what was known before batch N in one folder per prefix; each batch since adds a run of its own.  A
+    batch reads the folders of the prefixes among its files and at most RUNS runs, whatever the size of the library.
+    Every RUNS batches the runs are folded into a new base.  All of it is written under batch numbers, so a batch that
+    is run again finds exactly what it found the first time.
     """
 
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def seed(self, lib: Library) -> None:
+        """What the library knows before the first batch; a stream that starts again keeps what it has."""
+        sources = known_sources(lib).select("sha256", F.col("existing_item_id").alias("item_id"))
+        # Folders are written by prefix: a hot prefix does not exist among hashes.
+        sources.withColumn("prefix", _prefix()).repartition("prefix").write.mode("ignore").partitionBy("prefix").parquet(f"{self.path}/base=0")
+        self._numbers(next_id(lib["item"]), next_id(lib["page"]), -1, "ignore")
+
+    def _numbers(self, item: int, page: int, batch: int, mode: str) -> None:
+        self.spark.createDataFrame([(item, page)], "item bigint, page bigint").coalesce(1).write.mode(mode).parquet(f"{self.path}/numbers={batch}")
+
+    def numbers(self, batch: int) -> tuple[int, int]:
+        """The last item and page numbers in use before a batch."""
+        return tuple(self.spark.read.schema("item bigint, page bigint").parquet(f"{self.path}/numbers={batch - 1}").first())
+
+    def _base(self, batch: int) -> int:
+        return batch // RUNS * RUNS
+
+    def _all(self, base: int, batch: int) -> DataFrame:
+        rows = self.spark.read.schema(f"{KNOWN}, prefix string").parquet(f"{self.path}/base={base}")
+        runs = [f"{self.path}/run={k}" for k in range(base, batch)]
+        return rows.unionByName(self.spark.read.schema(KNOWN).parquet(*runs).withColumn("prefix", _prefix())) if runs else rows
+
+    def fold(self, batch: int) -> None:
+        """A new base at the batches that begin one."""
+        if batch and self._base(batch) == batch:
+            self._all(batch - RUNS, batch).repartition("prefix").write.mode("overwrite").partitionBy("prefix").parquet(f"{self.path}/base={batch}")
+
+    def among(self, hashes: DataFrame, batch: int) -> DataFrame:
+        """(sha256, existing_item_id) of the known hashes with a prefix that ``hashes`` have, before a batch."""
+        touched = [r[0] for r in hashes.select(_prefix()).distinct().collect() if r[0] is not None]  # 256 at most
+        rows = self._all(self._base(batch), batch).filter(F.col("prefix").isin(touched) if touched else F.lit(False))
+        return rows.groupBy("sha256").agg(F.min("item_id").alias("existing_item_id"))
+
+    def add(self, created: DataFrame, pages: DataFrame, batch: int) -> None:
+        created.groupBy("sha256").agg(F.min("item_id").alias("item_id")).write.mode("overwrite").parquet(f"{self.path}/run={batch}")
+        item, page = self.numbers(batch)
+        self._numbers(max(item, next_id(created, "item_id")), max(page, next_id(pages)), batch, "overwrite")
+
+
+def start_ingest(
+    stream: DataFrame, lib: Library, path: str, now: int, trigger: dict | None = None,
+    archive: Callable[[DataFrame, int], None] | None = None,
+) -> StreamingQuery:
+    """K3/K4: eligible files (path, sha256, tick, and failed: reason or null) become items, micro-batch by micro-batch.
+
+    The import hands over a batch's own rows; of the library only the inbox is read, and of the hashes only those that
+    ``KnownHashes`` keeps under the prefixes of the batch.  Everything a batch yields is written under its number,
+    replacing what a failed attempt left: a replay gives the same rows.  The archive list is written last, and only
+    then ``archive`` gets it (path) to move the files; if it fails, the batch is run again when the stream is restarted.
+    So a file is only ever archived once its item, or its duplicate, is in the library.  The last look at a path within
+    a batch counts.
+    """
+    known = KnownHashes(stream.sparkSession, f"{path}/known")
+    known.seed(lib)
+
     def one_batch(files: DataFrame, number: int) -> None:
-        spark = files.sparkSession
-        earlier = _written(spark, path, "sources", number)
-        known = lib["item_source_file"] if earlier is None else lib["item_source_file"].unionByName(earlier)
-        items = _written(spark, path, "items", number)
-        item = lib["item"] if items is None else lib["item"].unionByName(items)
-        pages = _written(spark, path, "pages", number)
-        page = lib["page"] if pages is None else lib["page"].unionByName(pages)
-        before = with_tables(lib, item_source_file=known, item=item, page=page)
-        once = files.groupBy("path").agg(F.max_by("sha256", "tick").alias("sha256"))
-        after, created, duplicates, rejected = import_batch(before, once, now)
-        new = created.select("item_id")
-        outputs = {
-            "items": after["item"].join(new.withColumnRenamed("item_id", "id"), "id", "left_semi"),
-            "sources": after["item_source_file"].join(new, "item_id", "left_semi"),
-            "pages": after["page"].join(new, "item_id", "left_semi"),
-            "duplicates": duplicates,
-            "rejected": rejected,
-            "archive": created.select("path").unionByName(duplicates.select("path")),
-        }
+        if "failed" not in files.columns:
+            files = files.withColumn("failed", F.lit(None).cast("string"))
+        last = F.max_by(F.struct("sha256", "failed"), F.struct("tick", "sha256")).alias("f")
+        once = checkpointed(files.groupBy("path").agg(last).select("path", "f.*"))
+        known.fold(number)
+        got = import_rows(once, known.among(once, number), now, inbox_of(lib), *known.numbers(number))
+        outputs = {WRITTEN[t]: rows for t, rows in got.tables.items()} | {"duplicates": got.duplicates, "rejected": got.rejected}
         for name, rows in outputs.items():
             rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        spark = files.sparkSession
+        known.add(got.created, spark.read.schema(TABLES["page"]).parquet(f"{path}/pages/batch={number}"), number)
+        moved = got.created.select("path").unionByName(got.duplicates.select("path"))
+        moved.write.mode("overwrite").parquet(f"{path}/archive/batch={number}")
+        if archive is not None:
+            archive(spark.read.schema("path string").parquet(f"{path}/archive/batch={number}"), number)
 
     writer = stream.writeStream.foreachBatch(one_batch).option("checkpointLocation", f"{path}/_checkpoint")
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-_WRITTEN_AS = {"items": "item", "sources": "item_source_file", "pages": "page"}
-
-
-def _written(spark: SparkSession, path: str, name: str, before: int) -> DataFrame | None:
-    """What earlier batches wrote; a half-written later batch is not read."""
-    if before == 0:
-        return None
-    rows = spark.read.schema(f"{TABLES[_WRITTEN_AS[name]]}, batch bigint").parquet(f"{path}/{name}")
-    return rows.filter(F.col("batch") < before).drop("batch")
+def ingested(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """Rows of a library table that the batches of an ingest have written, with their batch."""
+    return spark.read.schema(f"{TABLES[table]}, batch bigint").parquet(f"{path}/{WRITTEN[table]}")
 
 
 def ingest_counts(spark: SparkSession, path: str) -> DataFrame:
