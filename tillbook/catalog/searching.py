@@ -102,14 +102,14 @@ def index_audit(spark, sf):
 def bm25_pages(spark, sf):
     """A word and a prefix, both must occur."""
     terms = s.query_tokens(s.clean_query("the th*"))
-    return _rounded(s.bm25_rows(star.library(spark, sf)["page"], "id", ["ocr_text"], terms).drop("text"))
+    return _rounded(s.bm25_rows(star.library(spark, sf)["page"], "id", ["ocr_text"], terms))
 
 
 @query("bm25_phrase", f"with {bm25_cte('ps', 'page', 'id', ['ocr_text'], [(['of', 'the'], False)])} select key id, round(score, 6) score from ps")
 def bm25_phrase(spark, sf):
     """A term of two tokens is a phrase."""
     terms = s.query_tokens(s.clean_query("of-the"))
-    return _rounded(s.bm25_rows(star.library(spark, sf)["page"], "id", ["ocr_text"], terms).drop("text"))
+    return _rounded(s.bm25_rows(star.library(spark, sf)["page"], "id", ["ocr_text"], terms))
 
 
 def _index(spark, docs, key: str, columns: list[str]) -> str:
@@ -123,7 +123,7 @@ def bm25_indexed_pages(spark, sf):
     """T2-T4 from stored postings: a word and a prefix."""
     page = star.library(spark, sf)["page"]
     terms = s.query_tokens(s.clean_query("the th*"))
-    return _rounded(s.bm25_indexed(page, "id", ["ocr_text"], terms, _index(spark, page, "id", ["ocr_text"])).drop("text"))
+    return _rounded(s.bm25_indexed(page, "id", ["ocr_text"], terms, _index(spark, page, "id", ["ocr_text"])))
 
 
 @query("bm25_indexed_phrase", f"with {bm25_cte('ps', 'item_search_src', 'id', s.FIELD_COLUMNS, [(['trading', 'store'], False), (['7'], False)])} select key id, round(score, 6) score from ps")
@@ -131,13 +131,13 @@ def bm25_indexed_phrase(spark, sf):
     """T3 from stored postings: a phrase and a word over several columns."""
     rows = star.library(spark, sf)["item_search_src"]
     terms = s.query_tokens(s.clean_query("trading-store 7"))
-    return _rounded(s.bm25_indexed(rows, "id", s.FIELD_COLUMNS, terms, _index(spark, rows, "id", s.FIELD_COLUMNS)).drop("text"))
+    return _rounded(s.bm25_indexed(rows, "id", s.FIELD_COLUMNS, terms, _index(spark, rows, "id", s.FIELD_COLUMNS)))
 
 
 @query("search_both_sides", fused_sql([(["en"], False)], "select item_id, i.type, i.folder_id, score, in_fields, in_text from hits join item i on i.id = item_id where i.trashed_at is null"))
 def search_both_sides(spark, sf):
     """Every hit of a word that is a language tag and a word of the texts."""
-    return _rounded(s.matches(star.library(spark, sf), SearchQuery(q="en"))).drop("snippet")
+    return _rounded(s.matches(star.library(spark, sf), SearchQuery(q="en"))).drop("page_id", "snippet")
 
 
 @query("search_indexed", fused_sql([(["en"], False)], "select item_id, i.type, i.folder_id, score, in_fields, in_text from hits join item i on i.id = item_id where i.trashed_at is null"))
@@ -145,7 +145,7 @@ def search_indexed(spark, sf):
     """T6 from stored postings of both sides."""
     lib = star.library(spark, sf)
     index = s.index_library(lib, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
-    return _rounded(s.matches(lib, SearchQuery(q="en"), index)).drop("snippet")
+    return _rounded(s.matches(lib, SearchQuery(q="en"), index)).drop("page_id", "snippet")
 
 
 @query("search_top", fused_sql([(["trading"], False), (["store"], False)], """
@@ -154,13 +154,13 @@ def search_indexed(spark, sf):
 def search_top(spark, sf):
     """Scores before filters, then one page."""
     q = SearchQuery(q='"trading" store', reviewed=True, amount_min=10_000_000, date_to="1999-12-31", limit=40, offset=5)
-    return _rounded(s.search(star.library(spark, sf), q)).drop("snippet")
+    return _rounded(s.search(star.library(spark, sf), q)).drop("page_id", "snippet")
 
 
 @query("search_with_trash", fused_sql([(["src1"], True)], "select item_id, i.type, i.folder_id, score, in_fields, in_text from hits join item i on i.id = item_id", live=False))
 def search_with_trash(spark, sf):
     """T5 lifted."""
-    return _rounded(s.matches(star.library(spark, sf), SearchQuery(q="src1*", include_trashed=True))).drop("snippet")
+    return _rounded(s.matches(star.library(spark, sf), SearchQuery(q="src1*", include_trashed=True))).drop("page_id", "snippet")
 
 
 @query("search_structured", """
@@ -169,13 +169,7 @@ def search_with_trash(spark, sf):
 def search_structured(spark, sf):
     """No text, score 0, by id."""
     q = SearchQuery(missing=["total", "category"], folder_id=2, include_subfolders=True, limit=1000)
-    return s.search(star.library(spark, sf), q).drop("snippet")
-
-
-@query("search_untracked_field", "select id item_id from item where false")
-def search_untracked_field(spark, sf):
-    """A missing-filter on a field nobody tracks finds nothing."""
-    return s.structured_filter(star.library(spark, sf), SearchQuery(missing=["paymentType"])).select("item_id")
+    return s.search(star.library(spark, sf), q).drop("page_id", "snippet")
 
 
 @query("search_missing_fields", """
@@ -191,6 +185,91 @@ def search_missing_fields(spark, sf):
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
+@query("search_page", fused_sql([(["en"], False)], r"""
+    , shown as (select item_id, score, in_fields, in_text from hits join item i on i.id = item_id where i.trashed_at is null order by score desc, item_id limit 30 offset 10),
+      best as (select p.item_id, min_by(p.id, (score, p.id)) page_id from ps join page p on p.id = key group by 1),
+      t as (select item_id, regexp_extract_all(ocr_text, '[\p{L}\p{N}][\p{L}\p{N}\p{M}]*') l, string_split_regex(ocr_text, '[\p{L}\p{N}][\p{L}\p{N}\p{M}]*') g from shown join best using (item_id) join page p on p.id = page_id where in_text),
+      h as (select *, list_position(list_transform(l, lambda x: strip_accents(lower(x))), 'en') hit_at from t),
+      w as (select *, greatest(1, least(hit_at - 4, len(l) - 9)) st from h)
+    select s.item_id, score, in_fields, in_text, case when st > 1 then '…' else '' end
+      || array_to_string(list_transform(range(st, least(st + 9, len(l)) + 1), lambda i: l[i] || case when i < least(st + 9, len(l)) then g[i + 1] else '' end), '')
+      || case when st + 10 <= len(l) then '…' else '' end snippet from shown s left join w using (item_id)"""))
+def search_page(spark, sf):
+    """One page of hits with their snippets, cut from the texts of these hits alone."""
+    return _rounded(s.search(star.library(spark, sf), SearchQuery(q="en", limit=30, offset=10))).drop("type", "folder_id")
+
+
+@query("search_totals_indexed", fused_sql([(["en"], False)], "select count(*) total, true truncated from hits join item i on i.id = item_id where i.trashed_at is null"))
+def search_totals_indexed(spark, sf):
+    """X3 from stored postings."""
+    lib = star.library(spark, sf)
+    index = s.index_library(lib, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    return s.search_totals(lib, SearchQuery(q="en", limit=10), index)
+
+
+def _edited(spark, sf):
+    """An index of all documents, then two loads: texts written anew, rows deleted and added, some of them again."""
+    k = F.col("doc_id")
+    docs = star.read_spread(spark, sf, "documents").select("doc_id", "text", "source")
+    path = _index(spark, docs, "doc_id", ["text", "source"])
+    anew = docs.filter(k % 10 == 3).withColumn("text", F.concat(F.lit("the late edition "), F.coalesce(F.substring("text", 1, 200), F.lit(""))))
+    added = docs.filter(k % 10 == 6).withColumn("doc_id", k + 1_000_000)
+    s.update_index(anew.unionByName(added), "doc_id", ["text", "source"], path, 1, docs.filter(k % 10 == 4))
+    again = docs.filter(k % 20 == 3).withColumn("text", F.lit("second edition of the text"))
+    back = docs.filter(k % 20 == 4)
+    s.update_index(again.unionByName(back), "doc_id", ["text", "source"], path, 2, added.select("doc_id").filter(k % 20 == 6).unionByName(docs.select((k + 5_000_000).alias("doc_id"))))
+    last = docs.filter((k % 10 != 3) & (k % 20 != 14)).unionByName(anew.filter(k % 20 != 3)).unionByName(again).unionByName(added.filter(k % 20 != 6))
+    return path, last
+
+
+EDITED = """edited as (
+    select doc_id id, source, case when doc_id % 20 = 3 then 'second edition of the text' when doc_id % 10 = 3 then 'the late edition ' || substr(text, 1, 200) else text end as text
+    from documents where doc_id % 20 <> 14 union all select doc_id + 1000000, source, text from documents where doc_id % 10 = 6 and (doc_id + 1000000) % 20 <> 6)"""
+
+
+def _edited_sql(terms) -> str:
+    return f"with {EDITED}, {bm25_cte('ps', 'edited', 'id', ['text', 'source'], terms)} select key doc_id, round(score, 6) score from ps"
+
+
+@query("index_upkeep", _edited_sql([(["edition"], False), (["the"], True)]))
+def index_upkeep(spark, sf):
+    """Search after edits, deletes and additions, without a rebuild."""
+    path, last = _edited(spark, sf)
+    return _rounded(s.bm25_indexed(last, "doc_id", ["text", "source"], s.query_tokens(s.clean_query("edition the*")), path))
+
+
+@query("index_upkeep_phrase", _edited_sql([(["of", "the"], False)]))
+def index_upkeep_phrase(spark, sf):
+    """A phrase after the loads have been compacted."""
+    path, last = _edited(spark, sf)
+    s.compact_index(spark, path, f"{path}-compact")
+    return _rounded(s.bm25_indexed(last, "doc_id", ["text", "source"], s.query_tokens(s.clean_query("of-the")), f"{path}-compact"))
+
+
+@query("stored_index_audit", f"""
+    with {EDITED}, e as (select id as key, unnest(list_concat({TOKENS.format('text')}, {TOKENS.format('source')})) term,
+        len({TOKENS.format('text')}) + len({TOKENS.format('source')}) len from edited where id % 50 = 7),
+    g as (select key, unnest(['ghost', 'words']) term, 2 as len from (select distinct id as key from edited where id % 50 = 8))
+    select term, key, count(*) tf, any_value(len) len, 'missing' problem from e group by 1, 2 union all select term, key, 1, len, 'extra' from g
+    union all select term, key, count(*), any_value(len), 'missing' from (select id as key, unnest(list_concat({TOKENS.format('text')}, {TOKENS.format('source')})) term,
+        len({TOKENS.format('text')}) + len({TOKENS.format('source')}) len from edited where id % 50 = 8) group by 1, 2""")
+def stored_index_audit(spark, sf):
+    """A stored index that a load has made wrong: rows of it gone, others with words that no text has."""
+    path, last = _edited(spark, sf)
+    wrong = last.filter("doc_id % 50 = 8").withColumns({"text": F.lit("ghost words"), "source": F.lit(None).cast("string")})
+    s.update_index(wrong, "doc_id", ["text", "source"], path, 3, last.filter("doc_id % 50 = 7"))
+    return s.index_audit(last, "doc_id", ["text", "source"], path)
+
+
+@query("index_in_step", "select 0 problems")
+def index_in_step(spark, sf):
+    """After upkeep and compaction the index is what a fresh one would be."""
+    path, last = _edited(spark, sf)
+    s.compact_index(spark, path, f"{path}-compact")
+    found = s.index_audit(last, "doc_id", ["text", "source"], path).unionByName(s.index_audit(last, "doc_id", ["text", "source"], f"{path}-compact"))
+    return found.agg(F.count("*").alias("problems"))
+
+
 @query("search_totals", """
     select count(*) total, 0 + 50 < count(*) truncated from item i join receipt_data r on r.item_id = i.id
     where i.trashed_at is null and vendor_id = 5 and tax_category_id = 1""")
@@ -237,5 +316,6 @@ def _found(docs, column: str, words: list[str]):
       || case when st + 10 <= len(l) then '…' else '' end snippet from w""")
 def search_snippets(spark, sf):
     """T8"""
-    rows = s.bm25_rows(star.library(spark, sf)["page"], "id", ["ocr_text"], [(["the"], False)])
-    return rows.select("id", s.snippet(F.col("text"), ["the"], False).alias("snippet"))
+    page = star.library(spark, sf)["page"]
+    rows = s.bm25_rows(page, "id", ["ocr_text"], [(["the"], False)]).join(page.select("id", "ocr_text"), "id")
+    return rows.select("id", s.snippet(F.col("ocr_text"), ["the"], False).alias("snippet"))

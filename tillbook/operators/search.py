@@ -6,12 +6,13 @@ import re
 import unicodedata
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tillbook.functions.let import let
 from tillbook.operators.canonical import missing_key_data
 from tillbook.operators.listing import in_folder
 from tillbook.schemas import Library
+from tillbook.session import checkpointed
 
 # --- fixed values --------------------------------------------------------------------
 BM25_K1, BM25_B, MIN_IDF = 1.2, 0.75, 1e-6
@@ -141,20 +142,20 @@ TOKEN = r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*"
 
 
 def bm25_rows(docs: DataFrame, key: str, columns: list[str], terms: list[tuple[list[str], bool]]) -> DataFrame:
-    """(key, score, text of the first column as it is) of the rows that hold every term; lower is better.
+    """(key, score) of the rows that hold every term; lower is better.
 
-    One scan turns each document into its length and term counts, by pattern, without cutting
-    it into tokens.  Corpus size, mean length
-    and document frequencies are one aggregate row, read back as scalars: no token is ever
-    shuffled.  Statistics cover all rows given, matching or not.
+    One scan turns each document into its length and term counts, by pattern, without cutting it into tokens; these
+    numbers are kept, as they are asked for several times.  Corpus size, mean length and document frequencies are one
+    aggregate row, read back as scalars: no token is ever shuffled.  Statistics cover all rows given, matching or not.
+    Texts are read once more only where the caller uses them.
     """
     sides = [f"_t{i}" for i in range(len(columns))]
-    texts = docs.select(key, F.col(columns[0]).alias("text"), *[F.coalesce(folded_text(F.col(c)), F.lit("")).alias(s) for c, s in zip(columns, sides)])
+    texts = docs.select(key, *[F.coalesce(folded_text(F.col(c)), F.lit("")).alias(s) for c, s in zip(columns, sides)])
     total = lambda pattern: sum((F.regexp_count(s, F.lit(pattern)) for s in sides[1:]), F.regexp_count(sides[0], F.lit(pattern)))
-    counted = texts.select(
-        key, "text", total(WORD).alias("len"),
+    counted = checkpointed(texts.select(
+        key, total(WORD).alias("len"),
         *[total(term_pattern(words, prefix)).alias(f"f{i}") for i, (words, prefix) in enumerate(terms)],
-    )
+    ))
     stats = counted.agg(
         F.count("*").cast("double").alias("n"),
         F.avg("len").alias("avg_len"),
@@ -164,7 +165,7 @@ def bm25_rows(docs: DataFrame, key: str, columns: list[str], terms: list[tuple[l
     matching = counted
     for i in range(len(terms)):
         matching = matching.filter(F.col(f"f{i}") > 0)
-    return matching.withColumn("_s", stat).select(key, _score(len(terms)).alias("score"), "text")
+    return matching.withColumn("_s", stat).select(key, _score(len(terms)).alias("score"))
 
 
 def _score(terms: int) -> Column:
@@ -183,30 +184,106 @@ def _score(terms: int) -> Column:
 # --- stored postings -------------------------------------------------------------------
 
 
+POSTINGS = "term string, key bigint, tf bigint, len bigint, load int"
+ROWS = "key bigint, len bigint, load int"
+TOTALS = "n bigint, words bigint, load int"
+
+
 def write_index(docs: DataFrame, key: str, columns: list[str], path: str) -> None:
-    """Postings sorted by term, so that a request reads the row groups of its terms only, and the lengths.
+    """A new index: postings sorted by term, so that a request reads the row groups of its terms only, and lengths.
 
-    postings: term, key, tf, len (words of the row in all columns); totals: rows and words, one row.
+    An index is a folder of loads.  ``postings``: term, key, tf, len (words of the row in all columns); ``rows``: key and
+    len of all rows of the load, null for a row that is gone; ``totals``: rows and words that the load adds, one row.
     """
+    _write_load(_postings(docs, key, columns), _lengths(docs, key, columns), path, 0)
+
+
+def _lengths(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
     size = sum((F.size(tokens_of(F.col(c))) for c in columns[1:]), F.size(tokens_of(F.col(columns[0]))))
-    counted = inverted_index(docs, key, columns).groupBy(key, "term").agg(F.sum("tf").alias("tf"))
-    lengths = docs.select(key, size.cast("bigint").alias("len"))
-    postings = counted.join(lengths, key).select("term", F.col(key).alias("key"), "tf", "len")
-    postings.repartitionByRange("term", "key").sortWithinPartitions("term", "key").write.mode("errorifexists").parquet(f"{path}/postings")
-    lengths.agg(F.count("*").alias("n"), F.sum("len").alias("words")).write.mode("errorifexists").parquet(f"{path}/totals")
+    return docs.select(F.col(key).cast("bigint").alias("key"), size.cast("bigint").alias("len"))
+
+
+def _postings(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """term, key, tf, len of every word of every row; repeats within a row are combined before the shuffle."""
+    tokens = F.concat(*[tokens_of(F.col(c)) for c in columns])
+    words = docs.select(F.col(key).cast("bigint").alias("key"), tokens.alias("tokens"))
+    words = words.select("key", F.size("tokens").cast("bigint").alias("len"), F.explode("tokens").alias("term"))
+    return words.groupBy("term", "key", "len").agg(F.count("*").alias("tf")).select("term", "key", "tf", "len")
+
+
+def _write_load(postings: DataFrame, rows: DataFrame, path: str, load: int, replaced: DataFrame | None = None) -> None:
+    postings.repartitionByRange("term", "key").sortWithinPartitions("term", "key").write.mode("overwrite").parquet(f"{path}/postings/load={load}")
+    rows.write.mode("overwrite").parquet(f"{path}/rows/load={load}")
+    written = rows.sparkSession.read.schema("key bigint, len bigint").parquet(f"{path}/rows/load={load}").filter("len IS NOT NULL")
+    sums = written.agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("words"))
+    if replaced is not None:
+        gone = replaced.agg(F.struct(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("words")).alias("g")).scalar()
+        sums = sums.withColumn("g", gone).select((F.col("n") - F.col("g.n")).alias("n"), (F.col("words") - F.col("g.words")).alias("words"))
+    sums.write.mode("overwrite").parquet(f"{path}/totals/load={load}")
+
+
+def _read(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{path}/{name}")
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    """key, newest load of it, len there."""
+    return rows.groupBy("key").agg(F.max(F.struct("load", "len")).alias("r")).select("key", F.col("r.load").alias("newest"), F.col("r.len").alias("newest_len"))
+
+
+def update_index(docs: DataFrame, key: str, columns: list[str], path: str, load: int, deleted: DataFrame | None = None) -> None:
+    """Rows written anew or for the first time, and keys ``deleted`` (key), as load number ``load`` (1, 2, ...).
+
+    Only the load is cut into words.  The newest load of a row counts; what older ones hold of it is passed over by
+    requests until ``compact_index``.  A key both written and deleted is written.  Writing a load again replaces it.
+    """
+    spark = docs.sparkSession
+    written = _lengths(docs, key, columns)
+    if deleted is not None:
+        gone = deleted.select(F.col(key).cast("bigint").alias("key")).distinct().join(written.select("key"), "key", "left_anti")
+        written = written.unionByName(gone.withColumn("len", F.lit(None).cast("bigint")))
+    rows = checkpointed(written)
+    older = _read(spark, path, "rows", ROWS).filter(F.col("load") < load).join(rows.select("key"), "key", "left_semi")
+    replaced = checkpointed(_newest(older).filter("newest_len IS NOT NULL").select("key", F.col("newest_len").alias("len")))
+    # A mark for a row that no load has says nothing.
+    rows = rows.join(older.select("key"), "key", "left_semi").unionByName(rows.join(older.select("key"), "key", "left_anti").filter("len IS NOT NULL"))
+    _write_load(_postings(docs, key, columns), rows, path, load, replaced)
+
+
+def live_postings(spark: SparkSession, path: str, wanted: Column | None = None) -> DataFrame:
+    """Postings of the newest load of each row, of the terms ``wanted``.
+
+    Later loads are small beside the first until they are compacted: only the keys in them are looked at.
+    """
+    postings = _read(spark, path, "postings", POSTINGS)
+    if wanted is not None:
+        postings = postings.filter(wanted)
+    changed = _newest(_read(spark, path, "rows", ROWS).filter("load > 0")).select("key", "newest")
+    return postings.join(changed, "key", "left").filter(F.col("load") == F.coalesce("newest", F.lit(0))).select("term", "key", "tf", "len")
+
+
+def compact_index(spark: SparkSession, path: str, into: str) -> None:
+    """The same index as a single load in a new folder."""
+    newest = _newest(_read(spark, path, "rows", ROWS)).filter("newest_len IS NOT NULL")
+    _write_load(live_postings(spark, path), newest.select("key", F.col("newest_len").alias("len")), into, 0)
 
 
 def bm25_indexed(
     docs: DataFrame, key: str, columns: list[str], terms: list[tuple[list[str], bool]], path: str
 ) -> DataFrame:
-    """T3/T4 from a stored index: the same (key, score, text) as ``bm25_rows``.
+    """T3/T4 from a stored index: the same (key, score) as ``bm25_rows``.
 
-    Only postings of the words asked for are read, and ``docs`` only for rows that hold every word: phrases are counted
-    in their text, and the text is for snippets.
+    Only postings of the words asked for are read, and ``docs`` only for phrases, which are counted in the texts of rows
+    that hold every word of them.
     """
     spark = docs.sparkSession
-    postings = spark.read.parquet(f"{path}/postings")
     word = F.col("term")
+    asked = {(w, prefix and k == len(words) - 1) for words, prefix in terms for k, w in enumerate(words)}
+    wanted = F.lit(False)
+    for w, open_end in sorted(asked):
+        wanted = wanted | (word.startswith(w) if open_end else word == w)
+    # Read, freed of older loads and kept once; they are asked for several times.
+    postings = checkpointed(live_postings(spark, path, wanted))
 
     def rows_of(words: list[str], prefix: bool) -> DataFrame:
         """Rows that hold every word of a term, with the counts of a single word."""
@@ -224,18 +301,17 @@ def bm25_indexed(
             pattern = F.lit(term_pattern(words, prefix))
             texts = docs.select(F.col(key).alias("key"), *[F.coalesce(folded_text(F.col(c)), F.lit("")).alias(f"_t{j}") for j, c in enumerate(columns)])
             times = sum((F.regexp_count(f"_t{j}", pattern) for j in range(1, len(columns))), F.regexp_count("_t0", pattern))
-            rows = rows.join(texts, "key").select("key", "len", times.cast("bigint").alias("tf")).filter("tf > 0")
+            rows = checkpointed(rows.join(texts, "key").select("key", "len", times.cast("bigint").alias("tf")).filter("tf > 0"))
         counted.append(rows.withColumnRenamed("tf", f"f{i}"))
-    totals = spark.read.parquet(f"{path}/totals").select(F.col("n").cast("double").alias("n"), (F.col("words") / F.col("n")).alias("avg_len"))
-    stats = totals
+    totals = _read(spark, path, "totals", TOTALS).agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+    stats = totals.select(F.col("n").cast("double").alias("n"), (F.col("words") / F.col("n")).alias("avg_len"))
     for i, rows in enumerate(counted):
         stats = stats.withColumn(f"df{i}", rows.agg(F.count("*").cast("double").alias("df")).scalar())
     stat = stats.select(F.struct("*").alias("s")).scalar()
     matching = counted[0]
     for rows in counted[1:]:
         matching = matching.join(rows.drop("len"), "key")
-    scored = matching.withColumn("_s", stat).select(F.col("key").alias(key), _score(len(terms)).alias("score"))
-    return scored.join(docs.select(key, F.col(columns[0]).alias("text")), key)
+    return matching.withColumn("_s", stat).select(F.col("key").alias(key), _score(len(terms)).alias("score"))
 
 
 def snippet(text: Column, words: list[str], prefix: bool) -> Column:
@@ -290,14 +366,12 @@ def item_side(lib: Library, terms: list[tuple[list[str], bool]], include_trashed
 
 
 def page_side(lib: Library, terms: list[tuple[list[str], bool]], include_trashed: bool, index: str | None = None) -> DataFrame:
-    """Items by their best page: item_id, score, snippet."""
+    """Items by their best page: item_id, score, page_id."""
     owner = lib["page"].select("id", "item_id")
-    hits = _ranked(lib["page"].select("id", "ocr_text"), ["ocr_text"], terms, index)
-    hits = hits.select("id", "score", snippet(F.col("text"), *terms[0]).alias("snippet")).join(owner, "id")
+    hits = _ranked(lib["page"].select("id", "ocr_text"), ["ocr_text"], terms, index).join(owner, "id")
     if not include_trashed:
         hits = hits.join(live_items(lib), "item_id", "left_semi")
-    best = F.min_by(F.struct("score", "snippet"), F.struct("score", "id"))
-    return hits.groupBy("item_id").agg(best.alias("b")).select("item_id", "b.score", "b.snippet")
+    return hits.groupBy("item_id").agg(F.min(F.struct("score", "id")).alias("b")).select("item_id", "b.score", F.col("b.id").alias("page_id"))
 
 
 def live_items(lib: Library) -> DataFrame:
@@ -308,10 +382,11 @@ def live_items(lib: Library) -> DataFrame:
 def fused(
     lib: Library, terms: list[tuple[list[str], bool]], include_trashed: bool, index: dict[str, str] | None = None
 ) -> DataFrame:
-    """Both sides in one ranking; a field match outranks any page match."""
+    """Both sides in one ranking; a field match outranks any page match.  No text goes through it."""
     index = index or {}
-    fields = normalised(item_side(lib, terms, include_trashed, index.get("fields")), "score", "field_norm").drop("score")
-    pages = normalised(page_side(lib, terms, include_trashed, index.get("pages")), "score", "page_norm").drop("score")
+    # A side is a few numbers per hit; its span and its rows come from one evaluation.
+    fields = normalised(checkpointed(item_side(lib, terms, include_trashed, index.get("fields"))), "score", "field_norm").drop("score")
+    pages = normalised(checkpointed(page_side(lib, terms, include_trashed, index.get("pages"))), "score", "page_norm").drop("score")
     both = fields.join(pages, "item_id", "full")
     in_fields = F.col("field_norm").isNotNull()
     score = (
@@ -320,7 +395,7 @@ def fused(
         + F.when(in_fields, FIELD_BONUS).otherwise(0.0)
     )
     return both.select(
-        "item_id", score.alias("score"), in_fields.alias("in_fields"), F.col("page_norm").isNotNull().alias("in_text"), "snippet"
+        "item_id", score.alias("score"), in_fields.alias("in_fields"), F.col("page_norm").isNotNull().alias("in_text"), "page_id"
     )
 
 
@@ -365,34 +440,57 @@ def structured_filter(lib: Library, query: SearchQuery) -> DataFrame:
 
 
 def matches(lib: Library, query: SearchQuery, index: dict[str, str] | None = None) -> DataFrame:
-    """All hits of a query before paging; from the postings of ``index_library`` where they are given, else by a scan."""
+    """All hits of a query before paging, with the page that a hit in the text is on; from the postings of
+    ``index_library`` where they are given, else by a scan."""
     terms = query_tokens(clean_query(query.q))
     allowed = structured_filter(lib, query)
     if not clean_query(query.q):
         return allowed.select(
             "item_id", "type", "folder_id", F.lit(0.0).alias("score"), F.lit(False).alias("in_fields"),
-            F.lit(False).alias("in_text"), F.lit(None).cast("string").alias("snippet"))
+            F.lit(False).alias("in_text"), F.lit(None).cast("bigint").alias("page_id"))
     if not terms:
         # Terms of punctuation alone match nothing.
         return allowed.filter(F.lit(False)).select(
             "item_id", "type", "folder_id", F.lit(0.0).alias("score"), F.lit(False).alias("in_fields"),
-            F.lit(False).alias("in_text"), F.lit(None).cast("string").alias("snippet"))
+            F.lit(False).alias("in_text"), F.lit(None).cast("bigint").alias("page_id"))
     return fused(lib, terms, query.include_trashed, index).join(allowed, "item_id").select(
-        "item_id", "type", "folder_id", "score", "in_fields", "in_text", "snippet")
+        "item_id", "type", "folder_id", "score", "in_fields", "in_text", "page_id")
 
 
 def search(lib: Library, query: SearchQuery, index: dict[str, str] | None = None) -> DataFrame:
-    """One page of hits, best first."""
-    return matches(lib, query, index).orderBy(F.col("score").desc(), "item_id").offset(query.offset).limit(query.limit)
+    """One page of hits, best first, with a snippet each.
 
+    Two phases: the ranking is cut to the page first, and only then texts are read, of the hits that are shown.
+    """
+    best = [F.col("score").desc(), F.col("item_id")]
+    shown = matches(lib, query, index).orderBy(*best).offset(query.offset).limit(query.limit)
+    terms = query_tokens(clean_query(query.q))
+    if not terms:
+        return shown.drop("page_id").withColumn("snippet", F.lit(None).cast("string"))
+    shown = checkpointed(shown)
+    texts = lib["page"].select(F.col("id").alias("page_id"), "ocr_text").join(
+        shown.select("page_id").filter("page_id IS NOT NULL"), "page_id", "left_semi")
+    cut = texts.select("page_id", snippet(F.col("ocr_text"), *terms[0]).alias("snippet"))
+    return shown.join(cut, "page_id", "left").drop("page_id").orderBy(*best)
 
-def search_totals(lib: Library, query: SearchQuery) -> DataFrame:
+
+def search_totals(lib: Library, query: SearchQuery, index: dict[str, str] | None = None) -> DataFrame:
     """Total, and whether the page leaves hits out."""
-    total = matches(lib, query).agg(F.count("*").alias("total"))
+    total = matches(lib, query, index).agg(F.count("*").alias("total"))
     shown = F.least(F.lit(query.limit), F.greatest(F.lit(0), F.col("total") - query.offset))
     return total.select("total", (F.lit(query.offset) + shown < F.col("total")).alias("truncated"))
 
 
+def index_audit(docs: DataFrame, key: str, columns: list[str], path: str) -> DataFrame:
+    """(term, key, tf, len, problem) of the postings that a stored index has too much or too little."""
+    stored, fresh = live_postings(docs.sparkSession, path), _postings(docs, key, columns)
+    mark = lambda rows, problem: rows.select("term", "key", "tf", "len", F.lit(problem).alias("problem"))
+    sides = mark(stored, "extra").unionByName(mark(fresh, "missing"))
+    # A posting that both have cancels out; one pass over both sides.
+    same = sides.groupBy("term", "key", "tf", "len").agg(F.count("*").alias("n"), F.min("problem").alias("problem"))
+    return same.filter("n = 1").drop("n")
+
+
 def index_differences(stored: DataFrame, docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Postings that a stored index has too much or too little."""
     fresh = inverted_index(docs, key, columns)
