@@ -110,3 +110,42 @@ def test_layer_gate(spark):
     assert got[1] is None and got[2] == "no text layer" and "share 1 position" in got[3] and "zero-area" in got[4]
     assert "covers" in got[5] or "distinct" in got[5]
     assert got[6] == "junk layer: low alphanumeric ratio" and "unmappable" in got[7]
+
+
+def test_seed_groups_are_the_earliest_in_reach(spark):
+    """Against a search of all first members; and the work grows with the words, not with words times lines."""
+    import random
+    import time
+
+    from tillbook.operators.lines import first_seed_groups
+
+    rnd = random.Random(3)
+    pages = [[rnd.choice([rnd.uniform(0, 90), float(rnd.randrange(90))]) for _ in range(n)] for n in (0, 1, 5, 300)]
+    want = []
+    for values in pages:
+        seeds, groups = [], []
+        for v in values:
+            near = [k for k, s in enumerate(seeds) if abs(s - v) <= 2.5]
+            groups.append(near[0] if near else len(seeds))
+            if not near:
+                seeds.append(v)
+        want.append(groups)
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(pages)], "k int, v array<double>")
+    got = {r["k"]: list(r["g"]) for r in df.select("k", first_seed_groups(F.col("v"), F.lit(2.5)).alias("g")).collect()}
+    assert [got[k] for k in range(len(pages))] == want
+    took = []
+    for n in (8_000, 8_000, 32_000):
+        df = spark.createDataFrame([([float(7 * k % n * 10) for k in range(n)],)], "v array<double>")
+        start = time.time()
+        assert df.select(F.array_max(first_seed_groups(F.col("v"), F.lit(2.0))).alias("m")).first()["m"] == n - 1
+        took.append(time.time() - start)
+    assert took[2] <= 4.5 * max(took[1], 0.5)
+
+
+def test_vendor_names_of_very_long_lines(spark):
+    from tillbook.functions.names import normalize_vendor
+
+    lines = ["word " * 40_000, "store " + " " * 100_000 + "x", "# " * 60_000, "12 " * 60_000, "a" + " 1234" * 40_000, "7" * 150_000]
+    out = [r[0] for r in spark.createDataFrame(list(enumerate(lines)), "k int, v string").orderBy("k").select(normalize_vendor(F.col("v"))).collect()]
+    assert out[0] == ("word " * 40_000).strip() and out[1] == "store x" and out[2] == "" and out[5] == "7" * 150_000
+    assert out[4] == ("a" + " 1234" * 39_999)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from tillbook.functions.let import cases
+from tillbook.functions.let import cases, let
 from tillbook.functions.money import trimmed
 
 # Outlet markers, legal suffixes, regional tax names, glyph repairs.
@@ -25,13 +25,14 @@ def squeezed(text: Column) -> Column:
 def normalize_vendor(name: Column) -> Column:
     """comparable vendor name without outlet numbers, punctuation or legal form."""
     text = F.lower(name)
-    text = F.regexp_replace(text, rf"{START}(?:{OUTLET_WORDS}){END}\.?\s*#?\s*\d+", " ")
-    text = F.regexp_replace(text, r"#\s*\d+", " ")
+    text = F.regexp_replace(text, rf"{START}(?:{OUTLET_WORDS}){END}\.?\s*+(?:#\s*+)?\d+", " ")
+    text = F.regexp_replace(text, r"#\s*+\d+", " ")
     text = F.regexp_replace(text, r"[^\p{L}\p{N}\s ]", " ")
     text = F.regexp_replace(text, rf"{START}(?:{LEGAL_WORDS}){END}", " ")
-    text = squeezed(text)
-    # A trailing number of three or more digits goes only if a letter precedes it.
-    return squeezed(F.regexp_replace(text, r"^(.*\p{L}.*?)\s+\d{3,}$", "$1"))
+    # A trailing number of three or more digits goes only if a letter precedes it; there is one space between words.
+    number = r" \d{3,}$"
+    without = lambda t: let(F.regexp_replace(t, number, ""), lambda rest: F.when(rest.rlike(r"\p{L}"), rest).otherwise(t))
+    return squeezed(let(squeezed(text), without))
 
 
 def vendor_match_key(name: Column) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tillbook.plans.scale import largest_group, rank_rows
+from tillbook.plans.scale import rank_rows
 
 
 def allocate(
@@ -16,20 +17,19 @@ def allocate(
     total: str,
     out: str = "share",
     weight: str | None = None,
-    largest: int | None = None,
 ) -> DataFrame:
     """Largest-remainder shares: exact sum, remainders by fraction, then by order.
 
-    Equal shares are the case of equal weights.  ``weight`` is integer or decimal and not
-    negative; groups whose weights sum to zero get null shares (the caller rejects them).
+    Equal shares are the case of equal weights.  ``weight`` is integer, or decimal of which six places count, and not
+    negative; scaled to whole numbers it has up to 20 digits, and totals have up to 18, so that products are exact.
+    Groups whose weights sum to zero get null shares (the caller rejects them).
     """
     keys = list(keys)
-    w = F.lit(1).cast("decimal(20,0)") if weight is None else (F.col(weight) * 1_000_000).cast("decimal(20,0)")
-    if weight is not None and dict(parts.dtypes)[weight] in ("bigint", "int"):
-        w = F.col(weight).cast("decimal(20,0)")
+    w = F.lit(1) if weight is None else F.col(weight)
+    if weight is not None and not re.fullmatch(r"bigint|int|decimal\(\d+,0\)", dict(parts.dtypes)[weight]):
+        w = w * 1_000_000
+    w = w.cast("decimal(20,0)")
     size = F.abs(F.col(total)).cast("decimal(18,0)")
-    if largest is None:
-        largest = largest_group(parts, keys)
 
     weighted = parts.withColumn("_w", w)
     sums = weighted.groupBy(*keys).agg(F.sum("_w").alias("_ws"))
@@ -42,9 +42,7 @@ def allocate(
         }
     )
     bases = shares.groupBy(*keys).agg(F.sum("_base").alias("_given"))
-    ranked = rank_rows(
-        shares.join(bases, keys), keys, [F.col("_rem").desc(), *order], out="_turn", largest=largest
-    )
+    ranked = rank_rows(shares.join(bases, keys), keys, [F.col("_rem").desc(), *order], out="_turn")
     share = F.col("_base") + F.when(F.col("_turn") <= F.abs(F.col(total)) - F.col("_given"), 1).otherwise(0)
     sign: Column = F.when(F.col(total) < 0, -1).otherwise(1)
     return ranked.withColumn(out, (share * sign).cast("bigint")).drop("_w", "_ws", "_base", "_rem", "_given", "_turn")

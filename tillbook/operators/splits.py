@@ -8,7 +8,7 @@ from tillbook.functions.money import parse_money_text, trimmed
 from tillbook.operators.alloc import allocate
 from tillbook.operators.canonical import split_reconciliation
 from tillbook.operators.lists import upsert_names
-from tillbook.plans.scale import largest_group, next_id, number_rows
+from tillbook.plans.scale import next_id, number_rows
 from tillbook.schemas import Library, shaped, with_tables
 from tillbook.session import checkpointed
 
@@ -21,6 +21,10 @@ def first_reason(*checks: tuple[Column, str | Column]) -> Column:
     return F.coalesce(*[F.when(bad, F.lit(why) if isinstance(why, str) else why) for bad, why in checks])
 
 
+# Weights are exact to a millionth below this.
+MOST_WEIGHT = 1e12
+
+
 def judged_splits(lib: Library, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """M5, preconditions: (parts with parsed amounts, one row per receipt with its reason or null)."""
     have = set(parts.columns)
@@ -43,8 +47,9 @@ def judged_splits(lib: Library, parts: DataFrame) -> tuple[DataFrame, DataFrame]
         F.min("_bad").alias("bad_amount"),
         F.sum("_minor").alias("sum_minor"),
         F.sum(F.abs("_minor")).alias("sum_abs"),
-        F.sum("weight").alias("sum_weight"),
+        F.sum(F.round("weight", 6)).alias("sum_weight"),
         F.min("weight").alias("min_weight"),
+        F.max("weight").alias("max_weight"),
     )
     item = lib["item"].select(
         F.col("id").alias("item_id"), "folder_id", "type", "split_group_id", "split_role", "superseded_at", "trashed_at"
@@ -81,6 +86,8 @@ def judged_splits(lib: Library, parts: DataFrame) -> tuple[DataFrame, DataFrame]
         (F.col("_receipt").isNull(), "receipt has no data row"),
         (F.col("total_minor").isNull(), "cannot split a receipt with no total"),
         ((n_weight > 0) & (F.col("min_weight") < 0), "weights must not be negative"),
+        # NaN is larger than any number.
+        ((n_weight > 0) & (F.col("max_weight") >= MOST_WEIGHT), "a weight is too large"),
         ((n_weight > 0) & (F.col("sum_weight") <= 0), "weights must sum to more than zero"),
         (
             by_amount & (F.col("sum_minor") != F.col("total_minor")),
@@ -123,15 +130,15 @@ def split_receipts(lib: Library, parts: DataFrame, now: int) -> tuple[Library, D
         out="child_id",
         start=next_id(lib["item"]),
     ).withColumn(
+        # Whole numbers: amounts as they are, weights in millionths; one receipt has either.
         "_share_weight",
-        F.when(F.col("by_amount"), F.abs("_minor").cast("decimal(20,6)"))
-        .when(F.col("weight").isNotNull(), F.col("weight").cast("decimal(20,6)"))
-        .otherwise(F.lit(1).cast("decimal(20,6)")),
+        F.when(F.col("by_amount"), F.abs("_minor").cast("decimal(20,0)"))
+        .when(F.col("weight").isNotNull(), F.round(F.col("weight") * 1_000_000).cast("decimal(20,0)"))
+        .otherwise(F.lit(1).cast("decimal(20,0)")),
     )
-    largest = largest_group(parts, ["item_id"])
 
     def share_of(rows: DataFrame, keys: list[str], total: str, out: str) -> DataFrame:
-        return allocate(rows, keys, ["ord"], total, out, weight="_share_weight", largest=largest)
+        return allocate(rows, keys, ["ord"], total, out, weight="_share_weight")
 
     child = share_of(child, ["item_id"], "total_minor", "_money")
     child = share_of(child, ["item_id"], "_origin_tax", "_tax")

@@ -8,9 +8,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tillbook.session import checkpointed
 
-# A window group up to this many rows is sorted by one task; larger groups are range-partitioned.
-ROWS_PER_TASK = 2_000_000
-
 _POSITION_BITS = 33
 
 
@@ -49,25 +46,13 @@ def number_rows(df: DataFrame, order: Sequence[Column | str], out: str = "row_no
     )
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest group; partial counts are combined before the shuffle."""
-    row = df.groupBy(*keys).count().agg(F.max("count")).first()
-    return row[0] or 0
-
+def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], out: str = "rank") -> DataFrame:
+    """Dense numbers 1.. within each group, by one way for groups of any size: a row's place among all rows behind that
+    of its group's first.  A group larger than a task is cut by the range partitioning like any other stretch of rows.
 
-def rank_rows(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column | str],
-    out: str = "rank",
-    largest: int | None = None,
-) -> DataFrame:
-    """``row_number`` per group; groups too large for one task are ranked by range partition."""
+    ``order`` must tell all rows of a group apart; of rows that it does not, either may come first.
+    """
     keys = list(keys)
-    if largest is None:
-        largest = largest_group(df, keys)
-    if largest <= ROWS_PER_TASK:
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     numbered = number_rows(df, [*keys, *order], out="_row_no")
     first = numbered.groupBy(*keys).agg(F.min("_row_no").alias("_first"))
     same = [F.col(f"r.{k}").eqNullSafe(F.col(f"g.{k}")) for k in keys]
@@ -79,27 +64,6 @@ def rank_rows(
     )
 
 
-def shift_rows(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column | str],
-    columns: dict[str, str],
-    largest: int | None = None,
-) -> DataFrame:
-    """``lag`` of some columns per group; large groups use a self equi-join on the rank."""
-    keys = list(keys)
-    if largest is None:
-        largest = largest_group(df, keys)
-    if largest <= ROWS_PER_TASK:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumns({new: F.lag(old).over(w) for new, old in columns.items()})
-    ranked = checkpointed(rank_rows(df, keys, order, out="_rank", largest=largest))
-    previous = ranked.select(
-        *keys, (F.col("_rank") + 1).alias("_rank"), *[F.col(old).alias(new) for new, old in columns.items()]
-    )
-    return ranked.join(previous, [*keys, "_rank"], "left").drop("_rank")
-
-
 def next_id(df: DataFrame, column: str = "id") -> int:
     """Largest id in use (0 for an empty table); one number reaches the driver."""
     return df.agg(F.max(column)).first()[0] or 0

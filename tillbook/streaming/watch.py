@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tillbook.functions.checks import is_inside
 from tillbook.operators.canonical import count_where
 from tillbook.operators.ingest import import_rows, inbox_of, known_sources
-from tillbook.plans.scale import next_id, rank_rows, shift_rows
+from tillbook.plans.scale import next_id, rank_rows
 from tillbook.schemas import TABLES, Library
 from tillbook.session import checkpointed
 
@@ -29,18 +29,18 @@ def stability(observations: DataFrame) -> DataFrame:
 
     Observations: path, tick, size, mtime_ms, one row per path and tick.  A path is eligible
     when it and its two predecessors agree on consecutive ticks; a missed tick starts over.
-    Three ``lag`` steps answer this, so no running count over a path is needed.
+    Each look tells the next three ticks of its path what it saw, and a look is judged by what it
+    is told: one aggregation over (path, tick, size, time), in which no path is a hot group.
     """
-    keys, order = ["path"], ["tick"]
-    rows = shift_rows(observations, keys, order, {"_size": "size", "_mtime": "mtime_ms", "_tick": "tick"})
-    same = (F.col("size") == F.col("_size")) & (F.col("mtime_ms") == F.col("_mtime")) & (F.col("tick") == F.col("_tick") + 1)
-    rows = rows.withColumn("_same", F.coalesce(same, F.lit(False)))
-    rows = shift_rows(rows, keys, order, {"_same1": "_same"})
-    rows = shift_rows(rows, keys, order, {"_same2": "_same1"})
-    eligible = F.col("_same") & F.coalesce("_same1", F.lit(False))
-    return rows.select(
-        "path", "tick", eligible.alias("eligible"), (eligible & ~F.coalesce("_same2", F.lit(False))).alias("newly")
-    )
+    told = observations.select(
+        "path", "size", "mtime_ms", "tick", F.explode(F.sequence(F.lit(0), F.lit(STABLE_OBSERVATIONS))).alias("ago"))
+    seen = told.groupBy("path", (F.col("tick") + F.col("ago")).alias("tick"), "size", "mtime_ms").agg(
+        *[F.max(F.col("ago") == k).alias(f"_{k}") for k in range(STABLE_OBSERVATIONS + 1)])
+    eligible = F.lit(True)
+    for k in range(1, STABLE_OBSERVATIONS):
+        eligible = eligible & F.col(f"_{k}")
+    newly = eligible & ~F.col(f"_{STABLE_OBSERVATIONS}")
+    return seen.filter("_0").select("path", "tick", eligible.alias("eligible"), newly.alias("newly"))
 
 
 @contextmanager
