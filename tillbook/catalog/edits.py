@@ -122,6 +122,21 @@ def filed_items(spark, sf):
     return edits.file_into(star.library(spark, sf), moves, star.NOW)[0].select("id", "folder_id", "reviewed_at")
 
 
+@query("folders_created", """
+    select (select max(id) from folder) + row_number() over (order by c_custkey) id, case when c_custkey % 4 > 0 then 100 + c_nationkey end parent_id, trim('  Year ' || c_custkey || ' ') as name,
+      'user' kind, 0 sort_order, 1700000000000 created_at, 1700000000000 modified_at from customer union all select id, parent_id, name, kind, sort_order, null, null from folder""")
+def folders_created(spark, sf):
+    """A folder for every customer, some of them roots, beside those that are there."""
+    k = F.col("c_custkey")
+    commands = star.read(spark, sf, "customer").select(
+        k.alias("ord"), F.when(k % 4 > 0, 100 + F.col("c_nationkey")).cast("bigint").alias("parent_id"),
+        F.concat(F.lit("  Year "), k.cast("string"), F.lit(" ")).alias("name"), F.lit(None).cast("string").alias("kind"))
+    lib = star.library(spark, sf)
+    made = edits.create_folders(lib, commands, star.NOW).join(lib["folder"].select("id", F.lit(True).alias("old")), "id", "left")
+    return made.select("id", "parent_id", "name", "kind", "sort_order", F.when(F.col("old").isNull(), F.col("created_at")).alias("created_at"),
+                       F.when(F.col("old").isNull(), F.col("modified_at")).alias("modified_at"))
+
+
 @query("folder_deletes", """
     with used as (select distinct folder_id from item),
     ids as (select id from folder union select 7000 + o_orderkey % 10 from orders)
@@ -228,6 +243,18 @@ def ocr_invalidated(spark, sf):
     return edits.invalidate_ocr(lib, ids).select("id", "ocr_status", "ocr_generation", F.col("ocr_text").isNull().alias("cleared"))
 
 
+@query("ocr_status_set", """
+    select id, case when id % 10 = 1 then 'running' when id % 10 = 3 then 'queued' else ocr_status end ocr_status, ocr_generation, ocr_text is null no_text from page""")
+def ocr_status_set(spark, sf):
+    """States set by commands, some twice, some for pages that do not exist; nothing else of a page changes."""
+    lib = star.library(spark, sf)
+    ids = lib["page"].select(F.col("id").alias("page_id"))
+    commands = ids.filter("page_id % 10 = 1").withColumn("status", F.lit("running")).unionByName(
+        ids.filter("page_id % 10 = 1").withColumn("status", F.lit("queued"))).unionByName(ids.filter("page_id % 10 = 3").withColumn("status", F.lit("queued")))
+    unknown = ids.select((-F.col("page_id")).alias("page_id"), F.lit("done").alias("status"))
+    return edits.set_ocr_status(lib, commands.unionByName(unknown)).select("id", "ocr_status", "ocr_generation", F.col("ocr_text").isNull().alias("no_text"))
+
+
 @query("ocr_requeue", "select p.id page_id, ocr_generation generation from page p join item i on i.id = p.item_id where i.type = 'receipt'")
 def ocr_requeue(spark, sf):
     lib = star.library(spark, sf)

@@ -191,6 +191,26 @@ def folder_reparent_check(spark, sf):
     return listing.reparent_allowed(lib, moves)
 
 
+@query("item_payloads", """
+    with ids as (select id item_id from item where split_role = 'origin' or type in ('contact', 'document')),
+    parts as (
+      select id item_id, 'item' section, id ord, id ref_id, to_json({'type': type, 'folder_id': folder_id, 'split_role': split_role, 'reviewed_at': reviewed_at, 'trashed_at': trashed_at}) payload from item
+      union all select item_id, 'receipt', item_id, item_id, to_json({'txn_date': txn_date, 'vendor_id': vendor_id, 'total_minor': total_minor, 'currency': currency, 'payment_type_id': payment_type_id,
+        'tax_total_minor': tax_total_minor, 'category_id': category_id, 'tax_category_id': tax_category_id, 'project_id': project_id, 'external_ref': external_ref, 'description': description, 'extraction_json': extraction_json}) from receipt_data
+      union all select item_id, 'contact', item_id, item_id, to_json({'first_name': first_name, 'last_name': last_name, 'org': org, 'title': title}) from contact_data
+      union all select item_id, 'document', item_id, item_id, to_json({'title': title, 'doc_date': doc_date, 'doc_type': null, 'notes': notes}) from document_data
+      union all select item_id, 'tax_line', id, id, to_json({'label': label, 'rate_bp': rate_bp, 'amount_minor': amount_minor}) from receipt_tax_line
+      union all select item_id, 'page', seq, page_id, to_json({'seq': seq, 'file_relpath': file_relpath, 'via_split': via_split}) from v_item_pages
+      union all select i.id, 'split_group', g.id, g.id, to_json({'origin_item_id': origin_item_id, 'origin_total_minor': origin_total_minor, 'currency': currency}) from item i join split_group g on g.id = i.split_group_id
+      union all select a.id, 'sibling', b.id, b.id, to_json({'sibling_role': b.split_role}) from item a join item b on a.split_group_id = b.split_group_id and a.id <> b.id where a.split_role = 'origin')
+    select item_id, section, ord, ref_id, cast(payload as varchar) payload from parts where item_id in (select item_id from ids)""")
+def item_payloads(spark, sf):
+    """Everything that is told of origins, contacts and documents, field by field."""
+    lib = star.library(spark, sf)
+    ids = lib["item"].filter("split_role = 'origin' OR type IN ('contact', 'document')").select(F.col("id").alias("item_id"))
+    return listing.item_detail(lib, ids)
+
+
 @query("item_detail", """
     with ids as (select id item_id from item where split_role = 'origin' or type = 'contact'),
     parts as (

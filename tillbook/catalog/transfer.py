@@ -10,6 +10,7 @@ from tillbook.catalog import query
 from tillbook.operators import export, ingest, maintain
 from tillbook.operators.export import ExportRequest
 from tillbook.operators.search import SearchQuery
+from tillbook.plans.scale import number_rows
 from tillbook.schemas import empty
 from tillbook.session import shared_dir
 from tillbook.sources import files as f
@@ -340,6 +341,19 @@ def csv_export(spark, sf):
     return back.na.fill("")
 
 
+@query("csv_order", EXPORT + """
+    select cast(item_id as varchar) item_id, row_number() over (order by currency, txn_date nulls last, item_id) as position from e""")
+def csv_order(spark, sf):
+    """The place of each row of the written CSV, file by file and line by line."""
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    export.write_csv(star.library(spark, sf), ExportRequest(None, ["item_id"]), path)
+    # Lines as they lie in the files: the first of each file is its heading.
+    at = F.col("_metadata.file_name")
+    lines = spark.read.text(path).select(F.regexp_extract(at, r"part-(\d+)", 1).alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                                         F.monotonically_increasing_id().alias("line"), "value")
+    return number_rows(lines.filter("value <> 'item_id'"), ["file", "block", "line"], out="position").select(F.col("value").alias("item_id"), "position")
+
+
 @query("csv_chosen_columns", EXPORT + """
     select coalesce(vendor, '') vendor, coalesce(case when total_minor < 0 then '-' else '' end || abs(total_minor) // 100 || '.' || lpad(cast(abs(total_minor) % 100 as varchar), 2, '0'), '') total from e
     where folder_id in (select folder_id from subtree_2) and reviewed_at is not null""")
@@ -382,6 +396,42 @@ def page_manifest(spark, sf):
     return export.page_manifest(lib, export.export_item_ids(lib, None, ids)).select("item_id", "page_id", "seq", "file_relpath", "via_split")
 
 
+@query("page_manifest_query", """
+    select v.item_id, v.page_id, v.seq, v.file_relpath, v.via_split from v_item_pages v join v_summable s using (item_id) where s.category_id = 2 and s.total_minor >= 5000000""")
+def page_manifest_query(spark, sf):
+    """The pages of the receipts that a query finds, which are summable ones only."""
+    lib = star.library(spark, sf)
+    ids = export.export_item_ids(lib, SearchQuery(category_id=2, amount_min=5_000_000))
+    return export.page_manifest(lib, ids).select("item_id", "page_id", "seq", "file_relpath", "via_split")
+
+
+@query("backup_log_rows", """
+    select 1 id, 'manual' kind, (select count(*) from item) items, (select count(*) from folder) folders, (select count(*) from page) pages,
+      true bytes_agree, true files_agree, true root_agrees, 1700000000000 created_at""")
+def backup_log_rows(spark, sf):
+    """The row of a snapshot, against its manifest and the files that are there."""
+    path = f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}"
+    lib, manifest = maintain.snapshot(star.library(spark, sf), path, star.NOW)
+    sums = manifest.agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
+    stated = lambda key: F.get_json_object("manifest_json", key).cast("bigint")
+    return lib["backup_log"].withColumn("s", sums.select(F.struct("n", "b").alias("s")).scalar()).select(
+        "id", "kind", stated("$.counts.items").alias("items"), stated("$.counts.folders").alias("folders"), stated("$.counts.pages").alias("pages"),
+        ((F.col("size_bytes") == F.col("s.b")) & (stated("$.bytes") == F.col("s.b"))).alias("bytes_agree"), (stated("$.file_count") == F.col("s.n")).alias("files_agree"),
+        (F.col("db_sha256") == maintain.root_hash(maintain.file_facts(spark, f"{path}/tables"))).alias("root_agrees"), "created_at")
+
+
+@query("damaged_files", """
+    select 'f' || doc_id relpath, case when doc_id % 10 = 0 then 'missing' else 'changed' end problem from documents where doc_id % 10 = 0 or doc_id % 7 = 0
+    union all select 'x' || doc_id, 'unlisted' from documents where doc_id % 11 = 0""")
+def damaged_files(spark, sf):
+    """Each file that is missing, changed or not in the manifest."""
+    k = F.col("doc_id")
+    files = star.read(spark, sf, "documents").select("doc_id", F.concat(F.lit("f"), k.cast("string")).alias("relpath"), F.sha2("text", 256).alias("h"))
+    actual = files.filter(k % 10 != 0).select("relpath", F.when(k % 7 == 0, "0").otherwise(F.col("h")).alias("have")).unionByName(
+        files.filter(k % 11 == 0).select(F.concat(F.lit("x"), k.cast("string")).alias("relpath"), F.col("h").alias("have")))
+    return maintain.damaged_files(files.select("relpath", F.col("h").alias("want")), actual)
+
+
 @query("snapshot_checks", """
     select 'manifest files present' as name, true ok union all select 'manifest hashes match', true
     union all select 'rows of item', true union all select 'rows of folder', true union all select 'rows of page', true

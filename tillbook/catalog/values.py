@@ -121,6 +121,24 @@ def vendor_in_text(spark, sf):
     return star.read(spark, sf, "part").select("p_partkey", names.vendor_matches(known, text).alias("hit"))
 
 
+FOLDED = "trim(regexp_replace(translate(lower({0}), '015$', 'oiss'), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query("vendor_in_other_text", f"""
+    with t as (select p_partkey, p_name known, case p_partkey % 6 when 0 then 'at ' || upper(p_name) || ' today' when 1 then translate(p_name, 'oi', '01') when 2 then 'the ' || split_part(p_name, ' ', 1)
+        when 3 then 'at ' || substr(p_name, 1, 3) when 4 then reverse(p_name) else p_brand || ' ' || p_size end text from part),
+    f as (select *, {FOLDED.format('known')} k, {FOLDED.format('text')} h from t)
+    select p_partkey, contains(lower(text), lower(known)) or contains(h, k) or (length(split_part(k, ' ', 1)) >= 4 and contains(h, split_part(k, ' ', 1))) hit from f""")
+def vendor_in_other_text(spark, sf):
+    """texts that hold a vendor, some of it, or nothing of it."""
+    k = F.col("p_partkey") % 6
+    name = F.col("p_name")
+    text = (F.when(k == 0, F.concat(F.lit("at "), F.upper(name), F.lit(" today"))).when(k == 1, F.translate(name, "oi", "01"))
+            .when(k == 2, F.concat(F.lit("the "), F.substring_index(name, " ", 1))).when(k == 3, F.concat(F.lit("at "), F.substring(name, 1, 3)))
+            .when(k == 4, F.reverse(name)).otherwise(F.concat_ws(" ", "p_brand", "p_size")))
+    return star.read(spark, sf, "part").select("p_partkey", names.vendor_matches(name, text).alias("hit"))
+
+
 @query("vendor_plausibility", r"""
     with d as (select doc_id, regexp_replace(split_part(text, chr(10), 1), '^[\s]+|[\s]+$', '', 'g') line from documents),
     t as (select *, list_filter(regexp_split_to_array(line, '[\s]+'), lambda x: x <> '') toks, length(regexp_replace(line, '[^\p{L}]', '', 'g')) letters, length(regexp_replace(line, '[^\p{L}\p{N}]', '', 'g')) alnum from d)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillbook.functions.dates import civil_day
 from tillbook.operators.splits import drop_items
-from tillbook.plans.scale import next_id
+from tillbook.plans.scale import next_id, number_rows
 from tillbook.session import checkpointed
 from tillbook.schemas import ITEM_CHILDREN, Library, TABLES, schema_of, shaped, with_tables
 
@@ -130,10 +132,16 @@ def empty_trash(lib: Library) -> tuple[Library, DataFrame, DataFrame]:
 # --- snapshots -----------------------------------------------------------------------
 
 
+# Rows that a file of a snapshot has at most: a file is the block that is hashed, and that damage is told by.
+ROWS_PER_FILE = 250_000
+# Hashes that are hashed together.
+FAN = 1024
+
+
 def save_tables(lib: Library, path: str) -> None:
     for table in TABLES:
         if table in lib:
-            lib[table].write.mode("errorifexists").parquet(f"{path}/{table}")
+            lib[table].write.mode("errorifexists").option("maxRecordsPerFile", ROWS_PER_FILE).parquet(f"{path}/{table}")
 
 
 def load_tables(spark: SparkSession, path: str, tables: list[str] | None = None) -> Library:
@@ -152,8 +160,25 @@ def file_facts(spark: SparkSession, path: str) -> DataFrame:
         ~F.element_at(F.split("relpath", "/"), -1).rlike(r"^[._]"))
 
 
-def snapshot(lib: Library, path: str) -> DataFrame:
-    """Tables written with a manifest of every file (path, sha256, bytes)."""
+def root_hash(files: DataFrame) -> str:
+    """One hash over files (relpath, sha256): FAN hashes in the order of the paths give one, until a single one is left."""
+    leaf = F.sha2(F.concat("relpath", F.lit("\n"), "sha256"), 256).alias("hash")
+    level = checkpointed(number_rows(files.select("relpath", leaf), ["relpath"], out="no").select("no", "hash"))
+    while True:
+        together = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("no", "hash"))), lambda e: e["hash"]), "")
+        groups = level.groupBy(F.call_function("div", F.col("no") - 1, F.lit(FAN)).alias("_g")).agg(together.alias("_t"))
+        level = checkpointed(groups.select((F.col("_g") + 1).alias("no"), F.sha2("_t", 256).alias("hash")))
+        rows = level.limit(2).collect()
+        if len(rows) < 2:
+            return rows[0]["hash"] if rows else hashlib.sha256(b"").hexdigest()
+
+
+def snapshot(lib: Library, path: str, now: int = 0, kind: str = "manual") -> tuple[Library, DataFrame]:
+    """Tables written with a manifest of every file (path, sha256, bytes).
+
+    Returns (library with a row of backup_log, manifest).  The row has the root hash of all files, their number and bytes,
+    and the counts of items, folders and pages; the snapshot itself does not hold it.
+    """
     save_tables(lib, f"{path}/tables")
     spark = lib["item"].sparkSession
     file_facts(spark, f"{path}/tables").write.mode("errorifexists").parquet(f"{path}/manifest")
@@ -162,7 +187,15 @@ def snapshot(lib: Library, path: str) -> DataFrame:
         one = lib[table].agg(F.lit(table).alias("table"), F.count("*").alias("rows"))
         counts = one if counts is None else counts.unionByName(one)
     counts.write.mode("errorifexists").parquet(f"{path}/counts")
-    return spark.read.parquet(f"{path}/manifest")
+    manifest, counts = spark.read.parquet(f"{path}/manifest"), spark.read.parquet(f"{path}/counts")
+    of = lambda table: F.coalesce(F.max(F.when(F.col("table") == table, F.col("rows"))), F.lit(0))
+    found = counts.agg(F.struct(of("item").alias("items"), of("folder").alias("folders"), of("page").alias("pages")).alias("counts")).scalar()
+    row = manifest.agg(F.count("*").alias("file_count"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).withColumn("counts", found).select(
+        F.lit(next_id(lib["backup_log"]) + 1).cast("bigint").alias("id"), F.lit(kind).alias("kind"), F.lit(path).alias("path"),
+        F.lit(root_hash(manifest)).alias("db_sha256"),
+        F.to_json(F.struct(F.lit(1).alias("version"), "file_count", "bytes", "counts")).alias("manifest_json"),
+        F.col("bytes").alias("size_bytes"), F.lit(now).cast("bigint").alias("created_at"))
+    return with_tables(lib, backup_log=lib["backup_log"].unionByName(shaped(row, "backup_log"))), manifest
 
 
 def verify_snapshot(spark: SparkSession, path: str) -> DataFrame:
@@ -194,6 +227,13 @@ def verify_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return files.unionByName(rows).unionByName(integrity_report(lib))
 
 
+def damaged_files(listed: DataFrame, actual: DataFrame) -> DataFrame:
+    """(relpath, problem): missing, changed or unlisted files.  listed: relpath, want; actual: relpath, have."""
+    both = listed.join(actual, "relpath", "full")
+    problem = F.when(F.col("have").isNull(), "missing").when(F.col("want").isNull(), "unlisted").when(F.col("want") != F.col("have"), "changed")
+    return both.select("relpath", problem.alias("problem")).filter("problem IS NOT NULL")
+
+
 def compare_manifest(listed: DataFrame, actual: DataFrame) -> DataFrame:
     """Missing and changed files, as two check rows.  listed: relpath, want; actual: relpath, have."""
     both = listed.join(actual, "relpath", "full")
