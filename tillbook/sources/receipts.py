@@ -74,6 +74,42 @@ def receipt_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt_out(f.select(key, text.alias("ocr_text")))
 
 
+# Printed forms of payment methods, and of total labels, in the order in which receipts take turns with them.
+PRINTED_METHODS = [
+    "AMEX ****1001", "American Express", "MC ****1111", "Master Card", "VISA", "Discover", "INTERAC", "Girocard", "EC-Karte",
+    "Maestro", "iDEAL", "BACS", "Apple Pay", "Google Pay", "PayPal", "Debit", "Credit Card", "Terms: NET 30", "Terms: net",
+    "On account", "Cash tendered", "Paid by check",
+]
+PRINTED_TOTALS = ["GRAND TOTAL", "AMOUNT DUE", "BALANCE DUE", "TOTAL DUE", "GESAMT", "TOTAAL", "ZU ZAHLEN", "TOTAL"]
+
+
+def hard_receipt_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, ocr_text: receipts with tips, fees, discounts, taxes that disagree with the sums, foreign labels, every
+    payment method and every total label.  An order's number decides what its receipt looks like."""
+    key = F.col("page_id")
+    extra, shape = 100 + key % 900, key % 8
+    money = lambda label, m: F.concat(F.lit(f"{label} "), minor_to_text(m))
+    net, tax = F.col("subtotal_minor"), F.col("tax_minor")
+    total = net + tax + F.when(shape.isin(0, 1), extra).when(shape == 2, -extra).when(shape == 5, 100).otherwise(0)
+    middle = (
+        F.when(shape == 0, F.concat_ws("\n", money("SUBTOTAL", net), money("TAX", tax), money("TIP", extra)))
+        .when(shape == 1, F.concat_ws("\n", money("SUBTOTAL", net), money("GST 5%", tax), money("DELIVERY FEE", extra)))
+        .when(shape == 2, F.concat_ws("\n", money("SUBTOTAL", net), money("DISCOUNT", extra), money("VAT 20%", tax)))
+        .when(shape == 3, F.concat_ws("\n", money("SUBTOTAL", net), money("HST 13%", tax * 10 + 50_000)))
+        .when(shape == 4, F.concat_ws("\n", money("NETTO", net), money("MwSt 19%", tax)))
+        .when(shape == 5, F.concat_ws("\n", money("SUBTOTAL", net), F.concat(F.lit("COUPON -"), minor_to_text(extra)),
+                                      money("SERVICE CHARGE", extra + 100), money("TVQ", tax)))
+        .when(shape == 6, F.concat_ws("\n", money("GST 5%", tax), money("PST 7%", F.call_function("div", total * 99, F.lit(100)))))
+    )
+    label = F.when(shape == 4, "SUMME").otherwise(pick(PRINTED_TOTALS, F.call_function("div", key, F.lit(8)) % len(PRINTED_TOTALS)))
+    date = (
+        F.when(key % 3 == 0, F.date_format("txn_date", "yyyy-MM-dd")).when(key % 3 == 1, F.date_format("txn_date", "dd MMM yyyy"))
+        .otherwise(F.concat(F.lit("Date: "), F.date_format("txn_date", "MM/dd/yyyy")))
+    )
+    text = F.concat_ws("\n", "vendor", date, middle, F.concat(label, F.lit(" "), minor_to_text(total)), pick(PRINTED_METHODS, key % len(PRINTED_METHODS)))
+    return dealt_out(receipt_facts(spark, sf_dir).select(key, text.alias("ocr_text")))
+
+
 def receipt_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     methods = pick(["VISA ****4821", "MASTERCARD", "CASH", "DEBIT", "CHECK"], F.col("pay"))
     return receipt_facts(spark, sf_dir).select(
