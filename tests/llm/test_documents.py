@@ -319,6 +319,20 @@ def test_licenses_count_units_once(spark):
     assert {(r.doc_id, r.units) for r in licenses.find_licenses(df).collect() if r.dice == 1.0} == {(1, 1), (2, 3)}  # the whole text, too
 
 
+@pytest.mark.parametrize("chunk_rows, stride", [(2, 3), (5, 256), (4096, 256)])
+def test_next_rows_of_hot_and_null_ids(spark, monkeypatch, chunk_rows, stride):
+    """A third of the rows under one id, another without any, and many chunks: every row is followed by the next one."""
+    monkeypatch.setattr(spotsigs, "CHUNK_ROWS", chunk_rows)
+    monkeypatch.setattr(spotsigs, "STRIDE", stride)
+    rows = [(7, f"t{k}") for k in range(40)] + [(None, f"n{k}") for k in range(40)] + [(k * k - 30, f"u{k}") for k in range(40)] + [(7, "t3"), (None, "n5"), (7, "t3")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).withColumn("tie", F.xxhash64("text"))
+    out = spotsigs.with_next(df, "doc_id", ["text", "big"], "tie", {"big": F.upper("text")}).collect()
+    assert Counter((r.doc_id, r.text) for r in out) == Counter(rows) and all(r.big == r.text.upper() for r in out)
+    ordered = sorted(out, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.tie))
+    places = Counter((a.text, b.text) for a, b in zip(ordered, ordered[1:] + ordered[:1]))
+    assert Counter((r.text, r.next_text) for r in out) == places and all(r.next_big == r.next_text.upper() for r in out)
+
+
 def test_surrogates_of_nothing(nothing):
     assert surrogates.replace_entities(nothing).columns == nothing.columns and surrogates.replace_entities(nothing).count() == 0
 
