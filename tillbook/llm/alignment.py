@@ -38,6 +38,8 @@ BLOCK_BYTES = 1 << 18
 PROBE = 4
 # Irregular groups that a worker remembers, about, and the most tokens of one.
 KNOWN, LONGEST = 1 << 16, 16
+# Characters of texts that a task remembers with their alignments, about.
+SEEN_CHARS = 1 << 24
 
 
 class Ranks:
@@ -85,13 +87,12 @@ class Sides:
         self.known: dict[tuple, tuple[str, list[int], list[int]]] = {}
         self._sizes = [list(map(len, side.bytes)) for side in (self.a, self.b)]
 
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[list[int], list[int], list[int], list[int]]]:
+    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int], list[int], list[int]]]:
         """(A ids, B ids, A ends, B ends) of each text; none of those that are empty or not given back byte for byte."""
-        filled = [t or "" for t in texts]
         if len(self.known) > KNOWN:
             self.known.clear()
         a_sizes, b_sizes = self._sizes
-        for text, a_ids, b_ids in zip(filled, self.a.encode(filled), self.b.encode(filled)):
+        for text, a_ids, b_ids in zip(texts, self.a.encode(texts), self.b.encode(texts)):
             whole = b" " + text.encode()
             a = list(accumulate(map(a_sizes.__getitem__, a_ids)))
             if not text or a[-1] != len(whole) or b"".join(map(self.b.bytes.__getitem__, b_ids)) != whole:
@@ -216,17 +217,23 @@ def alignments(docs: DataFrame, doc_id: str, text: str, a_file: str, b_file: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = opened(a_file, b_file)
+        seen: dict[str, tuple] = {}  # copies of a text are aligned once as long as it is remembered
+        room = SEEN_CHARS
         for batch in batches:
             at = 0
             for texts in _blocks(batch.column(2).to_pylist()):
-                found = []
                 # Nothing below makes cycles; the collector would walk all that is remembered again and again.
                 gc.disable()
-                for a_ids, b_ids, a, b in sides.encode(texts):
+                new = list({t or "" for t in texts if (t or "") not in seen})
+                for text, (a_ids, b_ids, a, b) in zip(new, sides.encode(new)):
                     groups, noted, left, right = aligned(a_ids, b_ids, a, b, sides)
                     links = (np.frombuffer(array("q", left), np.int64) << 24) + np.frombuffer(array("q", right), np.int64)
                     name = hashlib.sha256(noted.encode()).hexdigest() if a_ids else ""
-                    found.append((len(a_ids), len(b_ids), groups, len(links), name, *np.unique(links, return_counts=True)))
+                    seen[text] = (len(a_ids), len(b_ids), groups, len(links), name, *np.unique(links, return_counts=True))
+                    room -= len(text)
+                found = [seen[t or ""] for t in texts]
+                if room < 0:
+                    seen, room = {}, SEEN_CHARS
                 gc.enable()
                 numbers = [pa.array([f[k] for f in found], pa.int64()) for k in range(4)]
                 sizes = np.array([len(f[5]) for f in found])
