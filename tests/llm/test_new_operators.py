@@ -49,57 +49,26 @@ def plain_groups(a_ids, a_ends, b_ids, b_ends):
 
 
 def test_probing_finds_the_groups_of_common_ends():
+    from types import SimpleNamespace
+
     rnd = random.Random(2)
-    for size in (1, 2, 3, 10, 60, 400):
-        for density in (0.0, 0.05, 0.5, 1.0):
+    for size in (1, 2, 3, 10, 60, 400, 3000):
+        for density in (0.0, 0.001, 0.05, 0.5, 1.0):
             whole = sorted(rnd.sample(range(1, 4 * size + 1), size))
             sides = []
             for _ in range(2):
                 ends = [e for e in whole[:-1] if rnd.random() >= density * 0.5]
-                ends = sorted({*ends, *(rnd.randrange(1, whole[-1] + 1) for _ in range(int(density * size * 0.3))), whole[-1]})
-                sides.append(ends)
+                sides.append(sorted({*ends, *(rnd.randrange(1, whole[-1] + 1) for _ in range(int(density * size * 0.3))), whole[-1]}))
             a, b = sides
-            cuts, at = set(), (0, 0)
-            for i, j, to_i, to_j, single in alignment.align(a, b):
-                assert (i, j) == at
-                cuts |= {(i + k, j + k) for k in range(1, to_i - i + 1)} if single else {(to_i, to_j)}
-                at = to_i, to_j
-            assert cuts == {(a.index(e) + 1, b.index(e) + 1) for e in set(a) & set(b)}
-
-
-def plain_alignment(rows):
-    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every row, with the libraries alone."""
-    import public_tokenizers
-    import sentencepiece
-
-    a = json_vocabulary()
-    b = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-    held = []
-    for doc_id, text in rows:
-        whole = " " + (text or "")
-        a_ids, b_ids = a.encode(whole, add_special_tokens=False).ids, b.encode(text or "")
-        a_bytes = [sign_bytes(a.id_to_token(i)) for i in a_ids]
-        b_bytes = [bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in b_ids]
-        if not text or not (b"".join(a_bytes) == b"".join(b_bytes) == whole.encode()):
-            held.append((doc_id, [], [], [], []))
-            continue
-        ends = [np.cumsum([len(x) for x in side]).tolist() for side in (a_bytes, b_bytes)]
-        held.append((doc_id, a_ids, b_ids, *plain_groups(a_ids, ends[0], b_ids, ends[1])))
-    n = Counter(pair for h in held for pair in set(h[4]))
-    best = defaultdict(int)
-    for (x, _), count in n.items():
-        best[x] = max(best[x], count)
-    out = []
-    for doc_id, a_ids, b_ids, groups, links in held:
-        noted = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
-        out.append(
-            (
-                doc_id, len(a_ids), len(b_ids), len(groups), len(links),
-                hashlib.sha256(noted.encode()).hexdigest() if a_ids else "",
-                sum(n[p] == best[p[0]] for p in links), sum(n[p] for p in links),
-            )
-        )
-    return sorted(out, key=str)
+            cut = [[b"x" * (e - s) for s, e in zip([0, *ends], ends)] for ends in sides]
+            ids = [list(range(len(ends))) for ends in sides]
+            made = SimpleNamespace(
+                a=SimpleNamespace(bytes=cut[0]), b=SimpleNamespace(bytes=cut[1]), known={},
+                a_noted=[f"{k}|" for k in ids[0]], b_noted=[str(k) for k in ids[1]])
+            n, noted, left, right = alignment.aligned(*ids, a, b, made)
+            groups, links = plain_groups(ids[0], a, ids[1], b)
+            assert n == len(groups) and noted == ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
+            assert sorted(zip(left, right)) == sorted(links)
 
 
 def json_vocabulary():

@@ -2,7 +2,7 @@
 
 Tokens of both sides are byte ranges of one text, so a side is its array of token ends. At the current index shift the
 arrays are compared slice against slice; slices that are equal double in length, so that a stretch of one-to-one tokens
-is jumped in few steps. Where a slice differs, halving finds the place, the irregular group there is resolved token by
+is jumped in few steps. Where a slice differs, the place is found in it, the irregular group there is resolved token by
 token up to the next common end, and the shift is what the group leaves between the two indexes.
 
 Corpus-wide counts of id pairs are summed per task before they are shuffled. Documents get the counts back in two ways:
@@ -35,7 +35,7 @@ HEAVY = 1 << 18
 # Bytes of text that are encoded at a time.
 BLOCK_BYTES = 1 << 18
 # Tokens of a first probe.
-PROBE = 4
+PROBE = 8
 # Irregular groups that a worker remembers, about, and the most tokens of one.
 KNOWN, LONGEST = 1 << 16, 16
 
@@ -106,46 +106,6 @@ def opened(a_file: str, b_file: str) -> Sides:
     return Sides(a_file, b_file)
 
 
-def align(a: list[int], b: list[int]) -> list[tuple[int, int, int, int, bool]]:
-    """Groups between two lists of token ends whose last are equal, as (i, j, to_i, to_j, single).
-
-    The tokens are a[i:to_i] and b[j:to_j]: a stretch of groups with a single token of each, or one irregular group.
-    """
-    found = []
-    i, shift, probe, last, b_last = 0, 0, PROBE, len(a), len(b)
-    while i < last:
-        start, some = i, 0
-        while i < last:  # jump as long as slices at this shift are equal
-            some = min(probe, last - i, b_last - i - shift)
-            if a[i : i + some] != b[i + shift : i + shift + some]:
-                break
-            i += some
-            probe *= 2
-            some = 0
-        while some > 1:  # the first difference, by halves
-            half = some // 2
-            if a[i : i + half] == b[i + shift : i + shift + half]:
-                i += half
-                some -= half
-            else:
-                some = half
-        if i > start:
-            found.append((start, start + shift, i, i + shift, True))
-        if i < last:  # an irregular group up to the next common end
-            p, q = i, i + shift
-            x, y = a[p], b[q]
-            while x != y:
-                if x < y:
-                    p += 1
-                    x = a[p]
-                else:
-                    q += 1
-                    y = b[q]
-            found.append((i, i + shift, p + 1, q + 1, False))
-            i, shift, probe = p + 1, q - p, PROBE
-    return found
-
-
 def irregular(x: list[int], y: list[int], sides: Sides) -> tuple[str, list[int], list[int]]:
     """Notation of a group, and the A and B ids of its tokens whose bytes overlap."""
     left, right = [], []
@@ -166,27 +126,59 @@ def irregular(x: list[int], y: list[int], sides: Sides) -> tuple[str, list[int],
 def aligned(
     a_ids: list[int], b_ids: list[int], a: list[int], b: list[int], sides: Sides
 ) -> tuple[int, str, list[int], list[int]]:
-    """(groups, their notation, A ids and B ids of all links) of a text's tokens, whose ends are ``a`` and ``b``."""
+    """(groups, their notation, A ids and B ids of all links) of a text's tokens, whose ends ``a`` and ``b`` end alike."""
     noted: list[str] = []
     left: list[int] = []
     right: list[int] = []
     of_a, of_b, known = sides.a_noted.__getitem__, sides.b_noted.__getitem__, sides.known
-    for i, j, to_i, to_j, single in align(a, b):
-        x, y = a_ids[i:to_i], b_ids[j:to_j]
-        if single:
+    i, shift, last, b_last = 0, 0, len(a), len(b)
+    while i < last:
+        start, probe = i, PROBE
+        while i < last:  # jump as long as slices at this shift are equal
+            j = i + shift
+            some = min(probe, last - i, b_last - j)
+            if a[i : i + some] == b[j : j + some]:
+                i += some
+                probe *= 2
+                continue
+            while some > PROBE:  # a long slice that differs: by halves to where it does
+                half = some // 2
+                if a[i : i + half] == b[i + shift : i + shift + half]:
+                    i += half
+                    some -= half
+                else:
+                    some = half
+            for x, y in zip(a[i : i + some], b[i + shift : i + shift + some]):
+                if x != y:
+                    break
+                i += 1
+            break
+        if i > start:  # groups of a single token each
+            x, y = a_ids[start:i], b_ids[start + shift : i + shift]
             left += x
             right += y
             noted += map(add, map(of_a, x), map(of_b, y))
-            continue
-        name = (*x, -1, *y)
-        found = known.get(name)
-        if found is None:
-            found = irregular(x, y, sides)
-            if len(name) <= LONGEST:
-                known[name] = found
-        noted.append(found[0])
-        left += found[1]
-        right += found[2]
+        if i < last:  # an irregular group up to the next common end, which leaves another shift
+            p, q = i, i + shift
+            x, y = a[p], b[q]
+            while x != y:
+                if x < y:
+                    p += 1
+                    x = a[p]
+                else:
+                    q += 1
+                    y = b[q]
+            mine, theirs = a_ids[i : p + 1], b_ids[i + shift : q + 1]
+            name = (*mine, -1, *theirs)
+            found = known.get(name)
+            if found is None:
+                found = irregular(mine, theirs, sides)
+                if len(name) <= LONGEST:
+                    known[name] = found
+            noted.append(found[0])
+            left += found[1]
+            right += found[2]
+            i, shift = p + 1, q - p
     return len(noted), ";".join(noted), left, right
 
 
