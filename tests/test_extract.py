@@ -76,8 +76,8 @@ def test_lines_from_boxes(spark):
 
 def test_known_vendors_meet_texts_by_grams(spark):
     """Against brute force: the longest name that matches the first six lines."""
-    names = ["Ace", "Ace Hardware", "Bo", "Target", "Tar", "Home Depot", "Depot", "7-Eleven", "Étoile"]
-    texts = ["ACE HARDWARE 12\nx", "super targets\n", "at the d3pot", "HOME DEP0T", "a\nb\nc\nd\ne\nf\nTarget", "7 eleven bo", "ÉTOILE", "tarmac"]
+    names = ["Ace", "Ace Hardware", "Bo", "Target", "Tar", "Home Depot", "Depot", "7-Eleven", "Étoile", "Q", "Quartermaster Supplies", "Quartermain"]
+    texts = ["quartermain\n", "quarterma", "the quartermasters", "exq", "ACE HARDWARE 12\nx", "super targets\n", "at the d3pot", "HOME DEP0T", "a\nb\nc\nd\ne\nf\nTarget", "7 eleven bo", "ÉTOILE", "tarmac"]
     vendors = spark.createDataFrame(list(enumerate(names)), "id long, name string")
     pages = spark.createDataFrame(list(enumerate(texts)), "page_id long, ocr_text string")
     lined = lines.with_lines(pages)

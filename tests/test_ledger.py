@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tillbook.operators import edits, maintain, splits
 from tillbook.operators.alloc import allocate
 from tillbook.operators.canonical import split_reconciliation, summable_receipts
+from tillbook.operators.lists import resolve_names
 from tillbook.plans import scale
 from tillbook.schemas import TABLES, empty, shaped, with_tables
 from tillbook.streaming import watch
@@ -164,6 +165,27 @@ def test_patch_keeps_all_or_nothing(spark):
     assert out["document_data"].first()["title"] == "Deed"
 
 
+def test_names_of_several_lists_in_one_pass(spark):
+    """Each list keeps its own numbers, spellings of one key become one entry, and no list takes another's names."""
+    lib = ledger(spark)
+    first = lib["category"].agg(F.max("id")).first()[0] or 0
+    wanted = [("category", "Zinc"), ("category", " zinc "), ("category", "Yarn"), ("vendor", "Zinc"), ("vendor", "Z I N C"), ("vendor", "\u5e97"),
+              ("project", "Zinc"), ("project", ""), ("project", None)]
+    out, mapping = resolve_names(lib, spark.createDataFrame(wanted, "list string, name string"), 7, ["vendor", "category", "project"])
+    got = {(r["list"], r["name"]): (r["id"], r["created"]) for r in mapping.collect()}
+    assert got["category", "Yarn"] == (first + 1, True)
+    assert got["category", "Zinc"] == got["category", "zinc"] == (first + 2, True)
+    assert got["vendor", "Zinc"] == got["vendor", "Z I N C"] and got["vendor", "\u5e97"] != got["vendor", "Zinc"]
+    assert ("project", "") not in got and got["project", "Zinc"][1]
+    for table, more in (("category", 2), ("vendor", 2), ("project", 1)):
+        ids = [r["id"] for r in out[table].select("id").collect()]
+        assert len(ids) == len(set(ids)) == lib[table].count() + more
+    again = resolve_names(out, spark.createDataFrame(wanted, "list string, name string"), 8, ["vendor", "category", "project"])[1]
+    assert {(r["list"], r["name"]): (r["id"], r["created"]) for r in again.collect()} == {k: (v[0], False) for k, v in got.items()}
+    nothing = resolve_names(lib, spark.createDataFrame([], "list string, name string"), 7, ["vendor", "category", "project"])
+    assert nothing[1].count() == 0 and nothing[0]["project"].count() == lib["project"].count()
+
+
 def test_stream_remembers_failures(spark, tmp_path):
     looks = [("a", t, 1, 1, False) for t in (1, 2, 3)] + [("a", 3, 0, 1, True)] + [("a", 4, 1, 1, False)] + [("a", t, 1, 2, False) for t in (5, 6, 7)]
     looks += [("b", 1, 1, 1, False), ("b", 2, 1, 1, False), ("b", 4, 1, 1, False), ("clock", 20, 0, 0, False)]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tillbook.functions.checks import FIELD_RECORD, is_civil_text, is_currency, json_fields
 from tillbook.functions.money import parse_money_text, trimmed
-from tillbook.operators.lists import resolve_vendors, upsert_names
+from tillbook.operators.lists import resolve_names
 from tillbook.operators.rules import put_fields
 from tillbook.operators.splits import first_reason
 from tillbook.plans.scale import next_id, number_rows, rank_rows
@@ -89,22 +89,19 @@ def patch_items(lib: Library, edits: DataFrame, now: int) -> tuple[Library, Data
 
     # Names to ids, creating list values on the way.
     receipts_good = good.filter("type = 'receipt'")
-    created_values = []
-    for field, (table, target) in LIST_FIELDS.items():
-        wanted = receipts_good.filter(filled(field)).select(value(field).alias("name"))
-        if wanted.isEmpty():
-            receipts_good = receipts_good.withColumn(f"_{target}", F.lit(None).cast("bigint"))
-            continue
-        changed, mapping = (
-            resolve_vendors(lib, wanted, now) if table == "vendor" else upsert_names(lib, table, wanted, now)
-        )
-        lib = with_tables(lib, **{table: changed})
-        created_values.append(mapping.filter("created").select(F.lit(table).alias("list"), "name"))
-        ids = mapping.select(F.col("name").alias("_name"), F.col("id").alias(f"_{target}"))
-        receipts_good = receipts_good.join(ids, trimmed(value(field)) == F.col("_name"), "left").drop("_name")
-    created = created_values[0] if created_values else good.select(F.lit("").alias("list"), F.lit("").alias("name")).limit(0)
-    for more in created_values[1:]:
-        created = created.unionByName(more)
+    names = F.array_compact(
+        F.array(*[
+            F.when(filled(f), F.struct(F.lit(table).alias("list"), trimmed(value(f)).alias("name")))
+            for f, (table, _) in LIST_FIELDS.items()
+        ])
+    )
+    named = receipts_good.select("item_id", F.explode(names).alias("n")).select("item_id", "n.*")
+    lib, mapping = resolve_names(lib, named, now, [table for table, _ in LIST_FIELDS.values()])
+    created = mapping.filter("created").select("list", "name")
+    ids = named.join(mapping, ["list", "name"]).groupBy("item_id").agg(
+        *[F.max(F.when(F.col("list") == table, F.col("id"))).alias(f"_{target}") for table, target in LIST_FIELDS.values()]
+    )
+    receipts_good = receipts_good.join(ids, "item_id", "left")
 
     is_set = lambda f: F.col(f).isNotNull()
 

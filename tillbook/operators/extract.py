@@ -15,6 +15,7 @@ from tillbook.functions.money import find_money, trimmed
 from tillbook.functions.names import END, START, looks_like_vendor, ocr_normalize, squeezed, tax_label
 from tillbook.operators.lines import BOX, with_lines
 from tillbook.schemas import Library
+from tillbook.session import stored
 
 # --- fixed values: labels, patterns and confidences that decide the result ------------
 
@@ -363,6 +364,8 @@ def description_field() -> Column:
 # --- vendors -------------------------------------------------------------------------
 
 GRAM = 8
+# Places of a needle shorter than that.
+SPREAD = 32
 
 
 def known_vendor_matches(pages: DataFrame, vendors: DataFrame) -> DataFrame:
@@ -391,15 +394,18 @@ def known_vendor_matches(pages: DataFrame, vendors: DataFrame) -> DataFrame:
     if not lengths:
         return pages.select("page_id", F.lit(None).cast("string").alias("vendor")).limit(0)
     blob = F.array_join(F.transform(F.slice("lines", F.lit(1), F.lit(TOP_LINES)), lambda l: l["text"]), " ")
-    texts = pages.select(
-        "page_id",
-        F.explode(
-            F.array(
-                F.struct(F.lit(False).alias("literal"), ocr_normalize(blob).alias("hay")),
-                F.struct(F.lit(True).alias("literal"), F.lower(blob).alias("hay")),
-            )
-        ).alias("t"),
-    ).select("page_id", "t.literal", "t.hay")
+    texts = stored(
+        pages.select(
+            "page_id",
+            F.explode(
+                F.array(
+                    F.struct(F.lit(False).alias("literal"), ocr_normalize(blob).alias("hay")),
+                    F.struct(F.lit(True).alias("literal"), F.lower(blob).alias("hay")),
+                )
+            ).alias("t"),
+        ).select("page_id", "t.literal", "t.hay"),
+        "tops",
+    )
 
     def grams_of(length: int) -> Column:
         last = F.length("hay") - length + 1
@@ -407,13 +413,24 @@ def known_vendor_matches(pages: DataFrame, vendors: DataFrame) -> DataFrame:
             last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(F.col("hay"), i, F.lit(length)))
         ).otherwise(F.array().cast("array<string>"))
 
-    grams = F.array_distinct(F.concat(*[grams_of(n) for n in lengths]))
-    hits = texts.select("page_id", "literal", "hay", F.explode(grams).alias("gram")).join(needles, ["literal", "gram"])
-    return (
-        hits.filter(F.col("hay").contains(F.col("needle")))
-        .groupBy("page_id")
-        .agg(F.max("best")["name"].alias("vendor"))
+    # Grams of few characters stand on nearly every page: their needles lie in SPREAD places, and a page asks in one.
+    short = F.length("gram") < GRAM
+    spread = F.when(short, F.pmod(F.xxhash64("page_id"), F.lit(SPREAD))).otherwise(F.lit(0))
+    places = F.when(short, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
+    grams = (
+        texts.select("page_id", "literal", F.explode(F.array_distinct(F.concat(*[grams_of(n) for n in lengths]))).alias("gram"))
+        .withColumn("place", spread.cast("int"))
+    )
+    asked = needles.select("literal", "gram", "needle", "best", F.explode(places).alias("place"))
+    # Grams travel without the text; only pages with a gram of a needle get it back, and a gram that is the whole
+    # needle needs no text at all.
+    met = grams.join(asked, ["literal", "gram", "place"]).select("page_id", "literal", "gram", "needle", "best")
+    whole = F.col("gram") == F.col("needle")
+    sure = met.filter(whole).select("page_id", "best")
+    checked = (
+        met.filter(~whole).join(texts, ["page_id", "literal"]).filter(F.col("hay").contains(F.col("needle"))).select("page_id", "best")
     )
+    return sure.unionByName(checked).groupBy("page_id").agg(F.max("best")["name"].alias("vendor"))
 
 
 def fallback_vendor() -> Column:
