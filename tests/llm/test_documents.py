@@ -319,12 +319,17 @@ def test_licenses_count_units_once(spark):
     assert {(r.doc_id, r.units) for r in licenses.find_licenses(df).collect() if r.dice == 1.0} == {(1, 1), (2, 3)}  # the whole text, too
 
 
-@pytest.mark.parametrize("chunk_rows, stride", [(2, 3), (5, 256), (4096, 256)])
-def test_next_rows_of_hot_and_null_ids(spark, monkeypatch, chunk_rows, stride):
-    """A third of the rows under one id, another without any, and many chunks: every row is followed by the next one."""
+@pytest.mark.parametrize("chunk_rows, stride, bounds, sent", [(2, 3, 65536, 1 << 20), (2, 3, 4, 0), (1, 2, 1, 5), (5, 256, 65536, 0), (4096, 256, 65536, 1 << 20)])
+def test_next_rows_of_hot_and_null_ids(spark, monkeypatch, chunk_rows, stride, bounds, sent):
+    """A third of the rows under one id, another without any, and many chunks: every row is followed by the next one.
+
+    With few bounds the chunks come from ranges between them, and with none sent, first rows from a shuffled join.
+    """
+    monkeypatch.setattr(spotsigs, "BOUNDS", bounds)
+    monkeypatch.setattr(spotsigs, "SENT_CHUNKS", sent)
     monkeypatch.setattr(spotsigs, "CHUNK_ROWS", chunk_rows)
     monkeypatch.setattr(spotsigs, "STRIDE", stride)
-    rows = [(7, f"t{k}") for k in range(40)] + [(None, f"n{k}") for k in range(40)] + [(k * k - 30, f"u{k}") for k in range(40)] + [(7, "t3"), (None, "n5"), (7, "t3")]
+    rows = [(7, f"t{k}") for k in range(40)] + [(None, f"n{k}") for k in range(40)] + [(k * k - 30, f"u{k}") for k in range(40)] + [(2**62 + k, f"b{k}") for k in range(9)] + [(7, "t3"), (None, "n5"), (7, "t3")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).withColumn("tie", F.xxhash64("text"))
     out = spotsigs.with_next(df, "doc_id", ["text", "big"], "tie", {"big": F.upper("text")}).collect()
     assert Counter((r.doc_id, r.text) for r in out) == Counter(rows) and all(r.big == r.text.upper() for r in out)
