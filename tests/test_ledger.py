@@ -5,9 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tillbook.operators import edits, maintain, splits
+from tillbook.operators import edits, listing, maintain, splits
 from tillbook.operators.alloc import allocate
-from tillbook.operators.canonical import split_reconciliation, summable_receipts
+from tillbook.operators.canonical import item_pages, page_links, split_reconciliation, summable_receipts
 from tillbook.operators.lists import resolve_names
 from tillbook.plans import scale
 from tillbook.schemas import TABLES, empty, shaped, with_tables
@@ -165,6 +165,29 @@ def test_patch_keeps_all_or_nothing(spark):
     assert out["document_data"].first()["title"] == "Deed"
 
 
+def test_page_links_and_members_of_groups(spark):
+    """Links name an origin's pages once per child; members are told once, and only of groups that are asked for."""
+    item = [(1, 7, "origin"), (2, 7, "child"), (3, 7, "child"), (4, 8, "origin"), (5, 8, "child"), (6, None, None)]
+    lib = fresh(
+        spark,
+        item=("id long, split_group_id long, split_role string", item),
+        split_group=("id long, origin_item_id long, origin_page_id long", [(7, 1, None), (8, 4, 41)]),
+        page=("id long, item_id long, seq int", [(10 + k, 1, k) for k in range(5)] + [(40, 4, 0), (41, 4, 1), (60, 6, 0)]),
+    )
+    links = {tuple(r) for r in page_links(lib).collect()}
+    assert links == {(i, i, None, False) for i, _, _ in item} | {(2, 1, None, True), (3, 1, None, True), (5, 4, 41, True)}
+    shown = sorted((r.item_id, r.page_id, r.via_split) for r in item_pages(lib).collect())
+    own = [(1, 10 + k, False) for k in range(5)] + [(4, 40, False), (4, 41, False), (6, 60, False)]
+    assert shown == sorted(own + [(i, 10 + k, True) for i in (2, 3) for k in range(5)] + [(5, 41, True)])
+    ids = spark.createDataFrame([(2,), (2,), (6,), (99,)], "item_id long")
+    assert sorted(r.page_id for r in item_pages(lib, ids).collect()) == [10, 11, 12, 13, 14, 60]
+    members = sorted(tuple(r) for r in listing.group_members(lib, ids).collect())
+    assert members == [(7, 1, "origin", False), (7, 2, "child", True), (7, 3, "child", False)]
+    told = [(r.item_id, r.ref_id) for r in listing.item_detail(lib, ids).filter("section = 'sibling'").collect()]
+    assert sorted(told) == [(2, 1), (2, 3)]
+    assert listing.item_detail(lib, ids, siblings=False).filter("section = 'sibling'").count() == 0
+
+
 def test_names_of_several_lists_in_one_pass(spark):
     """Each list keeps its own numbers, spellings of one key become one entry, and no list takes another's names."""
     lib = ledger(spark)

@@ -211,6 +211,16 @@ def item_payloads(spark, sf):
     return listing.item_detail(lib, ids)
 
 
+@query("group_members", """
+    with asked as (select id, split_group_id from item where split_role = 'child')
+    select split_group_id, id member_id, split_role as role, id in (select id from asked) asked
+    from item where split_group_id in (select split_group_id from asked)""")
+def group_members(spark, sf):
+    """The groups of all split children, each member told once and not once per sibling."""
+    lib = star.library(spark, sf)
+    return listing.group_members(lib, lib["item"].filter("split_role = 'child'").select(F.col("id").alias("item_id")))
+
+
 @query("item_detail", """
     with ids as (select id item_id from item where split_role = 'origin' or type = 'contact'),
     parts as (

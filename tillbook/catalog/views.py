@@ -46,6 +46,14 @@ def item_pages(spark, sf):
     return canonical.item_pages(star.library(spark, sf)).drop("rotation")
 
 
+@query("page_links", """
+    select id item_id, id owner_id, cast(null as bigint) page_id, false via_split from item
+    union all select i.id, g.origin_item_id, g.origin_page_id, true from item i join split_group g on g.id = i.split_group_id where i.split_role = 'child'""")
+def page_links(spark, sf):
+    """V2 unexpanded: one row per item and one per split child, whatever the pages of an origin."""
+    return canonical.page_links(star.library(spark, sf))
+
+
 @query("summable_tax", "select tax_line_id, item_id, folder_id, currency, label, rate_bp, tax_category_id, amount_minor from v_tax")
 def summable_tax(spark, sf):
     return canonical.summable_tax(star.library(spark, sf))

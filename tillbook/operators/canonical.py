@@ -33,8 +33,31 @@ def summable_receipts(lib: Library) -> DataFrame:
     )
 
 
-def item_pages(lib: Library) -> DataFrame:
-    """V2: own pages, and for split children the pages of the origin they cite."""
+def page_links(lib: Library) -> DataFrame:
+    """V2 unexpanded: (item_id, owner_id, page_id, via_split) – whose pages an item shows.
+
+    Every item shows its own pages; a split child also shows its origin's, or the one page that its group names. A null
+    page_id stands for all pages of the owner: children times pages is only ever written out by who asks for it.
+    """
+    none = F.lit(None).cast("bigint")
+    own = lib["item"].select(
+        F.col("id").alias("item_id"), F.col("id").alias("owner_id"), none.alias("page_id"), F.lit(False).alias("via_split")
+    )
+    group = lib["split_group"].select(
+        F.col("id").alias("split_group_id"), F.col("origin_item_id").alias("owner_id"), F.col("origin_page_id").alias("page_id")
+    )
+    cited = lib["item"].filter("split_role = 'child'").select(F.col("id").alias("item_id"), "split_group_id").join(group, "split_group_id")
+    return own.unionByName(cited.select("item_id", "owner_id", "page_id", F.lit(True).alias("via_split")))
+
+
+def item_pages(lib: Library, ids: DataFrame | None = None) -> DataFrame:
+    """V2: own pages, and for split children the pages of the origin they cite.
+
+    With ``ids`` (item_id) only the links of those items are expanded.
+    """
+    links = page_links(lib).withColumnRenamed("page_id", "only")
+    if ids is not None:
+        links = links.join(ids.select("item_id").distinct(), "item_id", "left_semi")
     page = lib["page"].select(
         F.col("id").alias("page_id"),
         F.col("item_id").alias("owner_id"),
@@ -44,21 +67,8 @@ def item_pages(lib: Library) -> DataFrame:
         "rotation",
         "content_hash",
     )
-    item = lib["item"].select("id", "split_group_id", "split_role")
-    own = page.join(item.select("id"), page.owner_id == item.id).withColumn("via_split", F.lit(False))
-    group = lib["split_group"].select(
-        F.col("id").alias("split_group_id"), F.col("origin_item_id").alias("owner_id"), "origin_page_id"
-    )
-    cited = (
-        item.filter("split_role = 'child'")
-        .join(group, "split_group_id")
-        .join(page, "owner_id")
-        .filter("origin_page_id IS NULL OR page_id = origin_page_id")
-        .withColumn("via_split", F.lit(True))
-    )
     columns = ["page_id", "seq", "file_relpath", "thumb_relpath", "rotation", "content_hash", "via_split"]
-    pick = [F.col("id").alias("item_id"), *columns]
-    return own.select(*pick).unionByName(cited.select(*pick))
+    return links.join(page, "owner_id").filter("only IS NULL OR only = page_id").select("item_id", *columns)
 
 
 def summable_tax(lib: Library) -> DataFrame:

@@ -148,5 +148,5 @@ def export_item_ids(lib: Library, query: SearchQuery | None = None, item_ids: Da
 def page_manifest(lib: Library, item_ids: DataFrame) -> DataFrame:
     """Pages to embed, via split included, by item and page order."""
     size = lib["page"].select(F.col("id").alias("page_id"), "width", "height", "ocr_text")
-    pages = item_pages(lib).join(item_ids.select("item_id").distinct(), "item_id", "left_semi")
+    pages = item_pages(lib, item_ids)
     return pages.join(size, "page_id").orderBy("item_id", "seq", "page_id")

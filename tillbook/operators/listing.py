@@ -436,11 +436,26 @@ def ocr_states(lib: Library, page_ids: DataFrame) -> DataFrame:
     )
 
 
-def item_detail(lib: Library, ids: DataFrame) -> DataFrame:
+def group_members(lib: Library, ids: DataFrame) -> DataFrame:
+    """(split_group_id, member_id, role, asked) of every split group that one of the items is in, each member once.
+
+    Who shows an item's siblings reads its group's members but for itself: rows grow with the members of a group, not
+    with their pairs.
+    """
+    item = lib["item"].filter("split_group_id IS NOT NULL").select(
+        "split_group_id", F.col("id").alias("member_id"), F.col("split_role").alias("role"))
+    wanted = ids.select(F.col("item_id").alias("member_id")).distinct().withColumn("asked", F.lit(True))
+    known = item.join(wanted, "member_id", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+    touched = known.filter("asked").select("split_group_id").distinct()
+    return known.join(touched, "split_group_id", "left_semi").select("split_group_id", "member_id", "role", "asked")
+
+
+def item_detail(lib: Library, ids: DataFrame, siblings: bool = True) -> DataFrame:
     """Everything about some items, as ordered sections instead of one wide nested row.
 
     (item_id, section, ord, ref_id, payload): lists of any length stay rows, so one item
-    with very many lines is spread over tasks like any other data.
+    with very many lines is spread over tasks like any other data.  Asked for whole groups,
+    leave ``siblings`` out, which are all pairs then, and read ``group_members``.
     """
     ids = ids.select("item_id").distinct()
 
@@ -455,8 +470,6 @@ def item_detail(lib: Library, ids: DataFrame) -> DataFrame:
 
     item = lib["item"].withColumnRenamed("id", "item_id")
     groups = lib["split_group"].withColumnRenamed("id", "split_group_id")
-    members = item.filter("split_group_id IS NOT NULL").select(
-        "split_group_id", F.col("item_id").alias("sibling_id"), F.col("split_role").alias("sibling_role"))
     fields = lib["custom_field_value"].join(
         lib["custom_field_def"].select(F.col("id").alias("def_id"), "key", "sort_order"), "def_id")
     receipt = lib["receipt_data"]
@@ -466,13 +479,16 @@ def item_detail(lib: Library, ids: DataFrame) -> DataFrame:
         section("document", lib["document_data"], "item_id", "item_id", ["title", "doc_date", "doc_type", "notes"]),
         section("contact", lib["contact_data"], "item_id", "item_id", ["first_name", "last_name", "org", "title"]),
         section("tax_line", lib["receipt_tax_line"], "id", "id", ["label", "rate_bp", "amount_minor"]),
-        section("page", item_pages(lib), "seq", "page_id", ["seq", "file_relpath", "via_split"]),
+        section("page", item_pages(lib, ids), "seq", "page_id", ["seq", "file_relpath", "via_split"]),
         section("split_group", item.join(groups, "split_group_id"), "split_group_id", "split_group_id",
                 ["origin_item_id", "origin_total_minor", "currency"]),
-        section("sibling", item.join(ids, "item_id", "left_semi").join(members, "split_group_id").filter("sibling_id <> item_id"),
-                "sibling_id", "sibling_id", ["sibling_role"]),
         section("custom_field", fields, "sort_order", "def_id", ["key", "value"]),
     ]
+    if siblings:
+        members = group_members(lib, ids)
+        others = members.select("split_group_id", F.col("member_id").alias("sibling_id"), F.col("role").alias("sibling_role"))
+        pairs = members.filter("asked").select("split_group_id", F.col("member_id").alias("item_id")).join(others, "split_group_id")
+        parts.append(section("sibling", pairs.filter("sibling_id <> item_id"), "sibling_id", "sibling_id", ["sibling_role"]))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
