@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -204,6 +205,37 @@ def test_quality_holds_on_held_out_rows(spark):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
 
 
+def test_quality_votes_against_plain_cosines(spark, monkeypatch):
+    """Against one sorted list of cosines per text: the job, and the blocked votes with three rows and five neighbours."""
+    rnd = random.Random(7)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(60)]
+    text = lambda few: " ".join(rnd.choice(words[:20] if few else words) for _ in range(rnd.randrange(5, 60)))
+    labelled = [(text(k % 3 == 0), int(k % 3 == 0)) for k in range(40)]
+    texts = [text(k % 2 == 0) for k in range(30)] + ["", None, " \t", labelled[0][0]]
+    known = spark.createDataFrame(labelled, "text string, label int")
+    space = quality.fit(known, "text", "label")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in quality.score(docs, known).collect()}
+    assert abs(space.prior - sum(y for _, y in labelled) / len(labelled)) < 1e-6
+    norm = lambda v: v / max(float(np.sqrt((v * v).sum())), 1e-12)
+    raw = [(t or "").encode() for t in texts]
+    terms = quality.term_rows(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+
+    def voted(row: np.ndarray, k: int) -> float:
+        if not row.any():
+            return space.prior
+        vector = norm(norm(row.astype(np.float64) * space.weights) @ space.projection)
+        near = sorted(((float(norm(v.astype(np.float64)) @ vector), float(y)) for v, y in zip(space.vectors, space.labels)), reverse=True)[:k]
+        weights = [max(c, 0.0) ** quality.SHARPNESS + 1e-9 for c, _ in near]
+        return sum(w * y for w, (_, y) in zip(weights, near)) / sum(weights)
+
+    assert all(abs(got[i] - voted(row, quality.NEIGHBOURS)) < 1e-3 for i, row in enumerate(terms))
+    assert any(0.05 < x < 0.95 for x in got.values())
+    monkeypatch.setattr(quality, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(quality, "NEIGHBOURS", 5)
+    assert all(abs(x - voted(row, 5)) < 1e-3 for x, row in zip(quality.votes(space, terms), terms))
+
+
 def test_quality_of_awkward_rows(spark, docs, nothing):
     labels = spark.createDataFrame([(15, 1, 0), (18, 0, 0), (18, None, 0), (None, 1, 1), (21, 1, 0)], "doc_id long, quality int, toxic int")
     out = quality.score_quality(docs.select("doc_id", "text"), labels).collect()
@@ -266,6 +298,35 @@ def test_surrogates_of_a_full_range_grow_longer(spark):
     assert len(set(new)) == 1000 and all(t.startswith("+25") and t[1:].isdigit() and len(t) > 6 for t in new)
 
 
+def test_surrogates_of_planted_entities(spark):
+    """Between words that stay: one surrogate per entity in all texts, none shared, none real, each of its own format."""
+    rnd = random.Random(11)
+    digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    make = {  # formats without groups of their own
+        r"[^@ ]+@[^@ ]+\.[a-z]{2,}": lambda: f"{''.join(rnd.choice('abcdef') for _ in range(5))}.{digits(2)}@host{digits(2)}.org",
+        r"\d{1,3}(?:\.\d{1,3}){3}": lambda: ".".join(str(rnd.randrange(1, 255)) for _ in range(4)),
+        r"\d{3}-\d{2}-\d{4}": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+        r"\(\d{3}\) \d{3}-\d{4}": lambda: f"({rnd.randrange(200, 999)}) {rnd.randrange(200, 999)}-{digits(4)}",
+        r"[0-9a-f]{2}(?::[0-9a-f]{2}){5}": lambda: ":".join(f"{rnd.randrange(256):02x}" for _ in range(6)),
+    }
+    pool = [(shape, new()) for shape, new in make.items() for _ in range(60)]
+    kind = {e: shape for shape, e in pool}
+    fill = ["of the", "then came", "a plain list,", "so it goes", "und weiter", "\u90fd\u5e02", "\n"]
+    planted = []
+    for _ in range(400):
+        picked = [rnd.choice(pool)[1] for _ in range(rnd.randrange(5))]
+        planted.append((picked, [rnd.choice(fill) for _ in range(len(picked) + 1)]))
+    texts = [f[0] + "".join(f" {e} {g}" for e, g in zip(picked, f[1:])) for picked, f in planted]
+    out = surrogates.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), count="n").orderBy("doc_id").collect()
+    given: dict[str, str] = {}
+    for r, (picked, f) in zip(out, planted, strict=True):
+        found = re.fullmatch(re.escape(f[0]) + "".join(f" ({kind[e]}) {re.escape(g)}" for e, g in zip(picked, f[1:])), r.text)
+        assert found and r.n == len(picked), (r.text, picked)
+        for e, new in zip(picked, found.groups()):
+            assert given.setdefault(e, new) == new
+    assert len(set(given.values())) == len(given) and not set(given.values()) & set(kind)
+
+
 def test_surrogates_of_whole_names_and_of_later_mentions(spark):
     texts = [
         "Dr Anna Maria Schmidt, Mr John F. Kennedy, Herr Dr. Ludwig van Beethoven, Mr J. R. R. Tolkien and Ms O'Brien.",
