@@ -260,3 +260,41 @@ def test_grid_plan_reads_each_table_once_per_use(lib):
     plan = folder_totals(lib)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNull(trashed_at), IsNull(superseded_at)" in plan.replace("IsNotNull(type), ", "") or "IsNull(trashed_at)" in plan
     assert "extraction_json" not in plan and "CartesianProduct" not in plan
+
+
+def _files(spark):
+    from pathlib import Path
+
+    from tillbook.session import shared_dir
+
+    return sum(1 for f in Path(shared_dir(spark).removeprefix("file:")).rglob("*") if f.is_file())
+
+
+def test_groups_that_fit_a_task_write_no_cut_off_points(spark):
+    parts = spark.createDataFrame([(g, i, 10 + g, i + 1) for g in range(20) for i in range(5)], "g int, ord int, total int, w int")
+    before = _files(spark)
+    out = allocate(parts, ["g"], ["ord"], "total", "s", weight="w")
+    assert {r["g"]: r["s"] for r in out.groupBy("g").agg(F.sum("s").alias("s")).collect()} == {g: 10 + g for g in range(20)}
+    assert _files(spark) == before
+
+
+def test_small_and_large_groups_are_shared_alike(spark, monkeypatch):
+    from tillbook.plans import scale
+
+    rows = [(g, i, 1000 + 7 * g, (i * 37 + g) % 11 + 1) for g in range(6) for i in range(9)] + [(None, 0, 5, 1)]
+    parts = spark.createDataFrame(rows, "g int, ord int, total int, w int")
+    small = allocate(parts, ["g"], ["ord"], "total", "s", weight="w").collect()
+    ranks = scale.rank_rows(parts, ["g"], ["ord"]).collect()
+    monkeypatch.setattr(scale, "LARGEST_GROUP", 3)
+    assert sorted(small) == sorted(allocate(parts, ["g"], ["ord"], "total", "s", weight="w").collect())
+    key = lambda r: (r["g"] is None, r["g"], r["ord"])
+    assert sorted(ranks, key=key) == sorted(scale.rank_rows(parts, ["g"], ["ord"]).collect(), key=key)
+
+
+def test_running_totals_of_numbered_rows(spark):
+    from tillbook.plans import scale
+
+    df = spark.range(1000).select(F.col("id").alias("v"), (F.col("id") % 7).alias("n")).repartition(9)
+    got = scale.number_rows(df, ["v"], totals={"n_before": "n"}).orderBy("v").collect()
+    assert [r["row_no"] for r in got] == list(range(1, 1001))
+    assert [r["n_before"] for r in got] == [sum(k % 7 for k in range(v)) for v in range(1000)]
