@@ -149,3 +149,18 @@ def test_vendor_names_of_very_long_lines(spark):
     out = [r[0] for r in spark.createDataFrame(list(enumerate(lines)), "k int, v string").orderBy("k").select(normalize_vendor(F.col("v"))).collect()]
     assert out[0] == ("word " * 40_000).strip() and out[1] == "store x" and out[2] == "" and out[5] == "7" * 150_000
     assert out[4] == ("a" + " 1234" * 39_999)
+
+
+def test_texts_are_kept_only_in_the_forms_that_names_need(spark, monkeypatch):
+    kept = []
+    real = extract.stored
+    monkeypatch.setattr(extract, "stored", lambda df, name: kept.append(real(df, name)) or kept[-1])
+    pages = lines.with_lines(spark.createDataFrame([(1, "Harbor Freight\nTOTAL 1.00"), (2, "Кофе\nTOTAL 2.00")], "page_id long, ocr_text string"))
+    found = lambda names: {
+        r["page_id"]: r["vendor"]
+        for r in extract.known_vendor_matches(pages, spark.createDataFrame(list(enumerate(names)), "id long, name string")).collect()}
+    assert found(["Harbor Freight"]) == {1: "Harbor Freight"}
+    assert {(r["page_id"], r["literal"]) for r in kept[0].collect()} == {(1, False), (2, False)}
+    assert found(["Кофе"]) == {2: "Кофе"}
+    assert found(["Harbor Freight", "Кофе"]) == {1: "Harbor Freight", 2: "Кофе"}
+    assert kept[2].count() == 4

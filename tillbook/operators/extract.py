@@ -389,20 +389,19 @@ def known_vendor_matches(pages: DataFrame, vendors: DataFrame) -> DataFrame:
         .withColumn("gram", F.substring("needle", 1, GRAM))
         .withColumn("glen", F.length("gram"))
     )
-    # At most GRAM different lengths: this is all that reaches the driver.
-    lengths = sorted(r[0] for r in needles.select("glen").distinct().collect())
+    # At most GRAM different lengths for folded and for literal needles: this is all that reaches the driver.
+    lengths: dict[bool, list[int]] = {}
+    for literal, length in needles.select("literal", "glen").distinct().collect():
+        lengths.setdefault(literal, []).append(length)
     if not lengths:
         return pages.select("page_id", F.lit(None).cast("string").alias("vendor")).limit(0)
     blob = F.array_join(F.transform(F.slice("lines", F.lit(1), F.lit(TOP_LINES)), lambda l: l["text"]), " ")
+    # A text is folded for folded needles and lower-cased for literal ones; a form that no needle has is not made.
+    forms = {False: ocr_normalize(blob), True: F.lower(blob)}
     texts = stored(
         pages.select(
             "page_id",
-            F.explode(
-                F.array(
-                    F.struct(F.lit(False).alias("literal"), ocr_normalize(blob).alias("hay")),
-                    F.struct(F.lit(True).alias("literal"), F.lower(blob).alias("hay")),
-                )
-            ).alias("t"),
+            F.explode(F.array(*[F.struct(F.lit(k).alias("literal"), forms[k].alias("hay")) for k in sorted(lengths)])).alias("t"),
         ).select("page_id", "t.literal", "t.hay"),
         "tops",
     )
@@ -413,12 +412,16 @@ def known_vendor_matches(pages: DataFrame, vendors: DataFrame) -> DataFrame:
             last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(F.col("hay"), i, F.lit(length)))
         ).otherwise(F.array().cast("array<string>"))
 
+    every = F.lit(None).cast("array<string>")
+    for k, sizes in lengths.items():
+        every = F.when(F.col("literal") == F.lit(k), F.concat(*[grams_of(n) for n in sorted(sizes)])).otherwise(every)
+
     # Grams of few characters stand on nearly every page: their needles lie in SPREAD places, and a page asks in one.
     short = F.length("gram") < GRAM
     spread = F.when(short, F.pmod(F.xxhash64("page_id"), F.lit(SPREAD))).otherwise(F.lit(0))
     places = F.when(short, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
     grams = (
-        texts.select("page_id", "literal", F.explode(F.array_distinct(F.concat(*[grams_of(n) for n in lengths]))).alias("gram"))
+        texts.select("page_id", "literal", F.explode(F.array_distinct(every)).alias("gram"))
         .withColumn("place", spread.cast("int"))
     )
     asked = needles.select("literal", "gram", "needle", "best", F.explode(places).alias("place"))
