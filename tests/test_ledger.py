@@ -298,3 +298,30 @@ def test_running_totals_of_numbered_rows(spark):
     got = scale.number_rows(df, ["v"], totals={"n_before": "n"}).orderBy("v").collect()
     assert [r["row_no"] for r in got] == list(range(1, 1001))
     assert [r["n_before"] for r in got] == [sum(k % 7 for k in range(v)) for v in range(1000)]
+
+
+def test_stream_judges_spans_and_batches_as_one(spark, tmp_path, monkeypatch):
+    """Looks that wait over several spans and arrive over several batches get the statuses of the batch twin; a path has one timer."""
+    monkeypatch.setattr(watch, "SPAN", 4)
+    dice = random.Random(3)
+    looks = {(p, t): (dice.randrange(2), dice.randrange(3) // 2) for p in "abc" for t in range(30) if dice.random() < 0.85}
+    schema = "path string, tick long, size long, mtime_ms long, failed boolean"
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for until in (13, 14, 30, 60):
+        part = [(*at, *looks.pop(at), None if at[0] == "a" else False) for at in sorted(looks, reverse=True) if at[1] < until] + [("clock", until, 0, 0, False)]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        if until == 13:
+            first = spark.read.format("parquet").schema(schema).load(source).count()
+        stream = watch.stability_stream(spark.readStream.schema(schema).parquet(source))
+        with watch.rocksdb(spark):
+            stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(out).awaitTermination()
+        if until == 13:
+            state = spark.read.format("statestore").option("path", str(tmp_path / "c")).option("stateVarName", "waiting").load()
+            assert first > 20 and state.count() <= 4  # of each path, what lies beyond the watermark
+    got = [r for r in spark.read.parquet(out).collect() if r["path"] != "clock"]
+    told = {(r["path"], r["tick"]): r["status"] for r in got}
+    assert len(got) == len(told)
+    seen = spark.read.parquet(source).filter("path <> 'clock'").cache()
+    twin = {(r["path"], r["tick"]): "eligible" if r["eligible"] else "pending" for r in watch.stability(seen).collect()}
+    twin |= {(p, t + 1): "vanished" for p, t in list(twin) if (p, t + 1) not in twin}
+    assert told == twin

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,6 +19,9 @@ from tillbook.session import checkpointed
 STABLE_OBSERVATIONS = 3
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OBSERVED = "path string, tick bigint, status string, streak bigint"
+# Ticks whose waiting looks lie together in the state store, and what is known of a path that is not there.
+SPAN = 1024
+NOTHING = (None, None, None, None, None)
 
 
 # --- K1/K2 ---------------------------------------------------------------------------
@@ -62,68 +65,111 @@ def stability_stream(observations: DataFrame, late: int = 1) -> DataFrame:
     instead of a look at the folder).  A failed path is left alone until its modification time changes or it vanishes.
     Ticks are event time, a second each: looks may come in any order, up to ``late`` ticks behind the latest of all paths,
     and are taken in tick order by a timer once the watermark has passed them; one that comes later, or again, changes
-    nothing.  Waiting looks lie in the state store, keyed by tick, and one at a time is in memory, however many a path has.
+    nothing.  Waiting looks lie in the state store by spans of ``SPAN`` ticks, and one span at a time is taken from it.
+    A path has one timer, for its next tick: when it is due, all ticks that the watermark has passed are judged at once,
+    so that a path costs a few calls to the store per batch and span, not several per look.
     A path that is not seen at the tick after its last look has vanished: its state is gone with that timer.
     """
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-    required = STABLE_OBSERVATIONS
+    required, span_ticks = STABLE_OBSERVATIONS, SPAN
 
     class StabilityGate(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.looks = handle.getMapState("looks", "tick bigint", "size bigint, mtime bigint")
-            self.reports = handle.getMapState("reports", "tick bigint", "mtime bigint")
-            self.seen = handle.getValueState("seen", "tick bigint, size bigint, mtime bigint, streak bigint")
-            self.failed = handle.getValueState("failed", "mtime bigint")
-
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            for frame in rows:
-                for tick, is_report, size, mtime in zip(frame["tick"], frame["failed"], frame["size"], frame["mtime_ms"]):
-                    if is_report:
-                        self.reports.updateValue((int(tick),), (int(mtime),))
-                    else:
-                        self.looks.updateValue((int(tick),), (int(size), int(mtime)))
-                    # At its own tick a look is judged; at the next one it is known whether the path is still there.
-                    for due in (int(tick), int(tick) + 1):
-                        self.handle.registerTimer((due + 1) * 1000)
+            self.waiting = handle.getMapState(
+                "waiting", "span bigint", "looks array<struct<tick:bigint,report:boolean,size:bigint,mtime:bigint>>")
+            self.seen = handle.getValueState("seen", "tick bigint, size bigint, mtime bigint, streak bigint, failed bigint")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+            first, held, spans = None, 0, {}
+            for row in rows:
+                # Of a tick the last look counts, and the last report.
+                spans.setdefault(row["tick"] // span_ticks, {})[row["tick"], bool(row["failed"])] = (row["size"], row["mtime_ms"])
+                first = row["tick"] if first is None else min(first, row["tick"])
+                held += 1
+                if held == span_ticks:
+                    self._add(spans)
+                    held, spans = 0, {}
+            self._add(spans)
+            self._wake(first)
             return iter(())
 
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            tick = expiredTimerInfo.getExpiryTimeInMs() // 1000 - 1
-            status, streak = self._judged(tick)
-            if self.reports.containsKey((tick,)):
-                self.failed.update((self.reports.getValue((tick,))[0],))
-                self.reports.removeKey((tick,))
-            if status is None:
-                return iter(())
-            return iter([pd.DataFrame([(key[0], tick, status, streak)], columns=["path", "tick", "status", "streak"])])
-
-        def _judged(self, tick: int) -> tuple[str | None, int]:
-            last = self.seen.get() if self.seen.exists() else None
-            if not self.looks.containsKey((tick,)):
-                if last is None or last[0] >= tick:
-                    return None, 0
-                self.seen.clear()
-                self.failed.clear()
-                return "vanished", 0
-            size, mtime = self.looks.getValue((tick,))
-            self.looks.removeKey((tick,))
-            if self.failed.exists() and self.failed.get()[0] == mtime:
-                self.seen.update((tick, size, mtime, 0))
-                return "failed", 0
-            self.failed.clear()
-            steady = last is not None and (last[0], last[1], last[2]) == (tick - 1, size, mtime)
-            streak = last[3] + 1 if steady else 1
-            self.seen.update((tick, size, mtime, streak))
-            return ("eligible" if streak >= required else "pending"), streak
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+            # A look at this tick, or an earlier one, can no longer come.
+            passed = timerValues.getCurrentWatermarkInMs() // 1000 - 1
+            known = tuple(self.seen.get()) if self.seen.exists() else NOTHING
+            before, upcoming, out = known, None, []
+            for span in sorted(s for (s,) in self.waiting.keys()):
+                looks = self._looks(span) if span * span_ticks <= passed else {}
+                due = sorted(at for at in looks if at[0] <= passed)
+                if out:
+                    yield from self._rows(key, out)
+                known, out = self._judged(known, [(*at, *looks.pop(at)) for at in due])
+                if due and looks:
+                    self._keep(span, looks)
+                elif due:
+                    self.waiting.removeKey((span,))
+                if looks or not due:
+                    upcoming = min(t for t, _ in looks) if looks else span * span_ticks
+                    break
+            if known[0] is not None and known[0] < passed:
+                out.append((known[0] + 1, "vanished", 0))
+                known = NOTHING
+            if out:
+                yield from self._rows(key, out)
+            if known == NOTHING:
+                if before != NOTHING:
+                    self.seen.clear()
+            elif known != before:
+                self.seen.update(known)
+            # At the tick after its last look it is known whether a path is still there.
+            self._wake(min((t for t in (upcoming, None if known[0] is None else known[0] + 1) if t is not None), default=None))
+
+        def _judged(self, known: tuple, due: list[tuple]) -> tuple[tuple, list[tuple]]:
+            """What is known of a path after the looks and reports that are due, and the statuses told; a look comes before a report."""
+            seen, size_seen, mtime_seen, streak, failed = known
+            out = []
+            for tick, is_report, size, mtime in due:
+                if seen is not None and seen < (tick if is_report else tick - 1):
+                    out.append((seen + 1, "vanished", 0))
+                    seen = failed = None
+                if is_report:
+                    failed = mtime
+                    continue
+                if failed is not None and failed == mtime:
+                    status, streak = "failed", 0
+                else:
+                    failed = None
+                    streak = streak + 1 if (seen, size_seen, mtime_seen) == (tick - 1, size, mtime) else 1
+                    status = "eligible" if streak >= required else "pending"
+                seen, size_seen, mtime_seen = tick, size, mtime
+                out.append((tick, status, streak))
+            return ((seen, size_seen, mtime_seen, streak, failed) if seen is not None else (None, None, None, None, failed)), out
+
+        def _add(self, spans: dict[int, dict]) -> None:
+            for span, looks in spans.items():
+                self._keep(span, self._looks(span) | looks if self.waiting.containsKey((span,)) else looks)
+
+        def _looks(self, span: int) -> dict:
+            return {(t, r): (size, mtime) for t, r, size, mtime in self.waiting.getValue((span,))[0]}
+
+        def _keep(self, span: int, looks: dict) -> None:
+            self.waiting.updateValue((span,), ([(*at, *seen) for at, seen in looks.items()],))
+
+        def _wake(self, tick: int | None) -> None:
+            if tick is not None:
+                self.handle.registerTimer((tick + 1) * 1000)
+
+        def _rows(self, key, out: list[tuple]) -> Iterator[Row]:
+            return (Row(path=key[0], tick=tick, status=status, streak=streak) for tick, status, streak in out)
 
         def close(self) -> None:
             pass
 
     # Time begins at 0, and what is not later than it counts as late.
     timed = observations.withColumn("at", F.timestamp_seconds(F.col("tick") + 1)).withWatermark("at", f"{late} seconds")
-    return timed.groupBy("path").transformWithStateInPandas(
+    return timed.groupBy("path").transformWithState(
         statefulProcessor=StabilityGate(), outputStructType=OBSERVED, outputMode="append", timeMode="EventTime"
     )
 
