@@ -99,7 +99,8 @@ def _scans(spark, sf, path: str):
         F.when(k % 23 == 0, "corrupt or unreadable image").alias("failed"), (k % 3).alias("load"))
     again = scans.filter(k % 10 == 0).withColumns({"path": F.concat(F.lit("again/"), "path"), "load": F.lit(2).cast("bigint")})
     for load in range(3):  # each load is younger than the one before, which is the order in which a stream takes them
-        scans.unionByName(again).filter(F.col("load") == load).drop("load").coalesce(1).write.mode("append").parquet(f"{path}/in")
+        # Hashed in parallel; a load is one file, as the stream takes a file per batch.
+        scans.unionByName(again).filter(F.col("load") == load).drop("load").repartition(1).write.mode("append").parquet(f"{path}/in")
     return spark.readStream.schema("path string, sha256 string, tick bigint, failed string").option("maxFilesPerTrigger", "1").parquet(f"{path}/in")
 
 
