@@ -325,3 +325,26 @@ def test_stream_judges_spans_and_batches_as_one(spark, tmp_path, monkeypatch):
     twin = {(r["path"], r["tick"]): "eligible" if r["eligible"] else "pending" for r in watch.stability(seen).collect()}
     twin |= {(p, t + 1): "vanished" for p, t in list(twin) if (p, t + 1) not in twin}
     assert told == twin
+
+
+def test_library_writes_split_tables_once(lib):
+    """Receipts and tax lines of the library are read where their parts were written, not written a second time."""
+    for table in ("receipt_data", "receipt_tax_line"):
+        folders = {f.rsplit("/", 2)[-2].rsplit("-", 1)[0] for f in lib[table].inputFiles()}
+        assert "split-parts" in folders or "line-shares" in folders
+        assert table not in folders
+    assert "extraction_json" not in str(lib["item"].sparkSession.read.parquet(
+        *{f.rsplit("/", 1)[0] for f in lib["split_group"].inputFiles()}).columns)
+
+
+def test_line_shares_of_equal_parts_follow_their_numbers(spark):
+    """Children of equal parts take the remainders in the order of their numbers, and line shares still sum to the lines."""
+    lib = ledger(spark)
+    lines = spark.createDataFrame([(901, 1, "GST", 500, 7, 1), (902, 1, "PST", 700, -5, None)], TABLES["receipt_tax_line"])
+    lib = with_tables(lib, receipt_tax_line=lines)
+    parts = spark.createDataFrame([(1, 1, 1.0), (1, 1, 1.0), (1, 2, 1.0)], "item_id long, ord int, weight double")
+    out, rejected = splits.split_receipts(lib, parts, 9)
+    assert rejected.count() == 0
+    children = [r["item_id"] for r in out["receipt_data"].join(lib["receipt_data"].select("item_id"), "item_id", "left_anti").orderBy("item_id").collect()]
+    got = {(r["label"], r["item_id"]): r["amount_minor"] for r in out["receipt_tax_line"].collect()}
+    assert [got["GST", c] for c in children] == [3, 2, 2] and [got["PST", c] for c in children] == [-2, -2, -1]
