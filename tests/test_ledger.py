@@ -11,6 +11,7 @@ from tillbook.operators.canonical import item_pages, page_links, split_reconcili
 from tillbook.operators.lists import resolve_names
 from tillbook.plans import scale
 from tillbook.schemas import TABLES, empty, shaped, with_tables
+from tillbook.session import packed, setting
 from tillbook.streaming import watch
 
 
@@ -348,3 +349,44 @@ def test_line_shares_of_equal_parts_follow_their_numbers(spark):
     children = [r["item_id"] for r in out["receipt_data"].join(lib["receipt_data"].select("item_id"), "item_id", "left_anti").orderBy("item_id").collect()]
     got = {(r["label"], r["item_id"]): r["amount_minor"] for r in out["receipt_tax_line"].collect()}
     assert [got["GST", c] for c in children] == [3, 2, 2] and [got["PST", c] for c in children] == [-2, -2, -1]
+
+
+def test_split_tables_stay_in_the_buckets_of_their_receipts(spark, monkeypatch):
+    """Children, line shares and the children's receipts are made where the parts and receipts of an item lie, without a shuffle."""
+    lib = ledger(spark)
+    lines = spark.createDataFrame([(901, 1, "GST", 500, 7, 1), (902, 1, "PST", 700, -5, None)], TABLES["receipt_tax_line"])
+    lib = with_tables(lib, **{t: packed(df, t, by="item_id") for t, df in (("receipt_data", lib["receipt_data"]), ("receipt_tax_line", lines))})
+    parts = packed(spark.createDataFrame([(1, 1, 1.0), (1, 1, 1.0), (1, 2, 1.0)], "item_id long, ord int, weight double"), "parts", by="item_id")
+    plans = {}
+
+    def seen(df, name, by=None):
+        plans[name] = (df.repartition(8, by) if by else df)._jdf.queryExecution().executedPlan().toString()
+        return packed(df, name, by=by)
+
+    monkeypatch.setattr(splits, "packed", seen)
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        out, rejected = splits.split_receipts(lib, parts, 9)
+    assert rejected.count() == 0 and out["receipt_tax_line"].count() == 8
+    for name in ("children", "line-shares", "split-parts"):
+        assert "Exchange" not in plans[name].replace("ReusedExchange", "Exchange"), plans[name]
+
+
+def test_repeated_receipts_number_their_groups_parts_and_lines_without_gaps(spark):
+    """Copies of a receipt are groups of their own behind those of the receipts before it."""
+    lib = ledger(spark)
+    lib = with_tables(lib, receipt_data=lib["receipt_data"].unionByName(lib["receipt_data"].filter("item_id = 1")))
+    ids = [r["item_id"] for r in lib["receipt_data"].filter("total_minor IS NOT NULL").select("item_id").distinct().orderBy("item_id").collect()]
+    parts = spark.createDataFrame([(i, n, 1.0) for i in ids for n in (1, 2)], "item_id long, ord int, weight double")
+    out, _ = splits.split_receipts(lib, parts, 9)
+    groups = [(r["id"], r["origin_item_id"]) for r in out["split_group"].orderBy("id").collect()]
+    assert [g for g, _ in groups] == list(range(1, len(groups) + 1))
+    assert [i for _, i in groups] == sorted(i for _, i in groups) and [i for _, i in groups].count(1) == 2
+    last = lib["item"].agg(F.max("id")).first()[0]
+    children = sorted(r["id"] for r in out["item"].filter("split_role = 'child'").select("id").distinct().collect())
+    assert children == list(range(last + 1, last + 1 + 2 * len(groups)))
+
+
+def test_fixed_lists_are_known_to_be_small(lib):
+    """A join with a fixed list is planned as a broadcast, not left to which side is shuffled first."""
+    for table in ("category", "tax_category", "payment_type", "project", "cabinet"):
+        assert int(str(lib[table]._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 10_000
