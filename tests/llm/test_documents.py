@@ -236,6 +236,20 @@ def test_quality_votes_against_plain_cosines(spark, monkeypatch):
     assert all(abs(x - voted(row, 5)) < 1e-3 for x, row in zip(quality.votes(space, terms), terms))
 
 
+def test_quality_is_fitted_outside_the_driver(spark, monkeypatch):
+    """The driver neither builds the term matrix nor takes eigenvectors; the order of the rows changes no score."""
+    known = spark.createDataFrame([(f"some words of text {k} {k % 7} number", k % 2) for k in range(60)], "text string, label int")
+    for name in ("eigh", "norm"):
+        monkeypatch.setattr(quality.np.linalg, name, None)
+    space = quality.fit(known, "text", "label")
+    assert space.prior == 0.5 and space.projection.shape == (quality.TERMS, 60) and space.vectors.shape == (60, 60)
+    one, other = (
+        {r.text: r.score for r in quality.score(known, rows).collect()}
+        for rows in (known.repartition(5), known.orderBy(F.desc("text")).coalesce(1))
+    )
+    assert len(one) == 60 and all(abs(one[t] - other[t]) < 1e-3 for t in one)
+
+
 def test_quality_of_awkward_rows(spark, docs, nothing):
     labels = spark.createDataFrame([(15, 1, 0), (18, 0, 0), (18, None, 0), (None, 1, 1), (21, 1, 0)], "doc_id long, quality int, toxic int")
     out = quality.score_quality(docs.select("doc_id", "text"), labels).collect()

@@ -94,7 +94,7 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, text: str, label: str) -> Space:
-    """The space of at most SAMPLE labelled rows; only their hashed, non-zero terms reach the driver."""
+    """The space of at most SAMPLE labelled rows. One task fits it, so only what is broadcast reaches the driver."""
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,27 +111,44 @@ def fit(labelled: DataFrame, text: str, label: str) -> Space:
                     names=["label", "term", "value"],
                 )
 
-    found = (
+    def space(rows: pa.Table) -> pa.Table:
+        found = space_of(rows)
+        flat = {k: [getattr(found, k).ravel()] for k in ("weights", "projection", "vectors", "labels")}
+        return pa.table({k: pa.array(v, pa.list_(pa.float32())) for k, v in flat.items()} | {"prior": [found.prior]})
+
+    fitted = (
         labelled.select(F.col(text), F.col(label).cast("int"))
         .mapInArrow(terms, "label int, term array<short>, value array<float>")
+        .groupBy()
+        .applyInArrow(space, "weights array<float>, projection array<float>, vectors array<float>, labels array<float>, prior double")
         .toArrow()
     )
-    n = found.num_rows
-    if not n:
+    if not fitted.num_rows:
         return Space(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5)
-    term, value = (found.column(k).combine_chunks() for k in ("term", "value"))
+    weights, projection, vectors, labels = (fitted.column(k).combine_chunks().flatten().to_numpy() for k in range(4))
+    return Space(
+        weights, projection.reshape(TERMS, -1), vectors.reshape(len(labels), -1), labels, fitted.column("prior")[0].as_py()
+    )
+
+
+def space_of(rows: pa.Table) -> Space:
+    """The space of (label, term, value) rows; dense terms are weighted and scaled in place, so that few copies are held."""
+    n = rows.num_rows
+    term, value = (rows.column(k).combine_chunks() for k in ("term", "value"))
     row = np.repeat(np.arange(n), np.diff(term.offsets.to_numpy()))
     dense = np.zeros((n, TERMS), np.float32)
     dense[row, term.flatten().to_numpy()] = value.flatten().to_numpy()
-    labels = found.column("label").to_numpy().astype(np.float32)
+    labels = rows.column("label").to_numpy().astype(np.float32)
     # Rows in an order of their own, so that sums do not depend on how tasks ended.
     order = np.lexsort((labels, *dense[:, ::7].T))
     dense, labels = dense[order], labels[order]
     weights = (np.log((1 + n) / (1 + (dense > 0).sum(axis=0))) + 1).astype(np.float32)
-    weighted = unit(dense * weights)
-    values, vectors = np.linalg.eigh((weighted.T @ weighted).astype(np.float64))
+    dense *= weights
+    for at in range(0, n, BLOCK_ROWS):
+        dense[at : at + BLOCK_ROWS] = unit(dense[at : at + BLOCK_ROWS])
+    values, vectors = np.linalg.eigh((dense.T @ dense).astype(np.float64))
     projection = vectors[:, ::-1][:, : min(RANK, n)].astype(np.float32)
-    return Space(weights, projection, unit(weighted @ projection), labels, float(labels.mean()))
+    return Space(weights, projection, unit(dense @ projection), labels, float(labels.mean()))
 
 
 def votes(space: Space, dense: np.ndarray) -> np.ndarray:
