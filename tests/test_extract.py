@@ -164,3 +164,65 @@ def test_texts_are_kept_only_in_the_forms_that_names_need(spark, monkeypatch):
     assert found(["Кофе"]) == {2: "Кофе"}
     assert found(["Harbor Freight", "Кофе"]) == {1: "Harbor Freight", 2: "Кофе"}
     assert kept[2].count() == 4
+
+
+def test_texts_and_columns_read_alike(spark):
+    """Money, dates and names in plain Python against the column functions, on texts of all kinds of signs."""
+    import random
+
+    from tillbook.functions import dates, money, names
+    from tillbook.operators import reading
+
+    rnd = random.Random(11)
+    words = (
+        "TOTAL T0TAL SUB-TOTAL netto Sales Tax GST 5% M.W.ST mwst 30 Jul 2026 July 4th, 2024 Sept 31/12/99 2020-01-31 2026-02-31 03.04.2026 1-2-3 $12.50 ($12.50) "
+        "-5.00 5.00- 1.234,56 1,234.56 12.345 1.2.3 ,5 .50 S4.37 99999999999999999999.00 USD 10 £3 Étoile 東京 ½ a b ~"
+    ).split(" ")
+    texts = ["".join(rnd.choice(words) + rnd.choice([" ", " ", "\xa0", "-", "", "\u2028", "\r"]) for _ in range(rnd.randrange(7))) for _ in range(3000)]
+    texts = [t for t in texts if t]
+    c = F.col("t")
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").orderBy("k").select(
+        money.find_money(c, labelled=True).alias("money"), dates.find_date(c, "DMY").alias("date"), dates.parse_date(c, "YMD").alias("whole"),
+        names.looks_like_vendor(c).alias("vendor"), names.tax_label(c).alias("tax")).collect()
+    for text, row in zip(texts, rows):
+        date = lambda d: None if d is None else (d["civil"].isoformat(), d["confidence"], d["ambiguous"])
+        assert reading.find_money(text) == (row["money"] and tuple(row["money"])), text
+        assert reading.find_date(text, "DMY") == date(row["date"]), text
+        assert reading.parse_date(text, "YMD") == date(row["whole"]), text
+        assert reading.looks_like_vendor(text) == bool(row["vendor"]), text
+        assert reading.tax_label(text) == row["tax"], text
+
+
+def test_only_pieces_that_a_name_may_have_leave_a_page(spark):
+    """Pages used to send every stretch of every length that a name begins with, some hundreds each."""
+    from tillbook.plans.marks import marked_pieces, marks
+
+    wanted = spark.createDataFrame([("bcde",), ("harbor f",), ("東京",), ("harbor freight tools",)], "piece string")
+    bitmap = marks(wanted, "piece")
+    texts = ["abcde trading 12 sep i999 invoice inv i2", "at harbor freight tools", "harbor", "nothing of it " * 30, "", None, "bcdebcde"]
+    rows = spark.createDataFrame([(k, k == 7, t) for k, t in enumerate([*texts, "カフェ東京"])], "k int, form boolean, t string")
+    got = {r["k"]: {tuple(p) for p in r["p"]} for r in rows.select("k", marked_pieces(F.col("form"), F.col("t"), {False: [4, 8], True: [2]}, bitmap, 20).alias("p")).collect()}
+    assert got == {0: {("bcde", "")}, 1: {("harbor f", "reight tools")}, 2: set(), 3: set(), 4: set(), 5: set(), 6: {("bcde", "")}, 7: {("東京", "")}}
+
+
+def test_names_longer_than_a_gram_travels_with_are_found_in_the_text(spark):
+    long = "Quartermaster and Daughters Supplies for Ships and Boats of All Sizes in Port Townsend"
+    pages = lines.with_lines(spark.createDataFrame([(1, f"the {long}\nTOTAL 1.00"), (2, long[:70]), (3, long[4:])], "page_id long, ocr_text string"))
+    vendors = spark.createDataFrame([(1, "Qu-" + long), (2, "1 " + long), (3, "Port T")], "id long, name string")
+    got = {r["page_id"]: r["vendor"] for r in extract.known_vendor_matches(pages, vendors).collect()}
+    assert got == {1: "Port T", 3: "Port T"}
+    vendors = spark.createDataFrame([(1, "the " + long), (3, "Port T")], "id long, name string")
+    assert {r["page_id"]: r["vendor"] for r in extract.known_vendor_matches(pages, vendors).collect()} == {1: "the " + long, 3: "Port T"}
+
+
+def test_receipts_are_printed_with_one_shuffle_by_order(spark):
+    """Sums by rate, by flag and by order used to shuffle five times behind the first sum."""
+    from tests.conftest import SF
+    from tillbook.session import setting
+    from tillbook.sources import receipts
+
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        plan = receipts.receipt_facts(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line.split("hashpartitioning(")[1] for line in plan.splitlines() if "hashpartitioning(" in line]
+    # The first sum and its spread by order, once for the rates and once for the flags, and the orders.
+    assert len(shuffles) == 5 and sum("_groupingexpression" in s for s in shuffles) == 2

@@ -1,371 +1,32 @@
 """Receipt fields from page text.
 
-One page is one row.  Its lines become an array of facts, and every field is an expression
-over that array: a whole extraction is a narrow projection.  Only the vendor list is joined.
+One page is one row, and a whole extraction is a narrow projection: ``reading`` takes the lines of a page apart
+in plain Python, a batch of pages at a time.  Only the vendor list is joined.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from tillbook.functions.checks import FIELD_RECORD, json_fields
-from tillbook.functions.dates import find_date, parse_date
-from tillbook.functions.let import let
-from tillbook.functions.money import find_money, trimmed
-from tillbook.functions.names import END, START, looks_like_vendor, ocr_normalize, squeezed, tax_label
+from tillbook.functions.names import ocr_normalize
 from tillbook.operators.lines import BOX, with_lines
+from tillbook.operators.reading import TOP_LINES, read_batches
+from tillbook.plans.marks import marked_pieces, marks
 from tillbook.schemas import Library
 from tillbook.session import stored
 
-# --- fixed values: labels, patterns and confidences that decide the result ------------
-
-# Total labels on OCR-folded text, best first.
-SUBTOTAL = r"\bsub\s*total\b|\bsubtotal\b"
-PRE_TAX = r"\bnetto\b|\bsous\s*total\b|\bsubtotale\b|\bbase\s*imponible\b|\bzwischensumme\b"
-TOTAL_LABELS = [
-    (r"\bgesamtbetrag\b|\bzu\s*zahlen\b|\bendbetrag\b", 1.0),
-    (r"\bsumme\b|\bgesamt\b|\btotaal\b|\btotale\b|\bimporto\b|\bmontant\b|\bte\s*betalen\b", 0.92),
-    (r"\bgrand\s*total\b", 1.0),
-    (r"\bamount\s*due\b|\bamt\s*due\b|\btotal\s*due\b", 0.95),
-    (r"\bbalance\s*due\b", 0.75),
-    (r"^\s*total\b|\btotal\s*[:$]|\btotal\s+\d", 0.92),
-    (r"\btotal\b", 0.7),
-]
-# Some word of every label above: most lines hold none and skip the list.
-TOTAL_WORD = "total|due|zahlen|betrag|summe|gesamt|totaal|importo|montant|betalen"
-NOT_A_TOTAL = (
-    r"^\s*(?:tax|gst|hst|pst|vat|sales\s*tax)\b|^\s*(?:cash|change|tip|gratuity)\b"
-    r"|^\s*(?:visa|mc|mastercard|amex|debit)\b"
-)
-SUBTOTAL_LINE = r"\bsub\s*total\b|\bsubtotal\b|\bnetto\b|\bsous\s*total\b"
-ADJUSTMENT = (
-    rf"(?i){START}(tip|gratuity|service\s*(?:charge|fee)|delivery(?:\s*fee)?|shipping|handling|freight|surcharge"
-    rf"|rounding|discount|coupon|savings|bag\s*fee|bottle\s*deposit){END}"
-)
-REDUCTION = rf"(?i){START}(discount|coupon|savings){END}"
-TAX = (
-    rf"(?i){START}((?:sales\s*)?tax|gst|hst|pst|vat|qst|tvq|tps|mwst|m\.?w\.?st|ust|tva|iva|btw|moms|alv)"
-    rf"(?:{END}|\s*\d+(?:\.\d+)?\s*%(?=[A-Za-z0-9_]))"
-)
-AMOUNT_ALONE = r"^[\s $€£S(]*[\d.,]+-?[\s )]*$"
-# Three numbers, or a month: texts without either hold no date and are not scanned.
-DATE_HINT = r"\d[-/.\s\u00a0]+\d{1,2}[-/.\s\u00a0]+\d|(?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
-DATE_LABEL = r"(?i)(?:date|datum|fecha|dated)\s*[:#]?\s*(.+)$"
-NOT_A_VENDOR = r"^\d+[-/.]\d+|^[\d\s .()-]+$|(?i:^(tel|phone|fax|www\.|http))"
-DOCUMENT_WORD = r"(?i)receipt|invoice|order\s*#"
-PAYMENTS = [
-    (r"american\s*express|amex", "AMEX"),
-    (r"master\s*card|mastercard|mc", "MASTERCARD"),
-    (r"visa", "VISA"),
-    (r"discover", "DISCOVER"),
-    (r"interac", "INTERAC"),
-    (r"girocard|ec[-\s]?karte", "GIROCARD"),
-    (r"maestro", "MAESTRO"),
-    (r"ideal", "IDEAL"),
-    (r"bacs|faster\s*payments?", "BANK TRANSFER"),
-    (r"apple\s*pay", "APPLE PAY"),
-    (r"google\s*pay|g\s*pay", "GOOGLE PAY"),
-    (r"paypal", "PAYPAL"),
-    (r"debit", "DEBIT"),
-    (r"credit\s*card", "CREDIT CARD"),
-]
-# Some word of every method: most lines hold none and skip the list.
-PAYMENT_WORD = (
-    r"(?i)express|amex|master|mc|visa|discover|interac|girocard|karte|maestro|ideal|bacs|payments?|pay|debit|card"
-    r"|net|account|cash|check|cheque"
-)
-NET_DAYS = rf"(?i){START}net\s*\d{{1,3}}{END}"
-NET_TERMS = rf"(?i){START}terms?\s*:\s*net{END}"
-ON_ACCOUNT = rf"(?i){START}(?:on\s*account|charge\s*account){END}"
-CASH = rf"(?i)^\s*cash{END}|{START}paid\s+cash{END}|{START}cash\s*[:$]|{START}cash\s+tend"
-CHECK = rf"(?i)^\s*check{END}|{START}cheque{END}|{START}paid\s+by\s+check{END}|{START}payment\s*:\s*check{END}"
-CARD_TAIL = rf"(?:\*{{2,}}|{START}x{{2,}}|{START}X{{2,}}|(?<=[A-Za-z0-9_])•{{2,}}|(?<=[A-Za-z0-9_])·+\s*)(\d{{3,5}}){END}"
-CARD_TAIL_ANYWHERE = rf"(?i)(?:\*{{4,}}|{START}x{{4,}})\s*(\d{{3,5}}){END}"
-REFERENCE = (
-    r"(?i)(?:invoice|receipt|order|trans(?:action)?|ref(?:erence)?|ticket|auth)\s*(?:no|num|number|#|id)?"
-    r"\s*[:#.]?\s*([A-Z0-9][-A-Z0-9]{2,})"
-)
-NOT_AN_ITEM = (
-    r"(?i)^(?:total|subtotal|sub\s*total|tax|gst|hst|pst|vat|tip|cash|change|visa|mastercard|amex|debit|thank"
-    r"|www\.|http|tel|phone|date|receipt|invoice)"
-)
-DATE_ALONE = r"^\d{1,2}[-/]\d{1,2}[-/]\d{2,4}$"
-
-MAX_TAX_FRACTION, TAX_TOLERANCE = 0.5, 2
-TOP_LINES, DESCRIPTION_CHARS = 6, 500
-FIELDS = ["total", "txnDate", "vendor", "taxTotal", "paymentType", "externalRef", "description"]
-
 FOUND = f"struct<value:string,confidence:double,bbox:{BOX}>"
 
 
-def clamp(value: Column) -> Column:
-    return F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))
-
-
-def found(value: Column, confidence: Column, bbox: Column) -> Column:
-    return F.when(
-        value.isNotNull(), F.struct(value.cast("string").alias("value"), clamp(confidence).alias("confidence"), bbox.alias("bbox"))
-    ).cast(FOUND)
-
-
-def first_where(items: Column, test) -> Column:
-    return F.get(F.filter(items, test), 0)
-
-
-# --- line facts ----------------------------------------------------------------------
-
-
-def total_score(folded: Column) -> Column:
-    """How good a total label the OCR-folded line carries; 0 = none."""
-    has_total = folded.rlike(r"\btotal\b")
-    chain = F.when(folded.rlike(SUBTOTAL) | folded.rlike(PRE_TAX), 0.0).when(~has_total & folded.rlike(NOT_A_TOTAL), 0.0)
-    for pattern, score in TOTAL_LABELS:
-        chain = chain.when(folded.rlike(pattern), score)
-    return F.when(folded.rlike(TOTAL_WORD), chain.otherwise(0.0)).otherwise(0.0)
-
-
-def line_facts(line: Column, following: Column) -> Column:
-    """What a line says, each question asked once."""
-    text = line["text"]
-
-    def with_labels(a: Column) -> Column:
-        wanted = (a["score"] > 0) | a["is_subtotal"] | a["is_adjustment"] | (a["tax"] != "")
-        # The line itself, then the next one if that is little more than a number.
-        sources = F.array(text, F.when(trimmed(following).rlike(AMOUNT_ALONE), following))
-        amounts = F.array_compact(F.transform(sources, lambda t: find_money(t, labelled=True)))
-        return F.struct(
-            text.alias("text"),
-            line["conf"].alias("conf"),
-            line["y"].alias("y"),
-            line["bbox"].alias("bbox"),
-            a["score"].alias("score"),
-            a["is_subtotal"].alias("is_subtotal"),
-            a["is_adjustment"].alias("is_adjustment"),
-            a["tax"].alias("tax"),
-            F.when(wanted, F.get(amounts, F.lit(0))).alias("money"),
-        )
-
-    return let(
-        let(
-            ocr_normalize(text),
-            lambda folded: F.struct(
-                total_score(folded).alias("score"),
-                folded.rlike(SUBTOTAL_LINE).alias("is_subtotal"),
-                text.rlike(ADJUSTMENT).alias("is_adjustment"),
-                F.regexp_extract(text, TAX, 1).alias("tax"),
-            ),
-        ),
-        with_labels,
-    )
-
-
-def with_facts(pages: DataFrame) -> DataFrame:
-    following = F.transform(F.slice("lines", F.lit(2), F.greatest(F.size("lines"), F.lit(1))), lambda l: l["text"])
-    pairs = F.arrays_zip(F.col("lines").alias("line"), following.alias("following"))
-    return pages.withColumn("facts", F.transform(pairs, lambda p: line_facts(p["line"], p["following"])))
-
-
-# --- fields --------------------------------------------------------------------------
-
-
-def total_field() -> Column:
-    """Best label, then largest amount, then lowest on the page."""
-    candidates = F.filter("facts", lambda f: (f["score"] > 0) & f["money"].isNotNull())
-    ranked = F.array_max(
-        F.transform(
-            candidates,
-            lambda f: F.struct(
-                f["score"].alias("score"),
-                F.abs(f["money"]["minor"]).alias("size"),
-                f["y"].alias("y"),
-                f["money"]["minor"].alias("minor"),
-                f["money"]["confidence"].alias("money_conf"),
-                f["conf"].alias("conf"),
-                f["bbox"].alias("bbox"),
-            ),
-        )
-    )
-    return let(
-        ranked, lambda r: found(r["minor"], r["score"] * 0.55 + r["money_conf"] * 0.35 + r["conf"] * 0.1, r["bbox"])
-    )
-
-
-def date_field(order: Column | str) -> Column:
-    """First dated line of the upper part, a labelled form first; else the whole text."""
-    n = F.size("facts")
-    upper = F.greatest(F.lit(8), F.ceil(n * 0.5)).cast("int")
-
-    # Every place to look, in order of preference: (text, may be a bare date, weights, line).
-    place = lambda text, bare, a, b, f: F.struct(
-        text.alias("text"), F.lit(bare).alias("bare"), F.lit(a).alias("a"), (F.lit(b) * f["conf"]).alias("b"), f["bbox"].alias("bbox")
-    )
-    in_lines = F.flatten(
-        F.transform(
-            F.filter(F.slice("facts", F.lit(1), upper), lambda f: f["text"].rlike(DATE_HINT)),
-            lambda f: F.array(
-                place(F.regexp_extract(f["text"], DATE_LABEL, 1), True, 0.7, 0.3, f),
-                place(f["text"], False, 0.65, 0.25, f),
-            ),
-        )
-    )
-    whole = place(F.col("ocr_text"), False, 0.6, 0.0, F.get("facts", F.lit(0)))
-
-    def look(p: Column) -> Column:
-        civil = F.coalesce(F.when(p["bare"], parse_date(p["text"], order)), find_date(p["text"], order))
-        return let(civil, lambda d: found(d["civil"], d["confidence"] * p["a"] + p["b"], p["bbox"]))
-
-    # The first hit ends the search: later places are not read any more.
-    places = F.concat(in_lines, F.array(whole))
-    return F.aggregate(
-        places, F.lit(None).cast(FOUND), lambda acc, p: F.when(acc.isNotNull(), acc).otherwise(look(p))
-    )
-
-
-def tax_entries() -> Column:
-    """Distinct (label, amount) pairs in reading order."""
-    entries = F.transform(
-        F.filter("facts", lambda f: (f["tax"] != "") & f["money"].isNotNull()),
-        lambda f: F.struct(
-            tax_label(f["tax"]).alias("label"),
-            f["money"]["minor"].alias("minor"),
-            (f["conf"] * 0.4 + f["money"]["confidence"] * 0.6).alias("conf"),
-            f["bbox"].alias("bbox"),
-        ),
-    )
-
-    # One sort brings equal pairs together; the first of each survives, in reading order again.
-    keyed = F.transform(
-        entries, lambda e, i: F.struct(e["label"].alias("label"), e["minor"].alias("minor"), i.alias("i"), e.alias("e"))
-    )
-    fresh = lambda s: F.filter(
-        s, lambda k, i: (i == 0) | (k["label"] != F.get(s, i - 1)["label"]) | (k["minor"] != F.get(s, i - 1)["minor"])
-    )
-    firsts = let(F.sort_array(keyed), fresh)
-    return F.transform(
-        F.sort_array(F.transform(firsts, lambda k: F.struct(k["i"].alias("i"), k["e"].alias("e")))), lambda k: k["e"]
-    )
-
-
-def sum_of(items: Column, value) -> Column:
-    return F.aggregate(items, F.lit(0).cast("bigint"), lambda acc, e: acc + value(e))
-
-
-def subtotal_minor() -> Column:
-    """The first subtotal line that has an amount."""
-    return first_where("facts", lambda f: f["is_subtotal"] & f["money"].isNotNull())["money"]["minor"]
-
-
-def adjustments_minor() -> Column:
-    """Tips, fees and shipping add, discounts subtract, however they are printed."""
-    lines = F.filter("facts", lambda f: f["is_adjustment"] & f["money"].isNotNull())
-    return sum_of(
-        lines, lambda f: F.abs(f["money"]["minor"]) * F.when(f["text"].rlike(REDUCTION), -1).otherwise(1)
-    )
-
-
-def plausible_tax(entries: Column, total: Column, subtotal: Column, adjustments: Column) -> Column:
-    """Tax lines against total − subtotal − adjustments; struct(minor, conf, lines)."""
-    read = sum_of(entries, lambda e: e["minor"])
-    mean = F.aggregate(entries, F.lit(0.0), lambda acc, e: acc + e["conf"]) / F.size(entries)
-
-    def judge(v: Column) -> Column:
-        size, total_size = F.abs(v["read"]), F.abs(v["total"])
-        limit = total_size * MAX_TAX_FRACTION
-        implied = F.abs(v["total"] - v["subtotal"] - v["adjustments"])
-        usable = v["subtotal"].isNotNull() & (implied <= limit)
-        agrees = F.abs(implied - size) <= TAX_TOLERANCE
-        sign = F.when(v["total"] < 0, -1).otherwise(1)
-        result = lambda minor, conf, lines: F.struct(
-            minor.cast("bigint").alias("minor"), conf.alias("conf"), lines.alias("lines")
-        )
-        small = lambda bound: F.filter(entries, lambda e: F.abs(e["minor"]) <= bound)
-        kept_sum = sum_of(small(limit), lambda e: e["minor"])
-        n_kept = F.size(small(limit))
-        return (
-            F.when(v["total"].isNull() | (v["total"] == 0), result(v["read"], v["mean"], entries))
-            .when(usable & ~agrees, result(sign * implied, F.least(v["mean"], F.lit(0.55)), small(implied + TAX_TOLERANCE)))
-            .when(usable & agrees, result(v["read"], F.greatest(v["mean"], F.lit(0.9)), entries))
-            .when(size <= limit, result(v["read"], v["mean"], entries))
-            .when(
-                (n_kept > 0) & (n_kept < F.size(entries)) & (F.abs(kept_sum) <= limit),
-                result(kept_sum, F.least(v["mean"], F.lit(0.4)), small(limit)),
-            )
-        )
-
-    facts = F.struct(
-        read.alias("read"),
-        mean.alias("mean"),
-        total.alias("total"),
-        subtotal.alias("subtotal"),
-        adjustments.alias("adjustments"),
-    )
-    return F.when(F.size(entries) > 0, let(facts, judge))
-
-
-def payment_of_line(text: Column) -> Column:
-    """First matching method of a line, in the fixed order."""
-    chain = None
-    for pattern, name in PAYMENTS:
-        hit = text.rlike(rf"(?i){START}(?:{pattern}){END}")
-        chain = F.when(hit, F.lit(name)) if chain is None else chain.when(hit, F.lit(name))
-    terms = F.upper(squeezed(F.regexp_extract(text, NET_DAYS, 0)))
-    chain = (
-        chain.when(text.rlike(NET_DAYS), terms)
-        .when(text.rlike(NET_TERMS), "NET TERMS")
-        .when(text.rlike(ON_ACCOUNT), "ON ACCOUNT")
-        .when(text.rlike(CASH), "CASH")
-        .when(text.rlike(CHECK), "CHECK")
-    )
-    return F.when(text.rlike(PAYMENT_WORD), chain)
-
-
-def payment_field() -> Column:
-    """First line with a method; the card tail from that line, else from anywhere."""
-    hits = F.transform("facts", lambda f: F.struct(payment_of_line(f["text"]).alias("name"), f.alias("f")))
-
-    def finish(h: Column) -> Column:
-        tail = F.coalesce(
-            F.nullif(F.regexp_extract(h["f"]["text"], CARD_TAIL, 1), F.lit("")),
-            F.nullif(F.regexp_extract("ocr_text", CARD_TAIL_ANYWHERE, 1), F.lit("")),
-        )
-        value = F.when(tail.isNotNull(), F.concat(h["name"], F.lit(" ****"), tail)).otherwise(h["name"])
-        return found(value, 0.75 + h["f"]["conf"] * 0.2, h["f"]["bbox"])
-
-    return let(first_where(hits, lambda h: h["name"].isNotNull()), finish)
-
-
-def reference_field() -> Column:
-    """Invoice, receipt or order number of the first line that has one."""
-    hits = F.transform(
-        "facts", lambda f: F.struct(F.regexp_extract(f["text"], REFERENCE, 1).alias("ref"), f["conf"].alias("conf"), f["bbox"].alias("bbox"))
-    )
-    in_line = let(first_where(hits, lambda h: h["ref"] != ""), lambda h: found(h["ref"], 0.7 + h["conf"] * 0.2, h["bbox"]))
-    whole = F.nullif(F.regexp_extract("ocr_text", REFERENCE, 1), F.lit(""))
-    return F.coalesce(in_line, let(whole, lambda w: found(w, F.lit(0.55), F.get("facts", F.lit(0))["bbox"])))
-
-
-def description_field() -> Column:
-    """The middle lines that are neither labels nor dates."""
-    n = F.size("facts")
-    middle = F.when(n > 5, F.slice("facts", F.lit(2), n - 5)).otherwise(F.slice("facts", F.lit(1), F.lit(0)))
-    kept = F.filter(
-        middle,
-        lambda f: (F.length(f["text"]) >= 2)
-        & ~f["text"].rlike(NOT_AN_ITEM)
-        & ~f["text"].rlike(DATE_ALONE)
-        # "amount" lines are labels if they hold an amount, and any digit reads as one.
-        & ~(f["text"].rlike("(?i)^amount") & f["text"].rlike(r"\d")),
-    )
-    joined = F.array_join(F.transform(kept, lambda f: f["text"]), "; ")
-    value = F.when(F.size(kept) > 0, F.substring(joined, 1, DESCRIPTION_CHARS))
-    return found(value, F.lit(0.45), F.get("facts", F.lit(1))["bbox"])
-
-
 # --- vendors -------------------------------------------------------------------------
 
 GRAM = 8
 # Places of a needle shorter than that.
 SPREAD = 32
+# Characters that a gram travels with, itself among them.
+REACH = 64
 
 
 def known_vendor_matches(pages: DataFrame, vendors: DataFrame) -> DataFrame:
@@ -389,10 +50,12 @@ def known_vendor_matches(pages: DataFrame, vendors: DataFrame) -> DataFrame:
         .withColumn("gram", F.substring("needle", 1, GRAM))
         .withColumn("glen", F.length("gram"))
     )
-    # At most GRAM different lengths for folded and for literal needles: this is all that reaches the driver.
+    # At most GRAM different lengths for folded and for literal needles, and a bitmap: this is all that reaches the driver.
     lengths: dict[bool, list[int]] = {}
-    for literal, length in needles.select("literal", "glen").distinct().collect():
+    longest = 0
+    for literal, length, size in needles.groupBy("literal", "glen").agg(F.max(F.length("needle"))).collect():
         lengths.setdefault(literal, []).append(length)
+        longest = max(longest, size)
     if not lengths:
         return pages.select("page_id", F.lit(None).cast("string").alias("vendor")).limit(0)
     blob = F.array_join(F.transform(F.slice("lines", F.lit(1), F.lit(TOP_LINES)), lambda l: l["text"]), " ")
@@ -406,47 +69,27 @@ def known_vendor_matches(pages: DataFrame, vendors: DataFrame) -> DataFrame:
         "tops",
     )
 
-    def grams_of(length: int) -> Column:
-        last = F.length("hay") - length + 1
-        return F.when(
-            last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(F.col("hay"), i, F.lit(length)))
-        ).otherwise(F.array().cast("array<string>"))
-
-    every = F.lit(None).cast("array<string>")
-    for k, sizes in lengths.items():
-        every = F.when(F.col("literal") == F.lit(k), F.concat(*[grams_of(n) for n in sorted(sizes)])).otherwise(every)
-
-    # Grams of few characters stand on nearly every page: their needles lie in SPREAD places, and a page asks in one.
+    # Only grams that some needle may have leave a page. Those of few characters stand on nearly every page: their needles
+    # lie in SPREAD places, and a page asks in one.
+    found = marked_pieces(F.col("literal"), F.col("hay"), lengths, marks(needles, "gram"), REACH)
     short = F.length("gram") < GRAM
     spread = F.when(short, F.pmod(F.xxhash64("page_id"), F.lit(SPREAD))).otherwise(F.lit(0))
     places = F.when(short, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
     grams = (
-        texts.select("page_id", "literal", F.explode(F.array_distinct(every)).alias("gram"))
+        texts.select("page_id", "literal", F.explode(found).alias("p"))
+        .select("page_id", "literal", F.col("p.piece").alias("gram"), "p.rest")
         .withColumn("place", spread.cast("int"))
     )
     asked = needles.select("literal", "gram", "needle", "best", F.explode(places).alias("place"))
-    # Grams travel without the text; only pages with a gram of a needle get it back, and a gram that is the whole
-    # needle needs no text at all.
-    met = grams.join(asked, ["literal", "gram", "place"]).select("page_id", "literal", "gram", "needle", "best")
-    whole = F.col("gram") == F.col("needle")
-    sure = met.filter(whole).select("page_id", "best")
-    checked = (
-        met.filter(~whole).join(texts, ["page_id", "literal"]).filter(F.col("hay").contains(F.col("needle"))).select("page_id", "best")
-    )
-    return sure.unionByName(checked).groupBy("page_id").agg(F.max("best")["name"].alias("vendor"))
-
-
-def fallback_vendor() -> Column:
-    """First usable line of the top; struct(value, confidence, bbox)."""
-    usable = first_where(
-        F.slice("lines", F.lit(1), F.lit(TOP_LINES)),
-        lambda l: (F.length(l["text"]) >= 2)
-        & ~l["text"].rlike(NOT_A_VENDOR)
-        & ~(l["text"].rlike(DOCUMENT_WORD) & (F.length(l["text"]) < 20)),
-    )
-    return let(
-        usable, lambda l: found(trimmed(F.regexp_replace(l["text"], r"[\s ]{2,}", " ")), 0.55 + l["conf"] * 0.25, l["bbox"])
-    )
+    met = grams.join(asked, ["literal", "gram", "place"])
+    # A gram travels with what follows it, but not with the text: only a needle longer than both is looked up in that.
+    here = F.concat("gram", "rest")
+    sure = met.filter((F.length("needle") <= REACH) & here.startswith(F.col("needle"))).select("page_id", "best")
+    if longest > REACH:
+        begun = met.filter((F.length("needle") > REACH) & F.col("needle").startswith(here)).select("page_id", "literal", "needle", "best")
+        checked = begun.join(texts, ["page_id", "literal"]).filter(F.col("hay").contains(F.col("needle"))).select("page_id", "best")
+        sure = sure.unionByName(checked)
+    return sure.groupBy("page_id").agg(F.max("best")["name"].alias("vendor"))
 
 
 # --- the record ----------------------------------------------------------------------
@@ -458,51 +101,19 @@ def parse_receipts(pages: DataFrame, vendors: DataFrame | None = None, date_orde
     Pages: page_id (unique), ocr_text, optionally ocr_words.  Money values are minor units;
     taxTotal is ``{"totalMinor":…, "lines":[{"label":…,"amountMinor":…}]}``.
     """
-    lined = with_lines(pages)
-    first = F.get("lines", F.lit(0))
     if vendors is None:
-        lined = lined.withColumn("vendor", F.lit(None).cast("string"))
+        named = pages.withColumn("vendor", F.lit(None).cast("string"))
     else:
-        lined = lined.join(known_vendor_matches(lined.select("page_id", "lines"), vendors), "page_id", "left")
-    known = found(F.col("vendor"), 0.85 + first["conf"] * 0.1, first["bbox"])
-    facts = with_facts(lined).withColumns(
-        {
-            "_total": total_field(),
-            "_entries": tax_entries(),
-            "_vendor": F.coalesce(known, fallback_vendor()),
-        }
-    )
-    tax = plausible_tax(
-        F.col("_entries"), F.col("_total.value").cast("bigint"), subtotal_minor(), adjustments_minor()
-    )
-    facts = facts.withColumn("_tax", tax)
-    lines_json = F.transform("_tax.lines", lambda e: F.struct(e["label"].alias("label"), e["minor"].alias("amountMinor")))
-    tax_value = F.when(
-        F.col("_tax").isNotNull(), F.to_json(F.struct(F.col("_tax.minor").alias("totalMinor"), lines_json.alias("lines")))
-    )
-    from tillbook.operators.lines import union_box
-
-    columns = {
-        "total": F.col("_total"),
-        "txnDate": date_field(date_order),
-        "vendor": F.when(looks_like_vendor(F.col("_vendor.value")), F.col("_vendor")),
-        "taxTotal": found(tax_value, F.col("_tax.conf"), union_box(F.transform("_entries", lambda e: e["bbox"]))),
-        "paymentType": payment_field(),
-        "externalRef": reference_field(),
-        "description": description_field(),
-    }
-    # Fields become columns first: each is used twice below and must not be worked out twice.
-    facts = facts.withColumns({f"_{name}_field": c for name, c in columns.items()})
-    entries = F.array_compact(
-        F.array(
-            *[
-                F.when(F.col(f"_{name}_field").isNotNull(), F.struct(F.lit(name).alias("key"), F.col(f"_{name}_field").alias("value")))
-                for name in columns
-            ]
-        )
-    )
+        # As many parts as a shuffle has, so that the reading behind the join is spread whatever the bytes.
+        spread = pages.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "page_id")
+        named = spread.join(known_vendor_matches(with_lines(pages).select("page_id", "lines"), vendors), "page_id", "left")
+    # Lines are made anew behind the join: they are wider than the text.
+    lined = with_lines(named)
+    order = F.lit(date_order) if isinstance(date_order, str) else date_order
     keep = [c for c in pages.columns if c not in ("ocr_words",)]
-    return facts.select(*keep, F.map_from_entries(entries).alias("fields"))
+    read = lined.select(*keep, F.col("ocr_text").alias("_text"), F.col("lines").alias("_lines"), F.col("vendor").alias("_vendor"), order.alias("_order"))
+    schema = StructType([*read.select(*keep).schema.fields, StructField("fields", DataType.fromDDL(f"map<string,{FOUND}>"))])
+    return read.mapInArrow(read_batches, schema)
 
 
 def fields_long(parsed: DataFrame, *keys: str) -> DataFrame:
@@ -515,7 +126,8 @@ def fields_long(parsed: DataFrame, *keys: str) -> DataFrame:
 def extract_items(lib: Library, date_order: str = "MDY") -> DataFrame:
     """Proposals per receipt from its finished pages; the surest page wins, the earlier on ties.
 
-    The page is recorded only for single-page items.
+    The page is recorded only for single-page items.  Pages are written once: they are read for the fields, for the
+    vendors' names and for their number.
     """
     receipts = lib["item"].filter("type = 'receipt'").select(F.col("id").alias("item_id"))
     pages = (
@@ -524,6 +136,7 @@ def extract_items(lib: Library, date_order: str = "MDY") -> DataFrame:
         .join(receipts, "item_id", "left_semi")
         .select(F.col("id").alias("page_id"), "item_id", "seq", "ocr_text", "ocr_words")
     )
+    pages = stored(pages, "pages")
     count = pages.groupBy("item_id").agg(F.count("*").alias("_pages"))
     long = fields_long(parse_receipts(pages, lib["vendor"].select("id", "name"), date_order), "page_id", "item_id", "seq")
     best = long.groupBy("item_id", "field").agg(

@@ -23,6 +23,8 @@ def receipt_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(F.call_function("div", raw + 5000, F.lit(10000))).alias("tax"),
         F.min("l_suppkey").alias("supp"),
     )
+    # From here on everything is by order: one shuffle of the combined lines serves all sums and joins.
+    small = small.repartition("l_orderkey")
     per_rate = small.groupBy("l_orderkey", "rate").agg(F.sum("tax").alias("tax"), F.sum("net").alias("net"), F.min("supp").alias("supp"))
     taxes = per_rate.groupBy("l_orderkey").agg(
         F.sort_array(F.collect_list(F.struct("rate", "tax"))).alias("taxes"),
