@@ -226,3 +226,19 @@ def test_receipts_are_printed_with_one_shuffle_by_order(spark):
     shuffles = [line.split("hashpartitioning(")[1] for line in plan.splitlines() if "hashpartitioning(" in line]
     # The first sum and its spread by order, once for the rates and once for the flags, and the orders.
     assert len(shuffles) == 5 and sum("_groupingexpression" in s for s in shuffles) == 2
+
+
+def test_words_of_runs_are_made_where_their_page_lies(spark):
+    """Runs were moved by (page, line) and again by word, row by row; pages of one id still meet, and odd runs stay as they were."""
+    nan = float("nan")
+    run = lambda t, x, y=0.0, w=40.0, h=20.0: (t, (x, y, w, h))
+    rows = [
+        (1, [run("ab c", 0.0), run("d ef", 40.0), run("next", 0.0, 30.0)]), (1, [run("gh", 81.0, 0.0, 20.0)]),
+        (2, None), (3, [run(None, 0.0), run("", 0.0), run(" ", 5.0), run("a\tb", 0.0)]), (None, [run("x", nan), run("y", 0.0, 0.0, None)]),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, tokens array<struct<text:string,bbox:struct<x:double,y:double,w:double,h:double>>>")
+    found = lines.words_from_runs(pages.repartition(4, "page_id").sortWithinPartitions("page_id"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = {(r["page_id"], r["line"], r["word_no"]): r["text"] for r in found.collect()}
+    assert {k: v for k, v in got.items() if k[0] == 1} == {(1, 0, 1): "ab", (1, 0, 2): "cd", (1, 0, 3): "efgh", (1, 1, 1): "next"}
+    assert sorted(v for k, v in got.items() if k[0] == 3) == ["a", "b"] and sorted(v for k, v in got.items() if k[0] is None) == ["x", "y"]
